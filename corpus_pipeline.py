@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, jaccard_join, quality_rules
+from strandline.llm import decontamination, jaccard_join, packing, quality_rules, secret_scan
 from strandline.llm.common import shared_dir, table
 
 
@@ -23,7 +23,21 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 

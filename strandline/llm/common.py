@@ -43,12 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gapless(df: DataFrame, group: list[str], order: list[Column], spread: Column, rows_per_part: int = 100_000, into: str = "slot") -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list[Column], spread: Column, rows_per_part: int = 4096, into: str = "slot") -> DataFrame:
     """Numbers the rows of each group from 0 without a gap, in order of (part, order); no group meets in one task.
 
     Large groups are cut into parts of about rows_per_part rows by spread, a double in [0, 1) that should be even. One
     aggregate counts the groups, one counts the parts; their running sums are the parts' first numbers, and a window
-    numbers the rows of a part. Only the counts (a row for each group and 100,000 rows) are joined back.
+    numbers the rows of a part. Only the counts (a row for each group and rows_per_part rows) are joined back.
     """
     kept = df.columns
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_parts", F.ceil(F.col("_rows") / F.lit(rows_per_part)).cast("int")).filter("_parts > 1").drop("_rows")
