@@ -43,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and row, a struct of all columns: whatever these are called, nothing clashes with them."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+
 def gapless(df: DataFrame, group: list[str], order: list[Column], spread: Column, rows_per_part: int = 4096, into: str = "slot") -> DataFrame:
     """Numbers the rows of each group from 0 without a gap, in order of (part, order); no group meets in one task.
 

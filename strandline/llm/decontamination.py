@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .common import boxed, same_document
 
 #: Shingles in a block of items: 16 MB to each task.
 BLOCK_SHINGLES = 1 << 20
@@ -149,6 +150,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item. The columns of docs."""
-    hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
-
+    hits = contaminated(docs, benchmark, **options).select("doc_id", "text_key").distinct()
+    rows = boxed(docs)
+    return rows.join(hits, same_document(rows, hits), "left_anti").select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, cut, partitions
+from .common import boxed, components, cut, partitions, same_document
 
 VALUES, BANDS = 128, 24
 LONGS = VALUES // 4
@@ -314,9 +314,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that with the smallest doc_id; texts without words all stay. The columns of docs."""
-    found = near_duplicates(docs, **options)
-    lead = found.filter("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("component").alias("_class")).distinct()
-    one = lead.groupBy("_id", "_class").agg(F.min("_key").alias("_key"))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    kept = keyed.join(one, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
-    return kept.dropDuplicates(["_id", "_class", "_key"]).select(*[kept[c] for c in docs.columns])
+    found = near_duplicates(docs, **options).filter("doc_id <=> class_id")
+    one = found.groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"))
+    rows = boxed(docs)
+    kept = rows.join(one, same_document(rows, one)).select(rows["doc_id"], rows["text_key"], one["component"], rows["row"])
+    return kept.dropDuplicates(["doc_id", "text_key", "component"]).select("row.*")

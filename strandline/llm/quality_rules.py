@@ -5,7 +5,7 @@ runs as one space, digits as 0) of three words or more, counts the distinct docu
 the lines above the host's limit, and rejects a document that keeps too few of its words.
 
 Copies must not make their own lines look like boilerplate: a document counts 1 / m towards each of its lines, m being
-the median, over its lines, of the plain document counts. For a document of its own m is 1; for one of a family of
+the median, over the words of its lines, of the plain document counts. For a document of its own m is 1; for one of a family of
 copies, exact or near, m is about the size of the family, which so counts about once.
 
 A null or empty text has no words and fails the base rules. A null host is a host of its own. A doc_id may repeat: rows
@@ -21,9 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import cut
+from .common import boxed, cut, same_document
 
 #: A line is removed above this share of its host's documents, and never at so few as MIN_DOCS.
 MAX_SHARE, MIN_DOCS = 0.002, 10
@@ -147,8 +148,8 @@ def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int
     docs = read.select(F.xxhash64("doc_id", "text_key", "host").alias("doc"), F.xxhash64("host").alias("host_key"), "lines").dropDuplicates(["doc"])
     lines = cut(docs.select("doc", "host_key", F.explode("lines").alias("x")).select("doc", "host_key", "x.line", "x.words"))
     plain = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    seen = lines.select("doc", "host_key", "line").join(plain, ["host_key", "line"], "left").select("doc", "host_key", "line", F.coalesce("docs", F.lit(1)).alias("docs"))
-    weight = seen.groupBy("doc").agg((1 / F.percentile("docs", 0.5)).alias("weight"))
+    seen = lines.join(plain, ["host_key", "line"], "left").select("doc", "words", F.coalesce("docs", F.lit(1)).alias("docs"))
+    weight = seen.groupBy("doc").agg((1 / F.percentile("docs", 0.5, F.col("words"))).alias("weight"))
     often = lines.select("doc", "host_key", "line").join(plain.filter(F.col("docs") > min_docs), ["host_key", "line"])
     counts = often.select("doc", "host_key", "line").join(weight, "doc").groupBy("host_key", "line").agg(F.sum("weight").alias("weight"))
     hosts = docs.groupBy("host_key").agg(F.count(F.lit(1)).alias("in_host"))
@@ -171,10 +172,12 @@ def judge(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **l
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = [c for c in batch.schema.names if c != "_drop"]
-        mask = pc.greater(pc.fill_null(pc.list_value_length(batch.column("_drop")), 0), 0)
+        row, removed = batch.column("row"), batch.column("removed")
+        names = [f.name for f in row.type]
+        columns = dict(zip(names, row.flatten(), strict=True))
+        mask = pc.greater(pc.fill_null(pc.list_value_length(removed), 0), 0)
         if pc.any(mask).as_py():
-            drop, texts = batch.column("_drop").filter(mask).to_pylist(), batch.column("text").filter(mask)
+            drop, texts = removed.filter(mask).to_pylist(), columns["text"].filter(mask)
             hashed, size, owner, _ = normal_lines(tk.texts_of(texts, lower=True))
             at = np.searchsorted(owner, np.arange(len(drop) + 1))
             left = []
@@ -182,16 +185,17 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine = slice(at[i], at[i + 1])
                 gone = np.isin(hashed[mine].view(np.int64), np.array(drop[i], np.int64)) & (size[mine] >= MIN_LINE_WORDS)
                 left.append("\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g))
-            text = pc.replace_with_mask(batch.column("text"), mask, pa.array(left, texts.type))
-        else:
-            text = batch.column("text")
-        yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
+            columns["text"] = pc.replace_with_mask(columns["text"], mask, pa.array(left, texts.type))
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([columns[c] for c in names], names)], ["row"])
 
 
 def keep_good(docs: DataFrame, host: str = "source", **options) -> DataFrame:
-    """The documents that pass, without their frequent lines. The columns of docs; n_chars, if there, follows the text."""
+    """The documents that pass, without their frequent lines. The columns of docs; n_chars, if there, is counted
+    anew."""
     verdicts, _ = judge(docs, host, **options)
-    good = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("host").alias("_host"), F.col("removed").alias("_drop")).dropDuplicates(["_id", "_key", "_host"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")) & F.col(host).cast("string").eqNullSafe(F.col("_host"))
-    kept = docs.join(good, same).select(*docs.columns, "_drop").mapInArrow(_strip, docs.schema)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    good = verdicts.filter("kept").select("doc_id", "text_key", "host", "removed").dropDuplicates(["doc_id", "text_key", "host"])
+    rows = boxed(docs).withColumn("host", F.col(f"row.`{host}`").cast("string"))
+    kept = rows.join(good, same_document(rows, good) & rows["host"].eqNullSafe(good["host"])).select("row", "removed")
+    kept = kept.mapInArrow(_strip, T.StructType([T.StructField("row", docs.schema)]))
+    own = {"n_chars": F.when(F.col("row.text").isNotNull(), F.length("row.text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {}
+    return kept.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

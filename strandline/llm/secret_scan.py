@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import boxed, cut, same_document
 
 #: Name, pattern, group whose length counts, fewest characters of it. In the order in which kinds are listed.
 BASE = (
@@ -114,10 +114,12 @@ def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """Every document, with its findings replaced. The columns of docs; n_chars, if there, follows the text."""
-    found = scan(docs).filter(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("found").alias("_found")).dropDuplicates(["_id", "_key"])
-    both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
-    changed = F.col("_found").isNotNull()
-    out = both.withColumn("text", F.when(changed, redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text")))
+    found = scan(docs).filter(F.size("found") > 0).select("doc_id", "text_key", "found").dropDuplicates(["doc_id", "text_key"])
+    rows = boxed(docs)
+    both = rows.join(found, same_document(rows, found), "left").select("row", "found")
+    text = F.when(F.col("found").isNotNull(), redacted(F.col("row.text"), F.col("found"))).otherwise(F.col("row.text"))
+    both = both.select("row", "found", text.alias("new"))
+    own = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.when(F.col("found").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return both.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
