@@ -35,6 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def lean(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Smaller Arrow batches from here on: a batch of documents is held a few times over on its way through Python, and
+    ten thousand long ones would fill an executor."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = spark.conf.get(key, None)
+        if held is not None and not 0 < int("".join(c for c in held if c.isdigit()) or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, same_document
+from .common import boxed, lean, same_document
 
 #: Shingles in a block of items: 16 MB to each task.
 BLOCK_SHINGLES = 1 << 20
@@ -117,6 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """doc_id, text_key (xxhash64 of the text), item_id, n_shared, n_item, containment: a row for each document and item
     at the threshold or above."""
     spark = docs.sparkSession
+    lean(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_sets(n), "item_id long, width int, shingles array<bigint>").filter("width > 0")
     total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     blocks = max(1, -(-total // block_shingles))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul head".split())
 #: Elements whose content is no text of the page; the scanner goes on behind their end.
 SILENT = frozenset("script style noscript template svg math iframe object title textarea select button canvas audio video map datalist noembed noframes xmp".split())
@@ -301,5 +303,6 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points): a row for each row of pages."""
+    lean(pages.sparkSession)
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return narrow.mapInArrow(_run, "page_id long, url string, text string, n_chars long")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, components, cut, partitions, same_document
+from .common import boxed, components, cut, lean, partitions, same_document
 
 VALUES, BANDS = 128, 24
 LONGS = VALUES // 4
@@ -265,11 +265,12 @@ def _verify(least: dict[int, int], threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-7, block: int = 1024, block_shingles: int = 1 << 21) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-7, block: int = 512, block_shingles: int = 1 << 19) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), class_id (the smallest doc_id among all documents that links join to it,
     itself included), n_links (other texts at the threshold or above; texts with the same shingles count once), n_copies
     (documents with the same shingles, itself included), component (a key of the class). One row per row of docs."""
     spark = docs.sparkSession
+    lean(spark)
     least = fewest_matches(threshold, tolerance)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     signed = cut(narrow.mapInArrow(_sign(n), "doc_id long, text_key long, cid long, size int, sig array<bigint>"))

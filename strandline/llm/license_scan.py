@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: License, words that must be matched, usual wording of its notice.
 TEMPLATES = (
     ("MIT", "mit", "Released under the MIT License."),
@@ -195,5 +197,6 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each confirmed block: doc_id, text_key (xxhash64 of the text), block_start, block_end, license, saved
     (share of the block's compressed bytes that the template saves), n_differences, differences."""
+    lean(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_run, "doc_id long, text_key long, block_start long, block_end long, license string, saved double, n_differences long, differences string")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import boxed, cut, same_document
+from .common import boxed, cut, lean, same_document
 
 #: A line is removed above this share of its host's documents, and never at so few as MIN_DOCS.
 MAX_SHARE, MIN_DOCS = 0.002, 10
@@ -137,6 +137,7 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, text_key, host, the base figures, and lines: an array of (line, words) without repeats."""
+    lean(docs.sparkSession)
     return _keyed(docs, host).mapInArrow(_figures, "doc_id long, text_key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:bigint,words:int>>")
 
 

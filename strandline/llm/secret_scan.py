@@ -26,9 +26,11 @@ BASE = (
 )
 WEAK = (
     ("account", r"(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{3,64})", 0, 6),
-    ("random", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{24,128}={0,2}", 0, 24),
+    ("random", r"[A-Za-z0-9+/_-]{24,}", 0, 24),
     ("endpoint", r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}", 0, 8),
 )
+#: What a random-looking string must contain.
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 KINDS = [k for k, *_ in (*BASE, *WEAK)]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "random": "secret", "endpoint": "endpoint"}
 NEEDS = {"account": ["secret"], "random": ["identifier"], "endpoint": ["secret"]}
@@ -45,6 +47,8 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     lengths = F.transform(whole, F.length)
     if group:
         counts = F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length)
+    elif kind == "random":
+        counts = F.transform(whole, lambda m: F.when(m.rlike(MIXED[0]) & m.rlike(MIXED[1]) & m.rlike(MIXED[2]), F.length(m)).otherwise(0))
     else:
         counts = lengths
     steps = F.zip_with(F.arrays_zip(gaps.alias("g"), lengths.alias("l")), counts, lambda x, c: F.struct(x["g"].alias("g"), x["l"].alias("l"), c.alias("c")))

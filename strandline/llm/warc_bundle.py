@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import lean, shared_dir
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, ARCHIVE_BYTES = 1 << 20, 1 << 27
@@ -183,6 +183,7 @@ def originals(pages: DataFrame, min_payload: int = 0) -> DataFrame:
 def write(pages: DataFrame, min_payload: int = 0, level: int = 3, frame_bytes: int = FRAME_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives and returns their index: page_id, archive, frame, frame_at, offset. An action: it runs now."""
     spark = pages.sparkSession
+    lean(spark)
     base = shared_dir(spark).rstrip("/")
     folder = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/warc-{uuid.uuid4().hex}"
     where, path = fs.FileSystem.from_uri(folder)
