@@ -189,7 +189,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string())
     for batch in batches:
         some = pa.Table.from_batches([batch]).filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), ANCHOR), False))
-        rows = [(i, k, *x) for i, k, t in zip(*(some.column(c) for c in ("doc_id", "text_key", "text")), strict=True) for x in licenses(t.as_py()) for i, k in [(i.as_py(), k.as_py())]]
+        columns = (some.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))
+        rows = [(i, k, *x) for i, k, t in zip(*columns, strict=True) for x in licenses(t)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
