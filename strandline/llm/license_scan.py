@@ -29,8 +29,8 @@ from .common import lean
 
 #: License, words that must be matched, usual wording of its notice.
 TEMPLATES = (
-    ("MIT", "mit", "Released under the MIT License."),
-    ("MIT", "mit", "This project is licensed under the terms of the MIT license."),
+    ("MIT", "mit license", "Released under the MIT License."),
+    ("MIT", "mit license", "This project is licensed under the terms of the MIT license."),
     ("MIT", "mit", "SPDX-License-Identifier: MIT"),
     ("MIT", "permission granted free charge sublicense", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,7 +47,7 @@ TEMPLATES = (
     ("BSD-3-Clause", "bsd 3", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "bsd 2", "Licensed under the BSD 2-Clause License."),
     ("BSD", "redistribution source binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "isc", "Licensed under the ISC License."),
+    ("ISC", "isc license", "Licensed under the ISC License."),
     ("ISC", "permission use copy modify fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("EPL-2.0", "eclipse 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
