@@ -197,8 +197,8 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-_TAGS = {"p": 1.0, "h1": 2.0, "h2": 0.8, "h3": 0.8, "h4": 0.6, "h5": 0.4, "h6": 0.4, "pre": 1.0, "blockquote": 1.0, "figcaption": 0.5, "li": -0.4, "td": -0.4, "th": -0.4, "legend": -1.0, "dt": -0.2, "dd": 0.0}
-_CONTEXTS = {OPEN: 0.6, ARTICLE: 4.0, FRINGE: -4.0, OUT: -8.0}
+_TAGS = {"p": 1.0, "h1": 2.0, "h2": 0.8, "h3": 0.8, "h4": 0.6, "h5": 0.4, "h6": 0.4, "pre": 1.0, "blockquote": 1.0, "figcaption": 0.5, "li": -0.1, "td": -0.1, "th": -0.2, "legend": -1.0, "dt": -0.2, "dd": 0.0}
+_CONTEXTS = {OPEN: 0.7, ARTICLE: 4.0, FRINGE: -4.0, OUT: -8.0}
 
 
 def score(b: Block) -> float:
