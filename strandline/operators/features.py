@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import clip, complete_max, correlation, full, log_positive, neutral_ratio, rolling, safe_div, sign_or_zero, skip_max, skip_min
+from strandline.functions import clip, complete_max, correlation, log_positive, neutral_ratio, rolling, safe_div, sign_or_zero, skip_max, skip_min
 
 from .panel import KEYS, Keys
 from .recursion import ema_columns
@@ -37,7 +37,32 @@ class Feature:
     family: str
     formula: str
     lookback: int
-    make: Callable[[object], Column]  # from the window by entity and date
+    make: Callable[[Frames], Column]
+
+
+class Frames:
+    """Rolling aggregates and lags that formulas ask for. Each is recorded under its own name and computed once, however
+    many features share it; what a formula gets is a reference."""
+
+    def __init__(self, by) -> None:
+        self.by, self.made = by, {}
+
+    def _record(self, name: str, x: Column) -> Column:
+        self.made.setdefault(name, x)
+        return c(name)
+
+    def full(self, x: str, fn: Callable, n: int, lag: int = 0, of: Callable | None = None) -> Column:
+        """fn over a frame of n rows, if x is there in all of them; of: what fn takes instead of x."""
+        over = rolling(self.by, n, lag)
+        count = self._record(f"_count{x}_{n}_{lag}", F.count(x).over(over))
+        name = f"_{fn.__name__}{x}_{n}_{lag}" if of is None else f"_{fn.__name__}_{of.__name__}{x}_{n}_{lag}"
+        return F.when(count == n, self._record(name, fn(c(x) if of is None else of(x)).over(over)))
+
+    def correlation(self, x: str, y: str, n: int) -> Column:
+        return self._record(f"_corr{x}{y}_{n}", correlation(c(x), c(y), rolling(self.by, n), n))
+
+    def lag(self, x: str, n: int) -> Column:
+        return self._record(f"_lag_{x}_{n}", F.lag(x, n).over(self.by))
 
 
 def _level_one(df: DataFrame, w) -> DataFrame:
@@ -56,11 +81,11 @@ def _level_one(df: DataFrame, w) -> DataFrame:
 
 
 def _mean(x: str, n: int, lag: int = 0):
-    return lambda w: full(c(x), F.avg(x), rolling(w, n, lag), n)
+    return lambda w: w.full(x, F.avg, n, lag)
 
 
 def _agg(fn, x: str, n: int, lag: int = 0):
-    return lambda w: full(c(x), fn(x), rolling(w, n, lag), n)
+    return lambda w: w.full(x, fn, n, lag)
 
 
 def _ratio(a, b, minus: float = 1.0):
@@ -76,7 +101,7 @@ def _of(name: str) -> Callable:
 
 
 def _moment(kind, x: str, n: int):
-    return lambda w: F.when(F.var_pop(x).over(rolling(w, n)) > VARIANCE_FLOOR, full(c(x), kind(x), rolling(w, n), n))
+    return lambda w: F.when(w.full(x, F.var_pop, n) > VARIANCE_FLOOR, w.full(x, kind, n))
 
 
 def base() -> list[Feature]:
@@ -98,14 +123,14 @@ def base() -> list[Feature]:
     add("volume", "amount_change_1", "amount / previous amount - 1", 2, _of("_da"))
     add("volume", "amihud_illiq_1", "|ret| / amount", 2, _of("_illiq"))
     for n in RETURNS:
-        add("return", f"ret_{n}", f"close / close {n} rows ago - 1", n + 1, lambda w, n=n: safe_div(c("close"), F.lag("close", n).over(w)) - 1)
-        add("return", f"log_ret_{n}", f"ln close - ln close {n} rows ago", n + 1, lambda w, n=n: log_positive(c("close")) - log_positive(F.lag("close", n).over(w)))
+        add("return", f"ret_{n}", f"close / close {n} rows ago - 1", n + 1, lambda w, n=n: safe_div(c("close"), w.lag("close", n)) - 1)
+        add("return", f"log_ret_{n}", f"ln close - ln close {n} rows ago", n + 1, lambda w, n=n: log_positive(c("close")) - log_positive(w.lag("close", n)))
         add("return", f"close_ma_ratio_{n}", f"close / mean({n}) - 1", n, _ratio("close", _mean("close", n)))
         add("return", f"close_ema_ratio_{n}", f"close / ema(span {n}) - 1", n, _ratio("close", f"_ema{n}"))
     for n in VOLATILITY:
         add("volatility", f"ret_mean_{n}", f"mean of ret({n})", n + 1, _mean("_ret", n))
         add("volatility", f"ret_std_{n}", f"standard deviation of ret({n})", n + 1, _agg(F.stddev_samp, "_ret", n))
-        add("volatility", f"ret_mean_abs_{n}", f"mean of |ret|({n})", n + 1, lambda w, n=n: full(c("_ret"), F.avg(F.abs("_ret")), rolling(w, n), n))
+        add("volatility", f"ret_mean_abs_{n}", f"mean of |ret|({n})", n + 1, lambda w, n=n: w.full("_ret", F.avg, n, of=F.abs))
         add("volatility", f"downside_rms_{n}", f"root mean square of negative ret({n})", n + 1, lambda w, n=n: F.sqrt(_mean("_down2", n)(w)))
         add("volatility", f"upside_rms_{n}", f"root mean square of positive ret({n})", n + 1, lambda w, n=n: F.sqrt(_mean("_up2", n)(w)))
         add("volatility", f"ret_skew_{n}", f"population skewness of ret({n})", n + 1, _moment(F.skewness, "_ret", n))
@@ -116,7 +141,7 @@ def base() -> list[Feature]:
             add("volume", f"{x}_cv_{n}", f"standard deviation / mean of {x}({n})", n, _ratio(_agg(F.stddev_samp, x, n), _mean(x, n), 0))
         add("volume", f"amihud_mean_{n}", f"mean of amihud_illiq_1({n})", n + 1, _mean("_illiq", n))
         for x, d in (("vol", "_dv"), ("amount", "_da")):
-            add("volume", f"corr_ret_{x}_change_{n}", f"correlation of ret and {x} change({n})", n + 1, lambda w, d=d, n=n: correlation(c("_ret"), c(d), rolling(w, n), n))
+            add("volume", f"corr_ret_{x}_change_{n}", f"correlation of ret and {x} change({n})", n + 1, lambda w, d=d, n=n: w.correlation("_ret", d, n))
     for n in POSITION:
         high, low = _agg(F.max, "high", n), _agg(F.min, "low", n)
         add("position", f"position_{n}", f"place of close in the range({n})", n, lambda w, h=high, l=low: safe_div(c("close") - l(w), h(w) - l(w)))
@@ -156,14 +181,14 @@ def advanced() -> list[Feature]:
     for n in FLOW:
         add("flow", f"close_vwap_ratio_{n}", f"close / volume-weighted mean({n}) - 1", n, lambda w, n=n: safe_div(c("close"), safe_div(_agg(F.sum, "_pv", n)(w), _agg(F.sum, "vol", n)(w))) - 1)
     for n in TREND:
-        add("trend", f"trend_efficiency_{n}", f"ret_{n} / sum of |ret|({n})", n + 1, lambda w, n=n: safe_div(safe_div(c("close"), F.lag("close", n).over(w)) - 1, full(c("_ret"), F.sum(F.abs("_ret")), rolling(w, n), n)))
+        add("trend", f"trend_efficiency_{n}", f"ret_{n} / sum of |ret|({n})", n + 1, lambda w, n=n: safe_div(safe_div(c("close"), w.lag("close", n)) - 1, w.full("_ret", F.sum, n, of=F.abs)))
     for n in (1, 5):
-        add("reversal", f"reversal_{n}", f"-ret_{n}", n + 1, lambda w, n=n: -(safe_div(c("close"), F.lag("close", n).over(w)) - 1))
-    add("reversal", "momentum_reversal_5_20", "ret_20 - ret_5", 21, lambda w: safe_div(c("close"), F.lag("close", 20).over(w)) - safe_div(c("close"), F.lag("close", 5).over(w)))
+        add("reversal", f"reversal_{n}", f"-ret_{n}", n + 1, lambda w, n=n: -(safe_div(c("close"), w.lag("close", n)) - 1))
+    add("reversal", "momentum_reversal_5_20", "ret_20 - ret_5", 21, lambda w: safe_div(c("close"), w.lag("close", 20)) - safe_div(c("close"), w.lag("close", 5)))
     for n in BOLLINGER:
         for x, p in (("vol", "volume"), ("amount", "amount")):
             add("breakout", f"{p}_breakout_{n}", f"{x} / highest of the {n} rows before - 1", n + 1, _ratio(x, _agg(F.max, x, n, 1)))
-        add("breakout", f"volatility_breakout_{n}", f"|ret| / standard deviation of the {n} rets before", n + 2, lambda w, n=n: safe_div(F.abs("_ret"), full(c("_ret1"), F.stddev_samp("_ret1"), rolling(w, n), n)))
+        add("breakout", f"volatility_breakout_{n}", f"|ret| / standard deviation of the {n} rets before", n + 2, lambda w, n=n: safe_div(F.abs("_ret"), w.full("_ret1", F.stddev_samp, n)))
     return out
 
 
@@ -192,9 +217,11 @@ def compute(df: DataFrame, names: list[str], keys: Keys = KEYS, keep: list[str]
     if macd:
         df = df.withColumn("_macd", safe_div(c("_ema12"), c("_ema26")) - 1)
         df = ema_columns(df, "_macd", {"_signal": 9}, keys) if any(n in names for n in ("macd_signal_9", "macd_hist_12_26_9")) else df
-    out = _level_one(df, w)
+    frames = Frames(w)
+    made = {n: known[n].make(frames) for n in names}
+    out = _level_one(df, w).withColumns(frames.made)
     cast = (lambda x: x.cast("float")) if as_float else (lambda x: x)
-    return out.select(*keys.both, *(keep or []), *[cast(known[n].make(w)).alias(n) for n in names])
+    return out.select(*keys.both, *(keep or []), *[cast(x).alias(n) for n, x in made.items()])
 
 
 def coverage(df: DataFrame, names: list[str]) -> DataFrame:

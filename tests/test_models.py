@@ -214,7 +214,7 @@ def test_bars(spark, tmp_path):
     with pytest.raises(ContractError):
         bars.scan_csv(spark, path, True, columns=["nothing"])
     got = bars.scan(df, ["ts_code", "close", "ts_code"], [("trade_date", ">=", 20240103), ("flag_limit_up", "==", 1)])
-    assert got.columns == ["ts_code", "close"] and got.count() == 1
+    assert got.columns == ["ts_code", "close"] and got.count() == 2
     for args in ((["nothing"],), ([],), (["close"], [("close", "~", 1)])):
         with pytest.raises(ContractError):
             bars.scan(df, *args)

@@ -62,7 +62,7 @@ def test_scores_at_the_gates(frame):
     want, sizes = brute(fixture())
     got = ev.summarise(frame).first().asDict()
     assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
-    assert (ev.daily_ic(frame).count(), ev.daily_excess(frame).count(), ev.daily_turnover(frame).count()) == sizes == (5, 2, 2)
+    assert (ev.daily_ic(frame).count(), ev.daily_excess(frame).count(), ev.daily_turnover(frame).count()) == sizes == (5, 3, 2)
 
 
 def test_groups_are_scored_apart(frame):
