@@ -78,10 +78,14 @@ def quality(df: DataFrame, keys: Keys = KEYS, flags: tuple[str, ...] = ("flag_li
 
 
 def unsorted_rows(df: DataFrame, keys: Keys = KEYS, order: str = "_order") -> DataFrame:
-    """Rows that come before a smaller key in the order given."""
+    """How many rows come before a smaller key in the order given. The order is cut into ranges; each range is checked by
+    itself, and only its first and last keys meet those of its neighbours."""
     key = F.struct(*keys.both)
-    n = df.select(key.alias("k"), F.lag(key).over(Window.orderBy(order)).alias("p")).filter("k < p").count()
-    return df.sparkSession.createDataFrame([(n,)], "unsorted long")
+    parts = df.select(key.alias("k"), F.col(order).alias("o")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
+    parts = parts.withColumn("prev", F.lag("k").over(Window.partitionBy("p").orderBy("o")))
+    ranges = parts.groupBy("p").agg(F.sum(F.coalesce(F.col("k") < F.col("prev"), F.lit(False)).cast("long")).alias("inside"), F.min_by("k", "o").alias("first"), F.max_by("k", "o").alias("last"))
+    edge = F.coalesce(F.col("first") < F.lag("last").over(Window.orderBy("p")), F.lit(False)).cast("long")  # a row for each range
+    return ranges.select("inside", edge.alias("edge")).agg(F.coalesce(F.sum(F.col("inside") + F.col("edge")), F.lit(0)).alias("unsorted"))
 
 
 def precision(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
