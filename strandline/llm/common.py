@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,27 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
+def sieve(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> tuple[Column, Callable[[np.ndarray], np.ndarray]]:
+    """A bitmap of hashed keys, as a column that hashes a key and a function that tells which hashes may be among them.
+
+    It spares a shuffle the rows that an exact join would drop anyway; hits go through the join, so a wrong hit does no
+    harm. It has 16 bits for each key but never more than most_bits (8 MB), whatever the input."""
+    n = keys.count()
+    bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long")) + 1
+    rows = keys.select(at(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    held = np.zeros(bits + 1, bool)
+    for r in rows:
+        first = (r["k"] - 1) * 32768 + 1
+        held[first : first + 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")[: bits + 1 - first]
+    sent = keys.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    def hit(hashed: np.ndarray) -> np.ndarray:
+        return (sent.value[hashed >> 3] >> (7 - (hashed & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return at, hit
+
+
 def gapless(df: DataFrame, group: list[str], order: list[Column], spread: Column, rows_per_part: int = 4096, into: str = "slot") -> DataFrame:
     """Numbers the rows of each group from 0 without a gap, in order of (part, order); no group meets in one task.
 

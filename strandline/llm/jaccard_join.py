@@ -18,18 +18,17 @@ words. A null or empty text (or one of white space) has none: it links with noth
 Repeated rows are copies; a null doc_id is kept and never represents a class that has others. Other columns don't matter.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, components, cut, lean, partitions, same_document
+from .common import boxed, components, cut, lean, partitions, same_document, sieve
 
 VALUES, BANDS = 128, 24
 LONGS = VALUES // 4
@@ -92,10 +91,11 @@ def _sign(n: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, hit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in tk.texts_of(batch.column("text"), lower=True).slices():
+            mine = pa.array(hit(batch.column("at").to_numpy()))
+            for _, part in tk.texts_of(batch.column("text").filter(mine), lower=True).slices():
                 found, owner = tk.shingles(tk.words(part), n)
                 values, ends = tk.distinct(found, owner, len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, ends)), pa.LargeListArray.from_arrays(ends, values.view(np.int64)).cast(pa.list_(pa.int64()))], ["cid", "shingles"])
@@ -292,9 +292,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     left = dealt(members.join(classes.select("cid", "sig"), "cid").select(*GROUP, "blk", "cid", "sig")).mapInArrow(_prune(least), kinds)
     left = cut(left)
 
-    wanted = left.select("cid").distinct().join(classes.select("cid", "rep", "sig"), "cid")
-    texts = narrow.alias("d").join(wanted.select(F.col("rep")).distinct().alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.rep")), "left_semi").select("d.text")
-    sets = texts.mapInArrow(_sets(n), "cid long, shingles array<bigint>").join(wanted.select("cid", "sig"), "cid").dropDuplicates(["cid"])
+    # the texts of the classes that are left; a bitmap of their doc_ids spares a shuffle of all texts
+    wanted = cut(left.select("cid").distinct().join(classes.select("cid", "rep", "sig"), "cid"))
+    at, hit = sieve(wanted.select(F.coalesce("rep", F.lit(0)).alias("rep")), "rep")
+    texts = narrow.select(at(F.coalesce("doc_id", F.lit(0))).alias("at"), "text")
+    sets = texts.mapInArrow(_sets(n, hit), "cid long, shingles array<bigint>").join(wanted.select("cid", "sig"), "cid").dropDuplicates(["cid"])
     linked = cut(dealt(left.join(sets, "cid").select(*GROUP, "blk", "cid", "sig", "shingles")).mapInArrow(_verify(least, threshold), "cid long, root long, links long"))
 
     links = linked.groupBy("cid").agg(F.sum("links").alias("n_links"))
@@ -314,9 +316,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; texts without words all stay. The columns of docs."""
-    found = near_duplicates(docs, **options).filter("doc_id <=> class_id")
-    one = found.groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"))
-    rows = boxed(docs)
-    kept = rows.join(one, same_document(rows, one)).select(rows["doc_id"], rows["text_key"], one["component"], rows["row"])
-    return kept.dropDuplicates(["doc_id", "text_key", "component"]).select("row.*")
+    """One document of each class, that with the smallest doc_id; texts without words all stay. The columns of docs.
+
+    Documents that are alone in their class pass by a bitmap, only the rest is shuffled."""
+    found = cut(near_duplicates(docs, **options))
+    company = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    crowd = found.join(company, "component")
+    one = crowd.filter("doc_id <=> class_id").groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"))
+    at, hit = sieve(crowd.select("text_key").distinct(), "text_key")
+
+    @F.pandas_udf("boolean")
+    def in_crowd(h: pd.Series) -> pd.Series:
+        return pd.Series(hit(h.to_numpy()))
+
+    rows = boxed(docs).withColumn("_in", in_crowd(at("text_key")))
+    alone, rest = rows.filter("not _in"), rows.filter("_in")
+    # a wrong hit of the bitmap is alone in its class
+    exact = found.join(company, "component", "left_anti").groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key")).unionByName(one)
+    kept = rest.join(exact, same_document(rest, exact)).select(rest["doc_id"], rest["text_key"], exact["component"], rest["row"])
+    return alone.select("row").unionByName(kept.dropDuplicates(["doc_id", "text_key", "component"]).select("row")).select("row.*")
