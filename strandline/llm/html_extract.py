@@ -60,19 +60,20 @@ def context(tag: str, attrs: str, above: int) -> tuple[int, float]:
             if kind.lower() == "role":
                 role = value.strip()
             names.update(_WORD.findall(value))
-    if names & COMMENTS:
+    if tag in ("body", "html"):
+        return above, 0.0
+    told = not names & {"no", "has", "with", "without", "open", "closed"}
+    if names & COMMENTS and told:
         return OUT, 0.0
     if tag in ("nav", "aside", "footer", "menu", "dialog", "search") or role in ("navigation", "complementary", "contentinfo", "dialog", "alert", "search"):
         return OUT, 0.0
     if tag in ("article", "main") or role in ("main", "article"):
         return ARTICLE, 0.0
-    if tag in ("body", "html"):
-        return above, 0.0
-    if names & BOILERPLATE and not names & {"no", "has", "with", "without"}:
+    if names & BOILERPLATE and told:
         return OUT, 0.0
     if tag == "form":
         return FRINGE, 0.0
-    if tag == "header" or role == "banner" or "header" in names:
+    if (tag == "header" or role == "banner" or "header" in names) and not names & CONTENT:
         return (ARTICLE if above == ARTICLE else FRINGE), 0.0
     return above, 1.0 if names & CONTENT else 0.0
 
