@@ -37,7 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def lean(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+def lean(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
     """Smaller Arrow batches from here on: a batch of documents is held a few times over on its way through Python, and
     ten thousand long ones would fill an executor."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
@@ -71,7 +71,9 @@ def sieve(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> tuple[Column,
     n = keys.count()
     bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long")) + 1
-    rows = keys.select(at(key).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    # dealt by the part of the bitmap first: keys are smaller than the bitmaps that each task would make of its own
+    placed = keys.select(at(key).alias("b")).withColumn("k", F.bitmap_bucket_number("b")).repartition("k")
+    rows = placed.groupBy("k").agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
     held = np.zeros(bits + 1, bool)
     for r in rows:
         first = (r["k"] - 1) * 32768 + 1
