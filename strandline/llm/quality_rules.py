@@ -5,8 +5,10 @@ runs as one space, digits as 0) of three words or more, counts the distinct docu
 the lines above the host's limit, and rejects a document that keeps too few of its words.
 
 Copies must not make their own lines look like boilerplate: a document counts 1 / m towards each of its lines, m being
-the median, over the words of its lines, of the plain document counts. For a document of its own m is 1; for one of a family of
-copies, exact or near, m is about the size of the family, which so counts about once.
+the most documents of its host that agree with it on one of BANDS bands of MinHash values of the whole text (runs of five
+words, as in the Jaccard join). For a document of its own m is 1; a family of copies, exact or near (nine tenths of the runs
+alike), counts a few times at most. Unlike documents that share a passage count each, even if it is most of their words: a
+document two thirds of whose runs are shared agrees on a given band with probability 0.8 %, so nearly all have m = 1.
 
 A null or empty text has no words and fails the base rules. A null host is a host of its own. A doc_id may repeat: rows
 are told apart by doc_id and text, and equal rows share one verdict and count as one document. Extra columns are ignored.
@@ -25,12 +27,15 @@ from pyspark.sql import types as T
 
 from . import textkit as tk
 from .common import boxed, cut, lean, same_document
+from .jaccard_join import VALUES, signatures
 
 #: A line is removed above this share of its host's documents, and never at so few as MIN_DOCS.
 MAX_SHARE, MIN_DOCS = 0.002, 10
 #: A document is rejected below this share of its words.
 MIN_LEFT = 0.5
 MIN_LINE_WORDS = 3
+#: Bands of twelve of the Jaccard join's MinHash values: eight of its own and the next band's first four.
+BANDS = VALUES // 8
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
@@ -108,6 +113,19 @@ def normal_lines(part: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashed, b - a, owner, bounds
 
 
+def family_keys(part: tk.Texts) -> pa.ListArray:
+    """Of a slice in lower case: a key for each band of each text, none for a text without words."""
+    values, ends = tk.distinct(*tk.shingles(tk.words(part)), len(part))
+    full = np.flatnonzero(np.diff(ends))
+    keys = np.empty((len(full), BANDS), tk.U64)
+    if len(full):
+        sig = np.ascontiguousarray(signatures(values, np.append(ends[full], ends[-1]))).view(tk.U64)
+        with np.errstate(over="ignore"):
+            keys[:] = tk.mix(sig[:, ::2] ^ tk.mix(sig[:, 1::2] ^ tk.mix(np.roll(sig, -2, 1)[:, ::2] + np.arange(1, BANDS + 1, dtype=tk.U64))))
+    at = np.concatenate([[0], np.cumsum(np.diff(ends) > 0)]) * BANDS
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+
+
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -128,7 +146,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, total = first[order], total[order]
             at = np.searchsorted(owner[first], np.arange(len(part) + 1)).astype(np.int32)
             lines = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(hashed[first].view(np.int64)), pa.array(total)], ["line", "words"]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(part)), batch.column("text_key").slice(a, len(part)), batch.column("host").slice(a, len(part)), *(pa.array(x.astype(np.int64)) for x in base_figures(part)), lines], ["doc_id", "text_key", "host", *FIGURES, "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(part)), batch.column("text_key").slice(a, len(part)), batch.column("host").slice(a, len(part)), *(pa.array(x.astype(np.int64)) for x in base_figures(part)), lines, family_keys(mine)], ["doc_id", "text_key", "host", *FIGURES, "lines", "family"])
 
 
 def _keyed(docs: DataFrame, host: str) -> DataFrame:
@@ -136,9 +154,18 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
 
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, text_key, host, the base figures, and lines: an array of (line, words) without repeats."""
+    """doc_id, text_key, host, the base figures, lines: an array of (line, words) without repeats, and family: the keys of the
+    bands."""
     lean(docs.sparkSession)
-    return _keyed(docs, host).mapInArrow(_figures, "doc_id long, text_key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:bigint,words:int>>")
+    return _keyed(docs, host).mapInArrow(_figures, "doc_id long, text_key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:bigint,words:int>>, family array<bigint>")
+
+
+def family_weights(read: DataFrame) -> DataFrame:
+    """(doc, weight) of the documents that agree with another one of their host on a band."""
+    docs = read.select(F.xxhash64("doc_id", "text_key", "host").alias("doc"), F.xxhash64("host").alias("host_key"), "family").dropDuplicates(["doc"])
+    keys = docs.select("doc", "host_key", F.explode("family").alias("key")).select("doc", F.xxhash64("host_key", "key").alias("key"))
+    alike = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    return keys.join(alike, "key").groupBy("doc").agg((1 / F.max("docs")).alias("weight"))
 
 
 def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -148,11 +175,11 @@ def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int
     by its lines and a hot line meets as partial sums; the joins on (host, line) can be split by adaptive execution."""
     docs = read.select(F.xxhash64("doc_id", "text_key", "host").alias("doc"), F.xxhash64("host").alias("host_key"), "lines").dropDuplicates(["doc"])
     lines = cut(docs.select("doc", "host_key", F.explode("lines").alias("x")).select("doc", "host_key", "x.line", "x.words"))
-    plain = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    seen = lines.join(plain, ["host_key", "line"], "left").select("doc", "words", F.coalesce("docs", F.lit(1)).alias("docs"))
-    weight = seen.groupBy("doc").agg((1 / F.percentile("docs", 0.5, F.col("words"))).alias("weight"))
+    plain = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("docs"))
+    weight = cut(family_weights(read))
+    own = F.coalesce("weight", F.lit(1.0))
     often = lines.select("doc", "host_key", "line").join(plain.filter(F.col("docs") > min_docs), ["host_key", "line"])
-    counts = often.select("doc", "host_key", "line").join(weight, "doc").groupBy("host_key", "line").agg(F.sum("weight").alias("weight"))
+    counts = often.select("doc", "host_key", "line").join(weight, "doc", "left").groupBy("host_key", "line").agg(F.round(F.sum(own), 6).alias("weight"))
     hosts = docs.groupBy("host_key").agg(F.count(F.lit(1)).alias("in_host"))
     limits = hosts.select("host_key", F.greatest(F.lit(float(min_docs)), F.col("in_host") * max_share).alias("limit"))
     return counts.join(limits, "host_key").filter("weight > limit").select("host_key", "line", "weight"), lines

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,22 @@ def test_line_frequency(spark):
     assert kept[3].text == prose(103, 60) and kept[3].n_chars == len(kept[3].text) and kept[600].text.endswith(bar)
 
 
+def letters(seed: int, words: int) -> str:
+    return " ".join("".join(chr(97 + int(x)) for x in np.random.default_rng([seed, k]).integers(0, 26, 7)) for k in range(words))
+
+
+@pytest.mark.parametrize("passages", [1, 3])
+def test_line_frequency_of_depleted_documents(spark, passages):
+    """Unlike documents that are mostly a shared passage, of one line or several, count each; a family of copies doesn't."""
+    shared = "\n".join(letters(k, 60 // passages) for k in range(passages))
+    rows = [(i, f"{shared}\n{letters(1000 + i, 30)}", "en", "h", 1) for i in range(150)]
+    copy = letters(5, 100)
+    rows += [(1000 + i, f"{varied(copy, i)}\n{letters(6, 60)}", "en", "h", 1) for i in range(90)]
+    verdicts, frequent = quality_rules.judge(spark.createDataFrame(rows, SCHEMA))
+    assert frequent.count() == passages and {r.weight > 75 for r in frequent.collect()} == {True}
+    assert {(r.doc_id < 1000, r.kept, r.n_frequent_words) for r in verdicts.collect()} == {(True, False, 60), (False, True, 0)}
+
+
 def test_quality_of_odd_rows(docs):
     verdicts, _ = quality_rules.judge(docs)
     assert verdicts.count() == docs.count()
