@@ -29,8 +29,9 @@ from . import textkit as tk
 from .common import boxed, cut, lean, same_document
 from .jaccard_join import VALUES, signatures
 
-#: A line is removed above this share of its host's documents, and never at so few as MIN_DOCS.
-MAX_SHARE, MIN_DOCS = 0.002, 10
+#: A line is removed above this share of its host's documents, counted like the line's own, never at so few as MIN_DOCS
+#: and always above MAX_DOCS, however large the host is.
+MAX_SHARE, MIN_DOCS, MAX_DOCS = 0.002, 10, 100
 #: A document is rejected below this share of its words.
 MIN_LEFT = 0.5
 MIN_LINE_WORDS = 3
@@ -168,7 +169,7 @@ def family_weights(read: DataFrame) -> DataFrame:
     return keys.join(alike, "key").groupBy("doc").agg((1 / F.max("docs")).alias("weight"))
 
 
-def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """(host_key, line, weight) of the lines to remove, and each document's lines (doc, host_key, line, words).
 
     Every count is an aggregate with a partial sum before the shuffle, keyed by host and line, so a hot host is spread
@@ -180,8 +181,8 @@ def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int
     own = F.coalesce("weight", F.lit(1.0))
     often = lines.select("doc", "host_key", "line").join(plain.filter(F.col("docs") > min_docs), ["host_key", "line"])
     counts = often.select("doc", "host_key", "line").join(weight, "doc", "left").groupBy("host_key", "line").agg(F.round(F.sum(own), 6).alias("weight"))
-    hosts = docs.groupBy("host_key").agg(F.count(F.lit(1)).alias("in_host"))
-    limits = hosts.select("host_key", F.greatest(F.lit(float(min_docs)), F.col("in_host") * max_share).alias("limit"))
+    hosts = docs.select("doc", "host_key").join(weight, "doc", "left").groupBy("host_key").agg(F.round(F.sum(own), 6).alias("in_host"))
+    limits = hosts.select("host_key", F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(max_docs)), F.col("in_host") * max_share)).alias("limit"))
     return counts.join(limits, "host_key").filter("weight > limit").select("host_key", "line", "weight"), lines
 
 

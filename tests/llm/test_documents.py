@@ -181,6 +181,16 @@ def test_line_frequency_of_depleted_documents(spark, passages):
     assert {(r.doc_id < 1000, r.kept, r.n_frequent_words) for r in verdicts.collect()} == {(True, False, 60), (False, True, 0)}
 
 
+def test_line_limit_of_large_hosts(spark):
+    """Copies don't raise the limit, and it doesn't grow without bound."""
+    bar = letters(1, 10)
+    rows = [(i, f"{letters(2000 + i, 60)}\n{bar}" if i < 20 else letters(2000 + i, 60), "en", "h", 1) for i in range(60)]
+    copies = [(1000 + i, letters(3, 60), "en", "h", 1) for i in range(600)]
+    count = lambda rows, **limits: quality_rules.judge(spark.createDataFrame(rows, SCHEMA), **limits)[1].count()
+    assert count(rows + copies, max_share=0.1) == 1
+    assert count(rows, max_share=0.5) == 0 and count(rows, max_share=0.5, max_docs=15) == 1
+
+
 def test_quality_of_odd_rows(docs):
     verdicts, _ = quality_rules.judge(docs)
     assert verdicts.count() == docs.count()
