@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Candidate blocks are the lines (or, for the long texts, runs of lines) around licensing words. Each is compressed plain
-and with every template as a raw Zstandard dictionary; the share of bytes that the dictionary saves ranks the templates.
-The ranked templates are then held against the block word by word: a template is confirmed when the words that tell it
+and with every template as a raw Zstandard dictionary; the share of bytes that the dictionary saves ranks the templates, and
+decides nothing else, as it depends on the prose around a notice. All ranked templates are then held against the block word by word: a template is confirmed when the words that tell it
 from its kin are there, in their places, no word that belongs to another license has come in between, and at least
 MIN_MATCH of its words are matched. Among the confirmed the one with the most matched and fewest differing words wins, and
 its exact wording differences are reported.
@@ -64,7 +64,7 @@ TEMPLATES = (
 #: Words that tell one license from another; none may stand in a block's aligned part that the template lacks.
 TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser library affero general bsd isc mozilla mpl eclipse epl cc cc0 creative by sa nc nd attribution sharealike noncommercial noderivatives not no".split())
 ANCHOR = r"(?i)licen[sc]e|spdx|public domain|permission (?:is hereby|to use)|redistribution and use|creative commons|\bcc[ -](?:by|0)|free software"
-MIN_MATCH, MIN_SAVED = 0.6, 0.1
+MIN_MATCH = 0.6
 SIDE = 400
 LONG = 20
 
@@ -122,11 +122,15 @@ def runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def ranked(block: str, long: bool | None = None) -> list[tuple[float, _Template]]:
-    """The templates and the share of bytes that each saves, best first."""
+def ranked(block: str, words: list[str], long: bool | None = None) -> list[tuple[float, _Template]]:
+    """The templates whose needed words are there and the share of bytes that each saves, best first."""
+    have = set(words)
+    fit = [t for t in templates() if (long is None or t.long == long) and t.needs <= have]
+    if not fit:
+        return []
     data = block.lower().encode()
     plain = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(data))
-    saved = [(1 - len(t.zip.compress(data)) / plain, t) for t in templates() if long is None or t.long == long]
+    saved = [(1 - len(t.zip.compress(data)) / plain, t) for t in fit]
     return sorted(saved, key=lambda x: -x[0])
 
 
@@ -159,9 +163,7 @@ def identify(block: str, long: bool | None = None) -> tuple[str, float, int, str
     """License, share saved, differing words and differences of a block; None if no template is confirmed."""
     words = wording(block)
     best = None
-    for saved, t in ranked(block, long):
-        if saved < MIN_SAVED:
-            break
+    for saved, t in ranked(block, words, long):
         if found := compare(t, words):
             same, other, told = found
             if best is None or (same - 2 * other) > best[0]:

@@ -349,6 +349,15 @@ def test_license_scan(spark):
     assert next(r.differences for r in rows if r.doc_id == 12) == "- +any"
 
 
+@pytest.mark.parametrize("notice, name", [("Released under the MIT License.", "MIT"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0")])
+def test_short_notices_in_prose(notice, name):
+    """What a template saves of a block depends on the prose around the notice, which mustn't hide it."""
+    for k in range(20):
+        text = f"{letters(k, 300)}. {notice} {letters(100 + k, 300)}"
+        assert [x[2] for x in license_scan.licenses(text)] == [name]
+        assert [x[2] for x in license_scan.licenses(text[1500:-1500])] == [name]
+
+
 def test_license_scan_of_real_documents(real):
     got = Counter((r.doc_id, r.license) for r in license_scan.scan(real).collect())
     told = {"GNU General Public License, version 3": "GPL-3.0", "the MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
