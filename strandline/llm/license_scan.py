@@ -1,20 +1,23 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines (or, for the long texts, runs of lines) around licensing words. Each is compressed plain
+Candidate blocks are the lines, and runs of lines, around licensing words. Each is compressed plain
 and with every template as a raw Zstandard dictionary; the share of bytes that the dictionary saves ranks the templates, and
-decides nothing else, as it depends on the prose around a notice. All ranked templates are then held against the block word by word: a template is confirmed when the words that tell it
-from its kin are there, in their places, no word that belongs to another license has come in between, and at least
-MIN_MATCH of its words are matched. Among the confirmed the one with the most matched and fewest differing words wins, and
-its exact wording differences are reported.
+decides nothing else, as it depends on the prose around a notice. All ranked templates are then held against the block
+word by word: a template is confirmed when the words that tell it from its kin are there, in their places, no word that
+belongs to another license has come in between, and at least
+MIN_MATCH of its words are matched. Among the confirmed the one with the most matched and fewest differing words wins, its
+own part of the block and its exact wording differences are reported, and what is left of the block before and after that
+part is searched again. Where a notice names several licenses at once, each name is reported.
 
 Positions count code points in the whole text, the end is exclusive. A null or empty text has no block. A line of any
-length is cut around its licensing words, never at a fixed prefix; windows that overlap are one block. Rows that repeat
-give rows that repeat; doc_id may be null.
+length is cut around each of its licensing words, never at a fixed prefix; what lies in several blocks is reported once, a
+notice over several lines too, be it long or short. Rows that repeat give rows that repeat; doc_id may be null.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -66,10 +69,37 @@ TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser library affero general
 ANCHOR = r"(?i)licen[sc]e|spdx|public domain|permission (?:is hereby|to use)|redistribution and use|creative commons|\bcc[ -](?:by|0)|free software"
 MIN_MATCH = 0.6
 SIDE = 400
-LONG = 20
 
 _anchor = re.compile(ANCHOR)
 _word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_ascii_word = re.compile(r"[a-zA-Z0-9]+(?:\.[0-9]+)*")
+
+_V = r"(?:,?[ -](?:v(?:ersion)?\.?[ ]?)?|[ -]?v)"
+_L = r"Public\s+License"
+_LATER = r"(?:-or-later\b|\+|,?\s+or\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?later(?:\s+version)?\b)"
+#: Names by which a notice lists licenses, the longer before the shorter.
+NAMED = (
+    ("LGPL-3.0", rf"(?:(?:GNU\s+)?LGPL|GNU\s+Lesser\s+General\s+{_L}){_V}3(?:\.0)?(?:-only)?"),
+    ("LGPL-2.1", rf"(?:(?:GNU\s+)?LGPL|GNU\s+Lesser\s+General\s+{_L}){_V}2\.1(?:-only)?"),
+    ("AGPL-3.0", rf"(?:(?:GNU\s+)?AGPL|GNU\s+Affero\s+General\s+{_L}){_V}3(?:\.0)?(?:-only)?"),
+    ("GPL-3.0-or-later", rf"(?:(?:GNU\s+)?GPL|GNU\s+General\s+{_L}){_V}3(?:\.0)?{_LATER}"),
+    ("GPL-2.0-or-later", rf"(?:(?:GNU\s+)?GPL|GNU\s+General\s+{_L}){_V}2(?:\.0)?{_LATER}"),
+    ("GPL-3.0", rf"(?:(?:GNU\s+)?GPL|GNU\s+General\s+{_L}){_V}3(?:\.0)?(?:-only)?"),
+    ("GPL-2.0", rf"(?:(?:GNU\s+)?GPL|GNU\s+General\s+{_L}){_V}2(?:\.0)?(?:-only)?"),
+    ("MIT", r"MIT"),
+    ("Apache-2.0", rf"Apache(?:\s+Software)?(?:\s+License)?{_V}2(?:\.0)?"),
+    ("BSD-3-Clause", r"BSD[ -]3[ -]Clause|3[ -]Clause BSD"),
+    ("BSD-2-Clause", r"BSD[ -]2[ -]Clause|2[ -]Clause BSD"),
+    ("ISC", r"ISC"),
+    ("MPL-2.0", rf"(?:MPL|Mozilla\s+{_L}){_V}2\.0"),
+    ("EPL-2.0", rf"(?:EPL|Eclipse\s+{_L}){_V}2\.0"),
+    *((f"CC-{k}-4.0", rf"CC[ -]{k.replace('-', '[ -]')}[ -]4\.0") for k in ("BY-NC-SA", "BY-NC", "BY-ND", "BY-SA", "BY")),
+    ("CC0-1.0", r"CC0[ -]1\.0"),
+    ("Unlicense", r"Unlicense"),
+)
+_name = re.compile("(?i)(?:" + "|".join(f"({x})" for _, x in NAMED) + r")(?![\w-]|\.\d)(?:\s+licen[cs]es?\b)?")
+_under = re.compile(r"(?i)\b(?:under|SPDX-License-Identifier:)(?:\s+(?:either|both|any|one|of|the|terms|following|licenses))*[:\s(]*")
+_more = re.compile(r"(?i)(?:\s*[,;/|]\s*(?:(?:and/or|and|or)\s+)?|\s+(?:and/or|and|or)\s+)(?:under\s+)?(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?")
 
 
 def wording(text: str) -> list[str]:
@@ -79,7 +109,6 @@ def wording(text: str) -> list[str]:
 class _Template:
     def __init__(self, name: str, needs: str, text: str) -> None:
         self.name, self.needs, self.words = name, set(needs.split()), wording(text)
-        self.long = len(self.words) >= LONG
         held = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zip = zstandard.ZstdCompressor(level=9, dict_data=held, write_content_size=False)
 
@@ -89,30 +118,30 @@ def templates() -> list[_Template]:
     return [_Template(*t) for t in TEMPLATES]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Bounds of the candidate blocks, in order: the lines with licensing words, long lines cut around them."""
+def lines(text: str) -> list[tuple[int, int]]:
+    """Bounds of the lines with licensing words, in order, long ones cut around these. A licensing word that lies in the
+    block before with SIDE after it has none of its own, so blocks are no more than the text has room for."""
     out: list[tuple[int, int]] = []
     for m in _anchor.finditer(text):
-        if out and m.end() <= out[-1][1]:
+        if out and m.end() <= out[-1][1] and (m.end() + SIDE <= out[-1][1] or text[out[-1][1] : out[-1][1] + 1] in ("", "\n")):
             continue
         a = text.rfind("\n", max(0, m.start() - SIDE), m.start()) + 1
         if not a and m.start() > SIDE:
             a = m.start() - SIDE
             a = next((k + 1 for k in range(a, m.start()) if text[k].isspace()), a)
-        b = text.find("\n", m.end(), m.end() + SIDE)
+        b = text.find("\n", m.end(), m.end() + 2 * SIDE)
         if b < 0:
-            b = len(text) if len(text) <= m.end() + SIDE else next((k for k in range(m.end() + SIDE, m.end(), -1) if text[k].isspace()), m.end() + SIDE)
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+            b = len(text) if len(text) <= m.end() + 2 * SIDE else next((k for k in range(m.end() + 2 * SIDE, m.end(), -1) if text[k].isspace()), m.end() + 2 * SIDE)
+        out.append((a, b))
     return out
 
 
 def runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """For texts that go over several lines: each block with the lines after and before it, as far as four sides."""
+    """For notices that go over several lines: each line with the lines after and before it, as far as four sides."""
     out = []
     for a, b in found:
+        if out and out[-1][0] <= a and (b + SIDE <= out[-1][1] or b <= out[-1][1] and text[out[-1][1] : out[-1][1] + 2] in ("", "\n", "\n\n")):
+            continue
         low = text.rfind("\n\n", max(0, a - SIDE), a)
         low = low + 2 if low >= 0 else (0 if a <= SIDE else a - SIDE)
         high = text.find("\n\n", b, b + 4 * SIDE)
@@ -122,10 +151,10 @@ def runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def ranked(block: str, words: list[str], long: bool | None = None) -> list[tuple[float, _Template]]:
+def ranked(block: str, words: list[str]) -> list[tuple[float, _Template]]:
     """The templates whose needed words are there and the share of bytes that each saves, best first."""
     have = set(words)
-    fit = [t for t in templates() if (long is None or t.long == long) and t.needs <= have]
+    fit = [t for t in templates() if t.needs <= have]
     if not fit:
         return []
     data = block.lower().encode()
@@ -134,54 +163,86 @@ def ranked(block: str, words: list[str], long: bool | None = None) -> list[tuple
     return sorted(saved, key=lambda x: -x[0])
 
 
-def compare(t: _Template, words: list[str]) -> tuple[int, int, list[str]] | None:
-    """Matched words, differing words and the differences of the part of the block that lines up with the template; None
-    if it isn't this license."""
+def compare(t: _Template, words: list[str]) -> tuple[int, int, list[str], int, int] | None:
+    """Matched words, differing words, the differences and the bounds of the part of the block that lines up best with the
+    template; None if no part is this license."""
     ops = SequenceMatcher(None, t.words, words, autojunk=False).get_opcodes()
-    # what the block has before and after the template's part is none of its wording
-    edge = {0, len(ops) - 1}
-    ops = [("delete", a, b, c, c) if k in edge and kind == "replace" else (kind, a, b, c, d) for k, (kind, a, b, c, d) in enumerate(ops) if not (k in edge and kind == "insert")]
-    matched: set[str] = set()
-    same = other = 0
-    told = []
-    for kind, a, b, c, d in ops:
-        if kind == "equal":
-            matched.update(t.words[a:b])
-            same += b - a
-        else:
-            if any(w in TELLING or w[0].isdigit() for w in words[c:d]):
-                return None
-            other += max(b - a, d - c)
-            told.append(f"-{' '.join(t.words[a:b])} +{' '.join(words[c:d])}")
-    if not t.needs <= matched or same < MIN_MATCH * len(t.words) or other > max(3, 0.4 * len(t.words)):
-        return None
-    return same, other, told
+    equal = [k for k, op in enumerate(ops) if op[0] == "equal"]
+    best = None
+    for x, first in enumerate(equal):
+        # what the block has before and after a part is none of its wording
+        matched: set[str] = set()
+        a, c = ops[first][1], ops[first][3]
+        same, other, told = 0, a, [f"-{' '.join(t.words[:a])} +"] if a else []
+        gap = first
+        for last in equal[x:]:
+            between = ops[gap + 1 : last] if last > first else []
+            if any(w in TELLING or w[0].isdigit() for op in between for w in words[op[3] : op[4]]):
+                break
+            other += sum(max(op[2] - op[1], op[4] - op[3]) for op in between)
+            told = told + [f"-{' '.join(t.words[op[1]:op[2]])} +{' '.join(words[op[3]:op[4]])}" for op in between]
+            b, d = ops[last][2], ops[last][4]
+            matched.update(t.words[ops[last][1] : b])
+            same += b - ops[last][1]
+            gap = last
+            left = len(t.words) - b
+            if t.needs <= matched and same >= MIN_MATCH * len(t.words) and other + left <= max(3, 0.4 * len(t.words)) and (best is None or same - 2 * (other + left) > best[0] - 2 * best[1]):
+                best = (same, other + left, [*told, f"-{' '.join(t.words[b:])} +"] if left else told, c, d)
+    return best
 
 
 @lru_cache(4096)
-def identify(block: str, long: bool | None = None) -> tuple[str, float, int, str] | None:
-    """License, share saved, differing words and differences of a block; None if no template is confirmed."""
-    words = wording(block)
-    best = None
-    for saved, t in ranked(block, words, long):
-        if found := compare(t, words):
-            same, other, told = found
-            if best is None or (same - 2 * other) > best[0]:
-                best = (same - 2 * other, (t.name, saved, other, "; ".join(told)))
-    return best[1] if best else None
+def identify(block: str) -> list[tuple[int, int, int, str, float, int, str]]:
+    """Score (matched less twice the differing words), bounds, license, share saved, differing words and differences of each confirmed notice of a block; none overlaps
+    another."""
+    places = [m.span() for m in _word.finditer(block.lower())] if len(block.lower()) == len(block) else [m.span() for m in _ascii_word.finditer(block)]
+    words = [block[a:b].lower() for a, b in places]
+    rank = ranked(block, words)
+    out, parts = [], [(0, len(words))] if rank else []
+    while parts:
+        low, high = parts.pop()
+        best = None
+        for saved, t in rank:
+            if t.needs <= set(words[low:high]) and (found := compare(t, words[low:high])):
+                same, other, told, c, d = found
+                if best is None or (same - 2 * other) > best[0]:
+                    best = (same - 2 * other, low + c, low + d, (t.name, saved, other, "; ".join(told)))
+        if best:
+            score, c, d, hit = best
+            out.append((score, places[c][0], places[d - 1][1], *hit))
+            parts += [(low, c), (d, high)]
+    return out
+
+
+def listed(block: str) -> list[tuple[int, int, int, str, float, int, str]]:
+    """The licenses of a notice that names several at once ("under either of A or B"), with no difference in wording."""
+    out = []
+    for m in _under.finditer(block):
+        at, hits = m.end(), []
+        while name := _name.match(block, at):
+            hits.append((name.start(), name.end(), NAMED[name.lastindex - 1][0]))
+            more = _more.match(block, name.end())
+            if not more:
+                break
+            at = more.end()
+        if len(hits) > 1:
+            data = block.lower().encode()
+            plain = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(data))
+            out += [(0, a, b, x, max(1 - len(t.zip.compress(data)) / plain for t in templates() if t.name == x), 0, "") for a, b, x in hits]
+    return out
 
 
 def licenses(text: str) -> list[tuple[int, int, str, float, int, str]]:
-    found = candidates(text)
-    out, taken = [], []
-    for a, b in runs(text, found):
-        if all(b <= x or a >= y for x, y in taken) and (hit := identify(text[a:b], True)):
-            out.append((a, b, *hit))
-            taken.append((a, b))
-    for a, b in found:
-        if all(b <= x or a >= y for x, y in taken) and (hit := identify(text[a:b])):
-            out.append((a, b, *hit))
-    return sorted(out)
+    found = lines(text)
+    over = runs(text, found)
+    hits = {(-score, a + x, a + y, *hit) for blocks, find in ((found, identify), (over, identify), ([*found, *over], listed)) for a, b in blocks for score, x, y, *hit in find(text[a:b])}
+    out: list[tuple[int, int, str, float, int, str]] = []  # in order, none overlaps another
+    # a block may end within a notice that another block holds whole, so the best go first
+    for _, a, b, *hit in sorted(hits):
+        k = bisect_left(out, (a, b))
+        if (k == 0 or out[k - 1][1] <= a) and (k == len(out) or out[k][0] >= b):
+            out.insert(k, (a, b, *hit))
+    return out
 
 
 NAMES = ["doc_id", "text_key", "block_start", "block_end", "license", "saved", "n_differences", "differences"]
@@ -198,7 +259,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each confirmed block: doc_id, text_key (xxhash64 of the text), block_start, block_end, license, saved
+    """A row for each confirmed notice: doc_id, text_key (xxhash64 of the text), block_start, block_end, license, saved
     (share of the block's compressed bytes that the template saves), n_differences, differences."""
     lean(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))

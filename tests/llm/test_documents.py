@@ -358,6 +358,33 @@ def test_short_notices_in_prose(notice, name):
         assert [x[2] for x in license_scan.licenses(text[1500:-1500])] == [name]
 
 
+def test_several_licenses_of_a_block():
+    """Each license of a line, of a list of names, of a text without line breaks, and short notices over two lines."""
+    both = {"MIT", "Apache-2.0"}
+    cases = {
+        "Licensed under the MIT License or the Apache License, Version 2.0.": both,
+        "Licensed under the Apache License, Version 2.0 or the MIT License.": both,
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": both,
+        "licensed under either of Apache License, Version 2.0 or MIT": both,
+        "SPDX-License-Identifier: MIT OR Apache-2.0": both,
+        "Licensed under MIT, BSD 3-Clause or GPL-3.0-or-later.": {"MIT", "BSD-3-Clause", "GPL-3.0-or-later"},
+        "This work is licensed under the\nGNU General Public License,\nversion 3.": {"GPL-3.0"},
+        "Licensed under the Apache\nLicense, Version 2.0.": {"Apache-2.0"},
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0"},
+        "This library is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"},
+        "The license is not the MIT one, nor Apache 2.0.": set(),
+    }
+    for text, names in cases.items():
+        got = license_scan.licenses(text)
+        assert {x[2] for x in got} == names and len(got) == len(names), text
+        assert all(p[1] <= q[0] for p, q in zip(got, got[1:])), text
+    notices = [(t, name) for name, _, t in license_scan.TEMPLATES if name != "CC-BY-ND-4.0"]
+    text = " ".join(f"{letters(k, 40)}. {t}" for k, (t, _) in enumerate(notices))
+    got = license_scan.licenses(text)
+    assert [x[2] for x in got] == [name for _, name in notices]
+    assert all(text[x[0] : x[1]] in t and x[4] == 0 for x, (t, _) in zip(got, notices, strict=True))
+
+
 def test_license_scan_of_real_documents(real):
     got = Counter((r.doc_id, r.license) for r in license_scan.scan(real).collect())
     told = {"GNU General Public License, version 3": "GPL-3.0", "the MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
