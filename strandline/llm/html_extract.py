@@ -42,10 +42,12 @@ PHRASES = re.compile(r"©|\(c\) *\d{4}|all rights reserved|\bcookies?\b|subscrib
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_LANDMARK = re.compile(r"<(?:main|article|h1)(?=[\s/>])", re.I)
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in SILENT}
 
-#: Contexts, from a block's containers: open, inside the article, a page's head region or form, boilerplate.
-OPEN, ARTICLE, FRINGE, OUT = range(4)
+#: Contexts, from a block's containers: open, inside the article, a page's head region or form, boilerplate by element, role
+#: or comments, boilerplate by names only.
+OPEN, ARTICLE, FRINGE, OUT, NAMED = range(5)
 
 
 def context(tag: str, attrs: str, above: int) -> tuple[int, float]:
@@ -67,10 +69,12 @@ def context(tag: str, attrs: str, above: int) -> tuple[int, float]:
         return OUT, 0.0
     if tag in ("nav", "aside", "footer", "menu", "dialog", "search") or role in ("navigation", "complementary", "contentinfo", "dialog", "alert", "search"):
         return OUT, 0.0
-    if tag in ("article", "main") or role in ("main", "article"):
+    if tag == "main" or role == "main" or above != NAMED and (tag == "article" or role == "article"):
         return ARTICLE, 0.0
-    if names & BOILERPLATE and told:
-        return OUT, 0.0
+    if tag == "article" or role == "article":  # in a sidebar's wrapper or a teaser of a list: its blocks decide
+        return OPEN, 0.0
+    if names & BOILERPLATE and told or above == NAMED:
+        return NAMED, 1.0 if names & CONTENT else 0.0
     if tag == "form":
         return FRINGE, 0.0
     if (tag == "header" or role == "banner" or "header" in names) and not names & CONTENT:
@@ -95,6 +99,8 @@ def blocks(html: str) -> list[Block]:
     number = at = 0
     size = len(html)
     missing: set[str] = set()  # ends that don't come again
+    ends: dict[str, int] = {}  # the next end of an inline element
+    mark = 0  # the next landmark
 
     def flush() -> None:
         nonlocal links, in_link
@@ -190,16 +196,22 @@ def blocks(html: str) -> list[Block]:
                 number += 1
                 ctx, lean = context(tag, attrs, stack[-1][1])
                 stack.append((tag, ctx, lean + stack[-1][2] if lean + stack[-1][2] <= 1 else 1.0, number))
-        elif tag not in VOID and attrs and not closing and (" class" in attrs or " id" in attrs) and context(tag, attrs, OPEN)[0] == OUT:
-            end = html.find(f"</{tag}", at)  # an inline advert or the like
-            if 0 <= end <= at + 2000:
-                at = end
+        elif tag not in VOID and attrs and not closing and (" class" in attrs or " id" in attrs) and context(tag, attrs, OPEN)[0] in (OUT, NAMED):
+            # an inline advert or the like; one that holds the page's landmarks was never closed
+            if ends.get(tag, 0) < at:
+                end = html.find(f"</{tag}", at)
+                ends[tag] = end if end >= 0 else size + 1
+            if mark < at:
+                found = _LANDMARK.search(html, at)
+                mark = found.start() if found else size + 1
+            if ends[tag] < min(mark, size):
+                at = ends[tag]
     flush()
     return out
 
 
 _TAGS = {"p": 1.0, "h1": 2.0, "h2": 0.8, "h3": 0.8, "h4": 0.6, "h5": 0.4, "h6": 0.4, "pre": 1.0, "blockquote": 1.0, "figcaption": 0.5, "li": -0.1, "td": -0.1, "th": -0.2, "legend": -1.0, "dt": -0.2, "dd": 0.0}
-_CONTEXTS = {OPEN: 0.7, ARTICLE: 4.0, FRINGE: -4.0, OUT: -8.0}
+_CONTEXTS = {OPEN: 0.7, ARTICLE: 4.0, FRINGE: -4.0, OUT: -8.0, NAMED: -3.5}
 
 
 def score(b: Block) -> float:

@@ -40,6 +40,18 @@ def test_extraction_of_odd_markup(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_names_of_wrappers_can_be_overruled():
+    long = "This sentence belongs to the story that the page tells, and it has more than twenty words so that it looks like prose."
+    for wrapper in ("content-sidebar-wrap", "page-with-widget", "share"):
+        for tag in ("main", "article"):
+            page = f"<body><div class='{wrapper}'><{tag}><h1>Title of it</h1><p>{long}</p><p>{long}</p></{tag}></div></body>"
+            assert html_extract.main_text(page) == f"Title of it\n{long}\n{long}"
+    assert html_extract.main_text(f"<body><div class='sidebar'><div class='entry-content'><p>{long}</p><p>{long}</p></div></div></body>") == f"{long}\n{long}"
+    assert html_extract.main_text(f"<body><main><p>{long}</p></main><div class='sidebar'><p>Some news</p><p>{long}</p></div></body>") == long
+    advert = "Buy this now. " * 300
+    assert html_extract.main_text(f"<body><main><p>{long} <span class='advert'>{advert}</span></p></main></body>") == long
+
+
 def test_extraction_is_linear_on_hostile_pages():
     for bad in ('<a "' * 50_000, "<" * 200_000, "<!--" * 50_000, "<div>" * 20_000 + "x", "<p>" + "word " * 200_000, "&" * 200_000, "<a b='" * 50_000):
         html_extract.main_text(bad)
