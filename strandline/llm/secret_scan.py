@@ -3,7 +3,7 @@
 Base findings are what stands alone: assignments to a secret's name, access key identifiers, long runs of hex digits.
 Weak candidates (account names, random-looking strings, endpoints) are reported only where a complementary part lies in
 the same scope, at most SCOPE code points away: an account name or an endpoint needs a secret, a random-looking string
-needs an account name or an access key identifier. Parts and weak candidates meet in an interval join: both sides are
+needs an account name, an access key identifier or an endpoint. Parts and weak candidates meet in an interval join: both sides are
 dealt to the scopes that they touch, joined on document and scope, and compared by their bounds. It is a semi join, so it
 makes no row for a pair, and a scope holds no more parts than fit in its characters.
 
@@ -25,7 +25,7 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 WEAK = (
-    ("account", r"(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{3,64})", 0, 6),
+    ("account", r"(?i)\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{3,})", 0, 6),
     ("random", r"[A-Za-z0-9+/_-]{24,}", 0, 24),
     ("endpoint", r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}", 0, 8),
 )
@@ -33,7 +33,7 @@ WEAK = (
 MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 KINDS = [k for k, *_ in (*BASE, *WEAK)]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "random": "secret", "endpoint": "endpoint"}
-NEEDS = {"account": ["secret"], "random": ["identifier"], "endpoint": ["secret"]}
+NEEDS = {"account": ["secret"], "random": ["identifier", "endpoint"], "endpoint": ["secret"]}
 SCOPE = 300
 
 _SPAN = "array<struct<s:int,k:int,e:int>>"

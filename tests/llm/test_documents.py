@@ -290,6 +290,15 @@ def test_credential_links(spark):
     assert len(got) == 8
 
 
+def test_links_of_endpoints_and_long_accounts(spark):
+    """A random-looking string beside an endpoint goes with it, a long account value goes to its end."""
+    key, name = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12", "a.b" * 50
+    texts = {1: f"https://api.example.org/v1 {key}", 2: f"client_id: {name} secret = abcdefgh123", 3: f"https://api.example.org/v1{' ' * 1000}{key}"}
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], SCHEMA)
+    assert {r.doc_id: [x.k for x in r.found] for r in secret_scan.scan(df).collect()} == {1: [5, 4], 2: [3, 0], 3: []}
+    assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()} == {1: "[SECRET] [SECRET]", 2: "[SECRET] [SECRET]", 3: texts[3]}
+
+
 def test_redact(spark, docs):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(SECRETS)], SCHEMA)
     out = {r.doc_id: r for r in secret_scan.redact(df).collect()}
