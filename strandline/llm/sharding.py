@@ -4,14 +4,14 @@ Several metadata columns are quantised, each at its own quantiles, to BITS bits;
 cell on the Hilbert curve, and the order is cut into runs of equal counts. A shard so holds a compact region of the
 metadata space, and a reader that filters on any of the columns skips most files by their minima and maxima.
 
-Numbers are quantised by value, strings by their first six bytes, so that quantised order follows column order; null is
-below everything. Within a cell the order is by a hash of text and doc_id, so a cell of any size, such as a source with a
+Numbers are quantised by value, strings by their place among all rows in sorted order, whatever they begin with, so that
+quantised order follows column order; null is below everything. Within a cell the order is by a hash of text and doc_id, so a cell of any size, such as a source with a
 third of all rows or a text with as many copies, is numbered in parts. The counts of two shards differ by at most one (the law `rows`). A null text has size 8 and checksum 0. Extra columns pass by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,24 +50,40 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, T.StringType):
-        six = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(six, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def string_cuts(df: DataFrame, name: str, levels: int) -> list[str]:
+    """The least values that reach each k / levels of the rows with one, k < levels. Distinct values are counted and dealt
+    by range; the driver sees the parts' sizes and the cuts."""
+    counted = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = cut(counted.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")))
+    total, before = 0, []
+    for r in dealt.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("v")).orderBy("v").toLocalIterator():
+        before.append((r["part"], total))
+        total += r["n"]
+    if not total:
+        return []
+    first = df.sparkSession.createDataFrame(before, "part int, before long")
+    window = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("upto", F.sum("n").over(window)).join(F.broadcast(first), "part").withColumn("upto", F.col("upto") + F.col("before"))
+    reached = lambda c: F.floor(c * levels / F.lit(total))
+    return sorted((r["v"] for r in placed.filter(F.least(reached(F.col("upto")), F.lit(levels - 1)) > reached(F.col("upto") - F.col("n"))).select("v").collect()), key=lambda v: v.encode())
 
 
 def cells(df: DataFrame, dimensions: tuple[str, ...], bits: int) -> Column:
     """The number of each row's cell, the first dimension in the highest bits. Reads the quantiles, at most 2^bits - 1
-    numbers for each dimension, to the driver."""
+    values for each dimension, to the driver."""
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    numbers = [as_number(df, d) for d in dimensions]
-    cuts = df.agg(*[F.percentile_approx(x, steps, 10_000).alias(f"c{k}") for k, x in enumerate(numbers)]).first()
+    text = [d for d in dimensions if isinstance(df.schema[d].dataType, T.StringType)]
+    number = [d for d in dimensions if d not in text]
+    found = {d: string_cuts(df, d, 1 << bits) for d in text}
+    if number:
+        cuts = df.agg(*[F.percentile_approx(F.col(d).cast("double"), steps, 10_000).alias(f"c{k}") for k, d in enumerate(number)]).first()
+        found |= {d: sorted({float(c) for c in at or []}) for d, at in zip(number, cuts, strict=True)}
     cell = F.lit(0)
-    for x, at in zip(numbers, cuts, strict=True):
+    for d in dimensions:
+        x = F.col(d) if d in text else F.col(d).cast("double")
         level = F.lit(0)
-        for c in sorted(set(at or [])):
-            level = level + F.when(x >= F.lit(float(c)), 1).otherwise(0)
+        for c in found[d]:
+            level = level + F.when(x >= F.lit(c), 1).otherwise(0)
         cell = cell * (1 << bits) + level
     return cell
 

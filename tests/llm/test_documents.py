@@ -339,6 +339,17 @@ def test_sharding_prunes(real):
     assert sum(s.a <= "fr" <= s.b for s in spans) <= 18 and sum(s.d >= 8000 for s in spans) <= 16
 
 
+def test_sharding_of_long_names(spark):
+    """Strings are told apart behind any common prefix, and cut where the rows are."""
+    rows = [(i, "t", "en", None if i % 40 == 0 else f"https://host{i % 64:02d}.example.org", 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    values = sorted(r[3] for r in rows if r[3])
+    want = sorted({values[-(-k * len(values) // 16) - 1] for k in range(1, 16)})
+    assert sharding.string_cuts(df, "source", 16) == want
+    spans = sharding.shard(df).join(df.select("doc_id", "source"), "doc_id").groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b")).collect()
+    assert len(spans) == 24 and sum(s.a <= "https://host33.example.org" <= s.b for s in spans) <= 4
+
+
 def test_license_scan(spark):
     full = license_scan.TEMPLATES[3][2]
     texts = {
