@@ -384,7 +384,7 @@ def hysteresis(spark, sf_dir):
     return rounded(recursion.hysteresis(smooth.select("entity", "dt", "smoothed", "flag_limit_up"), 0.15))
 
 
-ALPHAS, EXITS = (0.3, 0.5, 0.7, 1.0), (0.1, 0.15, 0.2)
+ALPHAS, EXITS = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5), (0.1, 0.125, 0.15)
 
 
 @query()
@@ -402,7 +402,7 @@ def turnover_grid(spark, sf_dir):
     return rounded(scores)
 
 
-SIMPLEX = evaluate.simplex(3, 0.25)
+SIMPLEX = evaluate.simplex(3, 0.2)
 
 
 def _third(spark, sf_dir):

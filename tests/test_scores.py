@@ -186,6 +186,12 @@ def test_blend(spark, days):
     assert grid.count() == 6 * df.count()
 
 
+def test_registered_grids_are_the_whole_ones():
+    from strandline.plans import panel_queries as pq
+
+    assert set(pq.ALPHAS) == {1.0, 0.9, 0.8, 0.7, 0.6, 0.5} and set(pq.EXITS) == {0.1, 0.125, 0.15} and len(pq.SIMPLEX) == 21
+
+
 def test_simplex():
     assert len(ev.simplex(3, 0.2)) == 21 and all(abs(sum(v) - 1) < 1e-9 for v in ev.simplex(3, 0.2))
     with pytest.raises(ValueError, match="step"):
