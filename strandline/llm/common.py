@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -29,17 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like cut(), as compressed columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def lean(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
     """Smaller Arrow batches from here on: a batch of documents is held a few times over on its way through Python, and
-    ten thousand long ones would fill an executor."""
+    ten thousand long ones would fill an executor. Spark reads these settings when the result is computed, which is after
+    the operator has returned, so they stay lowered for the session."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         held = spark.conf.get(key, None)
         if held is not None and not 0 < int("".join(c for c in held if c.isdigit()) or 0) <= most:
@@ -59,6 +51,25 @@ def boxed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", most: int = 1024) -> DataFrame:
+    """left joined with right, which has a row at most for each of keys, however many rows of left share one.
+
+    counts has a row (keys, n) for each key of left, or for each that may be hot: no more than `most` keys can have more
+    than a most-th of all rows each, so these rows of right are broadcast; the other keys are joined by shuffle. keys are
+    longs without nulls, and left should be cheap to read twice."""
+    at_least = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / most
+    hot = F.broadcast(right.join(counts.filter(F.col("n") > at_least).select(*keys), keys, "left_semi"))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right, keys, how)
+    return left.join(hot, keys).unionByName(cold)
+
+
+def even(doc_id: Column) -> tuple[Column, Column]:
+    """An order of documents that has nothing to do with their ids or texts, the same in every engine, and the same as a
+    double in [0, 1) that never falls along it."""
+    hashed = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+    return hashed, F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 

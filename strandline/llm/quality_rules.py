@@ -1,17 +1,16 @@
 """Quality rules: word counts, repeats, and cross-document line frequency.
 
 Base figures come from one pass over whole texts. The line rule hashes each normalised line (lower case, white space
-runs as one space, digits as 0) of three words or more, counts the distinct documents of a host that have it, removes
-the lines above the host's limit, and rejects a document that keeps too few of its words.
+runs as one space, digits as 0) of a word or more, counts the distinct documents of a host that have it, removes the lines
+above the host's limit, and rejects a document that keeps too few of its words.
 
-Copies must not make their own lines look like boilerplate: a document counts 1 / m towards each of its lines, m being
-the most documents of its host that agree with it on one of BANDS bands of MinHash values of the whole text (runs of five
-words, as in the Jaccard join). For a document of its own m is 1; a family of copies, exact or near (nine tenths of the runs
-alike), counts a few times at most. Unlike documents that share a passage count each, even if it is most of their words: a
-document two thirds of whose runs are shared agrees on a given band with probability 0.8 %, so nearly all have m = 1.
+Documents of a host with the same set of normalised lines count as one, so exact copies don't make boilerplate of their own
+lines; documents that differ in any line are distinct, however much they share. The limit is a share of the host's distinct
+documents within bounds.
 
 A null or empty text has no words and fails the base rules. A null host is a host of its own. A doc_id may repeat: rows
-are told apart by doc_id and text, and equal rows share one verdict and count as one document. Extra columns are ignored.
+are told apart by doc_id and text, and equal rows share one verdict and count as one document. A table without
+the host's column is one host. A line stands for its hash, of 64 bits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,22 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import boxed, cut, lean, same_document
-from .jaccard_join import VALUES, signatures
+from .common import boxed, cut, hot_join, lean, same_document
 
-#: A line is removed above this share of its host's documents, counted like the line's own, never at so few as MIN_DOCS
-#: and always above MAX_DOCS, however large the host is.
+#: A line is removed above this share of its host's distinct documents, never at so few as MIN_DOCS and always above
+#: MAX_DOCS, however large the host is.
 MAX_SHARE, MIN_DOCS, MAX_DOCS = 0.002, 10, 100
 #: A document is rejected below this share of its words.
 MIN_LEFT = 0.5
-MIN_LINE_WORDS = 3
-#: Bands of twelve of the Jaccard join's MinHash values: eight of its own and the next band's first four.
-BANDS = VALUES // 8
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
@@ -98,6 +93,14 @@ def base_figures(part: tk.Texts) -> list[np.ndarray]:
     return [np.diff(w.first), count(head & ~tk.WHITE[part.data]), count(_SYMBOL[part.data]), np.bincount(owner, minlength=n) - np.bincount(owner[first], minlength=n), _repeat_words(w, n)]
 
 
+def set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each text's set of lines; at is where each begins among values without repeats."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, tk.U64)
+        np.cumsum(tk.mix(values ^ tk.U64(0x2545F491)), out=sums[1:])
+        return tk.mix(sums[at[1:]] - sums[at[:-1]] ^ np.diff(at).astype(tk.U64)).view(np.int64)
+
+
 def normal_lines(part: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice in lower case: hash, words, text and bounds of each piece between line feeds, blank ones included."""
     digits = _DIGIT[part.data]
@@ -114,19 +117,6 @@ def normal_lines(part: tk.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashed, b - a, owner, bounds
 
 
-def family_keys(part: tk.Texts) -> pa.ListArray:
-    """Of a slice in lower case: a key for each band of each text, none for a text without words."""
-    values, ends = tk.distinct(*tk.shingles(tk.words(part)), len(part))
-    full = np.flatnonzero(np.diff(ends))
-    keys = np.empty((len(full), BANDS), tk.U64)
-    if len(full):
-        sig = np.ascontiguousarray(signatures(values, np.append(ends[full], ends[-1]))).view(tk.U64)
-        with np.errstate(over="ignore"):
-            keys[:] = tk.mix(sig[:, ::2] ^ tk.mix(sig[:, 1::2] ^ tk.mix(np.roll(sig, -2, 1)[:, ::2] + np.arange(1, BANDS + 1, dtype=tk.U64))))
-    at = np.concatenate([[0], np.cumsum(np.diff(ends) > 0)]) * BANDS
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-
-
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -137,7 +127,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = a + len(part)
             mine = tk.Texts(lower.data[lower.offsets[a] : lower.offsets[b]], lower.offsets[a : b + 1] - lower.offsets[a])
             hashed, size, owner, _ = normal_lines(mine)
-            keep = size >= MIN_LINE_WORDS
+            keep = size > 0
             hashed, size, owner = hashed[keep], size[keep], owner[keep]
             # a line that comes again in a text counts once, with all its words
             with np.errstate(over="ignore"):
@@ -147,53 +137,53 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, total = first[order], total[order]
             at = np.searchsorted(owner[first], np.arange(len(part) + 1)).astype(np.int32)
             lines = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(hashed[first].view(np.int64)), pa.array(total)], ["line", "words"]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(part)), batch.column("text_key").slice(a, len(part)), batch.column("host").slice(a, len(part)), *(pa.array(x.astype(np.int64)) for x in base_figures(part)), lines, family_keys(mine)], ["doc_id", "text_key", "host", *FIGURES, "lines", "family"])
+            told = [batch.column(c).slice(a, len(part)) for c in ("doc_id", "text_key", "host")]
+            figures = [pa.array(x.astype(np.int64)) for x in base_figures(part)]
+            yield pa.RecordBatch.from_arrays([*told, *figures, lines, pa.array(set_keys(hashed[first], at))], ["doc_id", "text_key", "host", *FIGURES, "lines", "set_key"])
 
 
-def _keyed(docs: DataFrame, host: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col(host).cast("string").alias("host"), "text")
+def _host(docs: DataFrame, host: str) -> Column:
+    return F.col(f"`{host}`").cast("string") if host in docs.columns else F.lit(None).cast("string")
 
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, text_key, host, the base figures, lines: an array of (line, words) without repeats, and family: the keys of the
-    bands."""
+    """doc_id, text_key, host, the base figures, lines: an array of (line, words) without repeats, set_key: a hash of the
+    set of lines."""
     lean(docs.sparkSession)
-    return _keyed(docs, host).mapInArrow(_figures, "doc_id long, text_key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:bigint,words:int>>, family array<bigint>")
-
-
-def family_weights(read: DataFrame) -> DataFrame:
-    """(doc, weight) of the documents that agree with another one of their host on a band."""
-    docs = read.select(F.xxhash64("doc_id", "text_key", "host").alias("doc"), F.xxhash64("host").alias("host_key"), "family").dropDuplicates(["doc"])
-    keys = docs.select("doc", "host_key", F.explode("family").alias("key")).select("doc", F.xxhash64("host_key", "key").alias("key"))
-    alike = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    return keys.join(alike, "key").groupBy("doc").agg((1 / F.max("docs")).alias("weight"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), _host(docs, host).alias("host"), F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{x} long" for x in FIGURES)
+    return keyed.mapInArrow(_figures, f"doc_id long, text_key long, host string, {kinds}, lines array<struct<line:bigint,words:int>>, set_key long")
 
 
-def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(host_key, line, weight) of the lines to remove, and each document's lines (doc, host_key, line, words).
+def frequent_lines(read: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, max_docs: int = MAX_DOCS) -> DataFrame:
+    """host_key, line, docs (distinct documents of the host with it), n (its rows) of the lines to remove.
 
-    Every count is an aggregate with a partial sum before the shuffle, keyed by host and line, so a hot host is spread
-    by its lines and a hot line meets as partial sums; the joins on (host, line) can be split by adaptive execution."""
-    docs = read.select(F.xxhash64("doc_id", "text_key", "host").alias("doc"), F.xxhash64("host").alias("host_key"), "lines").dropDuplicates(["doc"])
-    lines = cut(docs.select("doc", "host_key", F.explode("lines").alias("x")).select("doc", "host_key", "x.line", "x.words"))
-    plain = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("docs"))
-    weight = cut(family_weights(read))
-    own = F.coalesce("weight", F.lit(1.0))
-    often = lines.select("doc", "host_key", "line").join(plain.filter(F.col("docs") > min_docs), ["host_key", "line"])
-    counts = often.select("doc", "host_key", "line").join(weight, "doc", "left").groupBy("host_key", "line").agg(F.round(F.sum(own), 6).alias("weight"))
-    hosts = docs.select("doc", "host_key").join(weight, "doc", "left").groupBy("host_key").agg(F.round(F.sum(own), 6).alias("in_host"))
-    limits = hosts.select("host_key", F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(max_docs)), F.col("in_host") * max_share)).alias("limit"))
-    return counts.join(limits, "host_key").filter("weight > limit").select("host_key", "line", "weight"), lines
+    The distinct counts are dealt by host, line and set first, so neither a hot host nor a hot line meets in one task. Only
+    lines between the bounds need their host's limit, which is above the lower one for large hosts alone; these are joined
+    with hot hosts apart."""
+    keyed = read.select(F.xxhash64("host").alias("host_key"), "set_key", "lines").filter(F.size("lines") > 0)
+    lines = keyed.select("host_key", "set_key", F.explode("lines.line").alias("line"))
+    sets = lines.groupBy("host_key", "line", "set_key").agg(F.count(F.lit(1)).alias("n"))
+    often = cut(sets.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).filter(F.col("docs") > min_docs))
+    hosts = keyed.select("host_key", "set_key").distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("in_host"))
+    large = cut(hosts.filter(F.col("in_host") * max_share > min_docs).select("host_key", F.least(F.lit(float(max_docs)), F.col("in_host") * max_share).alias("limit")))
+    unsure = often.filter(F.col("docs") <= max_docs)
+    limited = hot_join(unsure, large, ["host_key"], unsure.groupBy("host_key").agg(F.count(F.lit(1)).alias("n")), "left")
+    sure = often.filter(F.col("docs") > max_docs)
+    return sure.unionByName(limited.filter(F.col("limit").isNull() | (F.col("docs") > F.col("limit"))).drop("limit"))
 
 
 def judge(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **limits) -> tuple[DataFrame, DataFrame]:
     """The verdicts (doc_id, text_key, host, figures, n_frequent_words, removed: its lines that are frequent,
     base_failed, kept), a row for each row of docs, and the frequent lines."""
-    read = cut(figures(docs, host))
-    frequent, lines = frequent_lines(read, **limits)
-    frequent = cut(frequent)
-    lost = lines.join(frequent, ["host_key", "line"]).groupBy("doc").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("removed"))
-    out = read.drop("lines").withColumn("doc", F.xxhash64("doc_id", "text_key", "host")).join(lost, "doc", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0)).cast("long"))
+    read = cut(figures(docs, host)).withColumn("doc", F.xxhash64("doc_id", "text_key", "host"))
+    frequent = cut(frequent_lines(read, **limits))
+    # a line that a third of all rows have is among the hot ones
+    lines = read.select("doc", F.xxhash64("host").alias("host_key"), F.explode("lines").alias("x")).select("doc", "host_key", "x.line", "x.words")
+    held = hot_join(lines, frequent.select("host_key", "line"), ["host_key", "line"], frequent.select("host_key", "line", "n"))
+    held = held.groupBy("doc").agg(F.collect_set(F.struct("line", "words")).alias("x"))  # equal rows have one doc
+    lost = held.select("doc", F.aggregate("x.words", F.lit(0).cast("long"), lambda a, w: a + w).alias("lost"), F.col("x.line").alias("removed"))
+    out = read.drop("lines").join(lost, "doc", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - F.col("n_frequent_words") >= min_left * F.col("n_words"))
     return out.select("doc_id", "text_key", "host", *FIGURES, "n_frequent_words", "removed", failed.alias("base_failed"), kept.alias("kept")), frequent
@@ -212,7 +202,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = []
             for i, text in enumerate(texts.to_pylist()):
                 mine = slice(at[i], at[i + 1])
-                gone = np.isin(hashed[mine].view(np.int64), np.array(drop[i], np.int64)) & (size[mine] >= MIN_LINE_WORDS)
+                gone = np.isin(hashed[mine].view(np.int64), np.array(drop[i], np.int64)) & (size[mine] > 0)
                 left.append("\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g))
             columns["text"] = pc.replace_with_mask(columns["text"], mask, pa.array(left, texts.type))
         yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([columns[c] for c in names], names)], ["row"])
@@ -223,7 +213,7 @@ def keep_good(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     anew."""
     verdicts, _ = judge(docs, host, **options)
     good = verdicts.filter("kept").select("doc_id", "text_key", "host", "removed").dropDuplicates(["doc_id", "text_key", "host"])
-    rows = boxed(docs).withColumn("host", F.col(f"row.`{host}`").cast("string"))
+    rows = boxed(docs).withColumn("host", F.col(f"row.`{host}`").cast("string") if host in docs.columns else F.lit(None).cast("string"))
     kept = rows.join(good, same_document(rows, good) & rows["host"].eqNullSafe(good["host"])).select("row", "removed")
     kept = kept.mapInArrow(_strip, T.StructType([T.StructField("row", docs.schema)]))
     own = {"n_chars": F.when(F.col("row.text").isNotNull(), F.length("row.text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {}
