@@ -7,12 +7,19 @@ needs an account name, an access key identifier or an endpoint. Parts and weak c
 dealt to the scopes that they touch, joined on document and scope, and compared by their bounds. It is a semi join, so it
 makes no row for a pair, and a scope holds no more parts than fit in its characters.
 
+A text is read by a kind's pattern only where it holds one of the kind's marks (plain strings in lower case) or, for runs, a
+run long enough. Positions are running sums over arrays, taken in blocks of BLOCK, and a redacted text is joined from pieces
+of CHUNK code points at most, so a text's cost grows with its length and not with the square of its findings.
+
 Positions count code points, the end is exclusive. A null text is taken as empty and has no finding. Documents are told
 apart by doc_id (null included) and text; equal rows get equal results. Other columns pass by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,17 @@ WEAK = (
 )
 #: What a random-looking string must contain.
 MIXED = ("[0-9]", "[A-Z]", "[a-z]")
+#: One of these strings is in the lower-case text wherever the kind's pattern matches.
+MARKS = {
+    "assign": ("passw", "secret", "token", "apikey", "api_key"),
+    "access": ("akia",),
+    "account": ("user", "login", "account", "client", "access"),
+    "endpoint": ("://",),
+}
+_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"
+#: hex runs may begin inside a longer word
+_HEX_RUN = r"[0-9a-f]{24}"
+BLOCK, CHUNK = 256, 1024
 KINDS = [k for k, *_ in (*BASE, *WEAK)]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "random": "secret", "endpoint": "endpoint"}
 NEEDS = {"account": ["secret"], "random": ["identifier", "endpoint"], "endpoint": ["secret"]}
@@ -39,28 +57,49 @@ SCOPE = 300
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """The matches of a pattern, leftmost and without overlap, as (s, k, e); those with a short group are left out."""
+def running(x: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over each element of a column of int arrays and all before it. A fold that appends copies what it has; here it
+    appends to BLOCK elements at most, and once to the blocks' own values. x should be a plain column, as it's read often."""
+
+    def fold(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, y: F.struct(op(acc["at"], y).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], y))).alias("out"))
+        return F.aggregate(part, first, step, lambda acc: acc["out"])
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / BLOCK).cast("int") - 1, F.lit(0)))
+    totals = F.transform(numbers, lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), op))
+    before = F.concat(F.array(F.lit(0)), fold(totals, F.lit(0)))
+    many = F.flatten(F.zip_with(numbers, F.slice(before, F.lit(1), F.size(numbers)), lambda b, at: fold(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), at)))
+    return F.when(F.size(x) <= BLOCK, fold(x, F.lit(0))).otherwise(many)
+
+
+def add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def lengths(text: Column, lower: Column, kind: str, pattern: str, group: int) -> Column:
+    """Of each match of a pattern, leftmost and without overlap: the code points before it since the last one, its own,
+    and those that must be enough, as (g, l, c). Null where the text has no match."""
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), F.length)
-    lengths = F.transform(whole, F.length)
+    gaps = F.split(text, pattern, -1)
     if group:
         counts = F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length)
     elif kind == "random":
         counts = F.transform(whole, lambda m: F.when(m.rlike(MIXED[0]) & m.rlike(MIXED[1]) & m.rlike(MIXED[2]), F.length(m)).otherwise(0))
     else:
-        counts = lengths
-    steps = F.zip_with(F.arrays_zip(gaps.alias("g"), lengths.alias("l")), counts, lambda x, c: F.struct(x["g"].alias("g"), x["l"].alias("l"), c.alias("c")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        counts = F.transform(whole, F.length)
+    own = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("l"))), counts, lambda x, c: F.struct(x["g"].alias("g"), x["l"].alias("l"), c.alias("c")))
+    maybe = text.rlike(_HEX_RUN if kind == "hex" else _RUN) if kind in ("hex", "random") else reduce(Column.__or__, [F.contains(lower, F.lit(m)) for m in MARKS[kind]])
+    return F.when(maybe, own)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + x["l"]
-        one = F.array(F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(x["c"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def placed(found: Column, ends: Column, kind: str, least: int) -> Column:
+    """From lengths() and their running sums: the matches as (s, k, e); those with too few code points that count are left
+    out."""
+    kept = F.filter(F.arrays_zip(found.alias("f"), ends.alias("e")), lambda x: x["f"]["c"] >= least)
+    spans = F.transform(kept, lambda x: F.struct((x["e"] - x["f"]["l"]).alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))
 
 
 def joined(found: Column) -> Column:
@@ -94,9 +133,13 @@ def link(read: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_assign, n_access, n_hex, base (the base spans, sorted), found (all
     spans, sorted): a row for each row of docs."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    by_kind = {k: spans(text, k, *rest) for k, *rest in (*BASE, *WEAK)}
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), *[c.alias(f"_{k}") for k, c in by_kind.items()])
+    kinds = {k: rest for k, *rest in (*BASE, *WEAK)}
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    read = read.withColumn("_lower", F.lower("_text"))
+    read = read.select("doc_id", "text_key", *[lengths(F.col("_text"), F.col("_lower"), k, p, g).alias(f"_{k}") for k, (p, g, _) in kinds.items()])
+    read = read.withColumns({f"_{k}_len": F.transform(f"_{k}", lambda x: x["g"] + x["l"]) for k in kinds})
+    read = read.withColumns({f"_{k}_end": running(F.col(f"_{k}_len"), add) for k in kinds})
+    read = read.select("doc_id", "text_key", *[placed(F.col(f"_{k}"), F.col(f"_{k}_end"), k, least).alias(f"_{k}") for k, (_, _, least) in kinds.items()])
     read = read.select("doc_id", "text_key", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k, *_ in BASE], F.array_sort(F.concat(*[f"_{k}" for k, *_ in BASE])).alias("base"), F.array_sort(F.concat(*[f"_{k}" for k, *_ in WEAK])).alias("weak"))
     read = cut(read)
     l, r = read.alias("l"), link(read).alias("r")
@@ -105,15 +148,21 @@ def scan(docs: DataFrame) -> DataFrame:
     return both.select("l.doc_id", "l.text_key", *[f"l.n_{k}" for k, *_ in BASE], "l.base", every.alias("found"))
 
 
-def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span of a sorted array replaced by mark; spans that overlap get one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(rows: DataFrame, text: Column, found: Column, mark: str = "[SECRET]") -> DataFrame:
+    """rows and new: text with every span of a sorted array replaced by mark; spans that overlap get one."""
+    rows = rows.withColumn("_chunks", F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    rows = rows.withColumn("_ends", F.transform(found, lambda x: x["e"]))
+    rows = rows.withColumn("_until", running(F.col("_ends"), lambda a, b: F.greatest(a, b)))
+    past = F.slice(F.concat(F.array(F.lit(0)), F.col("_until")), F.lit(1), F.size(found))
+    gaps = F.zip_with(found, past, lambda x, p: F.struct(p.alias("a"), x["s"].alias("b")))
+    rows = rows.withColumn("_gaps", F.concat(F.filter(gaps, lambda g: g["b"] >= g["a"]), F.array(F.struct(F.element_at("_until", -1).alias("a"), F.length(text).alias("b")))))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(text.substr(acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.when(x["s"] >= acc["at"], mark).otherwise(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def piece(g: Column) -> Column:
+        first, last = F.floor(g["a"] / CHUNK).cast("int"), F.floor((g["b"] - 1) / CHUNK).cast("int")
+        held = F.array_join(F.slice(F.col("_chunks"), first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(g["b"] > g["a"], F.substr(held, (g["a"] - first * CHUNK + 1).cast("int"), (g["b"] - g["a"]).cast("int"))).otherwise(F.lit(""))
 
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return rows.withColumn("new", F.array_join(F.transform("_gaps", piece), mark)).drop("_chunks", "_ends", "_until", "_gaps")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -121,8 +170,8 @@ def redact(docs: DataFrame) -> DataFrame:
     found = scan(docs).filter(F.size("found") > 0).select("doc_id", "text_key", "found").dropDuplicates(["doc_id", "text_key"])
     rows = boxed(docs)
     both = rows.join(found, same_document(rows, found), "left").select("row", "found")
-    text = F.when(F.col("found").isNotNull(), redacted(F.col("row.text"), F.col("found"))).otherwise(F.col("row.text"))
-    both = both.select("row", "found", text.alias("new"))
+    some = redacted(both.filter(F.col("found").isNotNull()), F.col("row.text"), F.col("found"))
+    both = some.unionByName(both.filter(F.col("found").isNull()).withColumn("new", F.col("row.text")))
     own = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("found").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
