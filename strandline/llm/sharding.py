@@ -4,18 +4,20 @@ Several metadata columns are quantised, each at its own quantiles, to BITS bits;
 cell on the Hilbert curve, and the order is cut into runs of equal counts. A shard so holds a compact region of the
 metadata space, and a reader that filters on any of the columns skips most files by their minima and maxima.
 
-Numbers are quantised by value, strings by their place among all rows in sorted order, whatever they begin with, so that
-quantised order follows column order; null is below everything. Within a cell the order is by a hash of text and doc_id, so a cell of any size, such as a source with a
-third of all rows or a text with as many copies, is numbered in parts. The counts of two shards differ by at most one (the law `rows`). A null text has size 8 and checksum 0. Extra columns pass by.
+A column is quantised by the place of its values among all rows in sorted order: level k begins at the least value that
+reaches k / levels of the rows with one. So quantised order follows column order, whatever strings begin with; null is below
+everything, and a column that the table lacks is null. Within a cell the order is by a hash of doc_id (null as empty), then
+by one of the text, so a cell of any size, such as a source with a third of all rows or a text with as many copies, is
+numbered in parts. The counts of two shards differ by at most one (the law `rows`). A null text has size 8 and checksum 0.
+Extra columns pass by.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, gapless
+from .common import cut, even, gapless
 
 BITS = 4
 DIMENSIONS = ("source", "lang", "n_chars")
@@ -50,9 +52,9 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
     return out
 
 
-def string_cuts(df: DataFrame, name: str, levels: int) -> list[str]:
-    """The least values that reach each k / levels of the rows with one, k < levels. Distinct values are counted and dealt
-    by range; the driver sees the parts' sizes and the cuts."""
+def cuts(df: DataFrame, name: str, levels: int) -> list:
+    """The least values that reach each k / levels of the rows with one, k < levels, in order. Distinct values are counted
+    and dealt by range; the driver sees the parts' sizes and the cuts."""
     counted = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     dealt = cut(counted.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")))
     total, before = 0, []
@@ -65,47 +67,45 @@ def string_cuts(df: DataFrame, name: str, levels: int) -> list[str]:
     window = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("upto", F.sum("n").over(window)).join(F.broadcast(first), "part").withColumn("upto", F.col("upto") + F.col("before"))
     reached = lambda c: F.floor(c * levels / F.lit(total))
-    return sorted((r["v"] for r in placed.filter(F.least(reached(F.col("upto")), F.lit(levels - 1)) > reached(F.col("upto") - F.col("n"))).select("v").collect()), key=lambda v: v.encode())
+    steps = placed.withColumn("k", F.least(reached(F.col("upto")), F.lit(levels - 1))).filter(F.col("k") > reached(F.col("upto") - F.col("n")))
+    return [r["v"] for r in steps.select("v", "upto").orderBy("upto").collect()]
 
 
 def cells(df: DataFrame, dimensions: tuple[str, ...], bits: int) -> Column:
-    """The number of each row's cell, the first dimension in the highest bits. Reads the quantiles, at most 2^bits - 1
-    values for each dimension, to the driver."""
-    steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    text = [d for d in dimensions if isinstance(df.schema[d].dataType, T.StringType)]
-    number = [d for d in dimensions if d not in text]
-    found = {d: string_cuts(df, d, 1 << bits) for d in text}
-    if number:
-        cuts = df.agg(*[F.percentile_approx(F.col(d).cast("double"), steps, 10_000).alias(f"c{k}") for k, d in enumerate(number)]).first()
-        found |= {d: sorted({float(c) for c in at or []}) for d, at in zip(number, cuts, strict=True)}
+    """The number of each row's cell, the first dimension in the highest bits. Reads the cuts, at most 2^bits - 1 values
+    for each dimension, to the driver."""
     cell = F.lit(0)
     for d in dimensions:
-        x = F.col(d) if d in text else F.col(d).cast("double")
         level = F.lit(0)
-        for c in found[d]:
-            level = level + F.when(x >= F.lit(c), 1).otherwise(0)
+        for c in cuts(df, d, 1 << bits):
+            level = level + F.when(F.col(d) >= F.lit(c).cast(df.schema[d].dataType), 1).otherwise(0)
         cell = cell * (1 << bits) + level
     return cell
 
 
+def curve(n: int, bits: int) -> list[int]:
+    """The place on the curve of each cell of n dimensions, by its number."""
+    return [hilbert_index(tuple(c >> bits * (n - 1 - i) & ((1 << bits) - 1) for i in range(n)), bits) for c in range(1 << bits * n)]
+
+
 def shard(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and 8), text_crc32, hilbert (place on the curve), shard, slot. Cells are
     counted, at most 2^(bits * dimensions) of them; their running sum gives each its first number."""
     spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64("text").alias("_key"), *dimensions)
-    keyed = cut(keyed)
-    n = len(dimensions)
-    curve = [(c, hilbert_index(tuple(c >> bits * (n - 1 - i) & ((1 << bits) - 1) for i in range(n)), bits)) for c in range(1 << bits * n)]
-    placed = keyed.withColumn("_cell", cells(keyed, dimensions, bits)).withColumn("_order", F.xxhash64("_key", "doc_id")).drop(*dimensions)
+    found = [F.col(f"`{d}`") if d in docs.columns else F.lit(None).cast("string") for d in dimensions]
+    names = tuple(f"_d{k}" for k in range(len(dimensions)))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64("text").alias("_key")]
+    keyed = cut(docs.select(*own, *[c.alias(x) for c, x in zip(found, names, strict=True)]))
+    order, spread = even(F.col("doc_id"))
+    placed = keyed.withColumn("_cell", cells(keyed, names, bits)).drop(*names)
     counted = {r["_cell"]: r["c"] for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("c")).toLocalIterator()}
     total, rows = 0, []
-    for c, h in sorted(((c, h) for c, h in curve if c in counted), key=lambda x: x[1]):
+    for c, h in sorted(((c, h) for c, h in enumerate(curve(len(dimensions), bits)) if c in counted), key=lambda x: x[1]):
         rows.append((c, h, total))
         total += counted[c]
     first = spark.createDataFrame(rows, "_cell int, hilbert int, _first long")
-    spread = F.shiftrightunsigned("_order", 11).cast("double") / float(1 << 53)
-    numbered = gapless(placed, ["_cell"], [F.col("_order"), F.col("doc_id"), F.col("_key")], spread, into="_at")
+    numbered = gapless(placed, ["_cell"], [order, F.col("_key")], spread, into="_at")
     # at most 2^(bits * dimensions) rows, 4096 as shipped
     ranked = numbered.join(F.broadcast(first), "_cell").withColumn("_rank", F.col("_first") + F.col("_at"))
     small, larger = divmod(total, shards) if total else (1, 0)
