@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from . import chat_format as cf
+from . import packing as pk
+from . import quality_rules as qr
 from . import secret_scan as ss
+from . import sharding as sh
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"(?:[^\x00-\x7f]|[0-9a-z])+"
@@ -84,4 +87,81 @@ b AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in ss.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN b USING (doc_id)
 """
 
-ORACLES = {"op2_jaccard_join": JACCARD, "op3_secret_scans": SECRETS, "op4_chat_formatting": CHAT, "op5_warc_bundles": WARC, "op10_decontamination": DECONTAMINATION}
+QUALITY = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '{_WORDS}') AS w, string_split(t, chr(10)) AS ls FROM d),
+l AS (SELECT doc_id, source, line, len(regexp_extract_all(line, '{_WORDS}')) AS n,
+  array_to_string(regexp_extract_all(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_WORDS}'), ' ') AS norm FROM (SELECT doc_id, source, unnest(ls) AS line FROM w) WHERE regexp_matches(line, '{_WORDS}')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest(range(0, 3)) AS k) GROUP BY doc_id),
+sets AS (SELECT doc_id, source, list_sort(list(DISTINCT norm)) AS lines FROM l GROUP BY doc_id, source),
+hosts AS (SELECT source, count(DISTINCT lines) AS in_host FROM sets GROUP BY source),
+often AS (SELECT source, norm, count(DISTINCT lines) AS docs FROM (SELECT source, lines, unnest(lines) AS norm FROM sets) GROUP BY source, norm),
+freq AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > greatest({qr.MIN_DOCS}, least({qr.MAX_DOCS}, in_host * {qr.MAX_SHARE}))),
+lost AS (SELECT l.doc_id, CAST(sum(l.n) AS BIGINT) AS n FROM l JOIN freq f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
+r AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_frequent_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_frequent_words >= {qr.MIN_LEFT} * n_words AS kept FROM r
+"""
+
+
+def packed(source: str) -> str:
+    """SQL: the packing of the texts of a relation with doc_id and text."""
+    return f"""
+t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) + 1 AS n FROM {source}),
+h AS (SELECT n, sum(c) OVER o AS rows_, sum(c * n) OVER o AS words_, row_number() OVER o AS j FROM (SELECT n, CAST(count(*) AS BIGINT) AS c FROM t GROUP BY n) WINDOW o AS (ORDER BY n)),
+p AS (SELECT CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS rows_, CAST(0 AS BIGINT) AS words_ UNION ALL SELECT j, n, CAST(rows_ AS BIGINT), CAST(words_ AS BIGINT) FROM h),
+dp AS (SELECT 0 AS k, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS cost, CAST(-1 AS BIGINT) AS came
+  UNION ALL SELECT k, j, x.cost, x.i FROM (SELECT dp.k + 1 AS k, b.j AS j, min({{'cost': dp.cost + b.n * (b.rows_ - a.rows_) - (b.words_ - a.words_), 'i': a.j}}) AS x
+    FROM dp JOIN p a ON a.j = dp.j JOIN p b ON b.j > a.j WHERE dp.k < least({pk.BUCKETS}, (SELECT count(*) FROM h)) GROUP BY dp.k, b.j)),
+back AS (SELECT k, j, came FROM dp WHERE k = least({pk.BUCKETS}, (SELECT count(*) FROM h)) AND j = (SELECT max(j) FROM h) UNION ALL SELECT dp.k, dp.j, dp.came FROM back JOIN dp ON dp.k = back.k - 1 AND dp.j = back.came WHERE back.k > 1),
+e AS (SELECT CAST(back.k - 1 AS INT) AS bucket, p.n AS upto, coalesce(lag(p.n) OVER (ORDER BY back.k), -1) AS above, greatest(1, {pk.PADDED_TOKENS} // p.n) AS size FROM back JOIN p USING (j)),
+a AS (SELECT t.doc_id, t.n, e.bucket, e.upto, e.size, row_number() OVER (PARTITION BY e.bucket ORDER BY md5(CAST(t.doc_id AS VARCHAR)), t.n) - 1 AS pos FROM t JOIN e ON t.n > e.above AND t.n <= e.upto),
+f AS (SELECT bucket, coalesce(sum(batches) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT bucket, max(pos // size) + 1 AS batches FROM a GROUP BY bucket))
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, bucket, CAST(upto AS BIGINT) AS bucket_tokens, CAST(first + pos // size AS BIGINT) AS batch, CAST(pos % size AS BIGINT) AS slot FROM a JOIN f USING (bucket)
+"""
+
+
+PACKING = "WITH RECURSIVE " + packed("documents").lstrip()
+
+
+def _level(name: str) -> str:
+    """SQL: the level of a column among its cuts."""
+    levels = 1 << sh.BITS
+    return f"(SELECT v, sum(c) OVER o AS upto, c, sum(c) OVER () AS total FROM (SELECT {name} AS v, count(*) AS c FROM documents WHERE {name} IS NOT NULL GROUP BY 1) WINDOW o AS (ORDER BY v)) WHERE least(upto * {levels} // total, {levels - 1}) > (upto - c) * {levels} // total"
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+_CELL = " + ".join(f"coalesce(len(list_filter(c{k}, lambda v: v <= {x})), 0) * {1 << sh.BITS * (len(sh.DIMENSIONS) - 1 - k)}" for k, x in enumerate(sh.DIMENSIONS))
+HILBERT = f"""
+WITH tab AS (SELECT {_crc_table()}::BIGINT[] AS crc, {sh.curve(len(sh.DIMENSIONS), sh.BITS)}::INT[] AS curve, {', '.join(f'(SELECT list(v) FROM {_level(x)}) AS c{k}' for k, x in enumerate(sh.DIMENSIONS))}),
+d AS (SELECT doc_id, {', '.join(sh.DIMENSIONS)}, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, strlen(t) + 8 AS size, curve[CAST({_CELL} AS INT) + 1] AS hilbert, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: CAST('0x' || b AS BIGINT))) AS bytes, crc FROM d, tab),
+y AS (SELECT doc_id, size, hilbert, xor(4294967295::BIGINT, list_reduce(bytes, lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INT) + 1]))) AS text_crc32 FROM x),
+r AS (SELECT *, row_number() OVER (ORDER BY hilbert, md5(CAST(doc_id AS VARCHAR))) - 1 AS rnk, count(*) OVER () // 24 AS small, count(*) OVER () % 24 AS larger FROM y)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
+CAST(CASE WHEN rnk < larger * (small + 1) THEN rnk // (small + 1) ELSE larger + (rnk - larger * (small + 1)) // greatest(small, 1) END AS INT) AS shard,
+CAST(CASE WHEN rnk < larger * (small + 1) THEN rnk % (small + 1) ELSE (rnk - larger * (small + 1)) % greatest(small, 1) END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM r
+"""
+
+ORACLES = {
+    "op2_jaccard_join": JACCARD,
+    "op3_secret_scans": SECRETS,
+    "op4_chat_formatting": CHAT,
+    "op5_warc_bundles": WARC,
+    "op6_hilbert_sharding": HILBERT,
+    "op8_quality_rules": QUALITY,
+    "op9_length_packing": PACKING,
+    "op10_decontamination": DECONTAMINATION,
+}
