@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-A conversation becomes one or more windows of whole turns. Prefix sums of the turns' tokens choose the spans: a turn
-belongs to the span of the stride that its first token falls in, a turn longer than a stride stands alone, so that a
-span holds two strides at most unless a single turn is longer. Every window begins with the conversation's system turn;
-every window but the first then repeats the last turns of the span before, as many as fit in the history's tokens. The
-loss mask covers each assistant text where it comes first and nothing that is repeated.
+A conversation becomes one or more windows of whole turns, none above the budget unless a single turn with the system turn
+is. What the budget leaves beside the system turn and the history is the stride, and prefix sums of the turns' tokens choose
+the spans: the turns that lie between two multiples of the stride are a span; one that lies across a multiple joins the span
+before it if both fit in a stride, and is a span of its own if not. Every window begins with the conversation's system turn;
+every window but the first then repeats the last turns of the span before, as many as fit in the history's tokens and in
+what the budget leaves. The loss mask covers each assistant text where it comes first and nothing that is repeated.
 
 Template, for each turn: <|im_start|>role, line feed, text<|im_end|>, line feed. In roles and texts, a backslash becomes
 two and <| becomes <\\|, in roles a line feed gets a backslash before it; so no text can hold a control string, and
@@ -12,8 +13,8 @@ taking the backslashes away restores it.
 
 Turns are ordered by turn (null first), role and text; rows that repeat are turns that repeat. A null role or text is
 empty. conv_id null is a conversation. Only a leading turn with role system counts as the system turn. Nothing is cut from
-a text of any length. Extra columns are ignored. Windows of a long conversation are numbered and grouped separately; what
-meets in one row is a window, and, for the digests of a whole conversation, its texts.
+a text of any length. Extra columns are ignored. Windows of a long conversation are grouped separately; its turns meet in
+one task to be summed in order, a row each, and in one row only for the digests of the whole conversation.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-STRIDE, HISTORY = 1024, 256
+BUDGET, HISTORY = 1280, 256
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -39,22 +40,29 @@ def tokens(text: Column) -> Column:
     return (F.ceil(F.octet_length(text) / 4) + 3).cast("long")
 
 
-def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, n_repeated (leading turns that an earlier window has), formatted, loss (array of (start, length)
     in code points of formatted), n_tokens."""
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    in_order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    whole = Window.partitionBy("conv_id")
+    in_order = whole.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     t = t.withColumn("at", F.row_number().over(in_order)).withColumn("n", tokens(F.col("text")))
     t = t.withColumn("system", (F.col("at") == 1) & (F.col("role") == "system"))
-    by_at = Window.partitionBy("conv_id").orderBy("at")
-    t = t.withColumn("upto", F.sum(F.when(F.col("system"), 0).otherwise(F.col("n"))).over(by_at))
-    t = t.withColumn("begin", F.col("upto") - F.when(F.col("system"), 0).otherwise(F.col("n"))).withColumn("long", F.col("n") > stride)
-    t = t.withColumn("bin", F.floor(F.col("begin") / stride))
+    by_at = whole.orderBy("at")
+    fresh = F.when(F.col("system"), 0).otherwise(F.col("n"))
+    t = t.withColumn("upto", F.sum(fresh).over(by_at)).withColumn("begin", F.col("upto") - fresh)
+    t = t.withColumn("room", F.greatest(budget - F.first(F.col("n") - fresh).over(by_at), F.lit(0)))
+    t = t.withColumn("most", F.least(F.lit(history), F.floor(F.col("room") / 4)))
+    t = t.withColumn("stride", F.greatest(F.col("room") - F.col("most"), F.lit(1))).withColumn("bin", F.floor(F.col("begin") / F.col("stride")))
+    t = t.withColumn("across", ~F.col("system") & (F.floor((F.col("upto") - 1) / F.col("stride")) > F.col("bin")))
+    inside = F.min(F.when(~F.col("system") & ~F.col("across"), F.col("begin"))).over(Window.partitionBy("conv_id", "bin"))
+    t = t.withColumn("alone", F.col("across") & F.coalesce(F.col("upto") - inside > F.col("stride"), F.lit(True)))
     before = lambda c: F.lag(c).over(by_at)
-    new = ~F.coalesce(before("system"), F.lit(True)) & (F.col("long") | before("long") | (F.col("bin") != before("bin")))
+    new = ~F.coalesce(before("system"), F.lit(True)) & (F.col("alone") | (F.col("bin") != before("bin")))
     t = t.withColumn("window", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(by_at))
-    t = t.withColumn("last", F.max("window").over(Window.partitionBy("conv_id"))).withColumn("until", F.max("upto").over(Window.partitionBy("conv_id", "window")))
-    again = ~F.col("system") & (F.col("window") < F.col("last")) & (F.col("until") - F.col("begin") <= history)
+    by_window = whole.orderBy("window")
+    t = t.withColumn("last", F.max("window").over(whole)).withColumn("until", F.max("upto").over(by_window.rangeBetween(0, 0))).withColumn("next", F.max("upto").over(by_window.rangeBetween(1, 1)))
+    again = ~F.col("system") & (F.col("window") < F.col("last")) & (F.col("until") - F.col("begin") <= F.least(F.col("most"), F.col("room") - (F.col("next") - F.col("until"))))
     own = F.array(F.col("window"))
     placed = F.when(F.col("system"), F.sequence(F.lit(0).cast("long"), F.col("last"))).when(again, F.array("window", F.col("window") + 1)).otherwise(own)
     piece = F.concat(F.lit(START), escaped(F.col("role"), role=True), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))

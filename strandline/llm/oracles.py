@@ -45,12 +45,14 @@ CHAT = f"""
 WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{_HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{_HOSTILE}'),
 t1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 3 AS n FROM t0),
 t2 AS (SELECT *, pos = 1 AND role = 'system' AS sys FROM t1),
-t3 AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM t2),
-t4 AS (SELECT *, upto - CASE WHEN sys THEN 0 ELSE n END AS begin_, n > {cf.STRIDE} AS long_, (upto - CASE WHEN sys THEN 0 ELSE n END) // {cf.STRIDE} AS bin FROM t3),
-t5 AS (SELECT *, NOT coalesce(lag(sys) OVER v, true) AND (long_ OR lag(long_) OVER v OR bin <> lag(bin) OVER v) AS new FROM t4 WINDOW v AS (PARTITION BY conv_id ORDER BY pos)),
-t6 AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM t5),
-t7 AS (SELECT *, max(win) OVER (PARTITION BY conv_id) AS last, max(upto) OVER (PARTITION BY conv_id, win) AS until FROM t6),
-t8 AS (SELECT *, CASE WHEN sys THEN last + 1 WHEN win < last AND until - begin_ <= {cf.HISTORY} THEN 2 ELSE 1 END * (length({_ROLE}) + length({_esc('text')}) + {len(cf.START) + len(cf.END) + 2}) AS chars FROM t7)
+t3 AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY pos) AS upto, greatest({cf.BUDGET} - max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id), 0) AS room FROM t2),
+t4 AS (SELECT *, upto - CASE WHEN sys THEN 0 ELSE n END AS begin_, least({cf.HISTORY}, room // 4) AS most, greatest(room - least({cf.HISTORY}, room // 4), 1) AS stride FROM t3),
+t5 AS (SELECT *, begin_ // stride AS bin, NOT sys AND (upto - 1) // stride > begin_ // stride AS across FROM t4),
+t6 AS (SELECT *, across AND coalesce(upto - min(CASE WHEN NOT sys AND NOT across THEN begin_ END) OVER (PARTITION BY conv_id, bin) > stride, true) AS alone FROM t5),
+t7 AS (SELECT *, sum(CASE WHEN NOT coalesce(psys, true) AND (alone OR bin <> pbin) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS win FROM (SELECT *, lag(sys) OVER v AS psys, lag(bin) OVER v AS pbin FROM t6 WINDOW v AS (PARTITION BY conv_id ORDER BY pos))),
+ends AS (SELECT conv_id, win, max(upto) AS until FROM t7 GROUP BY conv_id, win), last AS (SELECT conv_id, max(win) AS last FROM t7 GROUP BY conv_id),
+t8 AS (SELECT t7.*, CASE WHEN sys THEN last + 1 WHEN t7.win < last AND e.until - begin_ <= least(most, room - (f.until - e.until)) THEN 2 ELSE 1 END * (length({_ROLE}) + length({_esc('text')}) + {len(cf.START) + len(cf.END) + 2}) AS chars
+  FROM t7 JOIN last ON t7.conv_id IS NOT DISTINCT FROM last.conv_id JOIN ends e ON t7.conv_id IS NOT DISTINCT FROM e.conv_id AND t7.win = e.win LEFT JOIN ends f ON t7.conv_id IS NOT DISTINCT FROM f.conv_id AND f.win = t7.win + 1)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM t8 GROUP BY conv_id
 """

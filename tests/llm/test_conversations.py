@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,30 @@ def test_round_trip(turns):
     assert got == {c: digest(v) for c, v in ordered().items()}
 
 
+def within(r, turns, system, budget, history):
+    """A window is above the budget only if a single turn is, with the system turn, and then repeats nothing else."""
+    own, again = turns - r.n_repeated - (system and r.window == 0), r.n_repeated - (system and r.window > 0)
+    return r.n_tokens <= budget or own <= 1 and again == 0
+
+
+@pytest.mark.parametrize("budget,history", [(1, 0), (40, 8), (100, 25), (100, 99), (700, 64)])
+def test_budget_bounds_every_window(spark, budget, history):
+    rng = random.Random(budget + history)
+    rows = []
+    for c in range(60):
+        rows += [(c, -1, "system", "s" * rng.choice((0, 30, 200, 900)))] if c % 3 else []
+        rows += [(c, k, rng.choice(("user", "assistant")), "t" * rng.choice((0, 3, 10, 40, 100, 380, 400, 500, 3000))) for k in range(rng.randint(1, 25))]
+    got = cf.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget, history).collect()
+    for r in got:
+        assert within(r, r.formatted.count(cf.START), r.conv_id % 3 > 0, budget, history)
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.conv_id, r.window)):
+        by[r.conv_id].append(r.formatted.count(cf.START) - r.n_repeated)
+    assert {c: sum(v) for c, v in by.items()} == Counter(x[0] for x in rows)
+    # spans are filled: of two that follow one another, one and the next are more than a stride
+    assert budget < 700 or len(got) <= 60 + 2.2 * sum(len(x[3]) / 4 + 3 for x in rows) / (budget - 230 - history)
+
+
 def test_windows(turns):
     rows = defaultdict(list)
     for r in cf.windows(turns).collect():
@@ -57,9 +82,7 @@ def test_windows(turns):
             if system:
                 assert pieces[0].startswith("system\n")
             assert r.n_repeated <= len(pieces) - 1 and (r.window == 0) <= (r.n_repeated == 0)
-            single = len(pieces) - r.n_repeated == 1
-            # a span holds at most two strides, besides the history and the system turn
-            assert single or r.n_tokens <= 2 * cf.STRIDE + cf.HISTORY + 20
+            assert within(r, len(pieces), system, cf.BUDGET, cf.HISTORY)
             masked = "".join(r.formatted[s.start : s.start + s.length] for s in r.loss)
             own = pieces[r.n_repeated :]
             assert masked == "".join(p.split("\n", 1)[1].removesuffix(cf.END + "\n") for p in own if p.startswith("assistant\n"))
