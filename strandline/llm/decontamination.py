@@ -1,16 +1,25 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Finds the test items of which a document holds 80 % or more of the five-word shingles, however long the document is.
-Items are partitioned by their number n of shingles. In the partition of n, an item's sketch is its bottom-k MinHash: the
-k shingles with the smallest hashes, k = floor((1 - threshold) * n) + 1. A document that holds the threshold's share of an
-item misses fewer than k of its shingles, so at least one of the sketch is in it: the sketch misses nothing, at any length
-of the document, and needs no bound on sizes. Documents are scanned once against the sketches of a block of items (a
-table of bits, then a binary search); a hit makes a candidate, and its containment is counted exactly over all shingles.
-
-The items are the query set: they are taken in blocks of a bounded number of shingles, one scan of the documents for each
-block, and a block is all that is ever sent to a task. Words are runs of letters, digits and anything beyond ASCII, in
-lower case. An item of m < 5 words has one shingle, its m words, sought among the runs of m words. Items without a word
-and documents without one match nothing. Rows that repeat give rows that repeat; an item_id may be null.
+
+1. Items are partitioned by size, each partition up to twice the shingles of the one before. A partition has a signature
+   length and a number of hits of its own: an item's signature is its bottom-k MinHash, the k shingles with the smallest
+   hashes, k being what the partition's largest item may miss, (1 - threshold) of its shingles, and HITS more.
+2. A document is probed once, shingle by shingle, against the signatures (a table of bits, then a binary search). A document
+   and an item with fewer signature hits than k less what the item may miss can't reach the threshold, as a document that
+   holds the threshold's share lacks no more than that of any k shingles; the others are candidate pairs.
+3. Of each candidate pair, and no other, the containment is counted exactly over all the item's shingles.
+
+So nothing is missed (recall 1), at any length of the document. The usual form, signatures of the documents in partitions of
+their own sizes, would lose short items: a document a thousand times as long as an item has one of its values among a
+thousand signature values by chance only.
+
+The items are the query set: they are taken in blocks of a bounded number of shingles, with one scan of the documents for
+each block. Where there are several, each block's matches are computed and its broadcast is dropped before the next, so a
+block is all that driver and tasks hold at a time. Words are runs of letters, digits and anything beyond ASCII, in lower
+case. An item of m < 5 words has one shingle, its m words, sought among the runs of m words. Items without a word and
+documents without one match nothing. Rows that repeat, in either table, give rows that repeat; ids may be null. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, lean, same_document
+from .common import boxed, cut, lean, same_document
 
 #: Shingles in a block of items: 16 MB to each task.
 BLOCK_SHINGLES = 1 << 20
+#: Signature values of an item beyond those that a document at the threshold may lack.
+HITS = 4
 _BITS = 22
 
 
@@ -44,60 +55,56 @@ def _sets(n: int):
 
 
 class Block:
-    """A block of items as arrays: all shingles sorted with their items, and the sketches."""
+    """A block of items: their sets, and the signatures of all partitions as one sorted table."""
 
     def __init__(self, ids: list, widths: list[int], sets: list[np.ndarray], threshold: float) -> None:
-        self.ids, self.widths, self.threshold = ids, sorted(set(widths)), threshold
+        self.ids, self.widths, self.threshold, self.sets = ids, sorted(set(widths)), threshold, sets
         self.size = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        values = np.concatenate(sets) if sets else np.empty(0, tk.U64)
+        misses = lambda n: np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
+        self.partition = np.ceil(np.log2(np.maximum(self.size, 1))).astype(np.int64)
+        k = np.minimum(misses(1 << self.partition) + HITS, self.size)
+        #: the signature hits that make a candidate
+        self.need = k - misses(self.size)
+        # sets are sorted by hash, so the first k are the k smallest
+        values = np.concatenate([s[:m] for s, m in zip(sets, k, strict=True)])
+        owner = np.repeat(np.arange(len(sets)), k)
         order = np.argsort(values, kind="stable")
         self.value, self.owner = values[order], owner[order]
-        # sets are sorted by hash, so the first k are the k smallest
-        least = np.floor((1 - threshold) * self.size + 1e-9).astype(np.int64) + 1
-        self.sketch = np.unique(np.concatenate([s[:k] for s, k in zip(sets, least, strict=True)]) if sets else values)
-        self.bits = self._table(self.sketch)
-        self.all_bits = self._table(self.value)
-
-    @staticmethod
-    def _table(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << _BITS, bool)
-        out[values >> tk.U64(64 - _BITS)] = True
-        return out
-
-    @staticmethod
-    def among(values: np.ndarray, table: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """Where values are among the sorted table."""
-        maybe = np.flatnonzero(bits[values >> tk.U64(64 - _BITS)])
-        at = np.minimum(np.searchsorted(table, values[maybe]), len(table) - 1)
-        return maybe[table[at] == values[maybe]]
+        self.bits = np.zeros(1 << _BITS, bool)
+        self.bits[values >> tk.U64(64 - _BITS)] = True
+
+    def candidates(self, found: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of text and item with enough signature hits, of all shingles of a slice and their texts."""
+        maybe = np.flatnonzero(self.bits[found >> tk.U64(64 - _BITS)])
+        at = np.minimum(np.searchsorted(self.value, found[maybe]), len(self.value) - 1)
+        maybe = maybe[self.value[at] == found[maybe]]
+        if not len(maybe):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        order = maybe[np.lexsort((found[maybe], owner[maybe]))]
+        value, text = found[order], owner[order]
+        new = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))  # a shingle counts once in a text
+        value, text = value[new], text[new]
+        a, b = np.searchsorted(self.value, value), np.searchsorted(self.value, value, side="right")
+        item = self.owner[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())]
+        pair, hits = np.unique(np.repeat(text, b - a) * len(self.ids) + item, return_counts=True)
+        text, item = pair // len(self.ids), pair % len(self.ids)
+        enough = hits >= self.need[item]
+        return text[enough], item[enough]
 
     def search(self, part: tk.Texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, item and number of shared shingles of each match."""
         w = tk.words(part, tk.NOT_ALNUM)
-        found, owner = [], []
-        for width in self.widths:
-            f, o = tk.shingles(w, n, whole=False) if width == n else short_runs(w, width)
-            found.append(f)
-            owner.append(o)
-        found, owner = np.concatenate(found), np.concatenate(owner)
-        candidate = np.zeros(len(part), bool)
-        candidate[owner[self.among(found, self.sketch, self.bits)]] = True
-        mine = candidate[owner]
-        found, owner = found[mine], owner[mine]
-        hit = self.among(found, self.value, self.all_bits)
-        found, owner = found[hit], owner[hit]
-        if not len(found):
-            return (np.empty(0, np.int64),) * 3
-        order = np.lexsort((found, owner))
-        found, owner = found[order], owner[order]
-        new = np.append(True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1]))
-        found, owner = found[new], owner[new]
-        a, b = np.searchsorted(self.value, found), np.searchsorted(self.value, found, side="right")
-        text = np.repeat(owner, b - a)
-        item = self.owner[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())]
-        pair, shared = np.unique(text * len(self.ids) + item, return_counts=True)
-        text, item = pair // len(self.ids), pair % len(self.ids)
+        runs = [tk.shingles(w, n, whole=False) if width == n else short_runs(w, width) for width in self.widths]
+        found, owner = (np.concatenate(x) for x in zip(*runs, strict=True))
+        text, item = self.candidates(found, owner)
+        shared = np.zeros(len(text), np.int64)
+        wanted = np.isin(owner, text)
+        found, owner = found[wanted], owner[wanted]
+        for t in np.unique(text):
+            mine = np.sort(found[owner == t])
+            for p in np.flatnonzero(text == t):
+                want = self.sets[item[p]]
+                shared[p] = (mine[np.minimum(np.searchsorted(mine, want), len(mine) - 1)] == want).sum()
         enough = shared >= self.threshold * self.size[item] - 1e-9
         return text[enough], item[enough], shared[enough]
 
@@ -121,32 +128,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_sets(n), "item_id long, width int, shingles array<bigint>").filter("width > 0")
     total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     blocks = max(1, -(-total // block_shingles))
-    items = items.withColumn("_block", F.lit(0) if blocks == 1 else F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)).cast("int"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    if blocks > 1:
+        items = cut(items)
+    kinds = "doc_id long, text_key long, item_id long, n_shared long, n_item long, containment double"
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     out = []
     for k in range(blocks):
-        held = items.filter(F.col("_block") == k).orderBy(F.size("shingles")).toArrow()
-        sets = [np.sort(np.array(x, np.int64).view(tk.U64)) for x in held.column("shingles").to_pylist()]
-        block = spark.sparkContext.broadcast(Block(held.column("item_id").to_pylist(), held.column("width").to_pylist(), sets, threshold)) if sets else None
-        if block is None:
+        held = items.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == k).toArrow()
+        if not held.num_rows:
             continue
+        sets = [np.sort(np.array(x, np.int64).view(tk.U64)) for x in held.column("shingles").to_pylist()]
+        block = spark.sparkContext.broadcast(Block(held.column("item_id").to_pylist(), held.column("width").to_pylist(), sets, threshold))
+        found = narrow.mapInArrow(_scan(block, n), kinds)
+        if blocks > 1:
+            found = cut(found)
+            block.destroy()
+        out.append(found)
+    return reduce(DataFrame.unionByName, out) if out else narrow.mapInArrow(_nothing, kinds)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            own = block.value
-            ids = pa.array(own.ids, pa.int64())
-            for batch in batches:
-                for a, part in tk.texts_of(batch.column("text"), lower=True).slices():
-                    text, item, shared = own.search(part, n)
-                    size = own.size[item]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(text + a)), batch.column("text_key").take(pa.array(text + a)), ids.take(pa.array(item)), pa.array(shared.astype(np.int64)), pa.array(size), pa.array(shared / np.maximum(size, 1))],
-                        ["doc_id", "text_key", "item_id", "n_shared", "n_item", "containment"],
-                    )
-
-        out.append(narrow.mapInArrow(run, "doc_id long, text_key long, item_id long, n_shared long, n_item long, containment double"))
-    if not out:
-        return narrow.select("doc_id", "text_key", F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item"), F.lit(0.0).alias("containment")).filter("false")
-    return reduce(DataFrame.unionByName, out)
+
+def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return iter(())
+
+
+def _scan(block, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = block.value
+        ids = pa.array(own.ids, pa.int64())
+        for batch in batches:
+            for a, part in tk.texts_of(batch.column("text"), lower=True).slices():
+                text, item, shared = own.search(part, n)
+                at, size = pa.array(text + a), own.size[item]
+                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), ids.take(pa.array(item)), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "item_id", "n_shared", "n_item", "containment"])
+
+    return run
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

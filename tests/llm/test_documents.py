@@ -254,6 +254,29 @@ def test_decontamination_of_real_documents(spark, real):
     assert decontamination.contaminated(real, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_sizes(spark):
+    """Items of every size, held in part by documents far longer; columns that clash, rows that repeat, ids that are null."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 5, 6, 9, 12, 17, 33, 60, 130, 300]
+    items = [(100 + k, prose(3000 + k, n)) for k, n in enumerate(sizes)] + [(None, prose(2999, 20)), (7, prose(3005, 12)), (8, "?!"), (9, None)]
+    rows = []
+    for k, (_, t) in enumerate(items):
+        for share in (0.5, 0.75, 0.85, 1.0):
+            w = (t or "").split(" ")
+            w = w[: max(1, int(len(w) * share))] if k % 2 else [x if rng.random() < 0.9 + share / 10 else "gone" for x in w]
+            rows.append((len(rows), f"{prose(5000 + k, 700)} {' '.join(w)} {prose(6000 + k, 900)}", "en", "s", 1))
+    rows += [rows[3]] * 2 + [(None, rows[7][1], None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"item_id": F.lit("x"), "shingles": F.lit(1), "width": F.lit(0), "containment": F.lit(0)})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"doc_id": F.lit(1), "shingles": F.lit("s"), "lang": F.lit("en")})
+    want = leaks_brute([(k, t) for k, (_, t, *_) in enumerate(rows)], list(enumerate(t for _, t in items)))
+    ids = Counter((rows[d][0], items[i][0]) for d, i in want)
+    for block in (1 << 20, 150):
+        got = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, block_shingles=block).collect())
+        assert got == ids and len(ids) > 20
+    clean = decontamination.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in ids}
+
+
 PATTERNS = [
     ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
