@@ -1,17 +1,22 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines, and runs of lines, around licensing words. Each is compressed plain
-and with every template as a raw Zstandard dictionary; the share of bytes that the dictionary saves ranks the templates, and
-decides nothing else, as it depends on the prose around a notice. All ranked templates are then held against the block
-word by word: a template is confirmed when the words that tell it from its kin are there, in their places, no word that
-belongs to another license has come in between, and at least
-MIN_MATCH of its words are matched. Among the confirmed the one with the most matched and fewest differing words wins, its
-own part of the block and its exact wording differences are reported, and what is left of the block before and after that
-part is searched again. Where a notice names several licenses at once, each name is reported.
-
-Positions count code points in the whole text, the end is exclusive. A null or empty text has no block. A line of any
-length is cut around each of its licensing words, never at a fixed prefix; what lies in several blocks is reported once, a
-notice over several lines too, be it long or short. Rows that repeat give rows that repeat; doc_id may be null.
+Blocks of words around licensing words are compressed plain and with each template as a raw Zstandard dictionary. What a
+dictionary saves, squared and divided by the template's size, ranks the templates: one that is in the block as a whole goes
+before one that shares a phrase with it. The RANKED best, and no others, are held against the block word by word. A template
+is confirmed when the words that tell it from its kin are there, in their places, no word that belongs to another license has
+come in between, and at least MIN_MATCH of its words are matched; a template that is a name only must fill its line. Among the
+confirmed the one with the most matched and fewest differing words wins (of equals the better ranked, then the earlier in the
+list), its own part of the block and its exact wording differences are reported, and what is left of the block before and
+after that part is ranked and searched again. Where a notice names several licenses at once, each name is reported.
+
+Templates are made by rule from identifiers and names (FORMS), and are whole texts or the opening passages of licenses.
+Words are compared in one spelling: lower case, licence as license, "version" and "v" left out, 2.0 as 2, a + after a number
+as "later". A block reaches as far from its licensing word as the longest template of its kind is long, and half as far again
+for whole texts, twice as far for notices; so no notice is longer than its block's room for it, over any number of line ends.
+
+Positions count code points in the whole text, the end is exclusive. A null or empty text has no block. What lies in several
+blocks is reported once. Rows that repeat give rows that repeat; doc_id may be null; extra columns are ignored. Blocks
+overlap only by their reach, so the cost grows with the text.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,49 +36,76 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-#: License, words that must be matched, usual wording of its notice.
-TEMPLATES = (
-    ("MIT", "mit license", "Released under the MIT License."),
-    ("MIT", "mit license", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "mit", "SPDX-License-Identifier: MIT"),
+#: Identifier of a license, its names, and the words of each that must be matched.
+LICENSED = (
+    ("MIT", ("MIT License", "mit license")),
+    ("Apache-2.0", ("Apache License, Version 2.0", "apache 2"), ("Apache 2.0 license", "apache 2"), ("Apache Software License 2.0", "apache 2")),
+    ("GPL-3.0", ("GNU General Public License, version 3", "gnu general 3"), ("GNU GPL version 3", "gpl 3"), ("GPL version 3 license", "gpl 3")),
+    ("GPL-3.0-or-later", ("GNU General Public License, version 3 or any later version", "gnu general 3 later"), ("GPL version 3 or later", "gpl 3 later")),
+    ("GPL-2.0", ("GNU General Public License, version 2", "gnu general 2"), ("GNU GPL version 2", "gpl 2"), ("GPL version 2 license", "gpl 2")),
+    ("GPL-2.0-or-later", ("GNU General Public License, version 2 or any later version", "gnu general 2 later"), ("GPL version 2 or later", "gpl 2 later")),
+    ("LGPL-3.0", ("GNU Lesser General Public License, version 3", "gnu lesser 3"), ("GNU LGPL version 3", "lgpl 3"), ("LGPL version 3 license", "lgpl 3")),
+    ("LGPL-2.1", ("GNU Lesser General Public License, version 2.1", "gnu lesser 2.1"), ("GNU LGPL version 2.1", "lgpl 2.1"), ("LGPL version 2.1 license", "lgpl 2.1")),
+    ("AGPL-3.0", ("GNU Affero General Public License, version 3", "gnu affero 3"), ("GNU AGPL version 3", "agpl 3"), ("AGPL version 3 license", "agpl 3")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "bsd 3"), ("3-Clause BSD License", "bsd 3"), ("New BSD License", "new bsd")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "bsd 2"), ("2-Clause BSD License", "bsd 2"), ("Simplified BSD License", "simplified bsd")),
+    ("ISC", ("ISC License", "isc license")),
+    ("MPL-2.0", ("Mozilla Public License, v. 2.0", "mozilla 2"), ("MPL 2.0 license", "mpl 2")),
+    ("EPL-2.0", ("Eclipse Public License 2.0", "eclipse 2"), ("EPL 2.0 license", "epl 2")),
+    ("BSL-1.0", ("Boost Software License, Version 1.0", "boost 1")),
+    ("Artistic-2.0", ("Artistic License 2.0", "artistic 2")),
+    ("Zlib", ("zlib License", "zlib license")),
+    ("WTFPL", ("Do What The Fuck You Want To Public License", "fuck want public")),
+    ("Unlicense", ("Unlicense", "unlicense")),
+    ("CC-BY-4.0", ("CC BY 4.0", "cc by 4"), ("Creative Commons Attribution 4.0 International License", "creative attribution 4")),
+    ("CC-BY-SA-4.0", ("CC BY-SA 4.0", "cc by sa 4"), ("Creative Commons Attribution-ShareAlike 4.0 International License", "creative attribution sharealike 4")),
+    ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "cc by nc 4"), ("Creative Commons Attribution-NonCommercial 4.0 International License", "creative attribution noncommercial 4")),
+    ("CC-BY-ND-4.0", ("CC BY-ND 4.0", "cc by nd 4"), ("Creative Commons Attribution-NoDerivatives 4.0 International License", "creative attribution noderivatives 4")),
+    ("CC-BY-NC-SA-4.0", ("CC BY-NC-SA 4.0", "cc by nc sa 4"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "creative attribution noncommercial sharealike 4")),
+    ("CC0-1.0", ("CC0 1.0 Universal", "cc 0 1"), ("CC0", "cc 0")),
+)
+#: The usual wording around a name. The last is the name alone, on a line of its own.
+FORMS = ("Licensed under the {}.", "This work is licensed under the terms of the {}.", "Released under the {}.", "Distributed under {}.", "This project is under {}.", "{}")
+#: License, words that must be matched, whole text or opening passage.
+TEXTS = (
     ("MIT", "permission granted free charge sublicense", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "apache 2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "gnu general 3", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "gpl 3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("MIT", "permission granted free charge sublicense warranty merchantability", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "apache 2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "apache 2 warranties", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "apache 2 terms conditions definitions", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("GPL-3.0", "gnu general 3 preamble", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL-2.0", "gnu general 2 preamble", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it."),
     ("GPL-3.0-or-later", "gnu general 3 later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "gnu general 2", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0-or-later", "gnu general 2 later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "gnu lesser 3", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("LGPL-2.1", "gnu lesser 2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("AGPL-3.0", "gnu affero 3", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "bsd 3", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "bsd 2", "Licensed under the BSD 2-Clause License."),
+    ("GPL-2.0", "gnu general 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-3.0-or-later", "gnu lesser 3 later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "gnu lesser 2.1 later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "gnu affero 3 later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD", "redistribution source binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "isc license", "Licensed under the ISC License."),
+    ("BSD-2-Clause", "redistribution source binary redistributions disclaimer", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("BSD-3-Clause", "redistribution source binary redistributions disclaimer neither endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
     ("ISC", "permission use copy modify fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("EPL-2.0", "eclipse 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
-    ("CC-BY-4.0", "cc by 4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "cc by sa 4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "cc by nc 4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "cc by nd 4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "cc by nc sa 4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-4.0", "creative attribution 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "creative attribution sharealike 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "cc0 1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("Zlib", "as-is express implied misrepresented", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("BSL-1.0", "permission granted free charge display execute", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("MPL-2.0", "mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "mozilla 2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "eclipse 2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Artistic-2.0", "artistic 2", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License version 2.0."),
+    ("CC0-1.0", "cc 0 1 dedicated", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "free unencumbered public domain", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "free unencumbered public domain anyone", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 #: Words that tell one license from another; none may stand in a block's aligned part that the template lacks.
-TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser library affero general bsd isc mozilla mpl eclipse epl cc cc0 creative by sa nc nd attribution sharealike noncommercial noderivatives not no".split())
-ANCHOR = r"(?i)licen[sc]e|spdx|public domain|permission (?:is hereby|to use)|redistribution and use|creative commons|\bcc[ -](?:by|0)|free software"
+TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser library affero general bsd isc mozilla mpl eclipse epl boost artistic zlib unlicense cc creative by sa nc nd attribution sharealike noncommercial noderivatives not no".split())
+ANCHOR = r"(?i)licen[sc]|spdx|public\W+domain|permission\W+(?:is|to)\b|redistribution\W+and\W+use|creative\W+commons|\bcc[ -]?(?:by|0)|free\W+software|unencumbered|source\W+code\W+form|\b[al]?gpl|express\W+or\W+implied"
+#: Words without one of which no template is confirmed, in one spelling.
+_MARKS = frozenset("license licensed unlicense spdx domain permission redistribution commons cc free unencumbered gpl lgpl agpl source express".split())
 MIN_MATCH = 0.6
-SIDE = 400
+RANKED = 12
 
 _anchor = re.compile(ANCHOR)
-_word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_ascii_word = re.compile(r"[a-zA-Z0-9]+(?:\.[0-9]+)*")
+_token = re.compile(r"[a-z]+(?:-is\b)?|[0-9]+(?:\.[0-9]+)*\+?")
+_spelling = {"licence": "license", "licenced": "licensed", "licences": "license", "licenses": "license", "gplv": "gpl", "lgplv": "lgpl", "agplv": "agpl", "mplv": "mpl", "v": "", "version": "", "ver": ""}
 
 _V = r"(?:,?[ -](?:v(?:ersion)?\.?[ ]?)?|[ -]?v)"
 _L = r"Public\s+License"
@@ -102,71 +135,93 @@ _under = re.compile(r"(?i)\b(?:under|SPDX-License-Identifier:)(?:\s+(?:either|bo
 _more = re.compile(r"(?i)(?:\s*[,;/|]\s*(?:(?:and/or|and|or)\s+)?|\s+(?:and/or|and|or)\s+)(?:under\s+)?(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?")
 
 
-def wording(text: str) -> list[str]:
-    return _word.findall(text.lower())
+
+
+def wording(text: str, at: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """The words of a part of a lower-case text in one spelling, with their bounds."""
+    for m in _token.finditer(text, at, len(text) if end is None else end):
+        w = m.group()
+        later = w[-1] == "+"
+        w = w.rstrip("+")
+        while w.endswith(".0"):
+            w = w[:-2]
+        w = _spelling.get(w, w)
+        if w:
+            yield w, m.start(), m.end() - later
+        if later:
+            yield "later", m.end() - 1, m.end()
 
 
 class _Template:
-    def __init__(self, name: str, needs: str, text: str) -> None:
-        self.name, self.needs, self.words = name, set(needs.split()), wording(text)
-        held = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zip = zstandard.ZstdCompressor(level=9, dict_data=held, write_content_size=False)
+    def __init__(self, name: str, needs: str, text: str, alone: bool = False) -> None:
+        self.name, self.needs, self.alone = name, set(needs.split()), alone
+        self.words = [w for w, _, _ in wording(text.lower())]
+        held = " ".join(self.words).encode()
+        self.size = len(held)
+        dictionary = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.zip = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False)
+
+
+def notices() -> list[tuple[str, str, str, bool]]:
+    """License, needed words, wording and whether it must fill its line, of the templates made by rule."""
+    out = []
+    for name, *told in LICENSED:
+        words = " ".join(w for w, _, _ in wording(name.lower()))
+        out.append((name, f"spdx {words}", f"SPDX-License-Identifier: {name}", False))
+        out += [(name, needs, form.format(x), form == FORMS[-1]) for x, needs in told for form in FORMS]
+    return out
 
 
 @lru_cache(1)
-def templates() -> list[_Template]:
-    return [_Template(*t) for t in TEMPLATES]
+def templates() -> tuple[list[_Template], list[_Template]]:
+    """Those of notices, and whole texts."""
+    return [_Template(*t) for t in notices()], [_Template(*t) for t in TEXTS]
+
+
+def reach(long: bool) -> int:
+    most = max(len(t.words) for t in templates()[long])
+    return most + most // 2 if long else 2 * most
 
 
-def lines(text: str) -> list[tuple[int, int]]:
-    """Bounds of the lines with licensing words, in order, long ones cut around these. A licensing word that lies in the
-    block before with SIDE after it has none of its own, so blocks are no more than the text has room for."""
-    out: list[tuple[int, int]] = []
+def blocks(text: str, n: int) -> Iterator[list[tuple[str, int, int]]]:
+    """The words around each licensing word of a lower-case text, n before it and n to 2 n after it; a licensing word that
+    has n words after it in the block before, or all of the text, has no block of its own."""
+    upto = -1
     for m in _anchor.finditer(text):
-        if out and m.end() <= out[-1][1] and (m.end() + SIDE <= out[-1][1] or text[out[-1][1] : out[-1][1] + 1] in ("", "\n")):
+        if m.start() <= upto:
             continue
-        a = text.rfind("\n", max(0, m.start() - SIDE), m.start()) + 1
-        if not a and m.start() > SIDE:
-            a = m.start() - SIDE
-            a = next((k + 1 for k in range(a, m.start()) if text[k].isspace()), a)
-        b = text.find("\n", m.end(), m.end() + 2 * SIDE)
-        if b < 0:
-            b = len(text) if len(text) <= m.end() + 2 * SIDE else next((k for k in range(m.end() + 2 * SIDE, m.end(), -1) if text[k].isspace()), m.end() + 2 * SIDE)
-        out.append((a, b))
-    return out
+        start = m.start()
+        while start and text[start - 1].isalpha():  # a licensing word may end a longer one
+            start -= 1
+        after = list(islice(wording(text, start), 2 * n))
+        upto = after[n][1] if len(after) == 2 * n else len(text)
+        far = 8 * n
+        while True:
+            low = max(0, start - far)
+            before = list(wording(text, low, start))
+            if not low or len(before) > n:
+                break
+            far *= 4
+        yield [*before[-n:], *after]
 
 
-def runs(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """For notices that go over several lines: each line with the lines after and before it, as far as four sides."""
-    out = []
-    for a, b in found:
-        if out and out[-1][0] <= a and (b + SIDE <= out[-1][1] or b <= out[-1][1] and text[out[-1][1] : out[-1][1] + 2] in ("", "\n", "\n\n")):
-            continue
-        low = text.rfind("\n\n", max(0, a - SIDE), a)
-        low = low + 2 if low >= 0 else (0 if a <= SIDE else a - SIDE)
-        high = text.find("\n\n", b, b + 4 * SIDE)
-        high = high if high >= 0 else min(len(text), b + 4 * SIDE)
-        if (low, high) != (a, b):
-            out.append((low, high))
-    return out
+_plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
-def ranked(block: str, words: list[str]) -> list[tuple[float, _Template]]:
-    """The templates whose needed words are there and the share of bytes that each saves, best first."""
-    have = set(words)
-    fit = [t for t in templates() if t.needs <= have]
-    if not fit:
-        return []
-    data = block.lower().encode()
-    plain = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(data))
-    saved = [(1 - len(t.zip.compress(data)) / plain, t) for t in fit]
-    return sorted(saved, key=lambda x: -x[0])
+def ranked(words: list[str], among: list[_Template]) -> list[tuple[float, _Template]]:
+    """The templates whose dictionaries save most for their size, and the share of bytes that each saves, best first."""
+    data = " ".join(words).encode()
+    plain = len(_plain.compress(data))
+    saved = ((plain - len(t.zip.compress(data)), t) for t in among)
+    best = sorted(((x * x / t.size, x / plain, t) for x, t in saved if x > 0), key=lambda x: -x[0])
+    return [(share, t) for _, share, t in best[:RANKED]]
 
 
-def compare(t: _Template, words: list[str]) -> tuple[int, int, list[str], int, int] | None:
+def compare(t: _Template, match: SequenceMatcher, words: list[str]) -> tuple[int, int, list[str], int, int] | None:
     """Matched words, differing words, the differences and the bounds of the part of the block that lines up best with the
     template; None if no part is this license."""
-    ops = SequenceMatcher(None, t.words, words, autojunk=False).get_opcodes()
+    match.set_seq1(t.words)
+    ops = match.get_opcodes()
     equal = [k for k, op in enumerate(ops) if op[0] == "equal"]
     best = None
     for x, first in enumerate(equal):
@@ -191,52 +246,67 @@ def compare(t: _Template, words: list[str]) -> tuple[int, int, list[str], int, i
     return best
 
 
-@lru_cache(4096)
-def identify(block: str) -> list[tuple[int, int, int, str, float, int, str]]:
-    """Score (matched less twice the differing words), bounds, license, share saved, differing words and differences of each confirmed notice of a block; none overlaps
-    another."""
-    places = [m.span() for m in _word.finditer(block.lower())] if len(block.lower()) == len(block) else [m.span() for m in _ascii_word.finditer(block)]
-    words = [block[a:b].lower() for a, b in places]
-    rank = ranked(block, words)
-    out, parts = [], [(0, len(words))] if rank else []
+def identify(text: str, block: list[tuple[str, int, int]], long: bool) -> list[tuple[int, int, int, str, float, int, str]]:
+    """Score (matched less twice the differing words), bounds, license, share saved, differing words and differences of
+    each confirmed notice of a block; none overlaps another."""
+    out, parts = [], [(0, len(block))]
     while parts:
         low, high = parts.pop()
+        words = [w for w, _, _ in block[low:high]]
+        if not _MARKS & set(words):
+            continue
+        match = SequenceMatcher(None, "", words, autojunk=False)
         best = None
-        for saved, t in rank:
-            if t.needs <= set(words[low:high]) and (found := compare(t, words[low:high])):
-                same, other, told, c, d = found
-                if best is None or (same - 2 * other) > best[0]:
-                    best = (same - 2 * other, low + c, low + d, (t.name, saved, other, "; ".join(told)))
+        for saved, t in ranked(words, templates()[long]):
+            if not t.needs <= set(words) or not (found := compare(t, match, words)):
+                continue
+            same, other, told, c, d = found
+            if t.alone and not _fills_line(text, block, low + c, low + d):
+                continue
+            if best is None or same - 2 * other > best[0]:
+                best = (same - 2 * other, low + c, low + d, (t.name, saved, other, "; ".join(told)))
         if best:
             score, c, d, hit = best
-            out.append((score, places[c][0], places[d - 1][1], *hit))
+            out.append((score, block[c][1], block[d - 1][2], *hit))
             parts += [(low, c), (d, high)]
     return out
 
 
-def listed(block: str) -> list[tuple[int, int, int, str, float, int, str]]:
+def _fills_line(text: str, block: list[tuple[str, int, int]], c: int, d: int) -> bool:
+    """Whether the lines of a part of a block have two other words at most."""
+    a = text.rfind("\n", 0, block[c][1]) + 1
+    b = text.find("\n", block[d - 1][2])
+    around = (*wording(text, a, block[c][1]), *islice(wording(text, block[d - 1][2], len(text) if b < 0 else b), 3))
+    return len(around) <= 2
+
+
+def listed(text: str) -> list[tuple[int, int, int, str, float, int, str]]:
     """The licenses of a notice that names several at once ("under either of A or B"), with no difference in wording."""
     out = []
-    for m in _under.finditer(block):
+    for m in _under.finditer(text):
         at, hits = m.end(), []
-        while name := _name.match(block, at):
+        while name := _name.match(text, at):
             hits.append((name.start(), name.end(), NAMED[name.lastindex - 1][0]))
-            more = _more.match(block, name.end())
+            more = _more.match(text, name.end())
             if not more:
                 break
             at = more.end()
         if len(hits) > 1:
-            data = block.lower().encode()
-            plain = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(data))
-            out += [(0, a, b, x, max(1 - len(t.zip.compress(data)) / plain for t in templates() if t.name == x), 0, "") for a, b, x in hits]
+            words = [w for w, _, _ in wording(text[m.start() : hits[-1][1]].lower())]
+            plain = len(_plain.compress(" ".join(words).encode()))
+            saved = {x: max(plain - len(t.zip.compress(" ".join(words).encode())) for t in templates()[0] if t.name == x) / plain for *_, x in hits}
+            out += [(0, a, b, x, saved[x], 0, "") for a, b, x in hits]
     return out
 
 
 def licenses(text: str) -> list[tuple[int, int, str, float, int, str]]:
-    found = lines(text)
-    over = runs(text, found)
-    hits = {(-score, a + x, a + y, *hit) for blocks, find in ((found, identify), (over, identify), ([*found, *over], listed)) for a, b in blocks for score, x, y, *hit in find(text[a:b])}
-    out: list[tuple[int, int, str, float, int, str]] = []  # in order, none overlaps another
+    """Bounds, license, share saved, differing words and differences of each notice, in order; none overlaps another."""
+    lower = text.lower()
+    if len(lower) != len(text):  # a few letters have longer lower cases; ASCII has the licensing words
+        lower = "".join(c.lower() if c.isascii() else c for c in text)
+    hits = {(-score, *hit) for long in (False, True) for block in blocks(lower, reach(long)) for score, *hit in identify(lower, block, long)}
+    hits |= {(-score, *hit) for score, *hit in listed(text)}
+    out: list[tuple[int, int, str, float, int, str]] = []
     # a block may end within a notice that another block holds whole, so the best go first
     for _, a, b, *hit in sorted(hits):
         k = bisect_left(out, (a, b))

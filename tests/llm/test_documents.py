@@ -389,7 +389,7 @@ def test_sharding_of_long_names(spark):
 
 
 def test_license_scan(spark):
-    full = license_scan.TEMPLATES[3][2]
+    full = license_scan.TEXTS[0][2]
     texts = {
         1: "Intro line.\nReleased under the MIT License.\nMore.",
         2: "Licensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3.",
@@ -436,13 +436,60 @@ def test_several_licenses_of_a_block():
         got = license_scan.licenses(text)
         assert {x[2] for x in got} == names and len(got) == len(names), text
         assert all(p[1] <= q[0] for p, q in zip(got, got[1:])), text
-    notices = [(t, name) for name, _, t in license_scan.TEMPLATES if name != "CC-BY-ND-4.0"]
+    notices = [(t, name) for name, _, t, alone in license_scan.notices() if not alone]
     text = " ".join(f"{letters(k, 40)}. {t}" for k, (t, _) in enumerate(notices))
     got = license_scan.licenses(text)
     assert [x[2] for x in got] == [name for _, name in notices]
     assert all(text[x[0] : x[1]] in t and x[4] == 0 for x, (t, _) in zip(got, notices, strict=True))
 
 
+def test_usual_notices():
+    cases = {
+        "CC0 1.0 Universal.": "CC0-1.0", "Distributed under CC0.": "CC0-1.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "This project is under GPL version 3 license": "GPL-3.0",
+        "You may use it under the Artistic License 2.0.": "Artistic-2.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "Licensed under GPLv3+": "GPL-3.0-or-later", "Released under the 3-clause BSD licence": "BSD-3-Clause",
+    }
+    for notice, name in cases.items():
+        for text in (notice, f"{letters(1, 400)}\n{notice}\n{letters(2, 400)}", f"# {notice.upper()}"):
+            assert [x[2] for x in license_scan.licenses(text)] == [name], text
+
+
+def test_whole_texts_of_any_layout():
+    """Notices of hundreds of words over many lines, with marks of comments between, are compared as a whole."""
+    for name, _, text in license_scan.TEXTS:
+        words = text.split(" ")
+        for width, mark in ((8, "\n * "), (1, "\n//        "), (40, "\n\n")):
+            told = mark.join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+            got = license_scan.licenses(f"{letters(1, 50)}\n{told}\n{letters(2, 50)}")
+            assert max(got, key=lambda x: x[1] - x[0])[2] == name and max(x[1] - x[0] for x in got) >= len(told) - 24, (name, width)
+    got = license_scan.licenses(license_scan.TEXTS[15][2].replace("specific", "express"))
+    assert [(x[2], x[4], x[5]) for x in got] == [("BSD-3-Clause", 1, "-specific +express")]
+
+
+def test_ranking_decides(monkeypatch):
+    """The ranked templates hold the one that wording confirms among all; with compression out of play, others come out."""
+    rng = np.random.default_rng(3)
+    everything = [x[:3] for x in license_scan.notices() if not x[3]] + list(license_scan.TEXTS)
+    texts = []
+    for k in range(60):
+        words = everything[int(rng.integers(len(everything)))][2].split(" ")
+        at = int(rng.integers(len(words)))
+        words[at:at] = [["", "hereby", "fully", "our"][k % 4]]
+        texts.append(f"{letters(k, 60)} {' '.join(words)} {letters(100 + k, 60)}")
+    told = lambda: [[x[:3] for x in license_scan.licenses(t)] for t in texts]
+    found = told()
+    monkeypatch.setattr(license_scan, "RANKED", 10_000)
+    assert told() == found and all(found)
+    monkeypatch.setattr(license_scan, "ranked", lambda words, among: [(0.5, t) for t in among[:12]])
+    assert sum(a != b for a, b in zip(told(), found, strict=True)) > 30
+
+
+def test_license_scan_of_odd_rows(spark):
+    rows = [(None, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, ""), (3, None), (4, "İ ß Released under the MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit(1), "block_start": F.lit("x"), "text_key": F.lit(0)})
+    assert Counter((r.doc_id, r.block_start, r.license) for r in license_scan.scan(df).collect()) == {(None, 0, "MIT"): 1, (1, 0, "MIT"): 2, (4, 4, "MIT"): 1}
+    license_scan.licenses("license " * 50_000 + "a" * 100_000)
+
+
 def test_license_scan_of_real_documents(real):
     got = Counter((r.doc_id, r.license) for r in license_scan.scan(real).collect())
     told = {"GNU General Public License, version 3": "GPL-3.0", "the MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
