@@ -1,13 +1,16 @@
 """Main text of HTML pages by minimum cut.
 
-A scanner splits a page into blocks. A linear classifier over structure, wording and link density gives each block the
-cost of calling it boilerplate (capacity from the source) or content (capacity to the sink). Blocks that follow one
-another, that share a container, or that are next but one in it are joined by smoothness edges, weak across the border of
-a semantic region. The minimum cut is the labelling of least cost in total; the source's side is the text.
+A scanner splits a page into blocks. A logistic regression over structure, wording, names and link density, fitted on a
+labelled sample of bounded size (html_sample.PAGES pages, made by rule; or any labelled pages given to fit()), gives each
+block the cost of calling it boilerplate (capacity from the source) or content (capacity to the sink), at most MOST. Blocks
+that follow one another, that share a container, or that are next but one in it are joined by smoothness edges, weak across
+the border of a region (a landmark, a form, a named box, comments). The minimum cut is the labelling of least cost in total;
+the source's side is the text. No element, name or phrase decides by itself: an edge or another trait can overrule it. Only
+what is no text is left out beforehand.
 
 The whole html is read; a null or empty one gives an empty text. Scripts, styles, form controls and comments of the markup
 aren't text. Character references are decoded, white space inside a block becomes one space, blocks are joined by a line
-feed. Markup may be broken: what isn't closed ends with its container, an unclosed comment or script with the page.
+feed. An inline element (a span) that is named as an advert or the like is left out with all it holds. Markup may be broken: what isn't closed ends with its container, an unclosed comment or script with the page.
 Columns other than those asked for aren't touched, rows that repeat give rows that repeat.
 """
 
@@ -16,17 +19,21 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import html_sample
 from .common import lean
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul head".split())
 #: Elements whose content is no text of the page; the scanner goes on behind their end.
-SILENT = frozenset("script style noscript template svg math iframe object title textarea select button canvas audio video map datalist noembed noframes xmp".split())
+SILENT = frozenset("script style noscript template svg iframe object title textarea select button canvas audio video map datalist noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -36,6 +43,8 @@ BOILERPLATE = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations trending popular tagcloud "
     "pagination pager paging copyright legal disclaimer toolbar search contentinfo complementary dialog skip outbrain taboola teaser teasers".split()
 )
+#: Words that make a name say something about a part, not that it is one.
+ABOUT = frozenset("no has with without open closed of wrap wrapper page".split())
 CONTENT = frozenset("article content post entry story main text prose markdown body".split())
 PHRASES = re.compile(r"©|\(c\) *\d{4}|all rights reserved|\bcookies?\b|subscribe|newsletter|sign (?:up|in)|log ?in\b|share (?:this|on)|follow us|read more|click here|advertisement|sponsored|terms of (?:use|service)|privacy policy|skip to", re.I)
 
@@ -45,48 +54,72 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _LANDMARK = re.compile(r"<(?:main|article|h1)(?=[\s/>])", re.I)
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in SILENT}
 
-#: Contexts, from a block's containers: open, inside the article, a page's head region or form, boilerplate by element, role
-#: or comments, boilerplate by names only.
-OPEN, ARTICLE, FRINGE, OUT, NAMED = range(5)
-
-
-def context(tag: str, attrs: str, above: int) -> tuple[int, float]:
-    """The context inside an element, and a mild leaning from its names."""
-    if above == OUT:
-        return OUT, 0.0
-    names: set[str] = set()
-    role = ""
-    if attrs:
-        for kind, a, b, c in _ATTR.findall(attrs):
-            value = (a or b or c).lower()
-            if kind.lower() == "role":
-                role = value.strip()
-            names.update(_WORD.findall(value))
+#: What the containers of a block say of it, as bits: inside the article, inside an element or role that isn't main text, a
+#: form, a header; named in full or in part as boilerplate or as comments; named as content.
+ARTICLE, OUT, FORM, HEADER, BOX, BOX_PART, TALK, TALK_PART, NAMED = (1 << k for k in range(9))
+
+
+def named(attrs: str) -> tuple[int, str]:
+    """What an element's class and id say of it, and its role."""
+    told, role = 0, ""
+    for kind, a, b, c in _ATTR.findall(attrs):
+        value = (a or b or c).lower()
+        if kind.lower() == "role":
+            role = value.strip()
+            continue
+        for token in value.split():
+            words = set(_WORD.findall(token))
+            whole = len(words) == 1
+            if "header" in words and not words & CONTENT:
+                told |= HEADER
+            if words & COMMENTS:
+                told |= TALK if whole or not words & ABOUT else TALK_PART
+            elif words & BOILERPLATE:
+                told |= BOX if whole or not words & (CONTENT | ABOUT) else BOX_PART
+            if words & CONTENT:
+                told |= NAMED
+    return told, role
+
+
+def region(tag: str, attrs: str, above: int) -> int:
+    """What holds inside an element, given what holds around it."""
+    told, role = named(attrs) if attrs else (0, "")
     if tag in ("body", "html"):
-        return above, 0.0
-    told = not names & {"no", "has", "with", "without", "open", "closed"}
-    if names & COMMENTS and told:
-        return OUT, 0.0
+        return above
     if tag in ("nav", "aside", "footer", "menu", "dialog", "search") or role in ("navigation", "complementary", "contentinfo", "dialog", "alert", "search"):
-        return OUT, 0.0
-    if tag == "main" or role == "main" or above != NAMED and (tag == "article" or role == "article"):
-        return ARTICLE, 0.0
-    if tag == "article" or role == "article":  # in a sidebar's wrapper or a teaser of a list: its blocks decide
-        return OPEN, 0.0
-    if names & BOILERPLATE and told or above == NAMED:
-        return NAMED, 1.0 if names & CONTENT else 0.0
-    if tag == "form":
-        return FRINGE, 0.0
-    if (tag == "header" or role == "banner" or "header" in names) and not names & CONTENT:
-        return (ARTICLE if above == ARTICLE else FRINGE), 0.0
-    return above, 1.0 if names & CONTENT else 0.0
+        told |= OUT
+    elif tag == "form":
+        told |= FORM
+    elif tag == "header" or role == "banner":
+        told |= HEADER
+    elif tag in ("main", "article") or role in ("main", "article"):
+        if tag == "main" or role == "main":
+            return ARTICLE | told & NAMED
+        if not above & (OUT | TALK) and not told & TALK:
+            # the names around an article are those of its page; in a box it is an article in part
+            return told & NAMED | (above & ~BOX | BOX_PART if above & BOX else ARTICLE)
+    return above | told
 
 
 class Block:
-    __slots__ = ("text", "tag", "context", "lean", "container", "links")
+    __slots__ = ("text", "tag", "region", "container", "links", "depth")
+
+    def __init__(self, text: str, tag: str, region: int, container: int, links: int, depth: int) -> None:
+        self.text, self.tag, self.region, self.container, self.links, self.depth = text, tag, region, container, links, depth
 
-    def __init__(self, text: str, tag: str, context: int, lean: float, container: int, links: int) -> None:
-        self.text, self.tag, self.context, self.lean, self.container, self.links = text, tag, context, lean, container, links
+
+def _end(html: str, tag: str, at: int, marks: dict[str, dict[int, int]]) -> int | None:
+    """Where the inline element ends whose content begins at `at`, others of its kind inside it included. The elements of
+    a kind are matched in one pass over the page."""
+    if tag not in marks:
+        open_at: list[int] = []
+        ends = marks[tag] = {}
+        for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", html, re.I):
+            if not m[1]:
+                open_at.append(m.end())
+            elif open_at:
+                ends[open_at.pop()] = m.start()
+    return marks[tag].get(at)
 
 
 def blocks(html: str) -> list[Block]:
@@ -95,11 +128,11 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     links = 0
     in_link = False
-    stack: list[tuple[str, int, float, int]] = [("", OPEN, 0.0, 0)]  # tag, context, leaning, number
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, region, number
     number = at = 0
     size = len(html)
     missing: set[str] = set()  # ends that don't come again
-    ends: dict[str, int] = {}  # the next end of an inline element
+    marks: dict[str, dict[int, int]] = {}  # by inline element: where each begins and ends
     mark = 0  # the next landmark
 
     def flush() -> None:
@@ -107,10 +140,11 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                tag, ctx, lean, own = stack[-1]
-                # a paragraph's or an item's container is the element around it
-                home = own if tag in ("div", "section", "article", "main", "body", "td", "") or len(stack) < 2 else stack[-2][3]
-                out.append(Block(text, tag, ctx, lean, home, min(links, len(text))))
+                tag, inside, _ = stack[-1]
+                # a paragraph's container is the element around it, an item's the one around its list
+                up = 1 if tag in ("div", "section", "article", "main", "body", "td", "") else 3 if tag in ("li", "dt", "dd") else 2
+                home = stack[-min(up, len(stack))][2]
+                out.append(Block(text, tag, inside, home, min(links, len(text)), len(stack)))
             parts.clear()
         links = 0
 
@@ -194,47 +228,78 @@ def blocks(html: str) -> list[Block]:
                 while len(stack) > 1 and stack[-1][0] in ("p", *HEADINGS):
                     stack.pop()
                 number += 1
-                ctx, lean = context(tag, attrs, stack[-1][1])
-                stack.append((tag, ctx, lean + stack[-1][2] if lean + stack[-1][2] <= 1 else 1.0, number))
-        elif tag not in VOID and attrs and not closing and (" class" in attrs or " id" in attrs) and context(tag, attrs, OPEN)[0] in (OUT, NAMED):
+                stack.append((tag, region(tag, attrs, stack[-1][1]), number))
+        elif tag not in VOID and attrs and not closing and (" class" in attrs or " id" in attrs) and named(attrs)[0] & (BOX | TALK):
             # an inline advert or the like; one that holds the page's landmarks was never closed
-            if ends.get(tag, 0) < at:
-                end = html.find(f"</{tag}", at)
-                ends[tag] = end if end >= 0 else size + 1
+            end = _end(html, tag, at, marks)
             if mark < at:
                 found = _LANDMARK.search(html, at)
                 mark = found.start() if found else size + 1
-            if ends[tag] < min(mark, size):
-                at = ends[tag]
+            if end is not None and end < mark:
+                at = end
     flush()
     return out
 
 
-_TAGS = {"p": 1.0, "h1": 2.0, "h2": 0.8, "h3": 0.8, "h4": 0.6, "h5": 0.4, "h6": 0.4, "pre": 1.0, "blockquote": 1.0, "figcaption": 0.5, "li": -0.1, "td": -0.1, "th": -0.2, "legend": -1.0, "dt": -0.2, "dd": 0.0}
-_CONTEXTS = {OPEN: 0.7, ARTICLE: 4.0, FRINGE: -4.0, OUT: -8.0, NAMED: -3.5}
+_PROSE, _ITEMS = frozenset("p pre blockquote".split()), frozenset("li dt dd td th legend label figcaption".split())
+#: The largest cost of a label, and the capacities of edges: in one container, in one region, across a border, next but one.
+MOST, NEAR, FAR, BORDER, SECOND = 6.0, 2.4, 1.0, 0.1, 0.8
+
+
+def features(found: list[Block]) -> list[list[float]]:
+    """The traits of each block of a page."""
+    has_article = any(b.region & ARTICLE for b in found)
+    words = [b.text.count(" ") + 1 for b in found]
+    out = []
+    for k, (b, n) in enumerate(zip(found, words, strict=True)):
+        density = b.links / len(b.text)
+        around = [words[j] for j in (k - 1, k + 1) if 0 <= j < len(found) and found[j].region == b.region]
+        inside = bool(b.region & ARTICLE)
+        traits = [1.0, min(log2(n + 1), 7.0), n < 5, n >= 20, b.text[-1] in ".!?:;”\"»)…", ", " in b.text, density, density > 0.75 and n < 15, b.tag in _PROSE, b.tag in HEADINGS, b.tag == "h1", b.tag in _ITEMS]
+        traits += [n < 40 and PHRASES.search(b.text) is not None, inside, has_article and not inside, bool(b.region & NAMED), log2(b.depth), log2(1 + sum(around)) if around else 0.0]
+        traits += [bool(b.region & x) for x in (OUT, FORM, HEADER, BOX, BOX_PART, TALK, TALK_PART)]
+        out.append([float(x) for x in traits])
+    return out
+
+
+def fit(sample: list[tuple[str, dict[str, bool]]], ridge: float = 1.0, rounds: int = 25) -> list[float]:
+    """Weights of a logistic regression on labelled pages (html, and whether each block's text is main text), by Newton's
+    method. The sample is held in memory; its size is the caller's bound."""
+    x, y = [], []
+    for html, labels in sample:
+        found = blocks(html)
+        for b, row in zip(found, features(found) if found else [], strict=True):
+            if b.text in labels:
+                x.append(row)
+                y.append(labels[b.text])
+    a, t = np.array(x), np.array(y, float)
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (t - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return [round(float(v), 6) for v in w]
+
+
+@lru_cache(1)
+def weights() -> tuple[float, ...]:
+    return tuple(fit(html_sample.pages()))
 
 
-def score(b: Block) -> float:
-    """The classifier's log-odds that a block is content."""
-    n = b.text.count(" ") + 1
-    s = _CONTEXTS[b.context] + _TAGS.get(b.tag, 0.0) + b.lean
-    s += 1.5 if n >= 20 else 0.8 if n >= 10 else -0.5 if n < 5 else 0.0
-    if b.text[-1] in ".!?:;”\"»)…" or ", " in b.text:
-        s += 0.5
-    if b.links:
-        s -= 4.0 * b.links / len(b.text) * (1.0 if n < 40 else 0.5)
-    if b.context != ARTICLE and n < 40 and PHRASES.search(b.text):
-        s -= 2.5
-    return s
+def costs(found: list[Block], w: tuple[float, ...]) -> list[float]:
+    """The classifier's log-odds that each block is main text, within MOST."""
+    return [max(-MOST, min(MOST, sum(a * b for a, b in zip(row, w, strict=True)))) for row in features(found)]
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out = []
     for i in range(1, len(found)):
         a, b = found[i - 1], found[i]
-        out.append((i - 1, i, 0.1 if a.context != b.context else 1.2 if a.container == b.container else 0.6))
-        if i > 1 and found[i - 2].container == b.container and found[i - 2].context == b.context:
-            out.append((i - 2, i, 0.4))
+        out.append((i - 1, i, BORDER if a.region != b.region else NEAR if a.container == b.container else FAR))
+        if i > 1 and found[i - 2].container == b.container and found[i - 2].region == b.region:
+            out.append((i - 2, i, SECOND))
     return out
 
 
@@ -298,24 +363,26 @@ def minimum_cut(terminal: list[float], links: list[tuple[int, int, float]]) -> l
             rest[a][b] += flow
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    found = blocks(html)
+def main_text(html: str | None, w: tuple[float, ...] | None = None) -> str:
+    found = blocks(html) if html else []
     if not found:
         return ""
-    keep = minimum_cut([score(b) for b in found], edges(found))
+    keep = minimum_cut(costs(found, w or weights()), edges(found))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _run(w: tuple[float, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(x.as_py(), w) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points): a row for each row of pages."""
+def extract(pages: DataFrame, sample: list[tuple[str, dict[str, bool]]] | None = None) -> DataFrame:
+    """page_id, url, text, n_chars (code points): a row for each row of pages. sample: labelled pages to fit on instead of
+    those made by rule; the weights are fitted once, here, so that all tasks agree."""
     lean(pages.sparkSession)
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return narrow.mapInArrow(_run(weights() if sample is None else tuple(fit(sample))), "page_id long, url string, text string, n_chars long")

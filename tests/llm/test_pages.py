@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from strandline.llm import html_extract, warc_bundle
+from strandline.llm import html_extract, html_sample, warc_bundle
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{{}}</style></head><body class="has-sidebar"><div id="header"><a href="/">Home</a> Site</div><div class="cookie-notice">We use cookies to make this site better for you and everyone else, accept them now.</div>
 <nav><ul><li><a href="/a">News</a></li><li><a href="/b">Sport</a></li></ul></nav><div class="wrap">{open}<h1>A title</h1><p>The first paragraph goes on for quite a while, &amp; has a <a href=x>link</a> in it, as paragraphs often do.</p>
@@ -52,8 +52,59 @@ def test_names_of_wrappers_can_be_overruled():
     assert html_extract.main_text(f"<body><main><p>{long} <span class='advert'>{advert}</span></p></main></body>") == long
 
 
+def test_what_names_cannot_hide_or_show():
+    long = "This sentence belongs to the story that the page tells, and it has more than twenty words so that it looks like prose."
+    nav = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+    kept = f"Title of it\n{long}\n{long}"
+    cases = {
+        f"{nav}<div class='entry-content legal'><h1>Title of it</h1><p>{long}</p><p>{long}</p></div>": kept,
+        f"{nav}<article><h1>Title of it</h1><div class='notice-of-event'><p>{long}</p></div><p>{long}</p></article>": kept,
+        f"{nav}<article><h1>Title of it</h1><p>{long}</p><p>{long}</p></article><div class='comments open'><p>{long}!</p><p>I think so too, and so does everyone whom I know.</p></div>": kept,
+        f"{nav}<article><h1>Title of it</h1><p>{long}</p><ul><li><a href=1>The first source, 1999</a></li><li><a href=2>The second source, 2001</a></li></ul><p>{long}</p></article>": f"Title of it\n{long}\nThe first source, 1999\nThe second source, 2001\n{long}",
+        f"{nav}<article><p>{long}</p><p>So <math><mi>x</mi> = 3</math> follows.</p></article>": f"{long}\nSo x = 3 follows.",
+    }
+    for html, text in cases.items():
+        assert html_extract.main_text(f"<body>{html}</body>") == text, html
+    for inner in ("<span>AD</span> buy this", "buy " * 1500, "<span><span>a</span></span><span>b</span> c"):
+        assert html_extract.main_text(f"<body><article><p>{long} <span class='advert'>{inner}</span></p><p>{long}</p></article></body>") == f"{long}\n{long}"
+
+
+def test_the_cut_corrects_the_classifier():
+    """On held-out pages, most of them without an article element and many with misleading names, the cut halves the
+    errors of the costs taken alone."""
+    wrong = {"costs": 0, "cut": 0}
+    changed = right = blocks = pages = 0
+    for html, labels in html_sample.pages(300, seed=77):
+        found = html_extract.blocks(html)
+        costs = html_extract.costs(found, html_extract.weights())
+        side = html_extract.minimum_cut(costs, html_extract.edges(found))
+        told = [(c > 0, s, labels[b.text]) for b, c, s in zip(found, costs, side, strict=True) if b.text in labels]
+        blocks += len(told)
+        wrong["costs"] += sum(c != y for c, _, y in told)
+        wrong["cut"] += sum(s != y for _, s, y in told)
+        changed += sum(c != s for c, s, _ in told)
+        right += sum(c != s == y for c, s, y in told)
+        pages += all(s == y for _, s, y in told)
+    assert wrong["cut"] <= 0.7 * wrong["costs"] and wrong["cut"] <= 0.012 * blocks and right >= 0.7 * changed > 0 and pages >= 0.88 * 300
+    # a short linked paragraph between others of its container
+    long = "This sentence belongs to the story that the page tells, and it has more than twenty words so that it looks like prose."
+    found = html_extract.blocks(f"<body><div><p>{long}</p><p>{long}</p><p><a href=1>Read more</a></p><p>{long}</p><p>{long}</p></div><div><ul><li><a href=1>Home</a></li><li><a href=2>Read more</a></li></ul></div></body>")
+    costs = html_extract.costs(found, html_extract.weights())
+    assert costs[2] < 0 and html_extract.minimum_cut(costs, html_extract.edges(found)) == [True] * 5 + [False] * 2
+
+
+def test_fit_on_given_pages(spark):
+    """Other labelled pages give other weights; all tasks get the same."""
+    page = "<body><p>alpha beta gamma</p><div class='content'><p>one two, three four five six seven eight nine ten eleven.</p></div></body>"
+    df = spark.createDataFrame([(1, "u", page)] * 3 + [(None, None, page)], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")}).repartition(3)
+    odd = [(f"<body><p>word{k} said</p><p>{'long text, ' * k}</p></body>", {f"word{k} said": True, " ".join(("long text, " * k).split()): False}) for k in range(4, 40)]
+    plain = [(r.text, r.n_chars) for r in html_extract.extract(df).collect()]
+    assert len(plain) == 4 and len(set(plain)) == 1 and "one two, three" in plain[0][0] and plain[0][1] == len(plain[0][0])
+    assert {"one two, three" in r.text for r in html_extract.extract(df, odd).collect()} == {False}
+
+
 def test_extraction_is_linear_on_hostile_pages():
-    for bad in ('<a "' * 50_000, "<" * 200_000, "<!--" * 50_000, "<div>" * 20_000 + "x", "<p>" + "word " * 200_000, "&" * 200_000, "<a b='" * 50_000):
+    for bad in ('<span class="ad">' * 20_000, "<span class=ad>x</span>" * 10_000, '<a "' * 50_000, "<" * 200_000, "<!--" * 50_000, "<div>" * 20_000 + "x", "<p>" + "word " * 200_000, "&" * 200_000, "<a b='" * 50_000):
         html_extract.main_text(bad)
 
 
