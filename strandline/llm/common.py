@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +53,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFra
     """left joined with right, which has a row at most for each of keys, however many rows of left share one.
 
     counts has a row (keys, n) for each key of left, or for each that may be hot: no more than `most` keys can have more
-    than a most-th of all rows each, so these rows of right are broadcast; the other keys are joined by shuffle. keys are
-    longs without nulls, and left should be cheap to read twice."""
+    than a most-th of all rows each, so these rows of right are broadcast; the other keys are joined by shuffle. keys have
+    no nulls, and left should be cheap to read twice."""
     at_least = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / most
     hot = F.broadcast(right.join(counts.filter(F.col("n") > at_least).select(*keys), keys, "left_semi"))
     cold = left.join(hot.select(*keys), keys, "left_anti").join(right, keys, how)
@@ -74,27 +72,24 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
 
-def sieve(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> tuple[Column, Callable[[np.ndarray], np.ndarray]]:
-    """A bitmap of hashed keys, as a column that hashes a key and a function that tells which hashes may be among them.
+def sieved(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """rows whose key, a long without nulls, is certainly not among keys (a column of the same name), and the others.
 
-    It spares a shuffle the rows that an exact join would drop anyway; hits go through the join, so a wrong hit does no
-    harm. It has 16 bits for each key but never more than most_bits (8 MB), whatever the input."""
+    The keys make a bitmap, which is broadcast and tested in the JVM: it spares the rows that an exact join would let
+    pass anyway their shuffle. Others go through the join, so a wrong hit does no harm. The bitmap has 16 bits for each key
+    but never more than most_bits (32 MB), whatever the input; beyond some 100 million keys it lets fewer rows pass."""
     n = keys.count()
     bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long")) + 1
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long")) + 1
     # dealt by the part of the bitmap first: keys are smaller than the bitmaps that each task would make of its own
-    placed = keys.select(at(key).alias("b")).withColumn("k", F.bitmap_bucket_number("b")).repartition("k")
-    rows = placed.groupBy("k").agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
-    held = np.zeros(bits + 1, bool)
-    for r in rows:
-        first = (r["k"] - 1) * 32768 + 1
-        held[first : first + 32768] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")[: bits + 1 - first]
-    sent = keys.sparkSession.sparkContext.broadcast(np.packbits(held))
-
-    def hit(hashed: np.ndarray) -> np.ndarray:
-        return (sent.value[hashed >> 3] >> (7 - (hashed & 7)).astype(np.uint8) & 1).astype(bool)
-
-    return at, hit
+    placed = keys.select(place(F.col(key)).alias("_b")).withColumn("_part", F.bitmap_bucket_number("_b")).repartition("_part")
+    bitmap = cut(placed.groupBy("_part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_map")))
+    at = F.bitmap_bit_position("_b")
+    byte = F.conv(F.hex(F.substr("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_b", place(F.col(key))).withColumn("_part", F.bitmap_bucket_number("_b")).join(F.broadcast(bitmap), "_part", "left")
+    hit = F.coalesce(F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = marked.withColumn("_hit", hit).drop("_b", "_part", "_map")
+    return marked.filter(~F.col("_hit")).drop("_hit"), marked.filter("_hit").drop("_hit")
 
 
 def gapless(df: DataFrame, group: list[str], order: list[Column], spread: Column, rows_per_part: int = 4096, into: str = "slot") -> DataFrame:
@@ -126,8 +121,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(rounds):
         sym = both(edges)
-        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sym.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # a node may be the smallest of a third of all others
+        large = hot_join(sym.filter("b > a"), low.select("a", "m"), ["a"], low.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
         after = cut(small)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, cut, lean, same_document
+from .common import boxed, cut, lean, same_document, sieved
 
 #: Shingles in a block of items: 16 MB to each task.
 BLOCK_SHINGLES = 1 << 20
@@ -167,6 +167,6 @@ def _scan(block, n: int):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item. The columns of docs."""
-    hits = contaminated(docs, benchmark, **options).select("doc_id", "text_key").distinct()
-    rows = boxed(docs)
-    return rows.join(hits, same_document(rows, hits), "left_anti").select("row.*")
+    hits = cut(contaminated(docs, benchmark, **options).select("doc_id", "text_key").distinct())
+    clean, rows = sieved(boxed(docs), hits.select("text_key").distinct(), "text_key")
+    return clean.select("row").unionByName(rows.join(hits, same_document(rows, hits), "left_anti").select("row")).select("row.*")

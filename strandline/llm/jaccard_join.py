@@ -22,13 +22,12 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, components, cut, lean, partitions, same_document, sieve
+from .common import boxed, components, cut, hot_join, lean, partitions, same_document, sieved
 
 VALUES, BANDS = 128, 24
 LONGS = VALUES // 4
@@ -91,11 +90,10 @@ def _sign(n: int):
     return run
 
 
-def _sets(n: int, hit):
+def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = pa.array(hit(batch.column("at").to_numpy()))
-            for _, part in tk.texts_of(batch.column("text").filter(mine), lower=True).slices():
+            for _, part in tk.texts_of(batch.column("text"), lower=True).slices():
                 found, owner = tk.shingles(tk.words(part), n)
                 values, ends = tk.distinct(found, owner, len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, ends)), pa.LargeListArray.from_arrays(ends, values.view(np.int64)).cast(pa.list_(pa.int64()))], ["cid", "shingles"])
@@ -294,44 +292,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
 
     # the texts of the classes that are left; a bitmap of their doc_ids spares a shuffle of all texts
     wanted = cut(left.select("cid").distinct().join(classes.select("cid", "rep", "sig"), "cid"))
-    at, hit = sieve(wanted.select(F.coalesce("rep", F.lit(0)).alias("rep")), "rep")
-    texts = narrow.select(at(F.coalesce("doc_id", F.lit(0))).alias("at"), "text")
-    sets = texts.mapInArrow(_sets(n, hit), "cid long, shingles array<bigint>").join(wanted.select("cid", "sig"), "cid").dropDuplicates(["cid"])
+    key = F.coalesce("rep", F.lit(0)).alias("_rep")
+    _, texts = sieved(narrow.select(F.coalesce("doc_id", F.lit(0)).alias("_rep"), "text"), wanted.select(key).distinct(), "_rep")
+    sets = texts.select("text").mapInArrow(_sets(n), "cid long, shingles array<bigint>").join(wanted.select("cid", "sig"), "cid").dropDuplicates(["cid"])
     linked = cut(dealt(left.join(sets, "cid").select(*GROUP, "blk", "cid", "sig", "shingles")).mapInArrow(_verify(least, threshold), "cid long, root long, links long"))
 
     links = linked.groupBy("cid").agg(F.sum("links").alias("n_links"))
     joined = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     known = classes.select("cid", "rep", "n_copies").join(links, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    lowest = known.filter("n_links is not null").groupBy("component").agg(F.min("rep").alias("low"))
-    known = known.join(lowest, "component", "left").select("cid", "component", F.coalesce("low", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = signed.select("doc_id", "text_key", "size", "cid").join(known, "cid", "left")
-    alone = F.col("size") == 0
-    return out.select(
-        "doc_id", "text_key",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.coalesce("component", "cid").alias("component"),
-    )
+    # a component may hold a third of all classes, a class a third of all documents
+    linking = cut(known.filter("n_links is not null"))
+    lowest = linking.groupBy("component").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n"))
+    low = hot_join(linking, lowest.select("component", "low"), ["component"], lowest.select("component", "n"))
+    known = low.unionByName(known.filter("n_links is null").withColumn("low", F.lit(None).cast("long")))
+    known = cut(known.select("cid", "component", F.coalesce("low", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies")))
+    told = ["doc_id", "text_key", "class_id", "n_links", "n_copies", "component"]
+    out = hot_join(signed.filter("size > 0").select("doc_id", "text_key", "cid"), known, ["cid"], known.select("cid", F.col("n_copies").alias("n"))).select(*told)
+    alone = signed.filter("size = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.col("cid").alias("component"))
+    return out.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that with the smallest doc_id; texts without words all stay. The columns of docs.
 
     Documents that are alone in their class pass by a bitmap, only the rest is shuffled."""
-    found = cut(near_duplicates(docs, **options))
-    company = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    crowd = found.join(company, "component")
-    one = crowd.filter("doc_id <=> class_id").groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"))
-    at, hit = sieve(crowd.select("text_key").distinct(), "text_key")
-
-    @F.pandas_udf("boolean")
-    def in_crowd(h: pd.Series) -> pd.Series:
-        return pd.Series(hit(h.to_numpy()))
-
-    rows = boxed(docs).withColumn("_in", in_crowd(at("text_key")))
-    alone, rest = rows.filter("not _in"), rows.filter("_in")
+    found = cut(near_duplicates(docs, **options)).withColumn("_alone", F.expr("n_copies = 1 and n_links = 0"))
+    one = found.filter("_alone or doc_id <=> class_id").groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key"))
+    alone, rows = sieved(boxed(docs), found.filter("not _alone").select("text_key").distinct(), "text_key")
     # a wrong hit of the bitmap is alone in its class
-    exact = found.join(company, "component", "left_anti").groupBy("doc_id", "component").agg(F.min("text_key").alias("text_key")).unionByName(one)
-    kept = rest.join(exact, same_document(rest, exact)).select(rest["doc_id"], rest["text_key"], exact["component"], rest["row"])
+    kept = rows.join(one, same_document(rows, one)).select(rows["doc_id"], rows["text_key"], one["component"], rows["row"])
     return alone.select("row").unionByName(kept.dropDuplicates(["doc_id", "text_key", "component"]).select("row")).select("row.*")

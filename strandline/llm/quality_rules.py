@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import boxed, cut, hot_join, lean, same_document
+from .common import boxed, cut, hot_join, lean, same_document, sieved
 
 #: A line is removed above this share of its host's distinct documents, never at so few as MIN_DOCS and always above
 #: MAX_DOCS, however large the host is.
@@ -212,9 +212,12 @@ def keep_good(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     """The documents that pass, without their frequent lines. The columns of docs; n_chars, if there, is counted
     anew."""
     verdicts, _ = judge(docs, host, **options)
-    good = verdicts.filter("kept").select("doc_id", "text_key", "host", "removed").dropDuplicates(["doc_id", "text_key", "host"])
-    rows = boxed(docs).withColumn("host", F.col(f"row.`{host}`").cast("string") if host in docs.columns else F.lit(None).cast("string"))
+    verdicts = cut(verdicts.select("doc_id", "text_key", "host", "removed", "kept").dropDuplicates(["doc_id", "text_key", "host"]))
+    good = verdicts.filter("kept").drop("kept")
+    # what is kept as it is needn't be shuffled
+    alike, other = sieved(boxed(docs), verdicts.filter("not kept or removed is not null").select("text_key").distinct(), "text_key")
+    rows = other.withColumn("host", F.col(f"row.`{host}`").cast("string") if host in docs.columns else F.lit(None).cast("string"))
     kept = rows.join(good, same_document(rows, good) & rows["host"].eqNullSafe(good["host"])).select("row", "removed")
     kept = kept.mapInArrow(_strip, T.StructType([T.StructField("row", docs.schema)]))
     own = {"n_chars": F.when(F.col("row.text").isNotNull(), F.length("row.text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {}
-    return kept.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return alike.select("row").unionByName(kept.select("row")).select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut, same_document
+from .common import boxed, cut, same_document, sieved
 
 #: Name, pattern, group whose length counts, fewest characters of it. In the order in which kinds are listed.
 BASE = (
@@ -167,11 +167,11 @@ def redacted(rows: DataFrame, text: Column, found: Column, mark: str = "[SECRET]
 
 def redact(docs: DataFrame) -> DataFrame:
     """Every document, with its findings replaced. The columns of docs; n_chars, if there, follows the text."""
-    found = scan(docs).filter(F.size("found") > 0).select("doc_id", "text_key", "found").dropDuplicates(["doc_id", "text_key"])
-    rows = boxed(docs)
+    found = cut(scan(docs).filter(F.size("found") > 0).select("doc_id", "text_key", "found").dropDuplicates(["doc_id", "text_key"]))
+    none, rows = sieved(boxed(docs), found.select("text_key").distinct(), "text_key")
     both = rows.join(found, same_document(rows, found), "left").select("row", "found")
     some = redacted(both.filter(F.col("found").isNotNull()), F.col("row.text"), F.col("found"))
-    both = some.unionByName(both.filter(F.col("found").isNull()).withColumn("new", F.col("row.text")))
+    both = some.unionByName(both.filter(F.col("found").isNull()).unionByName(none.select("row"), allowMissingColumns=True).withColumn("new", F.col("row.text")))
     own = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col("found").isNotNull(), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

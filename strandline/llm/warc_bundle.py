@@ -7,8 +7,9 @@ readers see an ordinary .warc.zst file.
 
 Of the records with equal payloads of min_payload bytes or more, those with the largest page_id are `response`, the others
 `revisit` it (identical-payload-digest profile: the HTTP head with the length of the full payload and its digest, no
-body). A null html is an empty payload. Equal payloads are found by SHA-1 with a partial aggregate, so a payload that a
-third of all pages share meets as one row for each task. Repeated rows with the largest page_id are all responses. A null
+body). A null html is an empty payload. Equal payloads are found by SHA-1 with a partial aggregate. Pages that are alone with
+their payload pass by a bitmap and aren't shuffled; payloads that very many pages share are joined by broadcast. Repeated
+rows with the largest page_id are all responses, and share their record's name, which is made from the page_id. A null
 page_id is below all others; a null url is empty. Other columns are ignored.
 
 Archives lie in a folder that all machines share. Each task attempt writes files of its own names and returns their index
@@ -30,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, shared_dir
+from .common import cut, hot_join, lean, shared_dir, sieved
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, ARCHIVE_BYTES = 1 << 20, 1 << 27
@@ -135,12 +136,6 @@ def _payloads(column: pa.Array) -> Iterator[bytes]:
         yield b"" if not x.is_valid else x.as_buffer().to_pybytes()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = list(_payloads(batch.column("html")))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([hashlib.sha1(x).digest() for x in raw], pa.binary())], ["page_id", "bytes", "sha1"])
-
-
 INDEX = "page_id long, archive string, frame int, frame_at long, offset long"
 
 
@@ -174,10 +169,11 @@ def _write(folder: str, level: int, frame_bytes: int, archive_bytes: int):
 
 
 def originals(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """sha1 and the largest page_id, of the payloads that several pages have."""
-    found = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_digests, "page_id long, bytes long, sha1 binary")
+    """sha1, key (a hash of it), the largest page_id and n, of the payloads that several pages have."""
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    found = pages.select(F.col("page_id").cast("long").alias("page_id"), F.length(payload).alias("bytes"), F.unhex(F.sha1(payload)).alias("sha1"))
     same = found.filter(F.col("bytes") >= min_payload).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    return same.filter("n > 1 and first is not null").select("sha1", "first")
+    return same.filter("n > 1 and first is not null").select("sha1", F.xxhash64("sha1").alias("key"), "first", "n")
 
 
 def write(pages: DataFrame, min_payload: int = 0, level: int = 3, frame_bytes: int = FRAME_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -190,9 +186,13 @@ def write(pages: DataFrame, min_payload: int = 0, level: int = 3, frame_bytes: i
     where.create_dir(path)
     html = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     sha1 = F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    both = html.withColumn("_sha1", sha1).join(originals(pages, min_payload), F.col("_sha1") == F.col("sha1"), "left")
+    first = cut(originals(html, min_payload))
+    # pages alone with their payload aren't shuffled; one that a third of all pages have is joined by broadcast
+    alone, some = sieved(html.withColumn("sha1", sha1).withColumn("key", F.xxhash64("sha1")), first.select("key").distinct(), "key")
+    both = hot_join(some.drop("key"), first.select("sha1", "first"), ["sha1"], first.select("sha1", "n"), "left")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first")))
     rows = both.select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
+    rows = alone.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(rows)
     index = f"{base}/warc-index-{uuid.uuid4().hex}"
     rows.mapInArrow(_write(folder, level, frame_bytes, archive_bytes), INDEX).write.parquet(index)
     return spark.read.parquet(index)
