@@ -197,13 +197,14 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = pc.greater(pc.fill_null(pc.list_value_length(removed), 0), 0)
         if pc.any(mask).as_py():
             drop, texts = removed.filter(mask).to_pylist(), columns["text"].filter(mask)
-            hashed, size, owner, _ = normal_lines(tk.texts_of(texts, lower=True))
-            at = np.searchsorted(owner, np.arange(len(drop) + 1))
-            left = []
-            for i, text in enumerate(texts.to_pylist()):
-                mine = slice(at[i], at[i + 1])
-                gone = np.isin(hashed[mine].view(np.int64), np.array(drop[i], np.int64)) & (size[mine] > 0)
-                left.append("\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g))
+            left: list[str] = []
+            for a, part in tk.texts_of(texts, lower=True).slices():
+                hashed, size, owner, _ = normal_lines(part)
+                at = np.searchsorted(owner, np.arange(len(part) + 1))
+                for i, text in enumerate(texts.slice(a, len(part)).to_pylist()):
+                    mine = slice(at[i], at[i + 1])
+                    gone = np.isin(hashed[mine].view(np.int64), np.array(drop[a + i], np.int64)) & (size[mine] > 0)
+                    left.append("\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g))
             columns["text"] = pc.replace_with_mask(columns["text"], mask, pa.array(left, texts.type))
         yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([columns[c] for c in names], names)], ["row"])
 
