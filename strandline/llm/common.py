@@ -36,10 +36,6 @@ def lean(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
             spark.conf.set(key, str(most))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import boxed, components, cut, hot_join, lean, partitions, same_document, sieved
+from .common import boxed, components, cut, hot_join, lean, same_document, sieved
 
 VALUES, BANDS = 128, 24
 LONGS = VALUES // 4
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     members = members.withColumn("o", other).select("band", "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cid")
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions(spark), *GROUP).sortWithinPartitions(*GROUP, "cid")
+        return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "cid")  # adaptive execution may merge small parts
 
     kinds = "band int, key long, i int, j int, blk int, cid long"
     left = dealt(members.join(classes.select("cid", "sig"), "cid").select(*GROUP, "blk", "cid", "sig")).mapInArrow(_prune(least), kinds)
