@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import clip, complete_max, correlation, log_positive, neutral_ratio, rolling, safe_div, sign_or_zero, skip_max, skip_min
+from strandline.functions import clip, complete_max, finite, log_positive, neutral_ratio, safe_div, sign_or_zero, skip_max, skip_min
 
 from .panel import KEYS, Keys
 from .recursion import ema_columns
@@ -40,29 +40,127 @@ class Feature:
     make: Callable[[Frames], Column]
 
 
+#: What a rolling aggregate of n rows is, from its state: a sum, an extreme, or the mean and central moments (m, m2, m3, m4).
+_FINISH = {
+    "avg": lambda s, n: s["m"],
+    "stddev_samp": lambda s, n: F.sqrt(s["m2"] / (n - 1)),
+    "var_pop": lambda s, n: s["m2"] / n,
+    "skewness": lambda s, n: F.try_divide(n**0.5 * s["m3"], F.pow(s["m2"], F.lit(1.5))),
+    "kurtosis": lambda s, n: F.try_divide(n * s["m4"], s["m2"] * s["m2"]) - 3,
+}
+_ORDER = {"avg": 1, "stddev_samp": 2, "var_pop": 2, "skewness": 4, "kurtosis": 4}
+
+
+def _moments(a: Column, b: Column, p: int, q: int, order: int) -> Column:
+    """The moments of two runs of p and q rows, together (Chan, Golub and LeVeque; Pebay for the higher ones)."""
+    n, d = float(p + q), b["m"] - a["m"]
+    out = {"m": a["m"] + d * (q / n)}
+    if order >= 2:
+        out["m2"] = a["m2"] + b["m2"] + d * d * (p * q / n)
+    if order >= 3:
+        out["m3"] = a["m3"] + b["m3"] + d * d * d * (p * q * (p - q) / n**2) + 3 * d * (p / n * b["m2"] - q / n * a["m2"])
+        out["m4"] = a["m4"] + b["m4"] + d * d * d * d * (p * q * (p * p - p * q + q * q) / n**3) + 6 * d * d * ((p / n) ** 2 * b["m2"] + (q / n) ** 2 * a["m2"]) + 4 * d * (p / n * b["m3"] - q / n * a["m3"])
+    return F.struct(*[x.alias(k) for k, x in out.items()])
+
+
+def _comoments(a: Column, b: Column, p: int, q: int) -> Column:
+    w, dx, dy = p * q / (p + q), b["x"] - a["x"], b["y"] - a["y"]
+    return F.struct(
+        (a["x"] + dx * (q / (p + q))).alias("x"), (a["y"] + dy * (q / (p + q))).alias("y"), (a["xx"] + b["xx"] + dx * dx * w).alias("xx"), (a["yy"] + b["yy"] + dy * dy * w).alias("yy"), (a["xy"] + b["xy"] + dx * dy * w).alias("xy"),
+    )
+
+
 class Frames:
     """Rolling aggregates and lags that formulas ask for. Each is recorded under its own name and computed once, however
-    many features share it; what a formula gets is a reference."""
+    many features share it; what a formula gets is a reference.
 
-    def __init__(self, by) -> None:
-        self.by, self.made = by, {}
+    A frame of n rows is put together from runs of 1, 2, 4, ... rows: the run of 2k rows is that of k rows and that of the k
+    rows before, which a lag brings. So a frame costs its logarithm and not its length, nothing is subtracted from running
+    sums, and a value that is missing in a frame makes it missing. One Window node for each doubling, all on one sort."""
 
-    def _record(self, name: str, x: Column) -> Column:
-        self.made.setdefault(name, x)
-        return c(name)
+    def __init__(self, by) -> None:
+        self.by, self.lags = by, {}
+        self.asked: dict[str, tuple[str, str, int, int]] = {}  # name: aggregate, base, rows, lag
+        self.bases: dict[str, Column] = {}
 
     def full(self, x: str, fn: Callable, n: int, lag: int = 0, of: Callable | None = None) -> Column:
         """fn over a frame of n rows, if x is there in all of them; of: what fn takes instead of x."""
-        over = rolling(self.by, n, lag)
-        count = self._record(f"_count{x}_{n}_{lag}", F.count(x).over(over))
-        name = f"_{fn.__name__}{x}_{n}_{lag}" if of is None else f"_{fn.__name__}_{of.__name__}{x}_{n}_{lag}"
-        return F.when(count == n, self._record(name, fn(c(x) if of is None else of(x)).over(over)))
+        base = x if of is None else f"_{of.__name__}{x}"
+        self.bases[base] = c(x) if of is None else of(x)
+        name = f"_{fn.__name__}{base}_{n}_{lag}"
+        self.asked[name] = (fn.__name__, base, n, lag)
+        return c(name)
 
     def correlation(self, x: str, y: str, n: int) -> Column:
-        return self._record(f"_corr{x}{y}_{n}", correlation(c(x), c(y), rolling(self.by, n), n))
+        base = f"{x}|{y}"
+        both = c(x).isNotNull() & c(y).isNotNull()
+        self.bases[base] = F.when(both, F.struct(c(x).alias("x"), c(y).alias("y"), *[F.lit(0.0).alias(k) for k in ("xx", "yy", "xy")]))
+        self.asked[f"_corr{base}_{n}"] = ("corr", base, n, 0)
+        return finite(F.try_divide(c(f"`_corr{base}_{n}`.xy"), F.sqrt(c(f"`_corr{base}_{n}`.xx") * c(f"`_corr{base}_{n}`.yy"))))
 
     def lag(self, x: str, n: int) -> Column:
-        return self._record(f"_lag_{x}_{n}", F.lag(x, n).over(self.by))
+        self.lags[f"_lag_{x}_{n}"] = F.lag(x, n).over(self.by)
+        return c(f"_lag_{x}_{n}")
+
+    def _order(self, base: str) -> int:
+        return max((_ORDER[fn] for fn, b, _, _ in self.asked.values() if b == base and fn in _ORDER), default=0)
+
+    def _kind(self, fn: str, base: str) -> str:
+        """The state that an aggregate is read from: a mean comes from moments if these are needed anyway."""
+        return fn if fn in ("sum", "max", "min", "corr") else "moments" if self._order(base) > 1 else "sum"
+
+    def _start(self, kind: str, base: str) -> Column:
+        x = self.bases[base]
+        if kind != "moments":
+            return x if kind == "corr" else x.cast("double")
+        names = ("m", "m2", "m3", "m4")[: max(2, self._order(base))]
+        return F.when(x.isNotNull(), F.struct(*[(x.cast("double") if k == "m" else F.lit(0.0)).alias(k) for k in names]))
+
+    def _merge(self, kind: str, base: str, a: Column, b: Column, p: int, q: int) -> Column:
+        if kind == "sum":
+            return a + b
+        if kind in ("max", "min"):
+            return F.when(a.isNotNull() & b.isNotNull(), (F.greatest if kind == "max" else F.least)(a, b))
+        return _comoments(a, b, p, q) if kind == "corr" else _moments(a, b, p, q, self._order(base))
+
+    def add_to(self, df: DataFrame) -> DataFrame:
+        """df with every frame and lag that was asked for."""
+        most: dict[tuple[str, str], int] = {}
+        for fn, base, n, _ in self.asked.values():
+            key = (self._kind(fn, base), base)
+            most[key] = max(most.get(key, 1), n)
+        at = lambda kind, base, k: f"_{kind}|{base}|{k}"
+        run = lambda kind, base, k: c(f"`{at(kind, base, k)}`")
+        df = df.withColumns({at(kind, base, 1): self._start(kind, base) for kind, base in most})
+        k = 1
+        while any(2 * k <= n for n in most.values()):
+            grown = [key for key, n in most.items() if 2 * k <= n]
+            # each lag is a column before it's used, as every use of a window expression would be computed by itself
+            df = df.withColumns({f"_back|{at(*key, k)}": F.lag(run(*key, k), k).over(self.by) for key in grown})
+            df = df.withColumns({at(*key, 2 * k): self._merge(*key, run(*key, k), c(f"`_back|{at(*key, k)}`"), k, k) for key in grown})
+            k *= 2
+
+        def pieces(fn: str, n: int, lag: int) -> list[tuple[int, int]]:
+            """Size of each run that makes up a frame, and how far back it ends; those of extremes may overlap."""
+            size = 1 << (n.bit_length() - 1)
+            if fn in ("max", "min"):
+                return [(size, lag)] + [(size, lag + n - size)] * (n > size)
+            out, done = [], 0
+            while done < n:
+                out.append((1 << ((n - done).bit_length() - 1), lag + done))
+                done += out[-1][0]
+            return out
+
+        plan = {name: (self._kind(fn, base), base, fn, n, pieces(fn, n, lag)) for name, (fn, base, n, lag) in self.asked.items()}
+        piece = lambda kind, base, size, by: f"_piece|{at(kind, base, size)}|{by}" if by else at(kind, base, size)
+        needed = {(kind, base, size, by) for kind, base, _, _, parts in plan.values() for size, by in parts if by}
+        df = df.withColumns({piece(*x): F.lag(run(*x[:3]), x[3]).over(self.by) for x in sorted(needed)} | self.lags)
+        df = df.withColumns({name: c(f"`{piece(kind, base, *parts[0])}`") for name, (kind, base, _, _, parts) in plan.items()})
+        for j in range(1, max((len(x[4]) for x in plan.values()), default=0)):
+            some = {name: x for name, x in plan.items() if len(x[4]) > j}
+            df = df.withColumns({name: self._merge(kind, base, c(f"`{name}`"), c(f"`{piece(kind, base, *parts[j])}`"), sum(size for size, _ in parts[:j]), parts[j][0]) for name, (kind, base, _, _, parts) in some.items()})
+        done = {name: _FINISH[fn](c(f"`{name}`"), n) if kind == "moments" else c(f"`{name}`") / n for name, (kind, _, fn, n, _) in plan.items() if fn in _FINISH and (kind == "moments" or fn == "avg")}
+        return df.withColumns(done)
 
 
 def _level_one(df: DataFrame, w) -> DataFrame:
@@ -219,7 +317,7 @@ def compute(df: DataFrame, names: list[str], keys: Keys = KEYS, keep: list[str]
         df = ema_columns(df, "_macd", {"_signal": 9}, keys) if any(n in names for n in ("macd_signal_9", "macd_hist_12_26_9")) else df
     frames = Frames(w)
     made = {n: known[n].make(frames) for n in names}
-    out = _level_one(df, w).withColumns(frames.made)
+    out = frames.add_to(_level_one(df, w))
     cast = (lambda x: x.cast("float")) if as_float else (lambda x: x)
     return out.select(*keys.both, *(keep or []), *[cast(x).alias(n) for n, x in made.items()])
 

@@ -78,14 +78,26 @@ def key_hash(*keys: str) -> Column:
 
 
 def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which neither side may lose or multiply a row; the checks are one aggregate for each side."""
-    require_unique(left, keys)
+    """Inner join in which neither side may lose or multiply a row. The check is one aggregate over the keys of both sides;
+    as it asks for no other column, what these are computed from isn't run for it."""
+    side = lambda df, a, b: df.select(*keys, F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+    per_key = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*keys).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
+    count = lambda where: F.coalesce(F.sum(F.when(F.expr(where), 1)), F.lit(0))
+    row = per_key.agg(count("a > 1 or b > 1").alias("repeated"), count("b = 0").alias("left_only"), count("a = 0").alias("right_only")).first().asDict()
+    if any(row.values()):
+        raise ContractError(f"one-to-one join on {keys} fails: {row}")
+    return left.join(right, keys)
+
+
+def marked_join(left: DataFrame, right: DataFrame, keys: list[str], mark: str = "matched") -> DataFrame:
+    """Left join with a column that tells whether a row found its match; right must not repeat a key."""
     require_unique(right, keys)
-    out = left.join(right, keys)
-    a, b, c = left.count(), right.count(), out.count()
-    if not a == b == c:
-        raise ContractError(f"one-to-one join of {a} and {b} rows gave {c}")
-    return out
+    return left.join(right.withColumn(mark, F.lit(True)), keys, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
+def first_entities(df: DataFrame, n: int, keys: Keys = KEYS) -> DataFrame:
+    """The rows of the n smallest entities: a small panel of whole histories."""
+    return df.join(df.select(keys.entity).distinct().orderBy(keys.entity).limit(n), keys.entity, "left_semi")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:

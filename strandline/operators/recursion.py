@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import rank_pct
+from strandline.functions import finite, rank_pct
+
+from .panel import KEYS, ContractError, Keys
+
+
+#: Elements of a series that a fold appends to one array; a fold that appended to the whole series would copy it each time.
+BLOCK = 256
+
+
+def _blockwise(values: Column, state: str, start: Column, step: Callable[[Column, Column], Column], given: Callable[[Column], Column]) -> Column:
+    """For each element of an array, given(state) after step(state, element): folds over blocks of the array, inside a fold
+    over the blocks that carries the state from one to the next. Time and copies grow with the array's length."""
+    inner = f"struct<s:{state},out:array<double>>"
+
+    def block(s: Column, k: Column) -> Column:
+        begin = F.struct(s.alias("s"), F.array().cast("array<double>").alias("out")).cast(inner)
 
-from .panel import KEYS, Keys
+        def one(t: Column, x: Column) -> Column:
+            # the new state is bound once, as it is used twice
+            return F.element_at(F.transform(F.array(step(t["s"], x)), lambda new: F.struct(new.alias("s"), F.concat(t["out"], F.array(given(new))).alias("out")).cast(inner)), 1)
+
+        return F.aggregate(F.slice(values, k * BLOCK + 1, F.lit(BLOCK)), begin, one)
+
+    outer = f"struct<s:{state},outs:array<array<double>>>"
+    begin = F.struct(start.cast(state).alias("s"), F.array().cast("array<array<double>>").alias("outs")).cast(outer)
+
+    def over(t: Column, k: Column) -> Column:
+        return F.element_at(F.transform(F.array(block(t["s"], k)), lambda r: F.struct(r["s"].alias("s"), F.concat(t["outs"], F.array(r["out"])).alias("outs")).cast(outer)), 1)
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0)))
+    return F.aggregate(numbers, begin, over, lambda t: F.flatten(t["outs"]))
 
 
 def _fold(values: Column, alpha: float, least: int) -> Column:
     """An array's exponential means. A missing value carries the mean on and lowers its weight, so that over a gap of g
     rows the next value meets the weight (1 - alpha) ** (g + 1); the first `least` - 1 values give nothing."""
-    state = "struct<w:double,m:double,n:int,out:array<double>>"
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("m"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("out")).cast(state)
+    state = "struct<w:double,m:double,n:int>"
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("m"), F.lit(0).alias("n"))
 
     def step(s: Column, x: Column) -> Column:
         old = s["w"] * (1 - alpha)
         mean = F.when(x.isNull(), s["m"]).when(s["m"].isNull(), x).otherwise((old * s["m"] + alpha * x) / (old + alpha))
         weight = F.when(x.isNull() & s["m"].isNotNull(), old).otherwise(F.lit(1.0))
-        n = s["n"] + x.isNotNull().cast("int")
-        return F.struct(weight.alias("w"), mean.alias("m"), n.alias("n"), F.concat(s["out"], F.array(F.when(n >= least, mean))).alias("out")).cast(state)
+        return F.struct(weight.alias("w"), mean.alias("m"), (s["n"] + x.isNotNull().cast("int")).alias("n")).cast(state)
 
-    return F.aggregate(values, start, step, lambda s: s["out"])
+    return _blockwise(values, state, start, step, lambda s: F.when(s["n"] >= least, s["m"]))
 
 
 def ema_columns(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = KEYS) -> DataFrame:
@@ -34,8 +63,8 @@ def ema_columns(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = K
     Python. An entity's history must fit in a row; ema_pandas has the same result for histories that don't suit a fold.
     """
     rows = df.groupBy(keys.entity).agg(F.array_sort(F.collect_list(F.struct(keys.date, *[c for c in df.columns if c not in keys.both]))).alias("_rows"))
-    series = F.transform("_rows", lambda r: r[value])
-    folds = rows.select(keys.entity, "_rows", *[_fold(series, 2.0 / (n + 1), n).alias(name) for name, n in spans.items()])
+    rows = rows.withColumn("_series", F.transform("_rows", lambda r: r[value]))
+    folds = rows.select(keys.entity, "_rows", *[_fold(F.col("_series"), 2.0 / (n + 1), n).alias(name) for name, n in spans.items()])
     zipped = folds.select(keys.entity, F.explode(F.arrays_zip("_rows", *spans)).alias("_z"))
     back = [c for c in df.columns if c != keys.entity]
     return zipped.select(keys.entity, *[F.col(f"_z._rows.{c}").alias(c) for c in back], *[F.col(f"_z.{n}").alias(n) for n in spans])
@@ -52,21 +81,23 @@ def ema_pandas(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = KE
     return df.groupBy(keys.entity).applyInPandas(run, schema)
 
 
-def rank_ema(df: DataFrame, alpha: float, keys: Keys = KEYS, state: DataFrame | None = None, score: str = "pred") -> DataFrame:
+def rank_ema(df: DataFrame, alpha: float, keys: Keys = KEYS, state: DataFrame | None = None, score: str = "pred", finite_only: bool = False) -> DataFrame:
     """Adds rank (percentile by date) and smoothed = alpha * rank + (1 - alpha) * the entity's last value. An entity begins
-    with its rank, or from state (entity, smoothed) if it is there. Rows of an entity count, not calendar days."""
+    with its rank, or from state (entity, smoothed) if it is there. Rows of an entity count, not calendar days. finite_only:
+    missing scores are an error."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
+    if finite_only and not df.filter(finite(F.col(score).cast("double")).isNull()).isEmpty():
+        raise ContractError(f"{score} must be finite")
     ranked = df.withColumn("rank", rank_pct(F.col(score), keys.date))
     rows = ranked.groupBy(keys.entity).agg(F.array_sort(F.collect_list(F.struct(keys.date, *[c for c in ranked.columns if c not in keys.both]))).alias("_rows"))
     rows = rows.join(state.select(keys.entity, F.col("smoothed").alias("_prior")), keys.entity, "left") if state is not None else rows.withColumn("_prior", F.lit(None).cast("double"))
-    start = F.struct(F.col("_prior").alias("m"), F.array().cast("array<double>").alias("out"))
 
     def step(s: Column, r: Column) -> Column:
-        m = F.when(s["m"].isNull(), r["rank"]).otherwise(alpha * r["rank"] + (1 - alpha) * s["m"])
-        return F.struct(m.alias("m"), F.concat(s["out"], F.array(m)).alias("out"))
+        return F.struct(F.when(s["m"].isNull(), r).otherwise(alpha * r + (1 - alpha) * s["m"]).alias("m")).cast("struct<m:double>")
 
-    rows = rows.withColumn("smoothed", F.aggregate("_rows", start, step, lambda s: s["out"]))
+    rows = rows.withColumn("_ranks", F.transform("_rows", lambda r: r["rank"]))
+    rows = rows.withColumn("smoothed", _blockwise(F.col("_ranks"), "struct<m:double>", F.struct(F.col("_prior").alias("m")), step, lambda s: s["m"]))
     zipped = rows.select(keys.entity, F.explode(F.arrays_zip("_rows", "smoothed")).alias("_z"))
     return zipped.select(keys.entity, *[F.col(f"_z._rows.{c}").alias(c) for c in ranked.columns if c != keys.entity], F.col("_z.smoothed").alias("smoothed"))
 
@@ -118,8 +149,21 @@ def hysteresis(df: DataFrame, exit_fraction: float, keys: Keys = KEYS, groups: l
     return out if groups else out.drop("_all")
 
 
+def last_top(final: DataFrame, keys: Keys = KEYS, denominator: int = 10, min_pool: int = 100, flag: str = "flag_limit_up") -> set:
+    """The top set that hysteresis goes on from: that of the last date, empty if its pool is too small. One cross-section's
+    top part comes to the driver."""
+    last = final.agg(F.max(keys.date)).first()[0]
+    pool = final.filter((F.col(keys.date) == F.lit(last)) & (F.col(flag) == 0))
+    n = pool.count()
+    if n < min_pool:
+        return set()
+    return {r[0] for r in pool.orderBy(F.col("final").desc(), keys.entity).limit(max(n // denominator, 1)).select(keys.entity).collect()}
+
+
 def across_boundary(warm: DataFrame, new: DataFrame, alpha: float, exit_fraction: float, keys: Keys = KEYS, **options) -> DataFrame:
-    """final for the new dates, going on from the warm-up's state; equal to one run over both."""
-    both = warm.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    out = hysteresis(rank_ema(both, alpha, keys), exit_fraction, keys, **options)
-    return out.filter("_new").drop("_new")
+    """final for the new dates, going on from the warm-up's state: each entity's last smoothed score and the last top set
+    are handed over, and the warm-up isn't run again. Equal to one run over both."""
+    before = rank_ema(warm, alpha, keys)
+    pools = {k: v for k, v in options.items() if k in ("denominator", "min_pool", "flag")}
+    prior = last_top(hysteresis(before, exit_fraction, keys, **options), keys, **pools)
+    return hysteresis(rank_ema(new, alpha, keys, last_state(before, keys)), exit_fraction, keys, prior=prior, **options)
