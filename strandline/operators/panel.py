@@ -73,8 +73,11 @@ def with_returns(df: DataFrame, keys: Keys = KEYS, limit: float | None = None) -
 
 
 def key_hash(*keys: str) -> Column:
-    """Aggregate: an order-free hash of a multiset of keys, additive over partitions."""
-    return (F.sum(F.xxhash64(*keys).cast("decimal(38,0)")) % F.lit(str(2**64)).cast("decimal(38,0)")).cast("string")
+    """Aggregate: an order-free hash of a multiset of keys, additive over partitions and the same in every engine: the
+    sum of 60 bits of each key's MD5, modulo 2^64. Null is told apart from any text."""
+    told = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("?")) for k in keys])
+    one = F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("decimal(38,0)")
+    return (F.sum(one) % F.lit(str(2**64)).cast("decimal(38,0)")).cast("string")
 
 
 def joined_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

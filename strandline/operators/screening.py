@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import correlation, rank_pct, safe_div
@@ -69,31 +69,32 @@ def regimes(daily: DataFrame, market_daily: DataFrame, screen: tuple, periods_:
 
 
 def eligible(summary: DataFrame, yearly: DataFrame, coverage: float = 0.8, ic: float = 0.01, icir: float = 0.1, positive: float = 0.52, years: int = 2) -> DataFrame:
-    """The summary with the years that agree in sign and the first threshold that a feature misses, if any."""
+    """The summary with the years that agree in sign and `reasons`: every threshold that a feature misses. A figure that
+    is missing misses its threshold."""
     agree = yearly.select("feature", F.col("ic_mean").alias("_y")).join(summary.select("feature", F.col("ic_mean").alias("_m")), "feature").groupBy("feature").agg(F.sum((F.signum("_y") == F.signum("_m")).cast("int")).alias("consistent_years"))
     aligned = F.when(F.col("ic_mean") < 0, 1 - F.col("positive_ratio")).otherwise(F.col("positive_ratio"))
     out = summary.join(agree, "feature", "left").withColumn("aligned_positive", aligned)
-    reason: Column = F.when(F.col("coverage") < coverage, "coverage").when(~(F.abs("ic_mean") >= ic), "ic").when(~(F.abs("icir") >= icir), "icir").when(F.col("aligned_positive") < positive, "positive_ratio").when(F.col("consistent_years") < years, "years")
-    return out.withColumn("reason", F.when(F.col("ic_mean").isNull(), "ic").otherwise(reason))
+    met = {"coverage": F.col("coverage") >= coverage, "ic": F.abs("ic_mean") >= ic, "icir": F.abs("icir") >= icir, "positive_ratio": F.col("aligned_positive") >= positive, "years": F.col("consistent_years") >= years}
+    missed = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in met.items()])
+    return out.withColumn("reasons", F.filter(missed, lambda x: x.isNotNull()))
 
 
-def select(candidates: list[dict], correlations: dict[tuple[str, str], float], family: dict[str, str], most: int = 16, per_family: int = 4, highest: float = 0.9) -> list[dict]:
+def select(candidates: list[dict], correlations: dict[tuple[str, str], float], family: dict[str, str], most: int = 16, per_family: int = 4, highest: float = 0.9, required: bool = True) -> list[dict]:
     """Greedy choice among the features, strongest first, under caps on number, family and correlation with those chosen
-    before; each gets `selected` and the reason if not. A few dozen rows, on the driver."""
+    before; each gets `selected`, all its reasons if not, and the first chosen feature that it is too close to. A few dozen
+    rows, on the driver."""
     chosen: list[str] = []
     out = []
     for row in sorted(candidates, key=lambda r: (-abs(r["ic_mean"] or 0.0), r["feature"])):
-        name, reason = row["feature"], row.get("reason")
-        if reason is None and len(chosen) >= most:
-            reason = "total"
-        if reason is None and sum(family[f] == family[name] for f in chosen) >= per_family:
-            reason = "family"
-        if reason is None and any(abs(correlations.get((min(name, f), max(name, f)), 0.0)) > highest for f in chosen):
-            reason = "correlation"
-        if reason is None:
+        name, reasons, near = row["feature"], list(row.get("reasons") or []), None
+        if not reasons:
+            near = next((f for f in chosen if abs(correlations.get((min(name, f), max(name, f))) or 0.0) > highest), None)
+            caps = {"total": len(chosen) >= most, "family": sum(family[f] == family[name] for f in chosen) >= per_family, "correlation": near is not None}
+            reasons = [k for k, hit in caps.items() if hit]
+        if not reasons:
             chosen.append(name)
-        out.append(row | {"selected": reason is None, "reason": reason})
-    if not chosen:
+        out.append(row | {"selected": not reasons, "reasons": reasons, "correlated_with": near})
+    if required and not chosen:
         raise ValueError("no feature passes")
     return out
 

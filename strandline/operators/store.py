@@ -17,9 +17,11 @@ from .panel import KEYS, ContractError, Keys, key_hash
 
 
 def manifest(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
-    """year, rows, entities, key_hash, repeated rows, and the dates' bounds: two aggregates, the first by key."""
+    """year, rows, entities, key_hash (of the distinct keys), repeated rows, and the dates' bounds: two aggregates, the first
+    by key."""
     per_key = df.select(F.year(keys.date).alias("year"), *keys.both).groupBy("year", *keys.both).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.groupBy("year").agg(F.sum("n").alias("rows"), F.countDistinct(keys.entity).alias("entities"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"), F.min(keys.date).alias("first_date"), F.max(keys.date).alias("last_date"))
+    figures = [F.sum("n").alias("rows"), F.countDistinct(keys.entity).alias("entities"), key_hash(*keys.both).alias("key_hash")]
+    return per_key.groupBy("year").agg(*figures, F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"), F.min(keys.date).alias("first_date"), F.max(keys.date).alias("last_date"))
 
 
 def write_years(df: DataFrame, place: str, keys: Keys = KEYS, columns: list[str] | None = None, start=None, overwrite: bool = False) -> dict:

@@ -156,3 +156,5 @@ def feature_dictionary(spark, sf_dir):
 
 
 QUERIES["feature_dictionary"] = feature_dictionary
+_told = lambda x: x.replace("'", "''")
+ORACLES["feature_dictionary"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x['name']}', '{x['family']}', '{_told(x['formula'])}', {x['lookback']})" for x in fx.dictionary()) + ") t(name, family, formula, lookback)"

@@ -343,16 +343,41 @@ def family_ablation(spark, sf_dir):
     return rounded(evaluate.daily_ic(made, groups=["candidate"]).groupBy("candidate").agg(F.avg("ic").alias("ic_mean"), F.count(F.lit(1)).alias("days")), 5)
 
 
-@query()
+RULES = {"coverage": 0.6, "ic": 0.01, "icir": 0.1, "positive": 0.52, "years": 1}
+CAPS = {"most": 3, "per_family": 2, "highest": 0.8}
+_fam = lambda x: "CASE " + " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in _FAM.items()) + " END"
+_RULES = (
+    "sm AS (SELECT feature, avg(ic) AS m, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS icir, "
+    f"{d('sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END)', 'count(ic)')} AS pos, {d('sum(available_rows)', 'sum(universe_rows)')} AS cov FROM fi GROUP BY feature), "
+    "yr AS (SELECT feature, year(dt) AS y, avg(ic) AS m FROM fi GROUP BY 1, 2), ag AS (SELECT feature, sum(CASE WHEN sign(yr.m) = sign(sm.m) THEN 1 ELSE 0 END) AS years FROM yr JOIN sm USING (feature) GROUP BY feature), "
+    f"el AS (SELECT feature, m, list_filter([CASE WHEN NOT coalesce(cov >= {RULES['coverage']}, false) THEN 'coverage' END, CASE WHEN NOT coalesce(abs(m) >= {RULES['ic']}, false) THEN 'ic' END, CASE WHEN NOT coalesce(abs(icir) >= {RULES['icir']}, false) THEN 'icir' END, "
+    f"CASE WHEN NOT coalesce(CASE WHEN m < 0 THEN 1 - pos ELSE pos END >= {RULES['positive']}, false) THEN 'positive_ratio' END, CASE WHEN NOT coalesce(years >= {RULES['years']}, false) THEN 'years' END], lambda x: x IS NOT NULL) AS reasons FROM sm JOIN ag USING (feature))"
+)
+_CORR = (
+    f"rr AS (SELECT dt, {', '.join(f'coalesce({pct(n, "dt")}, 0.5) AS {n}' for n in SCREENED)} FROM feats), pp AS ("
+    + " UNION ALL ".join(f"SELECT dt, '{a}|{b}' AS k, count(*) AS n, {corr(a, b)} AS c FROM rr GROUP BY dt" for a, b in _PAIRS)
+    + "), cr AS (SELECT k, avg(c) AS c FROM pp WHERE n >= 30 AND c IS NOT NULL GROUP BY k)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_SP}, {_DI}, {_RULES}, {_CORR}, near AS (SELECT coalesce(list(k), []) AS ks FROM cr WHERE abs(c) > {CAPS['highest']}), od AS (SELECT *, row_number() OVER (ORDER BY abs(coalesce(m, 0)) DESC, feature) AS i FROM el), "
+    "st AS (SELECT CAST(0 AS BIGINT) AS i, [NULL][1:0]::VARCHAR[] AS chosen, NULL::VARCHAR AS feature, [NULL][1:0]::VARCHAR[] AS reasons, NULL::VARCHAR AS close UNION ALL "
+    "SELECT i, CASE WHEN len(reasons) = 0 THEN list_append(chosen, feature) ELSE chosen END, feature, reasons, close FROM ("
+    "SELECT o.i, st.chosen, o.feature, CASE WHEN len(o.reasons) > 0 THEN NULL ELSE list_filter(st.chosen, lambda f: list_contains(near.ks, least(f, o.feature) || '|' || greatest(f, o.feature)))[1] END AS close, CASE WHEN len(o.reasons) > 0 THEN o.reasons ELSE "
+    f"list_filter([CASE WHEN len(st.chosen) >= {CAPS['most']} THEN 'total' END, CASE WHEN len(list_filter(st.chosen, lambda f: {_fam('f')} = {_fam('o.feature')})) >= {CAPS['per_family']} THEN 'family' END, "
+    "CASE WHEN len(list_filter(st.chosen, lambda f: list_contains(near.ks, least(f, o.feature) || '|' || greatest(f, o.feature)))) > 0 THEN 'correlation' END], lambda x: x IS NOT NULL) END AS reasons FROM st JOIN od o ON o.i = st.i + 1, near)) "
+    "SELECT feature, len(reasons) = 0 AS selected, array_to_string(reasons, ',') AS reasons, close AS correlated_with FROM st WHERE i > 0"
+)
 def feature_selection(spark, sf_dir):
     """Greedy choice; the few rows it needs come to the driver."""
-    daily = _daily(spark, sf_dir).cache()
+    daily = _daily(spark, sf_dir)
     yearly = screening.summarise(daily.withColumn("year", F.year("dt")), ["year"])
-    rows = [x.asDict() for x in screening.eligible(screening.summarise(daily), yearly, coverage=0.5, ic=0.0, icir=0.0, positive=0.0, years=0).collect()]
+    rows = [x.asDict() for x in screening.eligible(screening.summarise(daily), yearly, **RULES).collect()]
     near = {(x.f1, x.f2): x.rank_corr for x in screening.rank_correlations(_screened(spark, sf_dir), SCREENED).collect()}
     near = {(min(k), max(k)): v for k, v in near.items()}
-    out = screening.select(rows, near, _FAM, most=3, per_family=2)
-    return spark.createDataFrame([(x["feature"], x["selected"], x["reason"]) for x in out], "feature string, selected boolean, reason string")
+    out = screening.select(rows, near, _FAM, **CAPS, required=False)
+    return spark.createDataFrame([(x["feature"], x["selected"], ",".join(x["reasons"]), x["correlated_with"]) for x in out], "feature string, selected boolean, reasons string, correlated_with string")
 
 
 # --- recursion, blends, grids ---
@@ -378,28 +403,72 @@ def rank_ema(spark, sf_dir):
     return rounded(recursion.rank_ema(scored(spark, sf_dir), 0.5).select("entity", "dt", "rank", "smoothed"))
 
 
-@query()
+def _smooth_sql(alphas: tuple[float, ...]) -> str:
+    """SQL: sm, smoothed scores by alpha, of the recursion over an entity's rows."""
+    return (
+        f"rk AS (SELECT entity, dt, flag_limit_up, y_ret_1d, {pct('pred', 'dt')} AS rank, row_number() OVER ({E_W}) AS i FROM scored), al AS (SELECT unnest([{', '.join(map(str, alphas))}]::DOUBLE[]) AS alpha), "
+        "em AS (SELECT alpha, entity, i, rank AS m FROM rk, al WHERE i = 1 UNION ALL SELECT em.alpha, s.entity, s.i, em.alpha * s.rank + (1 - em.alpha) * em.m FROM em JOIN rk s ON s.entity = em.entity AND s.i = em.i + 1), "
+        "sm AS (SELECT em.alpha, rk.entity, rk.dt, rk.flag_limit_up, rk.y_ret_1d, round(em.m, 9) AS smoothed FROM rk JOIN em ON em.entity = rk.entity AND em.i = rk.i)"
+    )
+
+
+def _hysteresis_sql(exits: tuple[float, ...]) -> str:
+    """SQL: fin, the final scores of sm for each alpha and exit fraction; a recursion over dates carries the top set."""
+    o = "PARTITION BY alpha, dt"
+    return (
+        f"od AS (SELECT *, row_number() OVER ({o} ORDER BY smoothed DESC, entity) AS pos, count(*) OVER ({o}) AS total, dense_rank() OVER (PARTITION BY alpha ORDER BY dt) AS i FROM sm), ex_ AS (SELECT unnest([{', '.join(map(str, exits))}]::DOUBLE[]) AS exit), "
+        "dy AS (SELECT alpha, i, coalesce(list(entity ORDER BY pos) FILTER (flag_limit_up = 0), []) AS names FROM od GROUP BY alpha, i), "
+        "hy AS (SELECT DISTINCT alpha, exit, CAST(0 AS BIGINT) AS i, [0][1:0]::BIGINT[] AS kept FROM sm, ex_ UNION ALL "
+        "SELECT alpha, exit, i, CASE WHEN len(names) < 100 THEN [0][1:0]::BIGINT[] ELSE list_concat(stay, list_filter(names, lambda e: NOT list_contains(stay, e))[1:top - len(stay)]) END FROM ("
+        "SELECT *, list_filter(names[1:greatest(top, CAST(floor(len(names) * exit) AS BIGINT))], lambda e: list_contains(kept, e))[1:top] AS stay FROM ("
+        "SELECT h.alpha, h.exit, d.i, h.kept, d.names, greatest(len(d.names) // 10, 1) AS top FROM hy h JOIN dy d ON d.alpha = h.alpha AND d.i = h.i + 1))), "
+        "ps AS (SELECT alpha, i, entity, (total - pos + 1) / CAST(total AS DOUBLE) AS ord, row_number() OVER (PARTITION BY alpha, i ORDER BY pos) AS slot FROM od WHERE flag_limit_up = 0), "
+        "wn AS (SELECT p.alpha, h.exit, p.i, p.entity, row_number() OVER (PARTITION BY p.alpha, h.exit, p.i ORDER BY coalesce(nullif(list_position(h.kept, p.entity), 0), 1000000000), p.slot) AS w FROM ps p JOIN hy h ON h.alpha = p.alpha AND h.i = p.i), "
+        "sc AS (SELECT wn.alpha, wn.exit, wn.i, wn.entity, ps.ord FROM wn JOIN ps ON ps.alpha = wn.alpha AND ps.i = wn.i AND ps.slot = wn.w), "
+        "fin AS (SELECT od.alpha, ex_.exit, od.entity, od.dt, od.smoothed, od.flag_limit_up, od.y_ret_1d, coalesce(sc.ord, (od.total - od.pos + 1) / CAST(od.total AS DOUBLE)) AS final FROM od CROSS JOIN ex_ LEFT JOIN sc ON sc.alpha = od.alpha AND sc.exit = ex_.exit AND sc.i = od.i AND sc.entity = od.entity)"
+    )
+
+
+@query(f"WITH RECURSIVE {SQL_SCORED}, {_smooth_sql((0.5,))}, {_hysteresis_sql((0.15,))} SELECT entity, dt, {r('smoothed')} AS smoothed, flag_limit_up, {r('final')} AS final FROM fin")
 def hysteresis(spark, sf_dir):
     smooth = recursion.rank_ema(scored(spark, sf_dir), 0.5).withColumn("smoothed", F.round("smoothed", 9))
     return rounded(recursion.hysteresis(smooth.select("entity", "dt", "smoothed", "flag_limit_up"), 0.15))
 
 
+def _score_sql(table: str, score: str, by: str) -> str:
+    """SQL: the eight metrics of a table of candidates, by its columns that name one."""
+    g, on = f"{by}, dt", lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
+    return (
+        f"gi AS (SELECT {g}, {corr('p', 'y')} AS ic FROM (SELECT {g}, {tie(score, g)} AS p, {tie('y_ret_1d', g)} AS y FROM {table} WHERE y_ret_1d IS NOT NULL) GROUP BY {g} HAVING count(*) >= 30), "
+        f"gp AS (SELECT *, count(*) OVER (PARTITION BY {g}) AS n, row_number() OVER (PARTITION BY {g} ORDER BY {score} DESC, entity) AS k FROM {table} WHERE flag_limit_up = 0 AND y_ret_1d IS NOT NULL), "
+        f"ge AS (SELECT {g}, avg(CASE WHEN k <= greatest(n // 10, 1) THEN y_ret_1d END) AS top_ret, avg(CASE WHEN k <= greatest(n // 10, 1) THEN y_ret_1d END) - avg(y_ret_1d) AS excess FROM gp WHERE n >= 100 GROUP BY {g}), "
+        f"gd AS (SELECT dt, row_number() OVER (ORDER BY dt) AS day FROM (SELECT DISTINCT dt FROM {table})), "
+        f"gt AS (SELECT t.*, day FROM (SELECT {g}, entity, count(*) OVER (PARTITION BY {g}) AS n, row_number() OVER (PARTITION BY {g} ORDER BY {score} DESC, entity) AS k FROM {table} WHERE flag_limit_up = 0) t JOIN gd USING (dt) WHERE n >= 100 AND k <= greatest(n // 10, 1)), "
+        f"gs AS (SELECT {by}, day, count(*) AS n FROM gt GROUP BY {by}, day), "
+        f"gu AS (SELECT {', '.join(f'x.{c}' for c in by.split(', '))}, x.day, 1 - CAST(count(b.entity) AS DOUBLE) / (any_value(x.n) + any_value(y.n) - count(b.entity)) AS turnover FROM gs x JOIN gs y ON {on('x', 'y')} AND y.day = x.day - 1 JOIN gt a ON {on('a', 'x')} AND a.day = x.day LEFT JOIN gt b ON {on('b', 'a')} AND b.day = y.day AND b.entity = a.entity GROUP BY ALL), "
+        f"m1 AS (SELECT {by}, CASE WHEN count(ic) = count(*) THEN avg(ic) END AS ic_mean, CASE WHEN count(ic) = count(*) THEN stddev_samp(ic) END AS ic_std, {d('sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END)', 'count(*)')} AS ic_positive_ratio FROM gi GROUP BY {by}), "
+        f"m2 AS (SELECT {by}, avg(excess) * 252 AS annual_excess, avg(top_ret) * 252 AS top1_annual_ret FROM ge GROUP BY {by}), m3 AS (SELECT {by}, avg(turnover) AS mean_turnover FROM gu GROUP BY {by}), "
+        f"mt AS (SELECT {by}, ic_mean, ic_std, ic_positive_ratio, CASE WHEN ic_std > 0 THEN ic_mean / ic_std ELSE 0 END AS icir, annual_excess, top1_annual_ret, mean_turnover, 0.4 * ic_mean + 0.3 * annual_excess + 0.3 * (1 - mean_turnover) AS final_score FROM m1 FULL JOIN m2 USING ({by}) FULL JOIN m3 USING ({by}))"
+    )
+
+
+METRICS = ("ic_mean", "ic_std", "ic_positive_ratio", "icir", "annual_excess", "top1_annual_ret", "mean_turnover", "final_score")
 ALPHAS, EXITS = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5), (0.1, 0.125, 0.15)
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_SCORED}, {_smooth_sql(ALPHAS)}, {_hysteresis_sql(EXITS)}, {_score_sql('fin', 'final', 'alpha, exit')} SELECT alpha, exit, {', '.join(f'{r(m, 5)} AS {m}' for m in METRICS)} FROM mt")
 def turnover_grid(spark, sf_dir):
     """Every smoothing is computed once and shared by its exit fractions; candidates run side by side, one plan scores
     them all."""
     base = scored(spark, sf_dir)
     out = None
     for a in ALPHAS:
-        smooth = recursion.rank_ema(base, a).select(F.lit(a).alias("alpha"), "entity", "dt", "smoothed", "flag_limit_up", "y_ret_1d")
+        smooth = recursion.rank_ema(base, a).select(F.lit(a).alias("alpha"), "entity", "dt", F.round("smoothed", 9).alias("smoothed"), "flag_limit_up", "y_ret_1d")
         for x in EXITS:
             one = recursion.hysteresis(smooth.withColumn("exit", F.lit(x)), x, groups=["alpha"])
             out = one if out is None else out.unionByName(one)
     scores = evaluate.summarise(out.withColumnRenamed("final", "pred"), groups=["alpha", "exit"])
-    return rounded(scores)
+    return scores.select("alpha", "exit", *[r6(m, 5).alias(m) for m in METRICS])
 
 
 SIMPLEX = evaluate.simplex(3, 0.2)
@@ -491,7 +560,7 @@ def nested_blend(spark, sf_dir):
 # --- audits and provenance ---
 
 
-@query(f"WITH {SQL_W}, k AS (SELECT year(dt) AS y, entity, dt, count(*) AS n FROM bars GROUP BY 1, 2, 3) SELECT CAST(y AS INTEGER) AS year, CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT entity) AS entities, CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS repeated, min(dt) AS first_date, max(dt) AS last_date FROM k GROUP BY y")
+@query(f"WITH {SQL_W}, k AS (SELECT year(dt) AS y, entity, dt, count(*) AS n FROM bars GROUP BY 1, 2, 3) SELECT CAST(y AS INTEGER) AS year, CAST(sum(n) AS BIGINT) AS rows, count(DISTINCT entity) AS entities, CAST(sum(CAST('0x' || substr(md5('=' || entity || '|=' || dt), 1, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR) AS key_hash, CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS repeated, min(dt) AS first_date, max(dt) AS last_date FROM k GROUP BY y")
 def year_store_manifest(spark, sf_dir):
     return store.manifest(bars_w(spark, sf_dir))
 
@@ -504,7 +573,10 @@ def key_reconcile(spark, sf_dir):
     return aligned_differences(a, b, ["entity", "dt"], ["close"])
 
 
-@query()
+_HASH = "CAST(sum(CAST('0x' || substr(md5('=' || entity || '|=' || dt), 1, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)"
+
+
+@query(f"WITH {SQL_W} SELECT count(*) AS rows, {_HASH} AS key_hash FROM bars")
 def panel_key_hash(spark, sf_dir):
     return bars_w(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), key_hash("entity", "dt").alias("key_hash"))
 
@@ -519,11 +591,11 @@ def submission_check(spark, sf_dir):
     return audits.submission_report(sub.filter(F.substring("ts_code", 6, 1) != "3"), sub)
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS experiment_id, o_orderstatus AS record_type, CAST(o_custkey % 3 AS VARCHAR) AS fold, CAST(o_totalprice AS VARCHAR) AS value FROM orders WHERE o_orderkey % 5 < 3")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS experiment_id, o_orderstatus AS record_type, CAST(o_custkey % 3 AS VARCHAR) AS fold, CAST(o_totalprice AS VARCHAR) AS value FROM orders")
 def registry_append(spark, sf_dir):
     """An append of rows some of which are registered already."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("experiment_id"), F.col("o_orderstatus").alias("record_type"), (F.col("o_custkey") % 3).cast("string").alias("fold"), F.col("o_totalprice").cast("string").alias("value"), F.col("o_orderkey").alias("_k"))
-    return store.append(o.filter("_k % 5 < 2").drop("_k"), o.filter("_k % 5 between 1 and 2").drop("_k"))
+    return store.append(o.filter("_k % 5 < 3").drop("_k"), o.filter("_k % 5 > 1").drop("_k"))
 
 
 @query(

@@ -228,9 +228,11 @@ def test_daily_rank_ic(spark):
 
 
 def test_selection():
-    rows = [{"feature": f, "ic_mean": v, "reason": None} for f, v in (("a", 0.05), ("b", -0.09), ("c", 0.08), ("d", 0.01))] + [{"feature": "e", "ic_mean": 0.2, "reason": "coverage"}]
-    got = {r["feature"]: r["reason"] for r in sc.select(rows, {("b", "c"): -0.95}, dict.fromkeys("abcde", "x") | {"d": "y"}, most=3, per_family=2)}
-    assert got == {"e": "coverage", "b": None, "c": "correlation", "a": None, "d": None}
+    rows = [{"feature": f, "ic_mean": v, "reasons": []} for f, v in (("a", 0.05), ("b", -0.09), ("c", 0.08), ("d", 0.01))] + [{"feature": "e", "ic_mean": 0.2, "reasons": ["coverage", "ic"]}]
+    got = {r["feature"]: (r["reasons"], r["correlated_with"]) for r in sc.select(rows, {("b", "c"): -0.95}, dict.fromkeys("abcde", "x") | {"d": "y"}, most=3, per_family=2)}
+    assert got == {"e": (["coverage", "ic"], None), "b": ([], None), "c": (["correlation"], "b"), "a": ([], None), "d": ([], None)}
+    got = {r["feature"]: r["reasons"] for r in sc.select(rows, {("b", "c"): -0.95}, dict.fromkeys("abcde", "x"), most=1, per_family=1)}
+    assert got["c"] == ["total", "family", "correlation"] and got["a"] == ["total", "family"]
     with pytest.raises(ValueError, match="no feature"):
         sc.select(rows[-1:], {}, {"e": "x"})
 
