@@ -89,11 +89,12 @@ b AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, *_ in ss.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN b USING (doc_id)
 """
 
-QUALITY = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+_NORMAL = lambda line: f"array_to_string(regexp_extract_all(regexp_replace(lower({line}), '[0-9]', '0', 'g'), '{_WORDS}'), ' ')"
+_QUALITY = f"""
+d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, regexp_extract_all(t, '{_WORDS}') AS w, string_split(t, chr(10)) AS ls FROM d),
 l AS (SELECT doc_id, source, line, len(regexp_extract_all(line, '{_WORDS}')) AS n,
-  array_to_string(regexp_extract_all(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_WORDS}'), ' ') AS norm FROM (SELECT doc_id, source, unnest(ls) AS line FROM w) WHERE regexp_matches(line, '{_WORDS}')),
+  {_NORMAL('line')} AS norm FROM (SELECT doc_id, source, unnest(ls) AS line FROM w) WHERE regexp_matches(line, '{_WORDS}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
@@ -104,10 +105,11 @@ often AS (SELECT source, norm, count(DISTINCT lines) AS docs FROM (SELECT source
 freq AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > greatest({qr.MIN_DOCS}, least({qr.MAX_DOCS}, in_host * {qr.MAX_SHARE}))),
 lost AS (SELECT l.doc_id, CAST(sum(l.n) AS BIGINT) AS n FROM l JOIN freq f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.doc_id),
 r AS (SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_frequent_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_frequent_words >= {qr.MIN_LEFT} * n_words AS kept FROM r
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_frequent_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+verdict AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_frequent_words >= {qr.MIN_LEFT} * n_words AS kept FROM r)
 """
+QUALITY = f"WITH {_QUALITY} SELECT * FROM verdict"
 
 
 def packed(source: str) -> str:
@@ -157,6 +159,24 @@ CAST(CASE WHEN rnk < larger * (small + 1) THEN rnk // (small + 1) ELSE larger +
 CAST(CASE WHEN rnk < larger * (small + 1) THEN rnk % (small + 1) ELSE (rnk - larger * (small + 1)) % greatest(small, 1) END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM r
 """
 
+_D2, _D3 = JACCARD.replace("FROM documents", "FROM d1"), DECONTAMINATION.replace("FROM documents", "FROM d2")
+_SPANS = SECRETS[SECRETS.index("WITH d AS") : SECRETS.index(",\nb AS (SELECT doc_id")].replace("FROM documents", "FROM d3")
+#: The stages one after another: lines removed, one text of each class, no benchmark items, secrets replaced, packed.
+PIPELINE = f"""
+WITH RECURSIVE {_QUALITY},
+fl AS (SELECT source, list(norm) AS gone FROM freq GROUP BY source),
+d1 AS MATERIALIZED (SELECT doc_id, array_to_string(list_filter(string_split(documents.text, chr(10)), lambda x: NOT list_contains(coalesce(fl.gone, []), {_NORMAL('x')})), chr(10)) AS text
+  FROM documents JOIN verdict USING (doc_id) LEFT JOIN fl ON documents.source IS NOT DISTINCT FROM fl.source WHERE kept),
+c2 AS MATERIALIZED ({_D2}), d2 AS MATERIALIZED (SELECT d1.* FROM d1 JOIN c2 USING (doc_id) WHERE c2.doc_id = c2.class_id),
+c3 AS MATERIALIZED ({_D3}), d3 AS MATERIALIZED (SELECT * FROM d2 WHERE doc_id NOT IN (SELECT doc_id FROM c3)),
+sp AS MATERIALIZED ({_SPANS} SELECT doc_id, s, k, e FROM a),
+sq AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, k, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM sp),
+rd AS (SELECT doc_id, max(e) AS until, string_agg(CASE WHEN s >= past THEN substr(text, past + 1, s - past) || '[SECRET]' ELSE '' END, '' ORDER BY s, k, e) AS head FROM sq JOIN d3 USING (doc_id) GROUP BY doc_id),
+d4 AS MATERIALIZED (SELECT doc_id, CASE WHEN rd.doc_id IS NULL THEN text ELSE head || substr(text, until + 1) END AS text FROM d3 LEFT JOIN rd USING (doc_id)),
+pk AS ({PACKING.replace("FROM documents", "FROM d4")})
+SELECT * FROM pk
+"""
+
 ORACLES = {
     "op2_jaccard_join": JACCARD,
     "op3_secret_scans": SECRETS,

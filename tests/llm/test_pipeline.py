@@ -49,6 +49,28 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs, "/root/testdata/sf0.001").schema == docs.schema
 
 
+def test_pipeline_equals_its_sql(spark, tmp_path):
+    """On the test tables, and on rows with copies, benchmark passages, secrets, lines that a host repeats, nulls."""
+    bar = "Accept all cookies to go on reading"
+    odd = [(i, t if i is None or i % 2 or not t else f"{bar}\n{t}\n{bar}", "en", f"s{(i or 0) % 3}", 1) for i, t in rows() if i is not None]
+    odd += [(1000 + i, f"user: name{i} {prose(3000 + i, 70)} password = 'abcdef{i}' https://db.example.org/x {'é😀 ' * 5} {i:024x}", "en", None, 1) for i in range(5)]
+    spark.createDataFrame(odd, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, prose(900 + k, 20)) for k in range(3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for sf, star in (("/root/testdata/sf0.001", ""), (str(tmp_path), "/*.parquet")):
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet{star}'")
+        df = corpus_pipeline.run(spark, sf)
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({corpus_pipeline.ORACLE_SQL})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 40
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
