@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, jaccard_join, packing, quality_rules, secret_scan
+from strandline.llm import decontamination, jaccard_join, oracles, packing, quality_rules, secret_scan
 from strandline.llm.common import shared_dir, table
 
 
@@ -39,14 +39,23 @@ STAGES = [
     ("packing", pack),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = oracles.PIPELINE
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over the documents, each written to the shared folder and read again by the next; a stage's table goes
+    when the next one's is complete."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            _drop(spark, before)
+        before = path
     return docs
