@@ -31,9 +31,9 @@ def by_period(df: DataFrame, x: str = "y_ret_1d", date: str = "dt") -> DataFrame
     """kind (year or date), period and the figures of both groupings, by one GROUPING SETS plan."""
     src = df.select(F.year(date).cast("string").alias("_y"), F.col(date).cast("string").alias("_d"), F.col(x).cast("double").alias("_x"))
     out = src.groupingSets([["_y"], ["_d"]], "_y", "_d").agg(
-        F.count(F.lit(1)).alias("size"), F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.percentile("_x", [0.01, 0.5, 0.99]).alias("_q"),
+        F.count(F.lit(1)).alias("size"), F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.percentile("_x", [0.01, 0.5, 0.99]).alias("_q"), F.grouping("_d").alias("_set"),
     )
-    kind = F.when(F.col("_d").isNull(), "year").otherwise("date")
+    kind = F.when(F.col("_set") == 1, "year").otherwise("date")  # a null date is a date still
     return out.select(kind.alias("kind"), F.coalesce("_d", "_y").alias("period"), "size", "count", "mean", "std", "min", "max", (F.col("size") - F.col("count")).alias("missing"), safe_div(F.col("size") - F.col("count"), F.col("size")).alias("missing_rate"), *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("q01", "q50", "q99"))])
 
 
@@ -55,8 +55,23 @@ def alignment(df: DataFrame, keys: Keys = KEYS, label: str = "y_ret_1d", future:
     )
 
 
+def best_definition(audit: DataFrame) -> DataFrame:
+    """The row of alignment() that the label follows: most matches, then most agreement on what is missing."""
+    return audit.orderBy(F.col("match_rate").desc_nulls_last(), F.col("mask_agreement").desc_nulls_last(), "definition").limit(1)
+
+
+def mismatches(df: DataFrame, definition: str = "next_row", n: int = 20, keys: Keys = KEYS, label: str = "y_ret_1d", atol: float = 1e-9, rtol: float = 1e-7) -> DataFrame:
+    """The n rows whose label is farthest from a definition, beyond the tolerance: keys, label, expected, error."""
+    w = keys.by_entity()
+    later = F.lead("close").over(w) if definition == "next_row" else F.first("close", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = df.select(*keys.both, F.col(label).cast("double").alias("label"), (safe_div(later, F.col("close")) - 1).alias("expected"))
+    rows = rows.withColumn("error", F.abs(F.col("label") - F.col("expected"))).filter(F.col("error") > atol + rtol * F.abs(F.col("expected")))
+    return rows.orderBy(F.col("error").desc(), *keys.both).limit(n)
+
+
 def quality(df: DataFrame, keys: Keys = KEYS, flags: tuple[str, ...] = ("flag_limit_up",)) -> DataFrame:
-    """One row of counts over the bars: size, keys, missing values, violations. The key's duplicates and the size of the
+    """One row of counts over the bars: size, keys and their hash, missing and infinite values, violations; all but missing
+    values count for passed. Order and types have checks of their own (unsorted_rows, schema_differences). The key's duplicates and the size of the
     dates are aggregates of their own, joined as rows of one."""
     prices = [F.col(p) for p in BARS_PRICES]
     all_there = prices[0].isNotNull()
@@ -66,12 +81,14 @@ def quality(df: DataFrame, keys: Keys = KEYS, flags: tuple[str, ...] = ("flag_li
     main = df.agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct(keys.entity).alias("entities"), F.countDistinct(keys.date).alias("dates"), F.min(keys.date).alias("first_date"), F.max(keys.date).alias("last_date"), _share(bad_bar).alias("ohlc_violations"),
         _share(F.col("vol") < 0).alias("negative_vol"), _share(F.col("amount") < 0).alias("negative_amount"), *[_share(~F.col(f).isin(0, 1)).alias(f"{f}_violations") for f in flags], *[_share(F.col(c).isNull()).alias(f"missing_{c}") for c in (*BARS_PRICES, "vol", "amount")],
-        *[_share(F.abs(F.col(c).cast("double")) == float("inf")).alias(f"infinite_{c}") for c in BARS_PRICES],
+        *[_share(F.abs(F.col(c).cast("double")) == float("inf")).alias(f"infinite_{c}") for c in (*BARS_PRICES, "vol", "amount")], _share(F.col(keys.entity).isNull() | F.col(keys.date).isNull()).alias("null_keys"), key_hash(*keys.both).alias("key_hash"),
     )
     dup = df.groupBy(*keys.both).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
     dates = df.groupBy(keys.date).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("date_rows_min"), F.percentile("n", 0.5).alias("date_rows_median"), F.max("n").alias("date_rows_max"))
     out = main.crossJoin(F.broadcast(dup)).crossJoin(F.broadcast(dates))  # one row each
-    ok = (F.col("rows") > 0) & (F.col("duplicate_rows") == 0) & (F.col("ohlc_violations") == 0) & (F.col("negative_vol") == 0) & (F.col("negative_amount") == 0)
+    ok = (F.col("rows") > 0) & (F.col("duplicate_rows") == 0) & (F.col("ohlc_violations") == 0) & (F.col("negative_vol") == 0) & (F.col("negative_amount") == 0) & (F.col("null_keys") == 0)
+    for x in (*BARS_PRICES, "vol", "amount"):
+        ok = ok & (F.col(f"infinite_{x}") == 0)
     for f in flags:
         ok = ok & (F.col(f"{f}_violations") == 0)
     return out.withColumn("passed", ok)

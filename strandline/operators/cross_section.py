@@ -78,3 +78,10 @@ def model_view(base: DataFrame, cross: DataFrame, labels: DataFrame, market_dail
     broadcast is left to Spark's size check."""
     view = joined_one_to_one(joined_one_to_one(base, cross, keys.both), labels, keys.both)
     return view.join(market_daily, keys.date, "left")
+
+
+def augmented(base: DataFrame, more: DataFrame, ranked: list[str], keys: Keys = KEYS, fill: float = 0.5) -> DataFrame:
+    """A model's view with the percentile ranks by date of further columns (such as the ATR ones), missing ones neutral.
+    Both frames must have the same keys."""
+    ranks = more.select(*keys.both, *[F.coalesce(rank_pct(F.col(c).cast("double"), keys.date), F.lit(fill)).alias(f"{c}__rank") for c in ranked])
+    return joined_one_to_one(base, ranks, keys.both)

@@ -115,6 +115,36 @@ def over_folds(scores: DataFrame, by: list[str], metrics: list[str], population:
     return scores.groupBy(*by).agg(*[fn(m).alias(f"{m}_{k}") for m in metrics for k, fn in (("mean", F.avg), ("std", dev), ("min", F.min), ("max", F.max))])
 
 
+def regimes(df: DataFrame, market_daily: DataFrame, keys: Keys = KEYS, volatility: str = "market_std_ret_1", mean: str = "market_mean_ret_1", score: str = "pred", least: tuple[int, int, int] = (IC_MIN, POOL_MIN, TURNOVER_MIN)) -> DataFrame:
+    """regime, days, ic_mean, annual_excess, mean_turnover and score_proxy of out-of-fold predictions on calm and restless
+    (volatility below or not below its median over the scored dates), falling and rising dates. The proxy weighs the three
+    like the final score; a turnover belongs to the later of its dates."""
+    daily = by_date(df, keys, score, least).join(market_daily.select(keys.date, F.col(volatility).alias("_v"), F.col(mean).alias("_m")), keys.date)
+    middle = daily.agg(F.percentile("_v", 0.5).alias("_mid"))
+    marked = daily.crossJoin(F.broadcast(middle))  # one row
+    names = F.array(F.when(F.col("_v") < F.col("_mid"), "calm"), F.when(F.col("_v") >= F.col("_mid"), "restless"), F.when(F.col("_m") < 0, "falling"), F.when(F.col("_m") >= 0, "rising"))
+    long = marked.withColumn("regime", F.explode(F.filter(names, lambda x: x.isNotNull())))
+    out = long.groupBy("regime").agg(F.count(F.lit(1)).alias("days"), F.avg("ic").alias("ic_mean"), (F.avg("excess") * DAYS).alias("annual_excess"), F.avg("turnover").alias("mean_turnover"))
+    return out.withColumn("score_proxy", IC_WEIGHT * F.col("ic_mean") + EXCESS_WEIGHT * F.col("annual_excess") + TURNOVER_WEIGHT * (1 - F.col("mean_turnover")))
+
+
+def two_model_grid(a: DataFrame, b: DataFrame, step: float = 0.05, keys: Keys = KEYS, score: str = "pred") -> DataFrame:
+    """All blends of two models from the first alone (candidate 0) to the second alone."""
+    n = round(1 / step)
+    return blend_grid([a, b], [((n - k) / n, k / n) for k in range(n + 1)], keys, score)
+
+
+def require_replay(grid_row: dict, alone: dict, metrics: list[str]) -> None:
+    """Raises unless the end of a grid gives exactly what the model alone does."""
+    if bad := {m: (grid_row[m], alone[m]) for m in metrics if grid_row[m] != alone[m]}:
+        raise ValueError(f"the grid's end doesn't reproduce the model: {bad}")
+
+
+def grid_summary(scores: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """By candidate, over folds: the mean of each metric, deviation and worst of the final score."""
+    return scores.groupBy(*by).agg(*[F.avg(m).alias(m) for m in metrics], F.stddev_samp("final_score").alias("final_score_std"), F.min("final_score").alias("final_score_worst"))
+
+
 def winner(summary: DataFrame, criteria: list[tuple[str, bool]]) -> DataFrame:
     """The best row by ordered criteria (name, ascending)."""
     return summary.orderBy(*[F.col(n).asc() if up else F.col(n).desc() for n, up in criteria]).limit(1)

@@ -213,10 +213,11 @@ def grades(df: DataFrame, keys: Keys = KEYS, bins: int = 10) -> DataFrame:
 
 
 def nested_blend(df: DataFrame, scores: list[str], inner: tuple[float, float], outer: tuple[float, ...], keys: Keys = KEYS) -> DataFrame:
-    """The first two scores are ranked by date and mixed, the mix and the others are ranked and mixed again."""
+    """The first two scores are ranked by date and mixed, the mix and the others are ranked and mixed again. The inner mix
+    is rounded to nine digits, so that sums that should tie do."""
     rank = lambda x: tie_rank(x, keys.date) / F.count(x).over(Window.partitionBy(keys.date))
     out = df.withColumns({f"_r{k}": rank(F.col(s)) for k, s in enumerate(scores)})
-    out = out.withColumn("_sleeve", inner[0] * F.col("_r0") + inner[1] * F.col("_r1"))
+    out = out.withColumn("_sleeve", F.round(inner[0] * F.col("_r0") + inner[1] * F.col("_r1"), 9))
     out = out.withColumn("_r0", rank(F.col("_sleeve")))
     parts = [F.col("_r0"), *[F.col(f"_r{k}") for k in range(2, len(scores))]]
     return out.select(*df.columns, sum((w * p for w, p in zip(outer, parts, strict=True)), F.lit(0.0)).alias("pred"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strandline.functions import safe_div
-from strandline.operators import audits, cross_section, evaluate, models, recursion, screening, splits, store
+from strandline.operators import audits, cross_section, delivery, evaluate, models, panel, recursion, screening, splits, store
 from strandline.operators import features as fx
 from strandline.operators.panel import aligned_differences, joined_one_to_one, key_hash, with_returns
 from strandline.sources.bars import tail
@@ -27,6 +27,7 @@ def query(oracle: str | None = None):
     return add
 
 
+_HASH = "CAST(sum(CAST('0x' || substr(md5('=' || entity || '|=' || dt), 1, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)"
 NUMBERS = ("open", "high", "low", "close", "vol", "amount")
 
 
@@ -140,6 +141,40 @@ def label_audit(spark, sf_dir):
     return rounded(audits.alignment(with_returns(bars_m(spark, sf_dir))))
 
 
+@query(
+    f"WITH {SQL_M}, {SQL_RETURNS}, v AS (SELECT entity, dt, CASE WHEN entity % 7 = 0 THEN y_ret_1d * 1.5::DOUBLE ELSE y_ret_1d END AS label, {_DEFS['next_row']} AS expected FROM panel), e AS (SELECT *, abs(label - expected) AS error FROM v) "
+    f"SELECT entity, dt, {r('label')} AS label, {r('expected')} AS expected, {r('error')} AS error FROM (SELECT * FROM e WHERE error > 1e-9 + 1e-7 * abs(expected) ORDER BY error DESC, entity, dt LIMIT 20)"
+)
+def label_mismatches(spark, sf_dir):
+    """The largest errors of labels that were damaged: a top-k report."""
+    bars = with_returns(bars_m(spark, sf_dir))
+    return rounded(audits.mismatches(bars.withColumn("y_ret_1d", F.when(F.col("entity") % 7 == 0, F.col("y_ret_1d") * 1.5).otherwise(F.col("y_ret_1d")))))
+
+
+@query(f"WITH {SQL_M}, {SQL_RETURNS}, b AS ({' UNION ALL '.join(f"SELECT '{k}' AS definition, {d(f'sum(CASE WHEN {_cl} THEN 1 ELSE 0 END)', 'sum(CASE WHEN y_ret_1d IS NOT NULL AND v IS NOT NULL THEN 1 ELSE 0 END)')} AS match_rate, {d('sum(CASE WHEN (y_ret_1d IS NULL) = (v IS NULL) THEN 1 ELSE 0 END)', 'count(*)')} AS mask_agreement FROM (SELECT y_ret_1d, {v} AS v FROM panel)" for k, v in _DEFS.items())}) SELECT definition, {r('match_rate')} AS match_rate, {r('mask_agreement')} AS mask_agreement FROM b ORDER BY b.match_rate DESC NULLS LAST, b.mask_agreement DESC NULLS LAST, definition LIMIT 1")
+def label_definition(spark, sf_dir):
+    return rounded(audits.best_definition(audits.alignment(with_returns(bars_m(spark, sf_dir)))).select("definition", "match_rate", "mask_agreement"))
+
+
+_ATR = ["atr_norm_14", "atr_norm_28"]
+
+
+@query(f"WITH {_f_sql([*_V, *_ATR])} SELECT entity, dt, {', '.join(f'{r(n)} AS {n}' for n in _V)}, {', '.join(f'{r(f"coalesce({pct(n, "dt")}, 0.5)")} AS {n}__rank' for n in _ATR)} FROM feats")
+def augmented_view(spark, sf_dir):
+    bars = bars_m(spark, sf_dir)
+    return rounded(cross_section.augmented(fx.compute(bars, _V), fx.compute(bars, _ATR), _ATR))
+
+
+@query(f"WITH {_f_sql(_V)}, f AS (SELECT min(dt) AS dt FROM feats) " + " UNION ALL ".join(f"SELECT '{n}' AS column, count(*) AS rows, count({n}) AS finite FROM feats JOIN f USING (dt)" for n in (*_V, "close")))
+def finite_probe(spark, sf_dir):
+    return delivery.finite_probe(fx.compute(bars_m(spark, sf_dir), _V, keep=["close"]), [*_V, "close"])
+
+
+@query(f"WITH {SQL_W} SELECT entity, dt, {r('close')} AS close FROM bars WHERE entity IN (SELECT DISTINCT entity FROM bars ORDER BY entity LIMIT 5)")
+def first_entities(spark, sf_dir):
+    return rounded(panel.first_entities(bars_w(spark, sf_dir), 5).select("entity", "dt", "close"))
+
+
 _Q = {q: f"q{str(q).replace('0.', '')}" for q in audits.QUANTILES}
 
 
@@ -164,13 +199,12 @@ _ALL = "open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS N
 
 @query(
     f"WITH {SQL_M}, {SQL_RETURNS}, k AS (SELECT count(*) AS n FROM panel GROUP BY entity, dt), dn AS (SELECT count(*) AS n FROM panel GROUP BY dt) "
-    f"SELECT count(*) AS rows, count(DISTINCT entity) AS entities, count(DISTINCT dt) AS dates, min(dt) AS first_date, max(dt) AS last_date, {_cnt(_ALL)} AS ohlc_violations, {_cnt('vol < 0')} AS negative_vol, {_cnt('amount < 0')} AS negative_amount, {_cnt('flag_limit_up NOT IN (0, 1)')} AS flag_limit_up_violations, {', '.join(f'{_cnt(f"{c} IS NULL")} AS missing_{c}' for c in NUMBERS)}, "
+    f"SELECT count(*) AS rows, count(DISTINCT entity) AS entities, count(DISTINCT dt) AS dates, min(dt) AS first_date, max(dt) AS last_date, {_cnt(_ALL)} AS ohlc_violations, {_cnt('vol < 0')} AS negative_vol, {_cnt('amount < 0')} AS negative_amount, {_cnt('flag_limit_up NOT IN (0, 1)')} AS flag_limit_up_violations, {', '.join(f'{_cnt(f"{c} IS NULL")} AS missing_{c}' for c in NUMBERS)}, {', '.join(f'{_cnt(f"isinf({c})")} AS infinite_{c}' for c in NUMBERS)}, {_cnt('entity IS NULL OR dt IS NULL')} AS null_keys, {_HASH} AS key_hash, "
     f"(SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) FROM k) AS duplicate_rows, (SELECT min(n) FROM dn) AS date_rows_min, (SELECT {r('median(n)')} FROM dn) AS date_rows_median, (SELECT max(n) FROM dn) AS date_rows_max, "
     f"count(*) > 0 AND (SELECT coalesce(sum(CASE WHEN n > 1 THEN n END), 0) FROM k) = 0 AND {_cnt(_ALL)} = 0 AND {_cnt('vol < 0')} = 0 AND {_cnt('amount < 0')} = 0 AND {_cnt('flag_limit_up NOT IN (0, 1)')} = 0 AS passed FROM panel"
 )
 def quality_report(spark, sf_dir):
-    out = audits.quality(with_returns(bars_m(spark, sf_dir), limit=LIMIT))
-    return rounded(out.drop(*[c for c in out.columns if c.startswith("infinite_")]))
+    return rounded(audits.quality(with_returns(bars_m(spark, sf_dir), limit=LIMIT)))
 
 
 @query(f"WITH {SQL_W} SELECT entity, dt, {r('close')} AS close FROM bars WHERE dt IN (SELECT DISTINCT dt FROM bars ORDER BY dt DESC LIMIT 20)")
@@ -478,14 +512,48 @@ def _third(spark, sf_dir):
     return scored(spark, sf_dir).withColumn("pred", F.round(F.coalesce(F.col("vol"), F.lit(0.0)), 6))
 
 
+def _points(grid: list[tuple[float, ...]]) -> str:
+    return f"g AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join((str(i), *(f'{w}::DOUBLE' for w in v))) + ')' for i, v in enumerate(grid))}) t(candidate, {', '.join(f'w{k}' for k in range(len(grid[0])))}))"
+
+
+_RANKED = f"rr AS (SELECT a.entity, a.dt, a.y_ret_1d, a.flag_limit_up, {pct('a.pred', 'a.dt')} AS r0, {pct('b.pred', 'a.dt')} AS r1, {pct('coalesce(a.vol, 0)', 'a.dt')} AS r2 FROM scored a JOIN second b ON a.entity = b.entity AND a.dt = b.dt)"
+
+
+def _grid_sql(grid: list[tuple[float, ...]]) -> str:
+    mix = " + ".join(f"r{k} * w{k}" for k in range(len(grid[0])))
+    return f"WITH {SQL_SCORED}, {_SECOND}, {_RANKED}, {_points(grid)}, cd AS (SELECT candidate, entity, dt, y_ret_1d, flag_limit_up, round({mix}, 9) AS pred FROM rr, g), {_score_sql('cd', 'pred', 'candidate')} SELECT CAST(candidate AS INTEGER) AS candidate, {', '.join(f'{r(m, 5)} AS {m}' for m in METRICS)} FROM mt"
+
+
+def _grid_scores(made, labels):
+    rows = joined_labels(made.withColumn("pred", F.round("pred", 9)), labels)
+    scores = evaluate.summarise(rows, groups=["candidate"])
+    return scores.select("candidate", *[r6(m, 5).alias(m) for m in METRICS])
+
+
+@query(_grid_sql(SIMPLEX))
+def simplex_grid(spark, sf_dir):
+    """All eight metrics of each blend of three models."""
+    made = evaluate.blend_grid([scored(spark, sf_dir), _second(spark, sf_dir), _third(spark, sf_dir)], SIMPLEX)
+    return _grid_scores(made, scored(spark, sf_dir))
+
+
+@query(_grid_sql([((20 - k) / 20, k / 20) for k in range(21)]))
+def two_model_grid(spark, sf_dir):
+    """21 blends of two models; the ends are the models alone."""
+    return _grid_scores(evaluate.two_model_grid(scored(spark, sf_dir), _second(spark, sf_dir)), scored(spark, sf_dir))
+
+
+_MD = "md AS (SELECT dt, stddev_samp(ret_1) AS v, avg(ret_1) AS m FROM panel GROUP BY dt)"
+
+
 @query(
-    f"WITH {SQL_SCORED}, {_SECOND}, rr AS (SELECT a.entity, a.dt, a.y_ret_1d, {pct('a.pred', 'a.dt')} AS r0, {pct('b.pred', 'a.dt')} AS r1, {pct('coalesce(a.vol, 0)', 'a.dt')} AS r2 FROM scored a JOIN second b ON a.entity = b.entity AND a.dt = b.dt), g AS (SELECT * FROM (VALUES {', '.join(f'({i}, {v[0]}::DOUBLE, {v[1]}::DOUBLE, {v[2]}::DOUBLE)' for i, v in enumerate(SIMPLEX))}) t(candidate, w0, w1, w2)), "
-    f"cd AS (SELECT candidate, dt, y_ret_1d, round(r0 * w0 + r1 * w1 + r2 * w2, 9) AS pred FROM rr, g WHERE y_ret_1d IS NOT NULL), rk AS (SELECT candidate, dt, {tie('pred', 'candidate, dt')} AS p, {tie('y_ret_1d', 'candidate, dt')} AS y FROM cd), ic AS (SELECT candidate, dt, {corr('p', 'y')} AS ic FROM rk GROUP BY candidate, dt HAVING count(*) >= 30) SELECT CAST(candidate AS INTEGER) AS candidate, {r('avg(ic)', 5)} AS ic_mean FROM ic GROUP BY candidate"
+    f"WITH {SQL_SCORED}, {_IC}, {_EX}, {_TU}, {_MD}, al AS (SELECT a.dt, ic.ic, ex.excess, tu.turnover, md.v, md.m FROM (SELECT DISTINCT dt FROM scored) a LEFT JOIN ic ON ic.dt = a.dt LEFT JOIN ex ON ex.dt = a.dt LEFT JOIN tu ON tu.dt = a.dt JOIN md ON md.dt = a.dt), mid AS (SELECT quantile_cont(v, 0.5) AS c FROM al), "
+    "rg AS (SELECT 'calm' AS regime, al.* FROM al, mid WHERE v < c UNION ALL SELECT 'restless', al.* FROM al, mid WHERE v >= c UNION ALL SELECT 'falling', al.* FROM al WHERE m < 0 UNION ALL SELECT 'rising', al.* FROM al WHERE m >= 0) "
+    f"SELECT regime, count(*) AS days, {r('avg(ic)')} AS ic_mean, {r('avg(excess) * 252')} AS annual_excess, {r('avg(turnover)')} AS mean_turnover, {r('0.4 * avg(ic) + 0.3 * avg(excess) * 252 + 0.3 * (1 - avg(turnover))')} AS score_proxy FROM rg GROUP BY regime"
 )
-def simplex_grid(spark, sf_dir):
-    made = evaluate.blend_grid([scored(spark, sf_dir), _second(spark, sf_dir), _third(spark, sf_dir)], SIMPLEX).withColumn("pred", F.round("pred", 9))
-    rows = joined_labels(made, scored(spark, sf_dir))
-    return rounded(evaluate.daily_ic(rows, groups=["candidate"]).groupBy("candidate").agg(F.avg("ic").alias("ic_mean")), 5)
+def oof_regimes(spark, sf_dir):
+    market = cross_section.market(with_returns(bars_d(spark, sf_dir), limit=LIMIT))
+    return rounded(evaluate.regimes(scored(spark, sf_dir), market))
 
 
 def joined_labels(made, labels):
@@ -550,11 +618,21 @@ def relevance_histogram(spark, sf_dir):
 def nested_blend(spark, sf_dir):
     a, b = scored(spark, sf_dir), _second(spark, sf_dir).select("entity", "dt", F.col("pred").alias("p1"))
     rows = joined_one_to_one(a.select("entity", "dt", F.col("pred").alias("p0"), F.coalesce("vol", F.lit(0.0)).alias("p2")), b, ["entity", "dt"])
-    over = lambda c: F.round(c, 9)
-    from strandline.functions import rank_pct
+    return rounded(models.nested_blend(rows, ["p0", "p1", "p2"], (0.65, 0.35), (0.6, 0.4)).select("entity", "dt", "pred"))
+
 
-    mixed = rows.withColumn("s", over(0.65 * rank_pct(F.col("p0"), "dt") + 0.35 * rank_pct(F.col("p1"), "dt")))
-    return rounded(mixed.select("entity", "dt", (0.6 * rank_pct(F.col("s"), "dt") + 0.4 * rank_pct(F.col("p2"), "dt")).alias("pred")))
+LOCKED = {"slow": {"kind": "ridge", "features": X}, "unused": {"kind": "boosted", "features": X}}
+
+
+@query(f"WITH {_VIEW}, g AS (SELECT count(*) AS n, sum(y_ret_1d) AS sy, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) - sum(x1) * sum(x1) / count(*) + 100 AS a, sum(x1 * x2) - sum(x1) * sum(x2) / count(*) AS b, sum(x2 * x2) - sum(x2) * sum(x2) / count(*) + 100 AS c, "
+    "sum(x1 * y_ret_1d) - sum(x1) * sum(y_ret_1d) / count(*) AS u, sum(x2 * y_ret_1d) - sum(x2) * sum(y_ret_1d) / count(*) AS v FROM vw WHERE y_ret_1d IS NOT NULL), fit AS (SELECT n, sy, s1, s2, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM g), "
+    f"sc AS (SELECT entity, dt, flag_limit_up, round((sy - s1 * w1 - s2 * w2) / n + w1 * x1 + w2 * x2, 6) AS s FROM vw, fit) SELECT entity, dt, flag_limit_up, {r(pct('s', 'dt'))} AS pred FROM sc")
+def full_refit(spark, sf_dir):
+    """Components with a weight refitted on the full history, written to a model's plain values, read back and applied."""
+    view = _view(spark, sf_dir)
+    fitted = {k: delivery.model_of(delivery.model_state(m)) for k, m in delivery.refit(view, LOCKED, {"slow": 1.0}).items()}
+    scored_ = view.select("entity", "dt", "flag_limit_up", F.round(fitted["slow"].score(), 6).alias("pred"))
+    return rounded(scored_.select("entity", "dt", "flag_limit_up").join(evaluate.blend([scored_], [1.0]), ["entity", "dt"]))
 
 
 # --- audits and provenance ---
@@ -573,9 +651,6 @@ def key_reconcile(spark, sf_dir):
     return aligned_differences(a, b, ["entity", "dt"], ["close"])
 
 
-_HASH = "CAST(sum(CAST('0x' || substr(md5('=' || entity || '|=' || dt), 1, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)"
-
-
 @query(f"WITH {SQL_W} SELECT count(*) AS rows, {_HASH} AS key_hash FROM bars")
 def panel_key_hash(spark, sf_dir):
     return bars_w(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows"), key_hash("entity", "dt").alias("key_hash"))
