@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import finite, rank_pct
@@ -107,46 +107,69 @@ def last_state(smoothed: DataFrame, keys: Keys = KEYS) -> DataFrame:
     return smoothed.groupBy(keys.entity).agg(F.max_by("smoothed", keys.date).alias("smoothed"))
 
 
+def next_top(head: list, pool: int, before: set, exit_fraction: float, denominator: int, min_pool: int) -> list:
+    """The top set of a date, in order. head: the eligible entities by falling score, as far as the wider exit set goes;
+    pool: how many there are in all. Members of `before` stay while they are in the exit set, the best of the others follow."""
+    if pool < min_pool:
+        return []
+    top = max(pool // denominator, 1)
+    stay = [e for e in head[: max(top, int(pool * exit_fraction))] if e in before][:top]
+    kept = set(stay)
+    return stay + [e for e in head if e not in kept][: top - len(stay)]
+
+
 def select_top(ordered: list, eligible: list[bool], before: set, exit_fraction: float, denominator: int, min_pool: int) -> tuple[list, list[float], set]:
-    """One date of the hysteresis. ordered: entities by falling score. Returns entities and scores, and the new top set."""
+    """One whole date of the hysteresis, for streams. ordered: entities by falling score. Returns entities and scores, and
+    the new top set."""
     total = len(ordered)
     ordinal = [(total - k) / total for k in range(total)]
     pool = [k for k in range(total) if eligible[k]]
-    if len(pool) < min_pool:
-        return ordered, ordinal, set()
-    top = max(len(pool) // denominator, 1)
-    leave = max(top, int(len(pool) * exit_fraction))
     names = [ordered[k] for k in pool]
-    stay = [e for e in names[:leave] if e in before][:top]
-    kept = set(stay)
-    chosen = stay + [e for e in names if e not in kept][: top - len(stay)]
-    kept = set(chosen)
-    wanted = chosen + [e for e in names if e not in kept]
+    chosen = next_top(names, len(pool), before, exit_fraction, denominator, min_pool)
+    top = set(chosen)
+    wanted = chosen + [e for e in names if e not in top]
     score = dict(zip(wanted, (ordinal[k] for k in pool), strict=True))
-    return ordered, [score.get(e, o) for e, o in zip(ordered, ordinal, strict=True)], kept
-
-
-def hysteresis(df: DataFrame, exit_fraction: float, keys: Keys = KEYS, groups: list[str] | None = None, denominator: int = 10, min_pool: int = 100, score: str = "smoothed", flag: str = "flag_limit_up", prior: set | None = None) -> DataFrame:
-    """Adds final: scores under which members of the top set stay until they fall out of the wider exit set.
-
-    The recursion runs over dates and needs a date's cross-section at once, so a group (fold, candidate) is one Arrow
-    group; groups run side by side. Ties go by entity."""
-    if not 1 / denominator <= exit_fraction <= 1:
-        raise ValueError("exit_fraction must be between 1 / denominator and 1")
-    groups = groups or []
-    begin = set(prior or ())
+    return ordered, [score.get(e, o) for e, o in zip(ordered, ordinal, strict=True)], top
+
+
+def hysteresis(df: DataFrame, exit_fraction: float | str, keys: Keys = KEYS, groups: list[str] | None = None, denominator: int = 10, min_pool: int = 100, score: str = "smoothed", flag: str = "flag_limit_up", prior: set | None = None) -> DataFrame:
+    """Adds final: scores under which members of the top set stay until they fall out of the wider exit set. The exit
+    fraction may be one of the groups, so that a grid of candidates is one plan.
+
+    Dates are ordered in parallel. Only the recursion itself, over the heads of the dates' orders (the exit set's ids, a
+    row for each date), runs date by date, an Arrow group for each fold or candidate; what it chooses is joined back, and
+    the scores are dealt out in parallel again. Ties go by entity."""
+    own, told = groups or [], isinstance(exit_fraction, str)
+    if told and exit_fraction not in own or not told and not 1 / denominator <= exit_fraction <= 1:
+        raise ValueError("exit_fraction must be between 1 / denominator and 1, or a group")
+    at, begin = [*own, keys.date], set(prior or ())
+    day = Window.partitionBy(*at)
+    order = day.orderBy(F.col(score).desc(), keys.entity)
+    can = F.col(flag) == 0
+    ranked = df.withColumns({"_pos": F.row_number().over(order), "_total": F.count(F.lit(1)).over(day), "_slot": F.sum(can.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_pool": F.sum(can.cast("int")).over(day)})
+    ranked = ranked.withColumn("_ordinal", (F.col("_total") - F.col("_pos") + 1) / F.col("_total"))
+    leave = F.greatest(F.floor(F.col("_pool") / denominator), F.lit(1), F.floor(F.col("_pool") * (F.col(exit_fraction) if told else F.lit(exit_fraction))))
+    heads = ranked.groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.when(can & (F.col("_slot") <= leave), F.struct("_slot", F.col(keys.entity).alias("e"))))), lambda x: x["e"]).alias("_head"), F.coalesce(F.max("_pool"), F.lit(0)).cast("int").alias("_pool"))
+    kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, parts = set(begin), []
-        for _, day in pdf.sort_values([keys.date, score, keys.entity], ascending=[True, False, True]).groupby(keys.date, sort=True):
-            _, final, before = select_top(day[keys.entity].tolist(), (day[flag] == 0).tolist(), before, exit_fraction, denominator, min_pool)
-            parts.append(day.assign(final=final))
-        return pd.concat(parts) if parts else pdf.assign(final=pd.Series(dtype=float))
-
-    keyed = df if groups else df.withColumn("_all", F.lit(0))
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in keyed.dtypes)}, final double"
-    out = keyed.groupBy(*(groups or ["_all"])).applyInPandas(run, schema)
-    return out if groups else out.drop("_all")
+        pdf, before, chosen = pdf.sort_values(keys.date), set(begin), []
+        part = float(pdf[exit_fraction].iloc[0]) if told else exit_fraction
+        for head, pool in zip(pdf["_head"], pdf["_pool"], strict=True):
+            chosen.append(next_top(list(head), pool, before, part, denominator, min_pool))
+            before = set(chosen[-1])
+        return pdf[at].assign(_chosen=chosen)
+
+    schema = f"{', '.join(f'`{c}` {kinds[c]}' for c in at)}, _chosen array<{kinds[keys.entity]}>"
+    heads = heads if own else heads.withColumn("_all", F.lit(0))
+    tops = heads.groupBy(*(own or ["_all"])).applyInPandas(run, schema)
+    tops = tops.select(*at, F.posexplode("_chosen").alias("_place", keys.entity))
+    pool = ranked.filter(can).join(tops, [*at, keys.entity], "left")
+    # the chosen first, the others after them: who comes k-th gets what the k-th of the pool had
+    wanted = pool.withColumn("_slot", F.row_number().over(day.orderBy(F.col("_place").asc_nulls_last(), "_slot"))).drop("_ordinal", "_place")
+    dealt = wanted.join(ranked.filter(can).select(*at, "_slot", F.col("_ordinal").alias("final")), [*at, "_slot"])
+    out = dealt.select(*df.columns, "final")
+    return out.unionByName(ranked.filter(~F.coalesce(can, F.lit(False))).select(*df.columns, F.col("_ordinal").alias("final")))
 
 
 def last_top(final: DataFrame, keys: Keys = KEYS, denominator: int = 10, min_pool: int = 100, flag: str = "flag_limit_up") -> set:
