@@ -115,87 +115,154 @@ def _best(hist: dict, edges: dict[str, list[float]], ridge_: float, least: int)
     return best
 
 
-def grow(df: DataFrame, features: list[str], edges: dict[str, list[float]], depth: int, ridge_: float = 1.0, least: int = 20) -> Node:
-    """A tree on gradients _g and hessians _h (leaf = -G / (H + ridge)). Each level is one aggregate by (node, feature,
-    bin): a row for each, whatever the number of rows."""
+class _Leaf:
+    """A leaf while its tree grows: where its rows are, its best split, and, once they were measured, what that would give."""
+
+    def __init__(self, node: Node, where: Column, depth: int) -> None:
+        self.node, self.where, self.depth = node, where, depth
+        self.split: tuple[float, str, int, bool] | None = None
+        self.kids: list[_Leaf] = []
+
+
+def grow(df: DataFrame, features: list[str], edges: dict[str, list[float]], depth: int | None = 3, ridge_: float = 1.0, least: int = 20, leaves: int | None = None) -> Node:
+    """A tree on gradients _g and hessians _h (leaf = -G / (H + ridge)), grown leaf by leaf: the split that gains most comes
+    first, up to so many leaves (all of a full tree of this depth, if not told).
+
+    Histograms are an aggregate by (node, feature, bin): a row for each, whatever the number of rows. When one leaf's
+    children must be measured, those of all others are too, so there are about as many aggregates as levels."""
     binned = [F.struct(F.lit(f).alias("f"), F.when(F.col(f).isNull(), len(edges[f]) + 1).otherwise(sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0))).alias("b")) for f in features]
-    root = Node()
-    frontier = [(root, F.lit(True))]
-    for level in range(depth + 1):
+
+    def measure(some: list[_Leaf]) -> None:
         place = F.lit(None).cast("int")
-        for k, (_, where) in enumerate(frontier):
-            place = F.when(where, k).otherwise(place)
+        for k, x in enumerate(some):
+            place = F.when(x.where, k).otherwise(place)
         rows = df.withColumn("_node", place).filter("_node is not null")
-        found = rows.select("_node", "_g", "_h", F.explode(F.array(*binned)).alias("x")).groupBy("_node", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("n")).collect()
-        after = []
-        for k, (node, where) in enumerate(frontier):
-            hist: dict = {}
-            for r in found:
-                if r["_node"] == k:
-                    hist.setdefault(r["f"], []).append((r["b"], r["g"], r["h"], r["n"]))
+        hists: list[dict] = [{} for _ in some]
+        for r in rows.select("_node", "_g", "_h", F.explode(F.array(*binned)).alias("x")).groupBy("_node", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("n")).collect():
+            hists[r["_node"]].setdefault(r["f"], []).append((r["b"], r["g"], r["h"], r["n"]))
+        for x, hist in zip(some, hists, strict=True):
             first = next(iter(hist.values()), [])
-            node.value = -sum(x[1] for x in first) / (sum(x[2] for x in first) + ridge_) if first else 0.0
-            cut = _best(hist, edges, ridge_, least) if level < depth else None
-            if cut is None:
-                continue
-            _, node.feature, at, node.missing_left = cut
-            node.cut = edges[node.feature][at]
-            node.left, node.right = Node(), Node()
-            goes = F.coalesce(F.col(node.feature) <= node.cut, F.lit(node.missing_left))
-            after += [(node.left, where & goes), (node.right, where & ~goes)]
-        frontier = after
-        if not frontier:
-            break
-    return root
-
-
-def boost(df: DataFrame, features: list[str], rounds: int = 20, depth: int = 3, rate: float = 0.1, bins: int = 32, gradients=None, base: float | None = None) -> Boosted:
-    """Gradient boosting; squared error unless gradients(frame with _score) adds _g and _h."""
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], *[c for c in df.columns if c not in features]).persist()
+            x.node.value = -sum(v[1] for v in first) / (sum(v[2] for v in first) + ridge_) if first else 0.0
+            x.split = _best(hist, edges, ridge_, least) if depth is None or x.depth < depth else None
+
+    root = _Leaf(Node(), F.lit(True), 0)
+    measure([root])
+    live, most = [root], leaves or 2 ** (depth or 5)
+    while len(live) < most and (best := max((x for x in live if x.split), key=lambda x: x.split[0], default=None)):
+        if not best.kids:
+            for x in live:
+                if x.split and not x.kids:
+                    _, f, at, missing = x.split
+                    goes = F.coalesce(F.col(f) <= edges[f][at], F.lit(missing))
+                    x.kids = [_Leaf(Node(), x.where & goes, x.depth + 1), _Leaf(Node(), x.where & ~goes, x.depth + 1)]
+            measure([k for x in live for k in x.kids])
+        _, best.node.feature, at, best.node.missing_left = best.split
+        best.node.cut = edges[best.node.feature][at]
+        best.node.left, best.node.right = (k.node for k in best.kids)
+        live = [x for x in live if x is not best] + best.kids
+    return root.node
+
+
+def boost(
+    df: DataFrame, features: list[str], rounds: int = 20, depth: int | None = 3, rate: float = 0.1, bins: int = 32, gradients=None, base: float | None = None, leaves: int | None = None, bagging: float = 1.0, feature_fraction: float = 1.0, seed: int = 0, checkpoint_every: int = 10,
+) -> Boosted:
+    """Gradient boosting; squared error unless gradients(frame with _score) adds _g and _h. bagging and feature_fraction: the
+    shares of rows (by a hash of all their values and the round) and of features that a tree is grown on.
+
+    The running score is a column that is kept from round to round, so a round's plan holds its own tree only; where the
+    session has a checkpoint folder, it is written there every few rounds, and a lost executor costs no more than these."""
+    rng = np.random.default_rng(seed)
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], *[c for c in df.columns if c not in features])
+    if gradients is None:
+        rows = rows.filter("y_ret_1d is not null")
+        base = rows.agg(F.avg("y_ret_1d")).first()[0] or 0.0 if base is None else base
+        gradients = lambda d: d.withColumns({"_g": F.col("_score") - F.col("y_ret_1d"), "_h": F.lit(1.0)})
+    model = Boosted(base or 0.0, rate)
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    rows = rows.withColumns({"_score": F.lit(model.base), "_row": row_hash}).persist()
+    edges = bin_edges(rows, features, bins)
+    saved = rows.sparkSession.sparkContext.getCheckpointDir() is not None
     try:
-        if gradients is None:
-            rows = rows.filter("y_ret_1d is not null")
-            base = rows.agg(F.avg("y_ret_1d")).first()[0] or 0.0 if base is None else base
-            gradients = lambda d: d.withColumns({"_g": F.col("_score") - F.col("y_ret_1d"), "_h": F.lit(1.0)})
-        model = Boosted(base or 0.0, rate)
-        edges = bin_edges(rows, features, bins)
-        for _ in range(rounds):
-            model.trees.append(grow(gradients(rows.withColumn("_score", model.score())), features, edges, depth))
+        for k in range(rounds):
+            used = sorted(rng.choice(features, max(1, round(feature_fraction * len(features))), replace=False).tolist())
+            bag = rows if bagging >= 1 else rows.filter(F.pmod(F.xxhash64("_row", F.lit(seed), F.lit(k)), F.lit(1_000_000)) < round(bagging * 1_000_000))
+            graded = gradients(bag).persist()
+            try:
+                tree = grow(graded, used, edges, depth, leaves=leaves)
+            finally:
+                graded.unpersist()
+            model.trees.append(tree)
+            if k + 1 < rounds:
+                after = rows.withColumn("_score", F.col("_score") + tree.column() * rate)
+                after = after.checkpoint() if saved and (k + 1) % checkpoint_every == 0 else after.persist()
+                after.count()
+                rows.unpersist()
+                rows = after
         return model
     finally:
         rows.unpersist()
 
 
-def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0):
-    """Ranking gradients by date, from the counts of rows in (date, grade, score bin) instead of pairs of rows: a row of
-    grade a is pulled up by each lower and down by each higher grade, by how far its score is from what theirs are.
-
-    With grades as gains, the pairwise logistic loss between the row and the mean score of every other grade of its date,
-    weighted by the number of rows there and the difference in gain; at most `bins` terms a row, and no pair is made."""
+def pair_gradients(score: np.ndarray, grade: np.ndarray, truncation: int, sharpness: float = 1.0, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """LambdaRank's gradients and hessians of one list (Burges 2010): over the pairs of unlike grades of which the better
+    ranked is among the first `truncation`, the pairwise logistic loss weighted by what swapping the two would change in
+    NDCG, with gains 2^grade - 1. Scaled by log2(1 + s) / s, s being the sum of the pairs' forces, so that long lists don't
+    outweigh short ones. Pairs are taken a block of rows at a time."""
+    n = len(score)
+    order = np.argsort(-score, kind="stable")
+    s, gain = score[order].astype(float), 2.0 ** grade[order] - 1
+    discount = 1 / np.log2(np.arange(n) + 2)
+    top = min(truncation, n)
+    ideal = (np.sort(gain)[::-1][:top] * discount[:top]).sum()
+    g, h, total = np.zeros(n), np.zeros(n), 0.0
+    if ideal <= 0:
+        return g, h
+    spread = s.max() > s.min()
+    for a in range(0, top, block):
+        i = np.arange(a, min(a + block, top))[:, None]
+        j = np.arange(n)[None, :]
+        live = (j > i) & (gain[i] != gain[j])
+        way = np.sign(gain[i] - gain[j])
+        apart = way * (s[i] - s[j])
+        change = np.abs(gain[i] - gain[j]) * np.abs(discount[i] - discount[j]) / ideal
+        if spread:
+            change = change / (0.01 + np.abs(apart))
+        p = 1 / (1 + np.exp(np.clip(sharpness * apart, -500, 500)))
+        force = np.where(live, sharpness * change * p, 0.0)
+        bend = np.where(live, sharpness**2 * change * p * (1 - p), 0.0)
+        g[i[:, 0]] -= (way * force).sum(axis=1)
+        g += (way * force).sum(axis=0)
+        h[i[:, 0]] += bend.sum(axis=1)
+        h += bend.sum(axis=0)
+        total += 2 * force.sum()
+    if total > 0:
+        scale = np.log2(1 + total) / total
+        g, h = g * scale, h * scale
+    out_g, out_h = np.empty(n), np.empty(n)
+    out_g[order], out_h[order] = g, h
+    return out_g, out_h
+
+
+def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0, truncation: int = 500):
+    """Adds LambdaRank's gradients by date: a date's scores and grades are one Arrow group, truncation times its rows bounds
+    the pairs, and no pair becomes a row."""
 
     def add(df: DataFrame) -> DataFrame:
         graded = df.filter("y_ret_1d is not null").withColumn("_grade", relevance(F.col("y_ret_1d"), keys.date, bins))
-        per = graded.groupBy(keys.date, "_grade").agg(F.avg("_score").alias("s"), F.count(F.lit(1)).alias("n"))
-        others = per.groupBy(keys.date).agg(F.collect_list(F.struct("_grade", "s", "n")).alias("_others"), F.sum("n").alias("_all"))
-        rows = graded.join(others, keys.date)
-        share = lambda o: o["n"] * F.abs(F.col("_grade") - o["_grade"]) / F.col("_all")
-
-        def pull(o: Column) -> Column:
-            up = F.signum((F.col("_grade") - o["_grade"]).cast("double"))
-            return -up * share(o) * sharpness / (1 + F.exp(sharpness * up * (F.col("_score") - o["s"])))
 
-        def bend(o: Column) -> Column:
-            p = 1 / (1 + F.exp(-sharpness * (F.col("_score") - o["s"])))
-            return share(o) * sharpness**2 * p * (1 - p)
+        def run(pdf):
+            pdf = pdf.sort_values(keys.entity)  # ties in the score go by entity
+            g, h = pair_gradients(pdf["_score"].to_numpy(float), pdf["_grade"].to_numpy(float), truncation, sharpness)
+            return pdf.drop(columns="_grade").assign(_g=g, _h=np.maximum(h, 1e-9))
 
-        total = lambda f: F.aggregate("_others", F.lit(0.0), lambda a, o: a + f(o))
-        return rows.withColumns({"_g": total(pull), "_h": F.greatest(total(bend), F.lit(1e-6))}).drop("_others", "_all", "_grade")
+        schema = f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, _g double, _h double"
+        return graded.groupBy(keys.date).applyInPandas(run, schema)
 
     return add
 
 
-def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, **options) -> Boosted:
-    return boost(df, features, gradients=lambda_gradients(keys), base=0.0, **options)
+def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, truncation: int = 500, **options) -> Boosted:
+    return boost(df, features, gradients=lambda_gradients(keys, truncation=truncation), base=0.0, **options)
 
 
 def ndcg(df: DataFrame, keys: Keys = KEYS, bins: int = 10, at: int | None = None, score: str = "pred") -> DataFrame:

@@ -157,3 +157,46 @@ def test_moments_of_flat_frames(spark):
     flat, skew, corr = frames.full("x", F.var_pop, 13), frames.full("x", F.skewness, 13), frames.correlation("x", "z", 13)
     rows = frames.add_to(df).select("dt", flat.alias("v"), skew.alias("s"), corr.alias("c")).collect()
     assert {r.v for r in rows if r.dt >= 12} == {0.0} and all(r.s is None and r.c is None for r in rows)
+
+
+def test_pair_gradients():
+    """Against a loop over pairs; blocks of any size give the same."""
+    rng = np.random.default_rng(4)
+    score, grade = rng.normal(size=40).round(1), rng.integers(0, 5, 40).astype(float)
+    order = sorted(range(40), key=lambda i: (-score[i], i))
+    gain = 2.0**grade - 1
+    for truncation in (1, 7, 100):
+        ideal = sum(x / np.log2(k + 2) for k, x in enumerate(sorted(gain, reverse=True)[:truncation]))
+        g, h, total = np.zeros(40), np.zeros(40), 0.0
+        for a in range(min(truncation, 40)):
+            for b in range(a + 1, 40):
+                i, j = order[a], order[b]
+                if grade[i] == grade[j]:
+                    continue
+                up, down = (i, j) if grade[i] > grade[j] else (j, i)
+                apart = score[up] - score[down]
+                change = (gain[up] - gain[down]) * abs(1 / np.log2(a + 2) - 1 / np.log2(b + 2)) / ideal / (0.01 + abs(apart))
+                p = 1 / (1 + np.exp(apart))
+                g[up] -= change * p
+                g[down] += change * p
+                h[[up, down]] += change * p * (1 - p)
+                total += 2 * change * p
+        scale = np.log2(1 + total) / total
+        for block in (1, 16, 256):
+            got = models.pair_gradients(score, grade, truncation, block=block)
+            assert np.allclose(got[0], g * scale) and np.allclose(got[1], h * scale)
+    assert not models.pair_gradients(score, np.zeros(40), 10)[0].any()
+
+
+def test_leaf_wise_growth(view):
+    """A full tree is the same by leaves and by depth; fewer leaves keep the splits that gain most; bags are repeatable."""
+    rows = view.filter("y_ret_1d is not null").withColumns({"_g": -F.col("y_ret_1d"), "_h": F.lit(1.0)}).cache()
+    edges = models.bin_edges(rows, ["a", "b"], 16)
+    count = lambda n: 1 if n.feature is None else count(n.left) + count(n.right)
+    loss = lambda t: rows.agg(F.sum(F.pow(F.col("y_ret_1d") - t.column(), F.lit(2.0)))).first()[0]
+    full, few, deep = (models.grow(rows, ["a", "b"], edges, **o) for o in ({"depth": 3}, {"depth": 3, "leaves": 4}, {"depth": None, "leaves": 12, "least": 5}))
+    assert count(full) == 8 and count(few) == 4 and count(deep) == 12
+    assert loss(deep) < loss(full) < loss(few) < loss(models.Node(0.0))
+    one, two = (models.boost(view, ["a", "b"], rounds=3, leaves=5, depth=None, bagging=0.7, feature_fraction=0.5, seed=1) for _ in range(2))
+    assert delivery.model_state(one) == delivery.model_state(two)
+    assert delivery.model_state(one) != delivery.model_state(models.boost(view, ["a", "b"], rounds=3, leaves=5, depth=None))
