@@ -15,6 +15,7 @@ from strandline.operators import evaluate as ev
 from strandline.operators import recursion as rc
 from strandline.operators import screening as sc
 
+# Pool and label sizes on both sides of each gate.
 POOLS, LABELS = (99, 100, 99, 100, 101, 110), (29, 30, 99, 100, 100, 109)
 
 
