@@ -7,6 +7,7 @@ from . import packing as pk
 from . import quality_rules as qr
 from . import secret_scan as ss
 from . import sharding as sh
+from . import turn_repair as tr
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"(?:[^\x00-\x7f]|[0-9a-z])+"
@@ -159,6 +160,45 @@ CAST(CASE WHEN rnk < larger * (small + 1) THEN rnk // (small + 1) ELSE larger +
 CAST(CASE WHEN rnk < larger * (small + 1) THEN rnk % (small + 1) ELSE (rnk - larger * (small + 1)) % greatest(small, 1) END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM r
 """
 
+
+def _inserted(q: int) -> list[tuple[str, int, int, str]]:
+    """What inserting none, one or two turns at a state does: (letters, cost, state, lines)."""
+    out = [("", 0, q, "")]
+    for _ in range(2):
+        letters, cost, at, lines = out[-1]
+        to, name = next((to, tr.ROLES[r]) for (p, r), to in tr.MOVES.items() if p == at and r in tr.ROLES)
+        out.append((letters + "I", cost + tr.INSERT, to, f"{lines}|{name}:"))
+    return out
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_STEPS = [(q, f"{m}D", "D", "", at, cost + tr.DELETE, lines, "") for q in tr.STATES for m, cost, at, lines in _inserted(q)]
+_STEPS += [(q, f"{m}K", "K", r, tr.MOVES[at, r], cost, lines, "") for q in tr.STATES for m, cost, at, lines in _inserted(q) for r in "sua" if (at, r) in tr.MOVES]
+_STEPS += [(q, f"{m}R", "R", "", tr.MOVES[at, r], cost + tr.REROLE, lines, name) for q in tr.STATES for m, cost, at, lines in _inserted(q) for r, name in tr.ROLES.items() if (at, r) in tr.MOVES]
+_LAST = [(q, *next((m, cost, lines) for m, cost, at, lines in _inserted(q) if at in tr.ACCEPTING)) for q in tr.STATES]
+_SPACES = r"[\x20\x09-\x0D]+"
+REPAIR = f"""
+WITH RECURSIVE tab AS (SELECT {_crc_table()}::BIGINT[] AS crc),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda b: CAST('0x' || b AS BIGINT))) AS bytes, crc FROM conversations, tab),
+f AS (SELECT conv_id, turn, role, text, xor(4294967295::BIGINT, list_reduce(bytes, lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INT) + 1]))) % 20 AS f FROM o),
+d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM f WHERE f <> 0),
+r AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, right(regexp_replace(text, '{_SPACES}$', ''), 1) AS final FROM d),
+x AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS before FROM r),
+m(q, letters, edit, wants, upto, price, lines, named) AS (VALUES {_values(_STEPS)}), e(q, letters, price, lines) AS (VALUES {_values(_LAST)}),
+dp AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'said': ''}} AS v FROM x
+  UNION ALL SELECT x.g, x.i, m.upto, min({{'cost': CAST(dp.v.cost + m.price + CASE WHEN x.fault = 'truncated' AND m.edit <> 'D' THEN {tr.TRUNCATED} ELSE 0 END AS BIGINT), 'audit': dp.v.audit || m.letters,
+    'said': dp.v.said || replace(m.lines, '|', chr(10)) || CASE m.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || x.role || ':' || x.text ELSE chr(10) || m.named || ':' || x.text END}})
+  FROM dp JOIN x ON x.g = dp.g AND x.i = dp.i + 1 JOIN m ON m.q = dp.q AND (m.edit = 'D' OR x.fault NOT IN ('blank', 'duplicate') AND (m.edit = 'R' OR m.wants = x.initial)) GROUP BY x.g, x.i, m.upto),
+z AS (SELECT dp.g, min({{'cost': CAST(dp.v.cost + e.price AS BIGINT), 'audit': dp.v.audit || e.letters, 'said': dp.v.said || replace(e.lines, '|', chr(10))}}) AS v FROM dp JOIN (SELECT g, max(i) AS n FROM x GROUP BY g) l ON l.g = dp.g AND l.n = dp.i JOIN e USING (q) GROUP BY dp.g),
+s AS (SELECT g, any_value(conv_id) AS conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY g)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.v.cost, 0) AS cost, coalesce(z.v.audit, '') AS audit, sha256(coalesce(substr(z.v.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN z ON z.g = s.g
+"""
+
 _D2, _D3 = JACCARD.replace("FROM documents", "FROM d1"), DECONTAMINATION.replace("FROM documents", "FROM d2")
 _SPANS = SECRETS[SECRETS.index("WITH d AS") : SECRETS.index(",\nb AS (SELECT doc_id")].replace("FROM documents", "FROM d3")
 #: The stages one after another: lines removed, one text of each class, no benchmark items, secrets replaced, packed.
@@ -186,4 +226,5 @@ ORACLES = {
     "op8_quality_rules": QUALITY,
     "op9_length_packing": PACKING,
     "op10_decontamination": DECONTAMINATION,
+    "op11_turn_repair": REPAIR,
 }

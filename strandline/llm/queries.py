@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, jaccard_join, license_scan, oracles, packing, quality_rules, secret_scan, sharding, warc_bundle
+from . import chat_format, decontamination, html_extract, jaccard_join, license_scan, oracles, packing, quality_rules, secret_scan, sharding, turn_repair, warc_bundle
 from .common import table
 
 
@@ -61,7 +61,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")
 
 
-_OWN = (op1_html_extraction, op2_jaccard_join, op3_secret_scans, op4_chat_formatting, op5_warc_bundles, op6_hilbert_sharding, op7_license_scans, op8_quality_rules, op9_length_packing, op10_decontamination)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.reported(turns, turn_repair.damage(turns))
+
+
+_OWN = (op1_html_extraction, op2_jaccard_join, op3_secret_scans, op4_chat_formatting, op5_warc_bundles, op6_hilbert_sharding, op7_license_scans, op8_quality_rules, op9_length_packing, op10_decontamination, op11_turn_repair)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN}
 ORACLES: dict[str, str] = oracles.ORACLES
