@@ -7,6 +7,7 @@ from . import packing as pk
 from . import quality_rules as qr
 from . import secret_scan as ss
 from . import sharding as sh
+from . import spelling as sp
 from . import turn_repair as tr
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -199,6 +200,22 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN z ON z.g = s.g
 """
 
+SPELLING = f"""
+WITH RECURSIVE tab AS (SELECT {_crc_table()}::BIGINT[] AS crc),
+t AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{sp.LETTERS}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) WHERE length(w) >= 6 GROUP BY 1, 2),
+b AS (SELECT w, c, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), '..'), lambda b: CAST('0x' || b AS BIGINT))) AS bytes, crc FROM t, tab),
+h AS (SELECT w, c, xor(4294967295::BIGINT, list_reduce(bytes, lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INT) + 1]))) AS h FROM b),
+d AS (SELECT CASE WHEN h % {sp.DIVISOR} = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+g AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT g.word AS x, v.word AS y FROM g JOIN v ON g.less = v.word UNION SELECT v.word, g.word FROM g JOIN v ON g.less = v.word UNION SELECT a.word, b.word FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word),
+k AS (SELECT x AS word, count(*) AS n_near, min({{'r': -v.n, 'y': y}}) AS best FROM p JOIN v ON v.word = p.y GROUP BY x),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -k.best.r >= 5 * v.n THEN k.best.y END AS form, CASE WHEN -k.best.r >= 5 * v.n THEN -k.best.r END AS form_n FROM v LEFT JOIN k ON k.word = v.word),
+c AS (SELECT word, word AS till, 0 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.till WHERE f.form IS NOT NULL),
+r AS (SELECT word, max_by(till, step) AS root FROM c GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r USING (word)
+"""
+
 _D2, _D3 = JACCARD.replace("FROM documents", "FROM d1"), DECONTAMINATION.replace("FROM documents", "FROM d2")
 _SPANS = SECRETS[SECRETS.index("WITH d AS") : SECRETS.index(",\nb AS (SELECT doc_id")].replace("FROM documents", "FROM d3")
 #: The stages one after another: lines removed, one text of each class, no benchmark items, secrets replaced, packed.
@@ -227,4 +244,5 @@ ORACLES = {
     "op9_length_packing": PACKING,
     "op10_decontamination": DECONTAMINATION,
     "op11_turn_repair": REPAIR,
+    "op12_spelling_variants": SPELLING,
 }
