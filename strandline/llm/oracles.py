@@ -216,6 +216,15 @@ r AS (SELECT word, max_by(till, step) AS root FROM c GROUP BY word)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r USING (word)
 """
 
+EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT k AS node, k AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT r.node, min(v.vec_id) AS component_id FROM r JOIN v ON v.k = r.root GROUP BY r.node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c ON c.node = v.k LEFT JOIN n ON n.a = v.k
+"""
+
 _D2, _D3 = JACCARD.replace("FROM documents", "FROM d1"), DECONTAMINATION.replace("FROM documents", "FROM d2")
 _SPANS = SECRETS[SECRETS.index("WITH d AS") : SECRETS.index(",\nb AS (SELECT doc_id")].replace("FROM documents", "FROM d3")
 #: The stages one after another: lines removed, one text of each class, no benchmark items, secrets replaced, packed.
@@ -245,4 +254,5 @@ ORACLES = {
     "op10_decontamination": DECONTAMINATION,
     "op11_turn_repair": REPAIR,
     "op12_spelling_variants": SPELLING,
+    "op13_embedding_near_duplicates": EMBEDDINGS,
 }

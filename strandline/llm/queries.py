@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, jaccard_join, license_scan, oracles, packing, quality_rules, secret_scan, sharding, spelling, turn_repair, warc_bundle
+from . import chat_format, decontamination, html_extract, jaccard_join, license_scan, oracles, packing, quality_rules, secret_scan, sharding, spelling, subspace_join, turn_repair, warc_bundle
 from .common import table
 
 
@@ -70,7 +70,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
 
 
-_OWN = (op1_html_extraction, op2_jaccard_join, op3_secret_scans, op4_chat_formatting, op5_warc_bundles, op6_hilbert_sharding, op7_license_scans, op8_quality_rules, op9_length_packing, op10_decontamination, op11_turn_repair, op12_spelling_variants)
+def op13_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+_OWN = (op1_html_extraction, op2_jaccard_join, op3_secret_scans, op4_chat_formatting, op5_warc_bundles, op6_hilbert_sharding, op7_license_scans, op8_quality_rules, op9_length_packing, op10_decontamination, op11_turn_repair, op12_spelling_variants, op13_embedding_near_duplicates)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OWN}
 ORACLES: dict[str, str] = oracles.ORACLES
