@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import filled, tie_rank
 
+from .blocks import moments
 from .cross_section import relevance
 from .panel import KEYS, Keys
 
@@ -22,8 +23,15 @@ def simple_factor(df: DataFrame, feature: str, direction: int = 1, fill: float =
     return df.withColumn("pred", direction * F.coalesce(F.col(feature).cast("double"), F.lit(fill)))
 
 
-def gram(df: DataFrame, features: list[str], label: str = "y_ret_1d", groups: list[str] | None = None) -> DataFrame:
-    """One row (by group): n, sums, products and products with the label, as arrays. A partial aggregate in every task."""
+#: Features beyond which the sums are products of matrices in the tasks, and not an expression for each pair.
+WIDE = 24
+
+
+def gram(df: DataFrame, features: list[str], label: str = "y_ret_1d", groups: list[str] | None = None, wide: int = WIDE) -> DataFrame:
+    """One row (by group): n, sums, products and products with the label, as arrays. A partial aggregate in every task;
+    with many features, blocks of the matrix (then a frame without labelled rows gives no row)."""
+    if len(features) > wide:
+        return moments(df.filter(F.col(label).isNotNull()), [filled(F.col(f).cast("double"), 0.0) for f in features], F.col(label), groups)
     x = [filled(F.col(f).cast("double"), 0.0) for f in features]
     y = F.col(label).cast("double")
     pairs = [F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]

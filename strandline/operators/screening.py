@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import correlation, rank_pct, safe_div
 
+from .blocks import correlations
 from .cross_section import unpivot
 from .panel import KEYS, Keys
 
@@ -45,16 +46,23 @@ def periods(daily: DataFrame, named: dict[str, tuple], date: str = "dt") -> Data
     return daily.withColumn("period", F.explode(F.filter(marks, lambda x: x.isNotNull())))
 
 
+def rank_rows(df: DataFrame, features: list[str], keys: Keys = KEYS, fill: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """entity, date, keep, ranks: an array with the percentile rank of each feature (by name) over the whole universe of the
+    date, missing ones neutral. The wide rows are exchanged once, by date; ranking and putting together need no other."""
+    # an explode keeps the partitioning by date, which an unpivot loses
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("p")
+    rows = df.select(*keys.both, *keep, *features).repartition(keys.date).select(*keys.both, *keep, long).select(*keys.both, *keep, "p.*")
+    ranked = rows.withColumn("rank", F.coalesce(rank_pct(F.col("x"), keys.date, "feature"), F.lit(fill)))
+    told = F.array_sort(F.collect_list(F.struct("feature", "rank")))
+    return ranked.groupBy(keys.date, keys.entity, *keep).agg(F.transform(told, lambda p: p["rank"]).alias("ranks"))
+
+
 def rank_correlations(df: DataFrame, features: list[str], keys: Keys = KEYS, least: int = 30, fill: float = 0.5) -> DataFrame:
-    """f1, f2 (f1 <= f2), mean of the daily correlations of their ranks, days.
-
-    The ranks of a row are an array; one explode makes its pairs, a number fixed by the features, so no self join of the
-    panel is needed."""
-    ranks = df.select(keys.date, *[F.coalesce(rank_pct(F.col(f).cast("double"), keys.date), F.lit(fill)).alias(f) for f in features])
-    pairs = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(features) for b in features[i:]]
-    rows = ranks.select(keys.date, F.explode(F.array(*pairs)).alias("p")).select(keys.date, "p.*")
-    daily = rows.groupBy(keys.date, "f1", "f2").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
-    return daily.filter((F.col("n") >= least) & F.col("r").isNotNull()).groupBy("f1", "f2").agg(F.avg("r").alias("rank_corr"), F.count(F.lit(1)).alias("days"))
+    """f1, f2 (f1 before f2 by name, or the same), mean of the daily correlations of their ranks, days.
+
+    Each date's matrix of ranks is multiplied with itself in the tasks that rank it, and the dates' matrices are summed up
+    (operators/blocks.py): no row for a pair, and a plan that doesn't grow with their number."""
+    return correlations(rank_rows(df, features, keys, fill), F.col("ranks"), sorted(features), keys.date, least)
 
 
 def regimes(daily: DataFrame, market_daily: DataFrame, screen: tuple, periods_: dict[str, tuple], keys: Keys = KEYS) -> DataFrame:

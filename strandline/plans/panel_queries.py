@@ -353,6 +353,41 @@ def rank_corr_matrix(spark, sf_dir):
     return rounded(screening.rank_correlations(_screened(spark, sf_dir), SCREENED))
 
 
+def _wide_names() -> list[str]:
+    from .feature_queries import FAMILIES
+
+    return sorted(n for k in ("ret_lags", "bar_shape", "volume_change", "rolling_ma_ratio", "rolling_vol") for n in FAMILIES[k] if not n.endswith("120"))
+
+
+def _wide(spark, sf_dir):
+    """Every feature of five families."""
+    return rounded(fx.compute(with_returns(bars_m(spark, sf_dir)).drop("ret_1"), _wide_names(), keep=["y_ret_1d"]))
+
+
+def _wide_sql() -> str:
+    names = _wide_names()
+    told = f"{_f_sql(names)}, {SQL_RETURNS}, fr AS (SELECT entity, dt, {', '.join(f'{r(n)} AS {n}' for n in names)} FROM feats), "
+    long = " UNION ALL ".join(f"SELECT entity, dt, '{n}' AS f, coalesce({pct(n, 'dt')}, 0.5) AS x FROM fr" for n in names)
+    return f"{told} lr AS ({long})"
+
+
+@query(f"WITH {_wide_sql()}, pp AS (SELECT a.dt, a.f AS f1, b.f AS f2, count(*) AS n, {corr('a.x', 'b.x')} AS c FROM lr a JOIN lr b ON a.entity = b.entity AND a.dt = b.dt AND a.f <= b.f GROUP BY a.dt, a.f, b.f) SELECT f1, f2, {r('avg(c)')} AS rank_corr, count(*) AS days FROM pp WHERE n >= 30 AND c IS NOT NULL GROUP BY f1, f2")
+def rank_corr_wide(spark, sf_dir):
+    """The matrix over all features of five families, in one plan."""
+    return rounded(screening.rank_correlations(_wide(spark, sf_dir), _wide_names()))
+
+
+@query(f"WITH {_wide_sql()}, yy AS (SELECT entity, dt, y_ret_1d FROM panel WHERE y_ret_1d IS NOT NULL) SELECT a.f AS f1, b.f AS f2, count(*) AS n, {r('sum(a.x * b.x)', 4)} AS products FROM lr a JOIN lr b ON a.entity = b.entity AND a.dt = b.dt AND a.f <= b.f JOIN yy ON yy.entity = a.entity AND yy.dt = a.dt GROUP BY a.f, b.f")
+def gram_wide(spark, sf_dir):
+    """The sums of products that a ridge on all features of five families needs."""
+    names = _wide_names()
+    view = screening.rank_rows(_wide(spark, sf_dir), names, keep=("y_ret_1d",))
+    view = view.select("y_ret_1d", *[F.get("ranks", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate((a, b) for i, a in enumerate(names) for b in names[i:])], "k int, f1 string, f2 string")
+    sums = models.gram(view, names).select("n", F.posexplode("sxx").alias("k", "products"))
+    return rounded(sums.join(F.broadcast(pairs), "k").select("f1", "f2", "n", "products"), 4)
+
+
 @query(
     f"WITH {_SP}, {_DI}, m AS (SELECT dt, avg(ret_1) AS mm, stddev_samp(ret_1) AS ms FROM panel GROUP BY dt), c AS (SELECT quantile_cont(ms, 0.25) AS lv, quantile_cont(ms, 0.75) AS hv, quantile_cont(mm, 0.25) AS lm, quantile_cont(mm, 0.75) AS hm FROM m WHERE dt BETWEEN DATE '2024-01-01' AND DATE '2024-01-20'), "
     "rg AS (SELECT dt, 'low_volatility' AS regime FROM m, c WHERE ms <= lv UNION ALL SELECT dt, 'high_volatility' FROM m, c WHERE ms >= hv UNION ALL SELECT dt, 'falling' FROM m, c WHERE mm <= lm UNION ALL SELECT dt, 'rising' FROM m, c WHERE mm >= hm), "
