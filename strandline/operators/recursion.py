@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,61 +13,61 @@ from strandline.functions import finite, rank_pct
 from .panel import KEYS, ContractError, Keys
 
 
-#: Elements of a series that a fold appends to one array; a fold that appended to the whole series would copy it each time.
-BLOCK = 256
-
-
-def _blockwise(values: Column, state: str, start: Column, step: Callable[[Column, Column], Column], given: Callable[[Column], Column]) -> Column:
-    """For each element of an array, given(state) after step(state, element): folds over blocks of the array, inside a fold
-    over the blocks that carries the state from one to the next. Time and copies grow with the array's length."""
-    inner = f"struct<s:{state},out:array<double>>"
-
-    def block(s: Column, k: Column) -> Column:
-        begin = F.struct(s.alias("s"), F.array().cast("array<double>").alias("out")).cast(inner)
-
-        def one(t: Column, x: Column) -> Column:
-            # the new state is bound once, as it is used twice
-            return F.element_at(F.transform(F.array(step(t["s"], x)), lambda new: F.struct(new.alias("s"), F.concat(t["out"], F.array(given(new))).alias("out")).cast(inner)), 1)
-
-        return F.aggregate(F.slice(values, k * BLOCK + 1, F.lit(BLOCK)), begin, one)
-
-    outer = f"struct<s:{state},outs:array<array<double>>>"
-    begin = F.struct(start.cast(state).alias("s"), F.array().cast("array<array<double>>").alias("outs")).cast(outer)
-
-    def over(t: Column, k: Column) -> Column:
-        return F.element_at(F.transform(F.array(block(t["s"], k)), lambda r: F.struct(r["s"].alias("s"), F.concat(t["outs"], F.array(r["out"])).alias("outs")).cast(outer)), 1)
-
-    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0)))
-    return F.aggregate(numbers, begin, over, lambda t: F.flatten(t["outs"]))
-
-
-def _fold(values: Column, alpha: float, least: int) -> Column:
-    """An array's exponential means. A missing value carries the mean on and lowers its weight, so that over a gap of g
-    rows the next value meets the weight (1 - alpha) ** (g + 1); the first `least` - 1 values give nothing."""
-    state = "struct<w:double,m:double,n:int>"
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("m"), F.lit(0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        old = s["w"] * (1 - alpha)
-        mean = F.when(x.isNull(), s["m"]).when(s["m"].isNull(), x).otherwise((old * s["m"] + alpha * x) / (old + alpha))
-        weight = F.when(x.isNull() & s["m"].isNotNull(), old).otherwise(F.lit(1.0))
-        return F.struct(weight.alias("w"), mean.alias("m"), (s["n"] + x.isNotNull().cast("int")).alias("n")).cast(state)
-
-    return _blockwise(values, state, start, step, lambda s: F.when(s["n"] >= least, s["m"]))
+#: What the logarithms of decays may sum up to in a block: exp(-SPAN) is far from underflow, and far below any precision.
+SPAN = 300.0
+
+
+def affine_scan(df: DataFrame, steps: dict[str, tuple[Column, Column, Column | None]], keys: Keys = KEYS, groups: list[str] | None = None) -> DataFrame:
+    """Adds, for each name: (log of a, b, start), the state m of the recursion m = a * m + b along an entity's dates, which
+    begins with start, or with b at the first row where that is null. 0 < a <= 1; neither has nulls.
+
+    A history is cut into blocks wherever its decays come to exp(-SPAN). Inside a block the state is a running sum of
+    b over the product of the decays so far, times that product; the block's end is what the next one begins with. What lies
+    further back than the block before counts for less than exp(-SPAN), which no double can hold beside it. So each row
+    costs a constant number of running sums, window functions stream through a history of any length, and no row holds it.
+    One exchange by entity, and one sort for each name."""
+    own = [*(groups or []), keys.entity]
+    along = Window.partitionBy(*own).orderBy(keys.date)
+    before, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    out = df
+    for name, (log_a, b, start) in steps.items():
+        c = lambda k, name=name: f"_{k}_{name}"
+        out = out.withColumns({c("la"): log_a, c("b"): b})
+        out = out.withColumn(c("blk"), F.floor(-F.sum(c("la")).over(upto) / SPAN))
+        out = out.withColumns({c("first"): ~F.lag(c("blk")).over(along).eqNullSafe(F.col(c("blk"))), c("last"): ~F.lead(c("blk")).over(along).eqNullSafe(F.col(c("blk")))})
+        inside = Window.partitionBy(*own, c("blk")).orderBy(keys.date).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({c("p"): F.exp(F.sum(F.when(F.col(c("first")), 0.0).otherwise(F.col(c("la")))).over(inside)), c("into"): F.exp(F.first(c("la")).over(inside))})
+        out = out.withColumn(c("m"), F.col(c("p")) * F.sum(F.col(c("b")) / F.col(c("p"))).over(inside))
+        held = F.last(F.when(F.col(c("last")), F.col(c("m"))), ignorenulls=True).over(before)
+        # the block's own rows lie behind `held` too, but none of them is its last
+        held = F.coalesce(held, start) if start is not None else held
+        out = out.withColumn(name, F.col(c("m")) + F.coalesce(F.col(c("p")) * F.col(c("into")) * held, F.lit(0.0)))
+        out = out.drop(*[c(k) for k in ("la", "b", "blk", "first", "last", "p", "into", "m")])
+    return out
 
 
 def ema_columns(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = KEYS) -> DataFrame:
     """Adds exponential means of value, alpha = 2 / (span + 1), missing until span values were there.
 
-    One aggregate collects an entity's rows, folds run over the array, one explode gives the rows back: no join and no
-    Python. An entity's history must fit in a row; ema_pandas has the same result for histories that don't suit a fold.
-    """
-    rows = df.groupBy(keys.entity).agg(F.array_sort(F.collect_list(F.struct(keys.date, *[c for c in df.columns if c not in keys.both]))).alias("_rows"))
-    rows = rows.withColumn("_series", F.transform("_rows", lambda r: r[value]))
-    folds = rows.select(keys.entity, "_rows", *[_fold(F.col("_series"), 2.0 / (n + 1), n).alias(name) for name, n in spans.items()])
-    zipped = folds.select(keys.entity, F.explode(F.arrays_zip("_rows", *spans)).alias("_z"))
-    back = [c for c in df.columns if c != keys.entity]
-    return zipped.select(keys.entity, *[F.col(f"_z._rows.{c}").alias(c) for c in back], *[F.col(f"_z.{n}").alias(n) for n in spans])
+    A missing value carries the mean on and lowers its weight, so that over a gap of g rows the next value meets the weight
+    (1 - alpha) ** (g + 1). Between values the mean is a recursion with known decays: an affine scan, in window functions."""
+    along = Window.partitionBy(keys.entity).orderBy(keys.date)
+    upto, before = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    there = F.col(value).isNotNull()
+    rows = df.withColumn("_at", F.row_number().over(along)).withColumns({"_n": F.count(value).over(upto), "_gap": F.col("_at") - F.last(F.when(there, F.col("_at")), ignorenulls=True).over(before)})
+    steps = {}
+    for name, n in spans.items():
+        alpha = 2.0 / (n + 1)
+        if alpha == 1:  # nothing is carried over from one value to the next
+            steps[name] = (F.when(there, -2 * SPAN).otherwise(0.0), F.when(there, F.col(value).cast("double")).otherwise(0.0), None)
+            continue
+        weight = F.pow(F.lit(1 - alpha), F.col("_gap"))
+        begun = there & F.col("_gap").isNotNull()
+        # the weight of a long gap is too small for a double, its logarithm is not
+        log_a = F.col("_gap") * math.log(1 - alpha) - F.log(weight + alpha)
+        steps[name] = (F.when(begun, log_a).otherwise(0.0), F.when(begun, alpha * F.col(value).cast("double") / (weight + alpha)).when(there, F.col(value).cast("double")).otherwise(0.0), None)
+    out = affine_scan(rows, steps, keys)
+    return out.withColumns({name: F.when(F.col("_n") >= n, F.col(name)) for name, n in spans.items()}).drop("_at", "_n", "_gap")
 
 
 def ema_pandas(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = KEYS) -> DataFrame:
@@ -81,25 +81,34 @@ def ema_pandas(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = KE
     return df.groupBy(keys.entity).applyInPandas(run, schema)
 
 
-def rank_ema(df: DataFrame, alpha: float, keys: Keys = KEYS, state: DataFrame | None = None, score: str = "pred", finite_only: bool = False) -> DataFrame:
+def rank_ema(df: DataFrame, alpha: float | list[float], keys: Keys = KEYS, state: DataFrame | None = None, score: str = "pred", finite_only: bool = False) -> DataFrame:
     """Adds rank (percentile by date) and smoothed = alpha * rank + (1 - alpha) * the entity's last value. An entity begins
-    with its rank, or from state (entity, smoothed) if it is there. Rows of an entity count, not calendar days. finite_only:
-    missing scores are an error."""
-    if not 0 < alpha <= 1:
+    with its rank, or from state (entity, smoothed) if it is there. Rows of an entity count, not calendar days; a rank that
+    is missing leaves the value as it is. finite_only: missing scores are an error. Several alphas: a row for each, with a
+    column alpha; ranks are taken once."""
+    alphas = alpha if isinstance(alpha, list) else [alpha]
+    if not alphas or not all(0 < a <= 1 for a in alphas):
         raise ValueError("alpha must be in (0, 1]")
     if finite_only and not df.filter(finite(F.col(score).cast("double")).isNull()).isEmpty():
         raise ContractError(f"{score} must be finite")
     ranked = df.withColumn("rank", rank_pct(F.col(score), keys.date))
-    rows = ranked.groupBy(keys.entity).agg(F.array_sort(F.collect_list(F.struct(keys.date, *[c for c in ranked.columns if c not in keys.both]))).alias("_rows"))
-    rows = rows.join(state.select(keys.entity, F.col("smoothed").alias("_prior")), keys.entity, "left") if state is not None else rows.withColumn("_prior", F.lit(None).cast("double"))
-
-    def step(s: Column, r: Column) -> Column:
-        return F.struct(F.when(s["m"].isNull(), r).otherwise(alpha * r + (1 - alpha) * s["m"]).alias("m")).cast("struct<m:double>")
-
-    rows = rows.withColumn("_ranks", F.transform("_rows", lambda r: r["rank"]))
-    rows = rows.withColumn("smoothed", _blockwise(F.col("_ranks"), "struct<m:double>", F.struct(F.col("_prior").alias("m")), step, lambda s: s["m"]))
-    zipped = rows.select(keys.entity, F.explode(F.arrays_zip("_rows", "smoothed")).alias("_z"))
-    return zipped.select(keys.entity, *[F.col(f"_z._rows.{c}").alias(c) for c in ranked.columns if c != keys.entity], F.col("_z.smoothed").alias("smoothed"))
+    rows, told = ranked, [*ranked.columns, "smoothed"]
+    if isinstance(alpha, list):
+        rows, told = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))), ["alpha", *told]
+    else:
+        rows = rows.withColumn("alpha", F.lit(float(alpha)))
+    prior = F.lit(None).cast("double")
+    if state is not None:
+        rows, prior = rows.join(state.select(keys.entity, F.col("smoothed").alias("_prior")), keys.entity, "left"), F.col("_prior")
+    groups = ["alpha"] if isinstance(alpha, list) else []
+    along = Window.partitionBy(*groups, keys.entity).orderBy(keys.date)
+    there = F.col("rank").isNotNull()
+    rows = rows.withColumn("_seen", F.count("rank").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = (F.col("_seen") == 1) & prior.isNull()
+    log_a = F.when(~there, 0.0).when(F.col("alpha") == 1, -2 * SPAN).otherwise(F.log(1 - F.col("alpha")))
+    b = F.when(~there, 0.0).when(opens, F.col("rank")).otherwise(F.col("alpha") * F.col("rank"))
+    out = affine_scan(rows, {"smoothed": (log_a, b, prior)}, keys, groups)
+    return out.withColumn("smoothed", F.when((F.col("_seen") > 0) | prior.isNotNull(), F.col("smoothed"))).select(*told)
 
 
 def last_state(smoothed: DataFrame, keys: Keys = KEYS) -> DataFrame:
@@ -136,40 +145,41 @@ def hysteresis(df: DataFrame, exit_fraction: float | str, keys: Keys = KEYS, gro
     """Adds final: scores under which members of the top set stay until they fall out of the wider exit set. The exit
     fraction may be one of the groups, so that a grid of candidates is one plan.
 
-    Dates are ordered in parallel. Only the recursion itself, over the heads of the dates' orders (the exit set's ids, a
-    row for each date), runs date by date, an Arrow group for each fold or candidate; what it chooses is joined back, and
-    the scores are dealt out in parallel again. Ties go by entity."""
+    Dates are ordered in parallel. Only the recursion itself, over the heads of the dates' orders (the exit set, a row for
+    each date), runs date by date, an Arrow group for each fold or candidate. Behind the exit set nobody's place changes, so
+    the recursion gives the new scores of the heads, and one join brings them back. Scores, means of ranks, are compared at
+    12 digits, so that those which tie don't differ by the order of their sums; ties go by entity."""
     own, told = groups or [], isinstance(exit_fraction, str)
     if told and exit_fraction not in own or not told and not 1 / denominator <= exit_fraction <= 1:
         raise ValueError("exit_fraction must be between 1 / denominator and 1, or a group")
     at, begin = [*own, keys.date], set(prior or ())
     day = Window.partitionBy(*at)
-    order = day.orderBy(F.col(score).desc(), keys.entity)
-    can = F.col(flag) == 0
-    ranked = df.withColumns({"_pos": F.row_number().over(order), "_total": F.count(F.lit(1)).over(day), "_slot": F.sum(can.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_pool": F.sum(can.cast("int")).over(day)})
-    ranked = ranked.withColumn("_ordinal", (F.col("_total") - F.col("_pos") + 1) / F.col("_total"))
+    order = day.orderBy(F.round(score, 12).desc(), keys.entity)
+    can = F.coalesce(F.col(flag) == 0, F.lit(False))
+    ranked = df.withColumns({"_pos": F.row_number().over(order), "_slot": F.sum(can.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_total": F.count(F.lit(1)).over(day), "_pool": F.sum(can.cast("int")).over(day)})
     leave = F.greatest(F.floor(F.col("_pool") / denominator), F.lit(1), F.floor(F.col("_pool") * (F.col(exit_fraction) if told else F.lit(exit_fraction))))
-    heads = ranked.groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.when(can & (F.col("_slot") <= leave), F.struct("_slot", F.col(keys.entity).alias("e"))))), lambda x: x["e"]).alias("_head"), F.coalesce(F.max("_pool"), F.lit(0)).cast("int").alias("_pool"))
+    head = F.array_sort(F.collect_list(F.when(can & (F.col("_slot") <= leave), F.struct("_pos", F.col(keys.entity).alias("e")))))
+    heads = ranked.groupBy(*at).agg(F.transform(head, lambda x: x["e"]).alias("_head"), F.transform(head, lambda x: x["_pos"]).alias("_places"), F.coalesce(F.max("_pool"), F.lit(0)).cast("int").alias("_pool"))
     kinds = dict(df.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, before, chosen = pdf.sort_values(keys.date), set(begin), []
+        pdf, before, names, places = pdf.sort_values(keys.date), set(begin), [], []
         part = float(pdf[exit_fraction].iloc[0]) if told else exit_fraction
-        for head, pool in zip(pdf["_head"], pdf["_pool"], strict=True):
-            chosen.append(next_top(list(head), pool, before, part, denominator, min_pool))
-            before = set(chosen[-1])
-        return pdf[at].assign(_chosen=chosen)
-
-    schema = f"{', '.join(f'`{c}` {kinds[c]}' for c in at)}, _chosen array<{kinds[keys.entity]}>"
+        for head, own_places, pool in zip(pdf["_head"], pdf["_places"], pdf["_pool"], strict=True):
+            head = list(head)
+            chosen = next_top(head, pool, before, part, denominator, min_pool)
+            before = set(chosen)
+            moved = [(e, p) for e, p, old in zip(chosen + [e for e in head if e not in before], own_places, head, strict=True) if e != old]
+            names.append([e for e, _ in moved])
+            places.append([int(p) for _, p in moved])
+        return pdf[at].assign(_names=names, _at=places)
+
+    schema = f"{', '.join(f'`{c}` {kinds[c]}' for c in at)}, _names array<{kinds[keys.entity]}>, _at array<int>"
     heads = heads if own else heads.withColumn("_all", F.lit(0))
-    tops = heads.groupBy(*(own or ["_all"])).applyInPandas(run, schema)
-    tops = tops.select(*at, F.posexplode("_chosen").alias("_place", keys.entity))
-    pool = ranked.filter(can).join(tops, [*at, keys.entity], "left")
-    # the chosen first, the others after them: who comes k-th gets what the k-th of the pool had
-    wanted = pool.withColumn("_slot", F.row_number().over(day.orderBy(F.col("_place").asc_nulls_last(), "_slot"))).drop("_ordinal", "_place")
-    dealt = wanted.join(ranked.filter(can).select(*at, "_slot", F.col("_ordinal").alias("final")), [*at, "_slot"])
-    out = dealt.select(*df.columns, "final")
-    return out.unionByName(ranked.filter(~F.coalesce(can, F.lit(False))).select(*df.columns, F.col("_ordinal").alias("final")))
+    moved = heads.groupBy(*(own or ["_all"])).applyInPandas(run, schema).select(*at, F.explode(F.arrays_zip("_names", "_at")).alias("_m"))
+    moved = moved.select(*at, F.col("_m._names").alias(keys.entity), F.col("_m._at").alias("_new"))
+    place = F.coalesce("_new", "_pos")
+    return ranked.join(moved, [*at, keys.entity], "left").select(*df.columns, ((F.col("_total") - place + 1) / F.col("_total")).alias("final"))
 
 
 def last_top(final: DataFrame, keys: Keys = KEYS, denominator: int = 10, min_pool: int = 100, flag: str = "flag_limit_up") -> set:

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import safe_div
@@ -530,9 +527,8 @@ ALPHAS, EXITS = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5), (0.1, 0.125, 0.15)
 @query(f"WITH RECURSIVE {SQL_SCORED}, {_smooth_sql(ALPHAS)}, {_hysteresis_sql(EXITS)}, {_score_sql('fin', 'final', 'alpha, exit')} SELECT alpha, exit, {', '.join(f'{r(m, 5)} AS {m}' for m in METRICS)} FROM mt")
 def turnover_grid(spark, sf_dir):
     """Every smoothing is computed once and shared by its exit fractions; one plan ranks, holds and scores all of them."""
-    base = scored(spark, sf_dir)
-    smooth = [recursion.rank_ema(base, a).select(F.lit(a).alias("alpha"), "entity", "dt", F.round("smoothed", 9).alias("smoothed"), "flag_limit_up", "y_ret_1d") for a in ALPHAS]
-    grid = reduce(DataFrame.unionByName, smooth).withColumn("exit", F.explode(F.array(*[F.lit(x) for x in EXITS])))
+    smooth = recursion.rank_ema(scored(spark, sf_dir), list(ALPHAS)).select("alpha", "entity", "dt", F.round("smoothed", 9).alias("smoothed"), "flag_limit_up", "y_ret_1d")
+    grid = smooth.withColumn("exit", F.explode(F.array(*[F.lit(x) for x in EXITS])))
     held = recursion.hysteresis(grid, "exit", groups=["alpha", "exit"])
     scores = evaluate.summarise(held.withColumnRenamed("final", "pred"), groups=["alpha", "exit"])
     return scores.select("alpha", "exit", *[r6(m, 5).alias(m) for m in METRICS])

@@ -91,6 +91,23 @@ def test_gap_rule_of_the_ema(spark):
     np.testing.assert_allclose([np.nan if v is None else v for v in got], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("span", [1, 2, 20, 3000])
+def test_ema_of_a_history_longer_than_a_row(spark, span):
+    """Long gaps, values of unlike size, and many blocks: equal to pandas, without any row that holds a history."""
+    rng = np.random.default_rng(span)
+    n = 60_000
+    x = np.exp(rng.normal(0, 3, n).cumsum() / 100) * rng.choice([1.0, 1e-6, 1e6], n)
+    x[rng.random(n) < 0.3] = np.nan
+    x[5_000:9_000], x[:3] = np.nan, np.nan
+    pdf = pd.DataFrame({"entity": np.arange(n) % 7 == 0, "dt": np.arange(n), "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).repartition(5)
+    found = recursion.ema_columns(df, "x", {"m": span})
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.toPandas().sort_values(["entity", "dt"])
+    want = got.groupby("entity")["x"].transform(lambda s: s.ewm(span=span, min_periods=span, adjust=False).mean())
+    np.testing.assert_allclose(got["m"], want, rtol=1e-11)
+
+
 @pytest.mark.parametrize("cut", [70, 130])
 def test_causality(spark, computed, cut):
     """A changed future leaves the past as it was."""

@@ -137,6 +137,25 @@ def test_rank_ema(days):
         rc.rank_ema(df, 0.0)
 
 
+def test_rank_ema_of_long_histories(spark):
+    """Many blocks, missing scores, several alphas at once: pandas' recursion, ranks taken once, no history in a row."""
+    rng = random.Random(3)
+    rows = [(e, d, rng.random() if rng.random() < 0.9 else None) for d in range(1500) for e in range(5)]
+    df = spark.createDataFrame(rows, "entity int, dt int, pred double")
+    found = rc.rank_ema(df, [1.0, 0.7, 0.01])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("LocalRelation") + plan.count("LogicalRDD") == 1
+    got = found.toPandas().sort_values(["alpha", "entity", "dt"])
+    for a, part in got.groupby("alpha"):
+        want = part.groupby("entity")["rank"].transform(lambda s, a=a: s.dropna().ewm(alpha=a, adjust=False).mean().reindex(s.index).ffill())
+        np.testing.assert_allclose(part["smoothed"], want, rtol=1e-11)
+
+
+def test_hysteresis_joins_once(days):
+    plan = rc.hysteresis(rc.rank_ema(days[0], 0.5), 0.3, min_pool=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("FlatMapGroupsInPandas") == 1
+
+
 def test_hysteresis(days):
     df, rows = days
     smooth = rc.rank_ema(df, 0.5)
