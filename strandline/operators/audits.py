@@ -56,17 +56,19 @@ def alignment(df: DataFrame, keys: Keys = KEYS, label: str = "y_ret_1d", future:
 
 
 def best_definition(audit: DataFrame) -> DataFrame:
-    """The row of alignment() that the label follows: most matches, then most agreement on what is missing."""
-    return audit.orderBy(F.col("match_rate").desc_nulls_last(), F.col("mask_agreement").desc_nulls_last(), "definition").limit(1)
+    """The row of alignment() that the label follows: most matching rows, then most rows that agree on what is missing; the
+    next row if these tie too."""
+    return audit.orderBy(F.col("matching").desc(), F.col("mask_agreement").desc_nulls_last(), (F.col("definition") != "next_row").cast("int")).limit(1)
 
 
-def mismatches(df: DataFrame, definition: str = "next_row", n: int = 20, keys: Keys = KEYS, label: str = "y_ret_1d", atol: float = 1e-9, rtol: float = 1e-7) -> DataFrame:
-    """The n rows whose label is farthest from a definition, beyond the tolerance: keys, label, expected, error."""
+def mismatches(df: DataFrame, n: int = 20, keys: Keys = KEYS, label: str = "y_ret_1d", atol: float = 1e-9, rtol: float = 1e-7) -> DataFrame:
+    """The first n rows, by key, at which the label or what is missing disagrees with either definition: keys, close, label,
+    what each definition gives."""
     w = keys.by_entity()
-    later = F.lead("close").over(w) if definition == "next_row" else F.first("close", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = df.select(*keys.both, F.col(label).cast("double").alias("label"), (safe_div(later, F.col("close")) - 1).alias("expected"))
-    rows = rows.withColumn("error", F.abs(F.col("label") - F.col("expected"))).filter(F.col("error") > atol + rtol * F.abs(F.col("expected")))
-    return rows.orderBy(F.col("error").desc(), *keys.both).limit(n)
+    later = {"next_row": F.lead("close").over(w), "next_close": F.first("close", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    rows = df.select(*keys.both, F.col("close").cast("double").alias("close"), F.col(label).cast("double").alias("label"), *[(safe_div(x, F.col("close")) - 1).alias(k) for k, x in later.items()])
+    off = lambda k: F.when(F.col("label").isNull() | F.col(k).isNull(), F.col("label").isNull() != F.col(k).isNull()).otherwise(F.abs(F.col("label") - F.col(k)) > atol + rtol * F.abs(F.col(k)))
+    return rows.filter(off("next_row") | off("next_close")).orderBy(*keys.both).limit(n)
 
 
 def quality(df: DataFrame, keys: Keys = KEYS, flags: tuple[str, ...] = ("flag_limit_up",)) -> DataFrame:

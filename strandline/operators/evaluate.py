@@ -92,11 +92,12 @@ def diagnostics(df: DataFrame, keys: Keys = KEYS, least: tuple[int, int, int] =
     )
 
 
-def by_date(df: DataFrame, keys: Keys = KEYS, score: str = "pred", least: tuple[int, int, int] = (IC_MIN, POOL_MIN, TURNOVER_MIN)) -> DataFrame:
-    """All dates with their ic, excess and turnover."""
-    out = df.select(keys.date).distinct()
-    for daily in (daily_ic(df, keys, None, least[0], score), daily_excess(df, keys, None, least[1], score), daily_turnover(df, keys, None, least[2], score)):
-        out = out.join(daily, keys.date, "left")
+def by_date(df: DataFrame, keys: Keys = KEYS, score: str = "pred", least: tuple[int, int, int] = (IC_MIN, POOL_MIN, TURNOVER_MIN), groups: list[str] | None = None) -> DataFrame:
+    """All dates (by group) with their ic, excess and turnover."""
+    at = [*(groups or []), keys.date]
+    out = df.select(*at).distinct()
+    for daily in (daily_ic(df, keys, groups, least[0], score), daily_excess(df, keys, groups, least[1], score), daily_turnover(df, keys, groups, least[2], score)):
+        out = out.join(daily, at, "left")
     return out
 
 
@@ -115,16 +116,29 @@ def over_folds(scores: DataFrame, by: list[str], metrics: list[str], population:
     return scores.groupBy(*by).agg(*[fn(m).alias(f"{m}_{k}") for m in metrics for k, fn in (("mean", F.avg), ("std", dev), ("min", F.min), ("max", F.max))])
 
 
-def regimes(df: DataFrame, market_daily: DataFrame, keys: Keys = KEYS, volatility: str = "market_std_ret_1", mean: str = "market_mean_ret_1", score: str = "pred", least: tuple[int, int, int] = (IC_MIN, POOL_MIN, TURNOVER_MIN)) -> DataFrame:
-    """regime, days, ic_mean, annual_excess, mean_turnover and score_proxy of out-of-fold predictions on calm and restless
-    (volatility below or not below its median over the scored dates), falling and rising dates. The proxy weighs the three
-    like the final score; a turnover belongs to the later of its dates."""
-    daily = by_date(df, keys, score, least).join(market_daily.select(keys.date, F.col(volatility).alias("_v"), F.col(mean).alias("_m")), keys.date)
-    middle = daily.agg(F.percentile("_v", 0.5).alias("_mid"))
-    marked = daily.crossJoin(F.broadcast(middle))  # one row
-    names = F.array(F.when(F.col("_v") < F.col("_mid"), "calm"), F.when(F.col("_v") >= F.col("_mid"), "restless"), F.when(F.col("_m") < 0, "falling"), F.when(F.col("_m") >= 0, "rising"))
-    long = marked.withColumn("regime", F.explode(F.filter(names, lambda x: x.isNotNull())))
-    out = long.groupBy("regime").agg(F.count(F.lit(1)).alias("days"), F.avg("ic").alias("ic_mean"), (F.avg("excess") * DAYS).alias("annual_excess"), F.avg("turnover").alias("mean_turnover"))
+#: Regimes of a date by the market's volatility and mean return, and on which side of which threshold they lie. A date
+#: between a low and a high threshold is in neither; every date is in `all`.
+REGIMES = {"low_volatility": ("market_std_ret_1", "low"), "high_volatility": ("market_std_ret_1", "high"), "bearish_market": ("market_mean_ret_1", "low"), "bullish_market": ("market_mean_ret_1", "high")}
+
+
+def regime_thresholds(market_daily: DataFrame, first, last, low: float = 0.25, high: float = 0.75, keys: Keys = KEYS) -> dict[str, float]:
+    """The quantiles of the market's figures over the dates of a screening period: a threshold for each of REGIMES."""
+    part = market_daily.filter(F.col(keys.date).between(F.lit(first), F.lit(last)))
+    return part.agg(*[F.percentile(F.col(c), low if side == "low" else high).alias(name) for name, (c, side) in REGIMES.items()]).first().asDict()
+
+
+def regimes(df: DataFrame, market_daily: DataFrame, thresholds: dict[str, float], keys: Keys = KEYS, score: str = "pred", least: tuple[int, int, int] = (IC_MIN, POOL_MIN, TURNOVER_MIN), groups: list[str] | None = None) -> DataFrame:
+    """groups (a source), regime, days, ic_mean, annual_excess, mean_turnover and score_proxy of out-of-fold predictions on
+    all dates and in four regimes, a date being at a low threshold or below it, or at a high one or above it. A date without
+    market figures is in `all` only. The proxy weighs the three like the final score; a turnover belongs to the later of
+    its dates. A threshold that is None has no dates."""
+    daily = by_date(df, keys, score, least, groups).join(market_daily.select(keys.date, *sorted({c for c, _ in REGIMES.values()})), keys.date, "left")
+    marks = [F.lit("all")]
+    for name, (c, side) in REGIMES.items():
+        at = F.lit(thresholds[name]).cast("double")
+        marks.append(F.when(F.col(c) <= at if side == "low" else F.col(c) >= at, name))
+    long = daily.withColumn("regime", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())))
+    out = long.groupBy(*(groups or []), "regime").agg(F.count(F.lit(1)).alias("days"), F.avg("ic").alias("ic_mean"), (F.avg("excess") * DAYS).alias("annual_excess"), F.avg("turnover").alias("mean_turnover"))
     return out.withColumn("score_proxy", IC_WEIGHT * F.col("ic_mean") + EXCESS_WEIGHT * F.col("annual_excess") + TURNOVER_WEIGHT * (1 - F.col("mean_turnover")))
 
 

@@ -211,15 +211,27 @@ def boost(
         rows.unpersist()
 
 
-def pair_gradients(score: np.ndarray, grade: np.ndarray, truncation: int, sharpness: float = 1.0, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def linear_gain(grades: int = 10) -> np.ndarray:
+    """A gain for each grade: the grade itself."""
+    return np.arange(grades, dtype=float)
+
+
+def log_discount(n: int) -> np.ndarray:
+    """What a place counts for, from the first."""
+    return 1 / np.log2(np.arange(n) + 2)
+
+
+def pair_gradients(score: np.ndarray, grade: np.ndarray, truncation: int, sharpness: float = 1.0, block: int = 256, gains: np.ndarray | None = None, discounts=log_discount) -> tuple[np.ndarray, np.ndarray]:
     """LambdaRank's gradients and hessians of one list (Burges 2010): over the pairs of unlike grades of which the better
     ranked is among the first `truncation`, the pairwise logistic loss weighted by what swapping the two would change in
-    NDCG, with gains 2^grade - 1. Scaled by log2(1 + s) / s, s being the sum of the pairs' forces, so that long lists don't
-    outweigh short ones. Pairs are taken a block of rows at a time."""
+    NDCG. gains is a table by grade (the grade itself if not told), discounts gives one by place; ndcg() uses the same.
+    Scaled by log2(1 + s) / s, s being the sum of the pairs' forces, so that long lists don't outweigh short ones. Pairs are
+    taken a block of rows at a time."""
     n = len(score)
     order = np.argsort(-score, kind="stable")
-    s, gain = score[order].astype(float), 2.0 ** grade[order] - 1
-    discount = 1 / np.log2(np.arange(n) + 2)
+    gains = linear_gain(int(grade.max(initial=0)) + 1) if gains is None else np.asarray(gains, float)
+    s, gain = score[order].astype(float), gains[grade[order].astype(int)]
+    discount = discounts(n)
     top = min(truncation, n)
     ideal = (np.sort(gain)[::-1][:top] * discount[:top]).sum()
     g, h, total = np.zeros(n), np.zeros(n), 0.0
@@ -251,16 +263,19 @@ def pair_gradients(score: np.ndarray, grade: np.ndarray, truncation: int, sharpn
     return out_g, out_h
 
 
-def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0, truncation: int = 500):
+def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0, truncation: int = 500, gains: np.ndarray | None = None):
     """Adds LambdaRank's gradients by date: a date's scores and grades are one Arrow group, truncation times its rows bounds
-    the pairs, and no pair becomes a row."""
+    the pairs, and no pair becomes a row. gains: a table with `bins` values."""
+    table = linear_gain(bins) if gains is None else np.asarray(gains, float)
+    if len(table) != bins:
+        raise ValueError("a gain is needed for each grade")
 
     def add(df: DataFrame) -> DataFrame:
         graded = df.filter("y_ret_1d is not null").withColumn("_grade", relevance(F.col("y_ret_1d"), keys.date, bins))
 
         def run(pdf):
             pdf = pdf.sort_values(keys.entity)  # ties in the score go by entity
-            g, h = pair_gradients(pdf["_score"].to_numpy(float), pdf["_grade"].to_numpy(float), truncation, sharpness)
+            g, h = pair_gradients(pdf["_score"].to_numpy(float), pdf["_grade"].to_numpy(), truncation, sharpness, gains=table)
             return pdf.drop(columns="_grade").assign(_g=g, _h=np.maximum(h, 1e-9))
 
         schema = f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, _g double, _h double"
@@ -269,8 +284,8 @@ def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0,
     return add
 
 
-def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, truncation: int = 500, **options) -> Boosted:
-    return boost(df, features, gradients=lambda_gradients(keys, truncation=truncation), base=0.0, **options)
+def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, truncation: int = 500, gains: np.ndarray | None = None, **options) -> Boosted:
+    return boost(df, features, gradients=lambda_gradients(keys, truncation=truncation, gains=gains), base=0.0, **options)
 
 
 def ndcg(df: DataFrame, keys: Keys = KEYS, bins: int = 10, at: int | None = None, score: str = "pred") -> DataFrame:

@@ -177,9 +177,11 @@ def hysteresis(df: DataFrame, exit_fraction: float | str, keys: Keys = KEYS, gro
     schema = f"{', '.join(f'`{c}` {kinds[c]}' for c in at)}, _names array<{kinds[keys.entity]}>, _at array<int>"
     heads = heads if own else heads.withColumn("_all", F.lit(0))
     moved = heads.groupBy(*(own or ["_all"])).applyInPandas(run, schema).select(*at, F.explode(F.arrays_zip("_names", "_at")).alias("_m"))
-    moved = moved.select(*at, F.col("_m._names").alias(keys.entity), F.col("_m._at").alias("_new"))
+    moved = moved.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], F.col("_m._names").alias("_e"), F.col("_m._at").alias("_new"))
+    # null-safe, so that no filter inferred for one side keeps the two from sharing what lies below
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(at)] + [F.col(keys.entity).eqNullSafe(F.col("_e"))]
     place = F.coalesce("_new", "_pos")
-    return ranked.join(moved, [*at, keys.entity], "left").select(*df.columns, ((F.col("_total") - place + 1) / F.col("_total")).alias("final"))
+    return ranked.join(moved, same, "left").select(*df.columns, ((F.col("_total") - place + 1) / F.col("_total")).alias("final"))
 
 
 def last_top(final: DataFrame, keys: Keys = KEYS, denominator: int = 10, min_pool: int = 100, flag: str = "flag_limit_up") -> set:

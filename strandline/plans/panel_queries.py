@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from pyspark.sql import functions as F
 
-from strandline.functions import safe_div
+from strandline.functions import rank_pct, safe_div
 from strandline.operators import audits, cross_section, delivery, evaluate, models, panel, recursion, screening, splits, store
 from strandline.operators import features as fx
 from strandline.operators.panel import aligned_differences, joined_one_to_one, key_hash, with_returns
@@ -140,19 +140,25 @@ def label_audit(spark, sf_dir):
     return rounded(audits.alignment(with_returns(bars_m(spark, sf_dir))))
 
 
+_OFF = lambda k: f"CASE WHEN label IS NULL OR {k} IS NULL THEN (label IS NULL) <> ({k} IS NULL) ELSE abs(label - {k}) > 1e-9 + 1e-7 * abs({k}) END"
+
+
 @query(
-    f"WITH {SQL_M}, {SQL_RETURNS}, v AS (SELECT entity, dt, CASE WHEN entity % 7 = 0 THEN y_ret_1d * 1.5::DOUBLE ELSE y_ret_1d END AS label, {_DEFS['next_row']} AS expected FROM panel), e AS (SELECT *, abs(label - expected) AS error FROM v) "
-    f"SELECT entity, dt, {r('label')} AS label, {r('expected')} AS expected, {r('error')} AS error FROM (SELECT * FROM e WHERE error > 1e-9 + 1e-7 * abs(expected) ORDER BY error DESC, entity, dt LIMIT 20)"
+    f"WITH {SQL_M}, {SQL_RETURNS}, v AS (SELECT entity, dt, close, CASE WHEN entity % 7 = 0 THEN y_ret_1d * 1.5::DOUBLE ELSE y_ret_1d END AS label, {', '.join(f'{x} AS {k}' for k, x in _DEFS.items())} FROM panel) "
+    f"SELECT entity, dt, {', '.join(f'{r(k)} AS {k}' for k in ('close', 'label', *_DEFS))} FROM (SELECT * FROM v WHERE {' OR '.join(f'({_OFF(k)})' for k in _DEFS)} ORDER BY entity, dt LIMIT 20)"
 )
 def label_mismatches(spark, sf_dir):
-    """The largest errors of labels that were damaged: a top-k report."""
+    """The first rows at which damaged labels, or what is missing, disagree with a definition: a report of so many rows."""
     bars = with_returns(bars_m(spark, sf_dir))
     return rounded(audits.mismatches(bars.withColumn("y_ret_1d", F.when(F.col("entity") % 7 == 0, F.col("y_ret_1d") * 1.5).otherwise(F.col("y_ret_1d")))))
 
 
-@query(f"WITH {SQL_M}, {SQL_RETURNS}, b AS ({' UNION ALL '.join(f"SELECT '{k}' AS definition, {d(f'sum(CASE WHEN {_cl} THEN 1 ELSE 0 END)', 'sum(CASE WHEN y_ret_1d IS NOT NULL AND v IS NOT NULL THEN 1 ELSE 0 END)')} AS match_rate, {d('sum(CASE WHEN (y_ret_1d IS NULL) = (v IS NULL) THEN 1 ELSE 0 END)', 'count(*)')} AS mask_agreement FROM (SELECT y_ret_1d, {v} AS v FROM panel)" for k, v in _DEFS.items())}) SELECT definition, {r('match_rate')} AS match_rate, {r('mask_agreement')} AS mask_agreement FROM b ORDER BY b.match_rate DESC NULLS LAST, b.mask_agreement DESC NULLS LAST, definition LIMIT 1")
+_AGREE = "CASE WHEN (y_ret_1d IS NULL) = (v IS NULL) THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {SQL_M}, {SQL_RETURNS}, b AS ({' UNION ALL '.join(f"SELECT '{k}' AS definition, sum(CASE WHEN {_cl} THEN 1 ELSE 0 END) AS matching, sum({_AGREE}) AS agree, count(*) AS n FROM (SELECT y_ret_1d, {v} AS v FROM panel)" for k, v in _DEFS.items())}) SELECT definition, CAST(matching AS BIGINT) AS matching, {r(d('agree', 'n'))} AS mask_agreement FROM b ORDER BY b.matching DESC, b.agree DESC, definition <> 'next_row' LIMIT 1")
 def label_definition(spark, sf_dir):
-    return rounded(audits.best_definition(audits.alignment(with_returns(bars_m(spark, sf_dir)))).select("definition", "match_rate", "mask_agreement"))
+    return rounded(audits.best_definition(audits.alignment(with_returns(bars_m(spark, sf_dir)))).select("definition", "matching", "mask_agreement"))
 
 
 _ATR = ["atr_norm_14", "atr_norm_28"]
@@ -575,14 +581,25 @@ def two_model_grid(spark, sf_dir):
 _MD = "md AS (SELECT dt, stddev_samp(ret_1) AS v, avg(ret_1) AS m FROM panel GROUP BY dt)"
 
 
+_SOURCES = "src AS (SELECT 'first' AS source, entity, dt, pred, y_ret_1d, flag_limit_up FROM scored UNION ALL SELECT 'second', s.entity, s.dt, x.pred, s.y_ret_1d, s.flag_limit_up FROM scored s JOIN second x ON x.entity = s.entity AND x.dt = s.dt)"
+_SIDES = {"all": "true", "low_volatility": "v <= lv", "high_volatility": "v >= hv", "bearish_market": "m <= lm", "bullish_market": "m >= hm"}
+
+
 @query(
-    f"WITH {SQL_SCORED}, {_IC}, {_EX}, {_TU}, {_MD}, al AS (SELECT a.dt, ic.ic, ex.excess, tu.turnover, md.v, md.m FROM (SELECT DISTINCT dt FROM scored) a LEFT JOIN ic ON ic.dt = a.dt LEFT JOIN ex ON ex.dt = a.dt LEFT JOIN tu ON tu.dt = a.dt JOIN md ON md.dt = a.dt), mid AS (SELECT quantile_cont(v, 0.5) AS c FROM al), "
-    "rg AS (SELECT 'calm' AS regime, al.* FROM al, mid WHERE v < c UNION ALL SELECT 'restless', al.* FROM al, mid WHERE v >= c UNION ALL SELECT 'falling', al.* FROM al WHERE m < 0 UNION ALL SELECT 'rising', al.* FROM al WHERE m >= 0) "
-    f"SELECT regime, count(*) AS days, {r('avg(ic)')} AS ic_mean, {r('avg(excess) * 252')} AS annual_excess, {r('avg(turnover)')} AS mean_turnover, {r('0.4 * avg(ic) + 0.3 * avg(excess) * 252 + 0.3 * (1 - avg(turnover))')} AS score_proxy FROM rg GROUP BY regime"
+    f"WITH {SQL_SCORED}, {_SECOND}, {_SOURCES}, {_score_sql('src', 'pred', 'source')}, {_MD}, "
+    "th AS (SELECT quantile_cont(v, 0.25) AS lv, quantile_cont(v, 0.75) AS hv, quantile_cont(m, 0.25) AS lm, quantile_cont(m, 0.75) AS hm FROM md WHERE dt BETWEEN DATE '2024-01-01' AND DATE '2024-01-20'), "
+    "al AS (SELECT a.source, a.dt, gi.ic, ge.excess, gu.turnover, md.v, md.m FROM (SELECT DISTINCT source, dt FROM src) a JOIN gd ON gd.dt = a.dt LEFT JOIN gi ON gi.source = a.source AND gi.dt = a.dt LEFT JOIN ge ON ge.source = a.source AND ge.dt = a.dt LEFT JOIN gu ON gu.source = a.source AND gu.day = gd.day LEFT JOIN md ON md.dt = a.dt), "
+    f"rg AS ({' UNION ALL '.join(f"SELECT '{k}' AS regime, al.* FROM al, th WHERE {w}" for k, w in _SIDES.items())}) "
+    f"SELECT source, regime, count(*) AS days, {r('avg(ic)')} AS ic_mean, {r('avg(excess) * 252')} AS annual_excess, {r('avg(turnover)')} AS mean_turnover, {r('0.4 * avg(ic) + 0.3 * avg(excess) * 252 + 0.3 * (1 - avg(turnover))')} AS score_proxy FROM rg GROUP BY source, regime"
 )
 def oof_regimes(spark, sf_dir):
+    """Two sources on all dates and in four regimes, whose thresholds are quartiles over the screening period."""
     market = cross_section.market(with_returns(bars_d(spark, sf_dir), limit=LIMIT))
-    return rounded(evaluate.regimes(scored(spark, sf_dir), market))
+    first = scored(spark, sf_dir)
+    second = joined_labels(_second(spark, sf_dir).select("entity", "dt", "pred"), first)
+    cols = ["entity", "dt", "pred", "y_ret_1d", "flag_limit_up"]
+    both = first.select(F.lit("first").alias("source"), *cols).unionByName(second.select(F.lit("second").alias("source"), *cols))
+    return rounded(evaluate.regimes(both, market, evaluate.regime_thresholds(market, *PERIODS["screen"]), groups=["source"]))
 
 
 def joined_labels(made, labels):
@@ -638,6 +655,26 @@ def ranker_ndcg(spark, sf_dir):
     return rounded(models.ndcg(view.filter(F.col("dt") >= _D(2000, 1, 1)).withColumn("pred", model.score())))
 
 
+_PAIR = "CASE WHEN a.spread THEN abs(a.grade - b.grade) * abs(a.disc - b.disc) / a.ideal / (0.01 + abs(a.s - b.s)) ELSE abs(a.grade - b.grade) * abs(a.disc - b.disc) / a.ideal END"
+
+
+@query(
+    f"WITH {SQL_SCORED}, rs AS (SELECT *, round({pct('pred', 'dt')}, 6) AS s FROM scored), gr AS (SELECT entity, dt, s, CAST(least(greatest(ceil({pct('y_ret_1d', 'dt')} * 10) - 1, 0), 9) AS INTEGER) AS grade FROM rs WHERE y_ret_1d IS NOT NULL), "
+    "pl AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY s DESC, entity) AS pos, row_number() OVER (PARTITION BY dt ORDER BY grade DESC) AS best, max(s) OVER (PARTITION BY dt) > min(s) OVER (PARTITION BY dt) AS spread FROM gr), "
+    "di AS (SELECT *, 1 / log2(pos + 1) AS disc, sum(CASE WHEN best <= 500 THEN grade / log2(best + 1) END) OVER (PARTITION BY dt) AS ideal FROM pl), "
+    f"lp AS (SELECT a.dt, a.entity AS ea, b.entity AS eb, sign(a.grade - b.grade) AS way, {_PAIR} AS change, 1 / (1 + exp(sign(a.grade - b.grade) * (a.s - b.s))) AS p FROM di a JOIN di b ON a.dt = b.dt AND a.pos < b.pos AND a.pos <= 500 AND a.grade <> b.grade WHERE a.ideal > 0), "
+    "sd AS (SELECT dt, ea AS entity, -way * change * p AS g, change * p * (1 - p) AS h FROM lp UNION ALL SELECT dt, eb, way * change * p, change * p * (1 - p) FROM lp), "
+    "tt AS (SELECT dt, log2(1 + 2 * sum(change * p)) / (2 * sum(change * p)) AS scale FROM lp GROUP BY dt), sm AS (SELECT dt, entity, sum(g) AS g, sum(h) AS h FROM sd GROUP BY dt, entity) "
+    f"SELECT gr.entity, gr.dt, gr.grade, {r('coalesce(sm.g * scale, 0)')} AS gradient, {r('greatest(coalesce(sm.h * scale, 0), 1e-9)')} AS hessian FROM gr LEFT JOIN sm ON sm.entity = gr.entity AND sm.dt = gr.dt LEFT JOIN tt ON tt.dt = gr.dt"
+)
+def ranker_gradients(spark, sf_dir):
+    """What a round of the ranker is fitted to: the gradients of all dates at given scores, with linear gains."""
+    base = scored(spark, sf_dir).withColumn("_score", rank_pct(F.col("pred"), "dt")).filter("y_ret_1d is not null")
+    base = base.select("entity", "dt", "y_ret_1d", F.round("_score", 6).alias("_score"))
+    graded = models.lambda_gradients()(base).withColumn("grade", cross_section.relevance(F.col("y_ret_1d"), "dt"))
+    return rounded(graded.select("entity", "dt", "grade", F.col("_g").alias("gradient"), F.col("_h").alias("hessian")))
+
+
 @query(f"WITH {SQL_M}, {SQL_RETURNS} SELECT CAST(least(greatest(ceil(q * 10) - 1, 0), 9) AS INTEGER) AS grade, count(*) AS rows FROM (SELECT {pct('y_ret_1d', 'dt')} AS q FROM panel WHERE y_ret_1d IS NOT NULL) GROUP BY 1")
 def relevance_histogram(spark, sf_dir):
     return models.grades(with_returns(bars_m(spark, sf_dir)))

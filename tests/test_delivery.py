@@ -98,18 +98,39 @@ def test_definition_of_the_label(spark):
     w = KEYS.by_entity()
     df = df.withColumn("y_ret_1d", F.lead("close").over(w) / F.col("close") - 1)
     assert audits.best_definition(audits.alignment(df)).first().definition == "next_row"
-    assert audits.mismatches(df, n=3).count() == 0
-    worst = audits.mismatches(df.withColumn("y_ret_1d", F.when((F.col("entity") == 2) & (F.col("dt") < 2), 9.0).otherwise(F.col("y_ret_1d"))), n=1).collect()
-    assert [(r.entity, r.dt) for r in worst] == [(2, 1)]
+    # the definitions differ where the next close is missing, which is a disagreement with one of them
+    assert [(r.entity, r.dt, r.next_row, r.next_close) for r in audits.mismatches(df, n=3).collect()] == [(1, 1, None, 0.5)]
+    hurt = df.withColumn("y_ret_1d", F.when((F.col("entity") == 2) & (F.col("dt") < 2), 9.0).when((F.col("entity") == 2) & (F.col("dt") == 3), None).otherwise(F.col("y_ret_1d")))
+    assert [(r.entity, r.dt) for r in audits.mismatches(hurt).collect()] == [(1, 1), (2, 0), (2, 1), (2, 3)]
+    assert [(r.entity, r.dt) for r in audits.mismatches(hurt, n=2).collect()] == [(1, 1), (2, 0)]
+
+
+def test_definition_goes_by_matching_rows(spark):
+    """One definition matches more rows, the other a larger share of fewer: rows decide, then the mask, then the next row."""
+    told = lambda *rows: spark.createDataFrame(rows, "definition string, matching long, match_rate double, mask_agreement double")
+    best = lambda df: audits.best_definition(df).first().definition
+    assert best(told(("next_row", 9, 1.0, 1.0), ("next_close", 10, 0.5, 0.2))) == "next_close"
+    assert best(told(("next_row", 9, 0.1, 0.3), ("next_close", 9, 0.5, 0.2))) == "next_row"
+    assert best(told(("next_close", 9, 0.5, 0.2), ("next_row", 9, 0.5, 0.2))) == "next_row"
 
 
 def test_regimes_and_grids(view):
     daily = view.groupBy("dt").agg(F.avg("a").alias("market_mean_ret_1"), F.stddev_samp("a").alias("market_std_ret_1"))
     scored = view.withColumn("pred", F.col("a"))
-    got = {r.regime: r for r in evaluate.regimes(scored, daily, least=(10, 20, 20)).collect()}
-    assert got["calm"].days + got["restless"].days == 12 == got["falling"].days + got["rising"].days
-    r = got["restless"]
-    assert r.score_proxy == pytest.approx(0.4 * r.ic_mean + 0.3 * r.annual_excess + 0.3 * (1 - r.mean_turnover))
+    cuts = evaluate.regime_thresholds(daily, 3, 9)
+    rows = daily.toPandas().sort_values("dt")
+    part = rows[rows["dt"].between(3, 9)]
+    assert cuts["low_volatility"] == pytest.approx(part["market_std_ret_1"].quantile(0.25)) and cuts["bullish_market"] == pytest.approx(part["market_mean_ret_1"].quantile(0.75))
+    both = scored.withColumn("source", F.lit("up")).unionByName(scored.withColumns({"source": F.lit("down"), "pred": -F.col("a")}))
+    got = {(r.source, r.regime): r for r in evaluate.regimes(both, daily.filter("dt <> 5"), cuts, least=(10, 20, 20), groups=["source"]).collect()}
+    one = rows[rows["dt"] != 5]
+    masks = {"all": rows["dt"] > -1, "low_volatility": one["market_std_ret_1"] <= cuts["low_volatility"], "high_volatility": one["market_std_ret_1"] >= cuts["high_volatility"], "bearish_market": one["market_mean_ret_1"] <= cuts["bearish_market"], "bullish_market": one["market_mean_ret_1"] >= cuts["bullish_market"]}
+    assert {k: r.days for k, r in got.items()} == {(s, k): int(m.sum()) for s in ("up", "down") for k, m in masks.items()}
+    by = {r.dt: r for r in evaluate.by_date(scored, least=(10, 20, 20)).collect()}
+    low = [by[d] for d in one["dt"][masks["low_volatility"]]]
+    r = got["up", "low_volatility"]
+    assert r.ic_mean == pytest.approx(sum(x.ic for x in low) / len(low)) and got["down", "low_volatility"].ic_mean == pytest.approx(-r.ic_mean)
+    assert r.score_proxy is None or r.score_proxy == pytest.approx(0.4 * r.ic_mean + 0.3 * r.annual_excess + 0.3 * (1 - r.mean_turnover))
     other = scored.withColumn("pred", -F.col("a"))
     grid = evaluate.two_model_grid(scored, other)
     labelled = grid.join(view.select(*KEYS.both, "y_ret_1d", "flag_limit_up"), KEYS.both)
@@ -164,8 +185,8 @@ def test_pair_gradients():
     rng = np.random.default_rng(4)
     score, grade = rng.normal(size=40).round(1), rng.integers(0, 5, 40).astype(float)
     order = sorted(range(40), key=lambda i: (-score[i], i))
-    gain = 2.0**grade - 1
-    for truncation in (1, 7, 100):
+    for truncation, gains in ((1, None), (7, None), (100, None), (7, 2.0 ** np.arange(5) - 1)):
+        gain = grade if gains is None else gains[grade.astype(int)]
         ideal = sum(x / np.log2(k + 2) for k, x in enumerate(sorted(gain, reverse=True)[:truncation]))
         g, h, total = np.zeros(40), np.zeros(40), 0.0
         for a in range(min(truncation, 40)):
@@ -183,9 +204,11 @@ def test_pair_gradients():
                 total += 2 * change * p
         scale = np.log2(1 + total) / total
         for block in (1, 16, 256):
-            got = models.pair_gradients(score, grade, truncation, block=block)
+            got = models.pair_gradients(score, grade, truncation, block=block, gains=gains)
             assert np.allclose(got[0], g * scale) and np.allclose(got[1], h * scale)
     assert not models.pair_gradients(score, np.zeros(40), 10)[0].any()
+    with pytest.raises(ValueError, match="gain"):
+        models.lambda_gradients(bins=10, gains=np.arange(9))
 
 
 def test_leaf_wise_growth(view):
