@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import finite, safe_div
 
 from .panel import KEYS, ContractError, Keys, duplicates, key_hash
+from .quantiles import exact_quantiles
 
 #: The quantiles that label reports give.
 QUANTILES = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
@@ -21,20 +22,25 @@ def _share(cond: Column) -> Column:
 def distribution(df: DataFrame, x: str = "y_ret_1d", quantiles: tuple[float, ...] = QUANTILES, large: tuple[float, ...] = (0.1, 0.2, 0.5)) -> DataFrame:
     v = finite(F.col(x).cast("double"))
     infinite = _share(F.abs(F.col(x)) == float("inf"))
-    marks = F.percentile(v, list(quantiles))
-    row = df.agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("present"), infinite.alias("infinite"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), marks.alias("_q"), *[_share(F.abs(v) >= t).alias(f"abs_ge_{str(t).replace('.', '_')}") for t in large])
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("present"), infinite.alias("infinite"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *[_share(F.abs(v) >= t).alias(f"abs_ge_{str(t).replace('.', '_')}") for t in large])
     out = row.withColumns({"missing": F.col("rows") - F.col("present"), "missing_rate": safe_div(F.col("rows") - F.col("present"), F.col("rows"))})
+    out = out.withColumn("_one", F.lit(1)).join(exact_quantiles(df, v, list(quantiles), into="_q").withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     return out.withColumns({f"q{str(q).replace('0.', '')}": F.get("_q", F.lit(k)) for k, q in enumerate(quantiles)}).drop("_q")
 
 
 def by_period(df: DataFrame, x: str = "y_ret_1d", date: str = "dt") -> DataFrame:
-    """kind (year or date), period and the figures of both groupings, by one GROUPING SETS plan."""
+    """kind (year or date), period and the figures of both groupings: one GROUPING SETS plan, and one selection of the
+    quantiles of both."""
     src = df.select(F.year(date).cast("string").alias("_y"), F.col(date).cast("string").alias("_d"), F.col(x).cast("double").alias("_x"))
     out = src.groupingSets([["_y"], ["_d"]], "_y", "_d").agg(
-        F.count(F.lit(1)).alias("size"), F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.percentile("_x", [0.01, 0.5, 0.99]).alias("_q"), F.grouping("_d").alias("_set"),
+        F.count(F.lit(1)).alias("size"), F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.grouping("_d").alias("_set"),
     )
     kind = F.when(F.col("_set") == 1, "year").otherwise("date")  # a null date is a date still
-    return out.select(kind.alias("kind"), F.coalesce("_d", "_y").alias("period"), "size", "count", "mean", "std", "min", "max", (F.col("size") - F.col("count")).alias("missing"), safe_div(F.col("size") - F.col("count"), F.col("size")).alias("missing_rate"), *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("q01", "q50", "q99"))])
+    out = out.select(kind.alias("kind"), F.coalesce("_d", "_y").alias("period"), "size", "count", "mean", "std", "min", "max", (F.col("size") - F.col("count")).alias("missing"), safe_div(F.col("size") - F.col("count"), F.col("size")).alias("missing_rate"))
+    both = src.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("period")) for k, c in (("year", "_y"), ("date", "_d"))])).alias("p"), "_x").select("p.*", "_x")
+    marks = exact_quantiles(both, F.col("_x"), [0.01, 0.5, 0.99], ["kind", "period"], "_q").alias("m")
+    joined = out.alias("o").join(marks, (F.col("o.kind") == F.col("m.kind")) & F.col("o.period").eqNullSafe(F.col("m.period")), "left")
+    return joined.select("o.*", *[F.get("m._q", F.lit(k)).alias(n) for k, n in enumerate(("q01", "q50", "q99"))])
 
 
 def alignment(df: DataFrame, keys: Keys = KEYS, label: str = "y_ret_1d", future: DataFrame | None = None, atol: float = 1e-9, rtol: float = 1e-7) -> DataFrame:
@@ -130,8 +136,11 @@ def consistency(a: DataFrame, b: DataFrame, keys: Keys = KEYS) -> dict[str, bool
 
 def vwap_scale(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Quantiles of close * vol / amount."""
-    src = df.limit(rows) if rows else df
-    q = src.agg(F.percentile(safe_div(F.col("close") * F.col("vol"), F.col("amount")), [0.05, 0.25, 0.5, 0.75, 0.95]).alias("q"))
+    ratio, marks = safe_div(F.col("close") * F.col("vol"), F.col("amount")), [0.05, 0.25, 0.5, 0.75, 0.95]
+    if rows:  # no more values than asked for
+        q = df.limit(rows).agg(F.percentile(ratio, marks).alias("q"))
+    else:
+        q = df.agg(F.lit(1).alias("_one")).join(exact_quantiles(df, ratio, marks, into="q").withColumn("_one", F.lit(1)), "_one", "left")
     return q.select(*[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q05", "q25", "q50", "q75", "q95"))])
 
 

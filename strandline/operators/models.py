@@ -1,4 +1,4 @@
-"""Models on a panel: a plain factor, ridge by normal equations, boosted trees, a boosted ranker.
+"""Models on a panel: a plain factor, ridge by normal equations, a boosted ranker (the trees are in boosting.py).
 
 Fits read the panel by aggregates (the Gram matrix, split histograms); what reaches the driver is sized by features and
 bins, not by rows.
@@ -6,7 +6,7 @@ bins, not by rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from strandline.functions import filled, tie_rank
 
 from .blocks import moments
+from .boosting import Boosted, Node, bin_edges, boost, grow, tree_table
 from .cross_section import relevance
 from .panel import KEYS, Keys
 
+__all__ = ["Boosted", "Linear", "Node", "bin_edges", "boost", "grades", "gram", "grow", "lambda_gradients", "ndcg", "nested_blend", "pair_gradients", "ranker", "ridge", "ridge_folds", "simple_factor", "tree_table"]
+
 
 def simple_factor(df: DataFrame, feature: str, direction: int = 1, fill: float = 0.5) -> DataFrame:
     return df.withColumn("pred", direction * F.coalesce(F.col(feature).cast("double"), F.lit(fill)))
@@ -70,147 +73,6 @@ def ridge_folds(df: DataFrame, fold_dates: DataFrame, features: list[str], penal
     return rows.select("fold", *keys.both, "y_ret_1d", "flag_limit_up", score.cast("float").alias("pred"))
 
 
-# --- boosted trees: histograms by aggregate, trees as column expressions ---
-
-
-@dataclass
-class Node:
-    value: float = 0.0
-    feature: str | None = None
-    cut: float = 0.0
-    missing_left: bool = True
-    left: Node | None = None
-    right: Node | None = None
-
-    def column(self) -> Column:
-        if self.feature is None:
-            return F.lit(self.value)
-        x = F.col(self.feature)
-        goes = F.coalesce(x <= self.cut, F.lit(self.missing_left))
-        return F.when(goes, self.left.column()).otherwise(self.right.column())
-
-
-@dataclass
-class Boosted:
-    base: float
-    rate: float
-    trees: list[Node] = field(default_factory=list)
-
-    def score(self) -> Column:
-        return sum((t.column() * self.rate for t in self.trees), F.lit(self.base))
-
-
-def bin_edges(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
-    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), [k / bins for k in range(1, bins)], 10_000).alias(f) for f in features]).first()
-    return {f: sorted(set(row[f] or [])) for f in features}
-
-
-def _best(hist: dict, edges: dict[str, list[float]], ridge_: float, least: int) -> tuple[float, str, int, bool] | None:
-    best = None
-    for f, rows in hist.items():
-        at = edges[f]
-        g, h, n = (np.zeros(len(at) + 2) for _ in range(3))  # the last is for missing values
-        for b, gg, hh, nn in rows:
-            g[b], h[b], n[b] = gg, hh, nn
-        gt, ht, nt = g.sum(), h.sum(), n.sum()
-        gl, hl, nl = np.cumsum(g[:-2]), np.cumsum(h[:-2]), np.cumsum(n[:-2])
-        for left in (True, False):
-            a, b, c = (x + (m[-1] if left else 0) for x, m in ((gl, g), (hl, h), (nl, n)))
-            ok = (c >= least) & (nt - c >= least)
-            gain = np.where(ok, a**2 / (b + ridge_) + (gt - a) ** 2 / (ht - b + ridge_) - gt**2 / (ht + ridge_), -np.inf)
-            if len(gain) and np.isfinite(gain.max()) and gain.max() > 1e-12 and (best is None or gain.max() > best[0]):
-                best = (float(gain.max()), f, int(gain.argmax()), left)
-    return best
-
-
-class _Leaf:
-    """A leaf while its tree grows: where its rows are, its best split, and, once they were measured, what that would give."""
-
-    def __init__(self, node: Node, where: Column, depth: int) -> None:
-        self.node, self.where, self.depth = node, where, depth
-        self.split: tuple[float, str, int, bool] | None = None
-        self.kids: list[_Leaf] = []
-
-
-def grow(df: DataFrame, features: list[str], edges: dict[str, list[float]], depth: int | None = 3, ridge_: float = 1.0, least: int = 20, leaves: int | None = None) -> Node:
-    """A tree on gradients _g and hessians _h (leaf = -G / (H + ridge)), grown leaf by leaf: the split that gains most comes
-    first, up to so many leaves (all of a full tree of this depth, if not told).
-
-    Histograms are an aggregate by (node, feature, bin): a row for each, whatever the number of rows. When one leaf's
-    children must be measured, those of all others are too, so there are about as many aggregates as levels."""
-    binned = [F.struct(F.lit(f).alias("f"), F.when(F.col(f).isNull(), len(edges[f]) + 1).otherwise(sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0))).alias("b")) for f in features]
-
-    def measure(some: list[_Leaf]) -> None:
-        place = F.lit(None).cast("int")
-        for k, x in enumerate(some):
-            place = F.when(x.where, k).otherwise(place)
-        rows = df.withColumn("_node", place).filter("_node is not null")
-        hists: list[dict] = [{} for _ in some]
-        for r in rows.select("_node", "_g", "_h", F.explode(F.array(*binned)).alias("x")).groupBy("_node", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("n")).collect():
-            hists[r["_node"]].setdefault(r["f"], []).append((r["b"], r["g"], r["h"], r["n"]))
-        for x, hist in zip(some, hists, strict=True):
-            first = next(iter(hist.values()), [])
-            x.node.value = -sum(v[1] for v in first) / (sum(v[2] for v in first) + ridge_) if first else 0.0
-            x.split = _best(hist, edges, ridge_, least) if depth is None or x.depth < depth else None
-
-    root = _Leaf(Node(), F.lit(True), 0)
-    measure([root])
-    live, most = [root], leaves or 2 ** (depth or 5)
-    while len(live) < most and (best := max((x for x in live if x.split), key=lambda x: x.split[0], default=None)):
-        if not best.kids:
-            for x in live:
-                if x.split and not x.kids:
-                    _, f, at, missing = x.split
-                    goes = F.coalesce(F.col(f) <= edges[f][at], F.lit(missing))
-                    x.kids = [_Leaf(Node(), x.where & goes, x.depth + 1), _Leaf(Node(), x.where & ~goes, x.depth + 1)]
-            measure([k for x in live for k in x.kids])
-        _, best.node.feature, at, best.node.missing_left = best.split
-        best.node.cut = edges[best.node.feature][at]
-        best.node.left, best.node.right = (k.node for k in best.kids)
-        live = [x for x in live if x is not best] + best.kids
-    return root.node
-
-
-def boost(
-    df: DataFrame, features: list[str], rounds: int = 20, depth: int | None = 3, rate: float = 0.1, bins: int = 32, gradients=None, base: float | None = None, leaves: int | None = None, bagging: float = 1.0, feature_fraction: float = 1.0, seed: int = 0, checkpoint_every: int = 10,
-) -> Boosted:
-    """Gradient boosting; squared error unless gradients(frame with _score) adds _g and _h. bagging and feature_fraction: the
-    shares of rows (by a hash of all their values and the round) and of features that a tree is grown on.
-
-    The running score is a column that is kept from round to round, so a round's plan holds its own tree only; where the
-    session has a checkpoint folder, it is written there every few rounds, and a lost executor costs no more than these."""
-    rng = np.random.default_rng(seed)
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], *[c for c in df.columns if c not in features])
-    if gradients is None:
-        rows = rows.filter("y_ret_1d is not null")
-        base = rows.agg(F.avg("y_ret_1d")).first()[0] or 0.0 if base is None else base
-        gradients = lambda d: d.withColumns({"_g": F.col("_score") - F.col("y_ret_1d"), "_h": F.lit(1.0)})
-    model = Boosted(base or 0.0, rate)
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    rows = rows.withColumns({"_score": F.lit(model.base), "_row": row_hash}).persist()
-    edges = bin_edges(rows, features, bins)
-    saved = rows.sparkSession.sparkContext.getCheckpointDir() is not None
-    try:
-        for k in range(rounds):
-            used = sorted(rng.choice(features, max(1, round(feature_fraction * len(features))), replace=False).tolist())
-            bag = rows if bagging >= 1 else rows.filter(F.pmod(F.xxhash64("_row", F.lit(seed), F.lit(k)), F.lit(1_000_000)) < round(bagging * 1_000_000))
-            graded = gradients(bag).persist()
-            try:
-                tree = grow(graded, used, edges, depth, leaves=leaves)
-            finally:
-                graded.unpersist()
-            model.trees.append(tree)
-            if k + 1 < rounds:
-                after = rows.withColumn("_score", F.col("_score") + tree.column() * rate)
-                after = after.checkpoint() if saved and (k + 1) % checkpoint_every == 0 else after.persist()
-                after.count()
-                rows.unpersist()
-                rows = after
-        return model
-    finally:
-        rows.unpersist()
-
-
 def linear_gain(grades: int = 10) -> np.ndarray:
     """A gain for each grade: the grade itself."""
     return np.arange(grades, dtype=float)

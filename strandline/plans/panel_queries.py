@@ -639,6 +639,41 @@ def ridge_oof(spark, sf_dir):
     return rounded(models.ridge_folds(view, splits.calendar(view, FOLDS), X).select("fold", "entity", "dt", "pred"), 4)
 
 
+_TREE_BINS, _PATHS = 8, ("", "L", "R", "LL", "LR", "RL", "RR")
+
+
+def _tree_sql() -> str:
+    """SQL: a tree of depth 2 on squared error; each level finds every node's best split over features, cuts and sides."""
+    cuts = " UNION ALL ".join(f"SELECT '{f}' AS f, unnest([{', '.join(f'round(quantile_cont({f}, {k / _TREE_BINS}), 6)' for k in range(1, _TREE_BINS))}]) AS cut FROM tv WHERE y IS NOT NULL" for f in X)
+    out = [f"tv AS (SELECT {r('p.y_ret_1d')} AS y, {', '.join(f'{r(f"f.{x}")} AS {x}' for x in X)} FROM feats f JOIN panel p ON p.entity = f.entity AND p.dt = f.dt)", f"ed AS (SELECT DISTINCT f, cut FROM ({cuts}) WHERE cut IS NOT NULL)", "rw0 AS (SELECT 0 AS node, (SELECT avg(y) FROM tv) - y AS g, * FROM tv WHERE y IS NOT NULL)"]
+    for level in (0, 1):
+        long = " UNION ALL ".join(f"SELECT node, g, '{f}' AS f, {f} AS x FROM rw{level}" for f in X)
+        out += [
+            f"cd{level} AS (SELECT node, l.f, cut, side, sum(g) AS gt, count(*) AS nt, coalesce(sum(CASE WHEN coalesce(x <= cut, side) THEN g END), 0) AS gl, count(CASE WHEN coalesce(x <= cut, side) THEN 1 END) AS nl FROM ({long}) l JOIN ed ON ed.f = l.f, (SELECT unnest([true, false]) AS side) GROUP BY node, l.f, cut, side)",
+            f"bs{level} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round((gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) - gt * gt / (nt + 1)) / nt, 9) DESC, f, side DESC, cut) AS k FROM cd{level} WHERE nl >= 20 AND nt - nl >= 20) WHERE k = 1 AND gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) - gt * gt / (nt + 1) > 1e-12)",
+            f"rw{level + 1} AS (SELECT 2 * w.node + CASE WHEN coalesce(CASE b.f {' '.join(f"WHEN '{f}' THEN {f}" for f in X)} END <= cut, side) THEN 1 ELSE 2 END AS node, g, y, {', '.join(X)} FROM rw{level} w JOIN bs{level} b ON b.node = w.node)",
+        ]
+    path = f"CASE node {' '.join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PATHS))} END"
+    leaf = " UNION ALL ".join(f"SELECT node, g FROM rw{k}" for k in (0, 1, 2))
+    return f"{_f_sql(X, SQL_W)}, {SQL_RETURNS}, {', '.join(out)}, sp AS (SELECT * FROM bs0 UNION ALL SELECT * FROM bs1) SELECT {path} AS path, f AS feature, {r('cut')} AS cut, side AS missing_left, CAST(NULL AS DOUBLE) AS value FROM sp UNION ALL SELECT {path}, NULL, NULL, NULL, {r('-sum(g) / (count(*) + 1)')} FROM ({leaf}) WHERE node NOT IN (SELECT node FROM sp) GROUP BY node"
+
+
+@query(f"WITH {_tree_sql()}")
+def boosted_tree(spark, sf_dir):
+    """A first tree of depth 2 on coded bins: its splits and leaves."""
+    rows = rounded(_view(spark, sf_dir).select("y_ret_1d", *X)).filter("y_ret_1d is not null")
+    marks = [k / _TREE_BINS for k in range(1, _TREE_BINS)]
+    row = rows.agg(F.avg("y_ret_1d").alias("base"), *[F.transform(F.percentile(f, marks), lambda v: F.round(v, 6)).alias(f) for f in X]).first()
+    edges = {f: sorted(set(row[f] or [])) for f in X}
+    tree = models.boost(rows, X, rounds=1, depth=2, edges=edges).trees[0]
+    out, todo = [], [("", tree)]
+    while todo:
+        path, n = todo.pop()
+        out.append((path, n.feature, n.cut if n.feature else None, n.missing_left if n.feature else None, None if n.feature else n.value))
+        todo += [(path + "L", n.left), (path + "R", n.right)] if n.feature else []
+    return rounded(spark.createDataFrame(out, "path string, feature string, cut double, missing_left boolean, value double"))
+
+
 @query()
 def boosted_oof(spark, sf_dir):
     view = _view(spark, sf_dir)
