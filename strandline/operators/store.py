@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import glob
 import os
 import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import finite
 from strandline.sources.files import atomic_json, promote
+from strandline.sources.snapshots import Conflict, Files, Snapshots
 
 from .audits import require_submission
+from .experiments import Experiments, Stage
 from .panel import KEYS, ContractError, Keys, key_hash
 
 
@@ -75,28 +77,30 @@ def restore_order(keys_in_order: DataFrame, predictions: DataFrame, keys: list[s
 
 
 def write_submission(df: DataFrame, expected: DataFrame, path: str, order: str | None = None) -> None:
-    """One CSV file of ts_code, trade_date, pred; checked before, read back after, put in place last."""
+    """One CSV file of ts_code, trade_date, pred; checked before, read back after, put in place last.
+
+    Rows are sorted in ranges, a part for each; the parts' bytes, one after another, are the file. So no task has all rows,
+    and the driver passes bytes through a buffer."""
     names = ["ts_code", "trade_date", "pred"]
     require_submission(df.select(*names), expected)
-    made = f"{path}.making"
-    shutil.rmtree(made, ignore_errors=True)
+    files, made = Files(df.sparkSession, path), f"{path}.making-{uuid.uuid4().hex}"
     try:
-        df.orderBy(*([order] if order else names[:2])).select(*names).coalesce(1).write.option("header", True).option("lineSep", "\n").csv(made)
-        back = df.sparkSession.read.schema("ts_code string, trade_date int, pred float").option("header", True).csv(made)
+        df.orderBy(*([order] if order else names[:2])).select(*names).write.option("header", False).option("lineSep", "\n").csv(made)
+        back = df.sparkSession.read.schema("ts_code string, trade_date int, pred float").csv(made)
         same = back.join(df.select("ts_code", "trade_date", F.col("pred").cast("float").alias("_pred")), names[:2])
         if same.count() != df.count() or not same.filter("not pred <=> _pred").isEmpty():
             raise ContractError("the file doesn't give the predictions back")
-        part = next(iter(glob.glob(f"{made}/part-*.csv")))
-        promote(part, path, overwrite=True)
+        parts = [n for n in files.names(made) if n.startswith("part-")]  # in order of the ranges
+        files.concat([f"{made}/{n}" for n in parts], path, ",".join(names) + "\n")
     finally:
-        shutil.rmtree(made, ignore_errors=True)
+        files.delete(made)
 
 
 REGISTRY_KEY = ["experiment_id", "record_type", "fold"]
 
 
-def append(registry: DataFrame, rows: DataFrame, unhashed: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Registry and new rows. A row that is there already with the same content is left out; a key that is there with
+def fresh_rows(registry: DataFrame, rows: DataFrame, unhashed: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """The rows that the registry lacks. A row that is there already with the same content is left out; a key that is there with
     other content, or twice among the new rows, is an error. `unhashed` columns don't count as content."""
     names = registry.columns
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names if c not in unhashed]), 256)
@@ -106,19 +110,59 @@ def append(registry: DataFrame, rows: DataFrame, unhashed: tuple[str, ...] = ("c
     twice = new.groupBy(*REGISTRY_KEY).agg(F.countDistinct("_digest").alias("n")).filter("n > 1")
     if not clash.isEmpty() or not twice.isEmpty():
         raise ContractError("a registered key comes with other content")
-    fresh = new.dropDuplicates(REGISTRY_KEY).join(old, REGISTRY_KEY, "left_anti").select(*names)
-    return registry.unionByName(fresh)
+    return new.dropDuplicates(REGISTRY_KEY).join(old, REGISTRY_KEY, "left_anti").select(*names)
+
+
+def append(registry: DataFrame, rows: DataFrame, unhashed: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """Registry and new rows."""
+    return registry.unionByName(fresh_rows(registry, rows, unhashed))
+
+
+class Registry:
+    """A registry that is kept: a log of appends, each a snapshot with a number. An append looks at the last snapshot, and
+    if another one came between, looks again: a row that is there by now is left out, other content under its key is an
+    error. Any version can be replayed; compact() puts the rows of all appends into one folder."""
+
+    def __init__(self, spark: SparkSession, place: str, unhashed: tuple[str, ...] = ("created_at",)) -> None:
+        self.table, self.unhashed = Snapshots(spark, place, REGISTRY_KEY), unhashed
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
+
+    def append(self, rows: DataFrame, tries: int = 20) -> int | None:
+        """The number of the append; None if all rows were there already."""
+        for _ in range(tries):
+            parent = self.table.entry()
+            if parent is None:
+                fresh = fresh_rows(rows.limit(0), rows, self.unhashed)
+            else:
+                fresh = fresh_rows(self.table.read(parent["version"]), rows.select(*[c for c, _ in parent["schema"]]), self.unhashed)
+            if fresh.isEmpty():
+                return None
+            try:
+                return self.table.write(fresh, "append", parent=parent)
+            except Conflict:
+                continue
+        raise Conflict(f"no append after {tries} tries")
+
+    def compact(self) -> int:
+        return self.table.compact()
+
+
+def write_year_snapshot(df: DataFrame, place: str, keys: Keys = KEYS, columns: list[str] | None = None, start=None, kind: str = "append") -> dict:
+    """Features by year as a snapshot of a table (sources/snapshots.py), on any file system; rows before start are left out.
+    The entry: schema, and for each append rows, hash of keys, missing and infinite values by column."""
+    names = columns or [c for c in df.columns if c not in keys.both]
+    out = df.select(*keys.both, *names)
+    out = out if start is None else out.filter(F.col(keys.date) >= F.lit(start))
+    out = out.withColumn("year", F.year(keys.date))
+    dealt = out.repartition("year", F.pmod(F.xxhash64(keys.entity), F.lit(16))).sortWithinPartitions(keys.entity, keys.date)
+    table = Snapshots(df.sparkSession, place, keys.both)
+    return table.entry(table.write(dealt, kind, ["year"]))
 
 
 def run_once(spark: SparkSession, place: str, signature: dict, make) -> DataFrame:
-    """The table at place if it was made under the same signature, else make() written there: resumable experiments."""
-    import json
-
-    side = f"{place}.json"
-    if os.path.exists(side) and os.path.exists(place):
-        with open(side) as f:
-            if json.load(f) == json.loads(json.dumps(signature)):
-                return spark.read.parquet(place)
-    make().write.mode("overwrite").parquet(place)
-    atomic_json(side, signature)
-    return spark.read.parquet(place)
+    """The table at place that was made under this signature; make() is written there if there is none."""
+    once = Experiments(spark, place, [Stage("table", lambda *_: make(), parameters=signature, code="")])
+    once.run()
+    return once.result("table")
