@@ -246,9 +246,16 @@ _PROSE, _ITEMS = frozenset("p pre blockquote".split()), frozenset("li dt dd td t
 MOST, NEAR, FAR, BORDER, SECOND = 6.0, 2.4, 1.0, 0.1, 0.8
 
 
+def body(found: list[Block]) -> tuple[int, int]:
+    """The first and the last block with a paragraph's length that is mostly no links; the ends if there is none."""
+    long = [k for k, b in enumerate(found) if b.text.count(" ") >= 14 and 2 * b.links < len(b.text)]
+    return (long[0], long[-1]) if long else (0, len(found) - 1)
+
+
 def features(found: list[Block]) -> list[list[float]]:
     """The traits of each block of a page."""
     has_article = any(b.region & ARTICLE for b in found)
+    first, last = body(found)
     words = [b.text.count(" ") + 1 for b in found]
     out = []
     for k, (b, n) in enumerate(zip(found, words, strict=True)):
@@ -257,6 +264,8 @@ def features(found: list[Block]) -> list[list[float]]:
         inside = bool(b.region & ARTICLE)
         traits = [1.0, min(log2(n + 1), 7.0), n < 5, n >= 20, b.text[-1] in ".!?:;”\"»)…", ", " in b.text, density, density > 0.75 and n < 15, b.tag in _PROSE, b.tag in HEADINGS, b.tag == "h1", b.tag in _ITEMS]
         traits += [n < 40 and PHRASES.search(b.text) is not None, inside, has_article and not inside, bool(b.region & NAMED), log2(b.depth), log2(1 + sum(around)) if around else 0.0]
+        outer = (k < first or k > last) and b.tag not in HEADINGS
+        traits += [outer and inside, outer and not has_article and not b.region, outer and not has_article and not b.region and (b.links > 0 or "|" in b.text), outer and not has_article and bool(b.region)]
         traits += [bool(b.region & x) for x in (OUT, FORM, HEADER, BOX, BOX_PART, TALK, TALK_PART)]
         out.append([float(x) for x in traits])
     return out
@@ -295,9 +304,12 @@ def costs(found: list[Block], w: tuple[float, ...]) -> list[float]:
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     out = []
+    first, last = body(found)
     for i in range(1, len(found)):
         a, b = found[i - 1], found[i]
-        out.append((i - 1, i, BORDER if a.region != b.region else NEAR if a.container == b.container else FAR))
+        # what comes before the first paragraph, or behind the last, in another container
+        border = a.region != b.region or a.container != b.container and (i == first or i == last + 1) and a.tag not in HEADINGS
+        out.append((i - 1, i, BORDER if border else NEAR if a.container == b.container else FAR))
         if i > 1 and found[i - 2].container == b.container and found[i - 2].region == b.region:
             out.append((i - 2, i, SECOND))
     return out
@@ -307,9 +319,52 @@ def minimum_cut(terminal: list[float], links: list[tuple[int, int, float]]) -> l
     """Which nodes lie on the source's side of the minimum cut. terminal: capacity from the source if positive, to the
     sink if negative. links: undirected edges with their capacities.
 
-    Nodes whose terminal outweighs all their open edges have their label in some minimum cut whatever the rest (they are
-    fixed first, and their edges become terminals of their neighbours); the rest is solved by augmenting paths.
+    Where edges reach no farther than BAND nodes, as a page's do, a cut is a sequence of labels in which each pays for its
+    last two only, and the least is found in one pass, in time that grows with the page. Any other graph: nodes whose
+    terminal outweighs all their open edges have their label in some minimum cut whatever the rest (they are fixed first,
+    and their edges become terminals of their neighbours); the rest is solved by augmenting paths. By duality both find
+    what the maximum flow saturates.
     """
+    if all(abs(a - b) <= BAND for a, b, _ in links):
+        return _band_cut(terminal, links)
+    return _flow_cut(terminal, links)
+
+
+#: How far the edges of a page reach.
+BAND = 2
+
+
+def _band_cut(terminal: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
+    n = len(terminal)
+    one, two = [0.0] * n, [0.0] * n  # capacities to the node before, and to the one before that
+    for a, b, w in links:
+        if a != b:
+            (one if abs(a - b) == 1 else two)[max(a, b)] += w
+    # least costs by the labels of the last two nodes, (before, last): 00, 01, 10, 11
+    best = (0.0, 0.0, 0.0, 0.0)
+    came: list[tuple[bool, bool, bool, bool]] = []
+    for i in range(n):
+        t, w, u = terminal[i], one[i], two[i]
+        off, on = max(t, 0.0), max(-t, 0.0)
+        s00, s01, s10, s11 = best
+        # the label two before is 0 or 1; ties leave it out of the source's side
+        a, b = s00, s10 + u
+        c, d = s01, s11 + u
+        e, f = s00 + u, s10
+        g, h = s01 + u, s11
+        came.append((b < a, f < e, d < c, h < g))  # for 00, 01, 10, 11
+        best = (min(a, b) + off, min(e, f) + w + on, min(c, d) + w + off, min(g, h) + on)
+    side = [False] * n
+    if n:
+        state = min(range(4), key=lambda k: (best[k], (0, 2, 1, 3)[k]))
+        for i in range(n - 1, -1, -1):
+            before, last = state >> 1, state & 1
+            side[i] = bool(last)
+            state = 2 * came[i][state] + before
+    return side
+
+
+def _flow_cut(terminal: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     n = len(terminal)
     net = list(terminal)
     near: list[dict[int, float]] = [{} for _ in range(n)]

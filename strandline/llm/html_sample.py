@@ -124,8 +124,43 @@ class _Page:
             self.block("p", r.choice(_SAID) + " " + self.words(1, 5), False, r.choice((0, 0.5)))
         self.out.append(end)
 
+    def edge(self, top: bool) -> None:
+        """What stands above or below the text where nothing is named: links in a row or a list, a line of the owner's."""
+        r = self.rng
+        end = self.open(r.choice(("div", "div", "p", "table", "center")))
+        kind = r.random()
+        if kind < (0.5 if top else 0.2):
+            told = [r.choice(_LINKS) if r.random() < 0.6 else self.words(1, 2) for _ in range(r.randint(2, 7))]
+            text = r.choice((" ", " | ", " - ")).join(told)
+            if text not in self.labels:
+                self.labels[text] = False
+                self.out.append(r.choice((" ", " | ", " - ")).join(f"<a href='/x'>{x}</a>" for x in told) if " | " not in text and " - " not in text else text.replace(told[0], f"<a href='/x'>{told[0]}</a>", 1))
+        elif kind < (0.8 if top else 0.4):
+            self.list_of_links(False, r.randint(2, 7), (1, 3))
+        else:
+            self.block(r.choice(("", "div", "p", "td")), r.choice((f"© {r.randint(1999, 2024)} {self.words(1, 3)}, all rights reserved", f"Copyright {self.words(1, 3)}", f"{self.words(1, 4)} - {r.choice(_LINKS)}", *_SAID)), False, r.choice((0, 0, 0.4)))
+        self.out.append(end)
+
+    def plain(self) -> tuple[str, dict[str, bool]]:
+        """A page without landmarks or telling names."""
+        r = self.rng
+        for _ in range(r.randint(0, 2)):
+            self.edge(True)
+        if r.random() < 0.6:
+            self.block(r.choice(("h1", "h2", "h1")), self.words(2, 8), True)
+        end = self.open(r.choice(("div", "td", "center"))) if r.random() < 0.5 else ""
+        for _ in range(r.randint(1, 4)):
+            self.prose(True, r.randint(1, 3))
+            self.block("p", self.words(18, 60) + ".", True, r.choice((0, 0, 0.1)))
+        self.out.append(end)
+        for _ in range(r.randint(0, 2)):
+            self.edge(False)
+        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{''.join(self.out)}</body></html>", self.labels
+
     def make(self) -> tuple[str, dict[str, bool]]:
         r = self.rng
+        if r.random() < 0.2:
+            return self.plain()
         end = [self.open("div", r.choice(_HOSTILE_NAMES))] if r.random() < 0.3 else []
         for _ in range(r.randint(0, 4)):
             self.boilerplate()

@@ -8,6 +8,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 
 import pytest
 import zstandard
@@ -127,6 +128,51 @@ def test_minimum_cut_is_minimal():
         assert abs(cost - brute_cut(terminal, links)) < 1e-6
 
 
+def test_cut_of_a_band():
+    """The pass over a band and the maximum flow find cuts of one cost, whichever of equal ones they choose."""
+    rng = random.Random(5)
+    cost = lambda t, links, side: sum(max(x, 0) if not s else max(-x, 0) for x, s in zip(t, side, strict=True)) + sum(w for a, b, w in links if side[a] != side[b])
+    for k in range(300):
+        n = rng.randint(0, 60)
+        terminal = [rng.choice((-1, -0.5, 0, 0.5, 1)) if k % 2 else rng.gauss(0, 1) for _ in range(n)]
+        links = [(i - d, i, rng.choice((0, 0.5, 1.0)) if k % 2 else rng.uniform(0, 2)) for d in (1, 2) for i in range(d, n) if rng.random() < 0.8]
+        band, flow = html_extract.minimum_cut(terminal, links), html_extract._flow_cut(terminal, links)
+        assert abs(cost(terminal, links, band) - cost(terminal, links, flow)) < 1e-9
+    assert html_extract.minimum_cut([], []) == [] and html_extract.minimum_cut([0.0], []) == [False]
+
+
+def test_cut_of_many_undecided_blocks():
+    rng = random.Random(6)
+    began = time.perf_counter()
+    n = 64_000
+    html_extract.minimum_cut([rng.choice((-0.3, 0.3)) for _ in range(n)], [(i - d, i, 1.0) for d in (1, 2) for i in range(d, n)])
+    assert time.perf_counter() - began < 2
+    page = "<body>" + "".join(f"<div><a href=1>link {k}</a> and some other words here</div>" for k in range(64_000))
+    found = html_extract.blocks(page)
+    assert len(found) == 64_000 and len(html_extract.main_text(page)) >= 0
+
+
+P = "<p>The committee met on Tuesday to discuss the plans for the old harbour, and after three hours it agreed to ask the city for more time.</p>"
+Q = "<p>Nobody had expected that the vote would be so close, since most of the members had said in public that they were in favour of it.</p>"
+TP, TQ = P[3:-4], Q[3:-4]
+#: Pages written by hand, not by the sample's rules, and their main text.
+BY_HAND = [
+    (f"<html><body><div id=top><a>Home</a> <a>About</a></div>{P}{Q}<div id=bot>© 2020 Acme, all rights reserved</div></body></html>", [TP, TQ]),
+    (f"<html><body><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact</a></li></ul>{P}{Q}{P.replace('Tuesday', 'Monday')}{Q.replace('close', 'even')}<div>© 2020 Acme, all rights reserved</div></body></html>", [TP, TQ, TP.replace("Tuesday", "Monday"), TQ.replace("close", "even")]),
+    (f"<body bgcolor=white><center><a href=1>Index</a> | <a href=2>Links</a> | <a href=3>Guestbook</a></center><h1>The harbour vote</h1>{P}{Q}<hr><center>Copyright 1999 J. Doe</center></body>", ["The harbour vote", TP, TQ]),
+    (f"<table><tr><td><a href=1>Start</a><br><a href=2>Archive</a><br><a href=3>Mail</a></td><td><h1>Harbour</h1>{P}{Q}</td></tr></table>", ["Harbour", TP, TQ]),
+    (f"<div class=site-header><a href=/>My site</a></div><div class=entry><h1>A vote</h1>{P}<ul><li>The pier stays open until the end of the year.</li><li>The market moves to the square.</li></ul>{Q}</div><div class='widget sidebar'><h3>Tags</h3><a href=1>one</a> <a href=2>two</a></div>", ["A vote", TP, "The pier stays open until the end of the year.", "The market moves to the square.", TQ]),
+    (f"<main><h1>News</h1>{P}{Q}</main><section id=comments><p>I was there and it was a long evening for everyone in the room, believe me.</p></section><footer><p>All rights reserved</p></footer>", ["News", TP, TQ]),
+    (f"<div><div>{P}</div><div>{Q}</div></div>", [TP, TQ]),
+    (f"<header><nav><a href=/>Home</a></nav></header><article><h1>Harbour</h1>{P}<aside><p>Subscribe to our newsletter</p></aside>{Q}</article>", ["Harbour", TP, TQ]),
+]
+
+
+def test_pages_written_by_hand():
+    exact = [html_extract.main_text(html) == "\n".join(want) for html, want in BY_HAND]
+    assert exact[:2] == [True, True] and sum(exact) >= len(exact) - 1, [html_extract.main_text(h) for (h, _), ok in zip(BY_HAND, exact, strict=True) if not ok]
+
+
 def test_extraction_of_real_pages(spark):
     """These pages mark their article, so its blocks are known."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
