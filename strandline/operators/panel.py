@@ -103,12 +103,43 @@ def first_entities(df: DataFrame, n: int, keys: Keys = KEYS) -> DataFrame:
     return df.join(df.select(keys.entity).distinct().orderBy(keys.entity).limit(n), keys.entity, "left_semi")
 
 
+#: Parts of a year in the tree of hashes.
+BUCKETS = 64
+
+
+def _branch(df: DataFrame, date: str | None, entity: str) -> DataFrame:
+    """Adds the branch of each row: the year of its date, and a bucket of its entity."""
+    kind = dict(df.dtypes).get(date)
+    year = F.year(date) if kind in ("date", "timestamp") else F.floor(F.col(date) / 10_000).cast("int") if kind in ("int", "bigint") else F.lit(0)
+    return df.withColumns({"_year": F.coalesce(year, F.lit(-1)), "_bucket": F.pmod(F.xxhash64(entity), F.lit(BUCKETS)).cast("int")})
+
+
+def differing_branches(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """_year, _bucket of the branches in which two frames differ. Each side adds up hashes of its rows by branch, which tasks
+    do before anything is exchanged: a row for each year and bucket."""
+    date, entity = (keys[1], keys[0]) if len(keys) > 1 else (None, keys[0])
+
+    def sums(df: DataFrame, n: str) -> DataFrame:
+        told = _branch(df.select(*keys, *columns), date, entity)
+        one = F.xxhash64(*keys, F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns]) if columns else F.lit(0))
+        return told.groupBy("_year", "_bucket").agg(F.count(F.lit(1)).alias(f"n{n}"), F.sum(one.cast("decimal(38,0)")).alias(f"h{n}"))
+
+    both = sums(left, "l").join(sums(right, "r"), ["_year", "_bucket"], "full")
+    return both.filter(~(F.col("nl").eqNullSafe(F.col("nr")) & F.col("hl").eqNullSafe(F.col("hr")))).select("_year", "_bucket")
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
-    a, b = left.select(*keys), right.select(*keys)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """Whether two frames have the same keys, as often: hashes by branch decide."""
+    return differing_branches(left, right, keys, []).isEmpty()
 
 
 def aligned_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Keys at which two frames differ, or that only one has."""
-    l, r = left.select(*keys, F.struct(*columns).alias("_l")), right.select(*keys, F.struct(*columns).alias("_r"))
+    """Keys (entity, date) at which two frames differ, or that only one has.
+
+    A tree of hashes: only the rows of branches (year, bucket of entities) whose hashes differ are exchanged and compared;
+    their list is at most a row for each branch, so it is broadcast. Rows that are alike stay where they are."""
+    date, entity = (keys[1], keys[0]) if len(keys) > 1 else (None, keys[0])
+    off = F.broadcast(differing_branches(left, right, keys, columns))
+    kept = lambda df: _branch(df.select(*keys, *columns), date, entity).join(off, ["_year", "_bucket"], "left_semi")
+    l, r = kept(left).select(*keys, F.struct(*columns).alias("_l")), kept(right).select(*keys, F.struct(*columns).alias("_r"))
     return l.join(r, keys, "full").filter(~F.col("_l").eqNullSafe(F.col("_r"))).select(*keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import features as fx
 from strandline.operators import recursion
+from strandline.operators import panel as panel_ops
 from strandline.operators.panel import KEYS, ContractError, densify, joined_one_to_one, same_keys, with_returns
 
 DAY = dt.date(2020, 1, 1)
@@ -158,3 +159,22 @@ def test_panel_contracts(spark):
 def test_coverage(panel):
     got = {r.feature: r for r in fx.coverage(fx.compute(panel, ["ret_1", "ret_120"]), ["ret_1", "ret_120"]).collect()}
     assert got["ret_1"].nulls == 2 * 5 and got["ret_120"].rows == 300
+
+
+def test_differences_by_a_tree_of_hashes(spark):
+    """Only the branches that differ are exchanged: equal years stay where they are."""
+    rows = [(e, dt.date(2018 + y, 1, 1 + k), float(e + k)) for e in range(40) for y in range(4) for k in range(20)]
+    a = spark.createDataFrame(rows, "entity long, dt date, x double")
+    hit = (F.col("entity") == 7) & (F.year("dt") == 2019)
+    b = a.withColumn("x", F.when(hit & (F.dayofmonth("dt") == 3), None).otherwise(F.col("x"))).filter(~((F.col("entity") == 9) & (F.col("dt") == F.lit("2020-01-05").cast("date"))))
+    assert sorted(tuple(r) for r in panel_ops.aligned_differences(a, b, KEYS.both, ["x"]).collect()) == [(7, dt.date(2019, 1, 3)), (9, dt.date(2020, 1, 5))]
+    branches = panel_ops.differing_branches(a, b, KEYS.both, ["x"]).collect()
+    assert {r._year for r in branches} == {2019, 2020} and len(branches) == 2
+    kept = panel_ops._branch(a, "dt", "entity").join(panel_ops.differing_branches(a, b, KEYS.both, ["x"]), ["_year", "_bucket"], "left_semi")
+    assert kept.count() < a.count() / 20
+    assert panel_ops.aligned_differences(a, a.repartition(7), KEYS.both, ["x"]).isEmpty() and panel_ops.differing_branches(a, a.repartition(7), KEYS.both, ["x"]).isEmpty()
+    assert not same_keys(a, b, KEYS.both) and same_keys(a, a.withColumn("x", F.lit(0.0)), KEYS.both) and not same_keys(a, a.unionAll(a.limit(1)), KEYS.both)
+    # a null isn't the value that its hash leaves out, and keys of other types and nulls have branches too
+    swapped = spark.createDataFrame([(1, None, 1.0, 2.0)], "entity long, dt date, x double, y double")
+    assert panel_ops.aligned_differences(swapped, swapped.select("entity", "dt", F.lit(None).cast("double").alias("x"), "y"), KEYS.both, ["x", "y"]).count() > 0
+    assert panel_ops.aligned_differences(spark.createDataFrame([("a", 20200101)], "e string, d int").withColumn("v", F.lit(1)), spark.createDataFrame([("a", 20200101)], "e string, d int").withColumn("v", F.lit(2)), ["e", "d"], ["v"]).count() == 1

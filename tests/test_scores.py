@@ -262,3 +262,28 @@ def test_ablation(spark):
     df = spark.createDataFrame([(e, 1, rng.random(), 0, rng.random(), rng.random(), rng.random()) for e in range(10)], "entity int, dt int, y_ret_1d double, flag_limit_up int, a double, b double, c double")
     got = sc.ablation(df, {"a": 1, "b": -1, "c": 1}, {"a": "x", "b": "x", "c": "y"})
     assert {r.candidate for r in got.select("candidate").distinct().collect()} == {"all", "only:x", "only:y", "drop:x", "drop:y"} and got.count() == 50
+
+
+# --- the published check of the score ---
+
+#: Fixed values of the published fixture: 120 entities on six dates; by date how many can be bought, how many have a label,
+#: and the prediction of entity k. The label of entity k on date i is (k - 60) / 1000 + i / 10000.
+PARITY_DATES = (20250102, 20250103, 20250106, 20250107, 20250108, 20250109)
+PARITY_BUYABLE, PARITY_LABELLED = (99, 100, 99, 100, 101, 110), (29, 30, 99, 100, 100, 109)
+PARITY_PREDICTIONS = (lambda k: float(k), lambda k: (k - 60) / 1000, lambda k: -(k - 60) / 1000, lambda k: float((k + 7) % 120), lambda k: float((k + 23) % 120), lambda k: math.sin(k / 7))
+PARITY_SCORE = 2.550764
+
+
+def test_published_score(spark):
+    """The score that is published for the fixture, and what its dates are made to exercise."""
+    rows = [
+        (f"S{k:03d}", d, predicted(k), (k - 60) / 1000 + i / 10_000 if k < labelled else None, int(k >= buyable))
+        for i, (d, buyable, labelled, predicted) in enumerate(zip(PARITY_DATES, PARITY_BUYABLE, PARITY_LABELLED, PARITY_PREDICTIONS, strict=True))
+        for k in range(120)
+    ]
+    frame = spark.createDataFrame(rows, "entity string, dt int, pred double, y_ret_1d double, flag_limit_up int").repartition(5)
+    assert ev.summarise(frame).first().final_score == pytest.approx(PARITY_SCORE, abs=5e-7)
+    by = {PARITY_DATES.index(r.dt): r for r in ev.diagnostics(frame).collect()}
+    assert [by[i].ic_eligible for i in range(6)] == [False, True, True, True, True, True]
+    assert [by[i].portfolio_eligible for i in range(6)] == [False, False, False, True, True, True]
+    assert by[5].top_n == 10 and ev.daily_turnover(frame).count() == 2 and by[5].turnover_pool == 110
