@@ -16,7 +16,7 @@ for whole texts, twice as far for notices; so no notice is longer than its block
 
 Positions count code points in the whole text, the end is exclusive. A null or empty text has no block. What lies in several
 blocks is reported once. Rows that repeat give rows that repeat; doc_id may be null; extra columns are ignored. Blocks
-overlap only by their reach, so the cost grows with the text.
+overlap only by their reach, so the cost grows with the text. A notice that is denied ("not licensed under ...") is none.
 """
 
 from __future__ import annotations
@@ -47,6 +47,11 @@ LICENSED = (
     ("LGPL-3.0", ("GNU Lesser General Public License, version 3", "gnu lesser 3"), ("GNU LGPL version 3", "lgpl 3"), ("LGPL version 3 license", "lgpl 3")),
     ("LGPL-2.1", ("GNU Lesser General Public License, version 2.1", "gnu lesser 2.1"), ("GNU LGPL version 2.1", "lgpl 2.1"), ("LGPL version 2.1 license", "lgpl 2.1")),
     ("AGPL-3.0", ("GNU Affero General Public License, version 3", "gnu affero 3"), ("GNU AGPL version 3", "agpl 3"), ("AGPL version 3 license", "agpl 3")),
+    ("LGPL-3.0-or-later", ("GNU Lesser General Public License, version 3 or any later version", "gnu lesser 3 later"), ("LGPL version 3 or later", "lgpl 3 later")),
+    ("LGPL-2.1-or-later", ("GNU Lesser General Public License, version 2.1 or any later version", "gnu lesser 2.1 later"), ("LGPL version 2.1 or later", "lgpl 2.1 later")),
+    ("AGPL-3.0-or-later", ("GNU Affero General Public License, version 3 or any later version", "gnu affero 3 later"), ("AGPL version 3 or later", "agpl 3 later")),
+    ("EUPL-1.2", ("European Union Public License, version 1.2", "european union 1.2"), ("EUPL 1.2", "eupl 1.2")),
+    ("BSD-1-Clause", ("BSD 1-Clause License", "bsd 1"), ("1-Clause BSD License", "bsd 1")),
     ("BSD-3-Clause", ("BSD 3-Clause License", "bsd 3"), ("3-Clause BSD License", "bsd 3"), ("New BSD License", "new bsd")),
     ("BSD-2-Clause", ("BSD 2-Clause License", "bsd 2"), ("2-Clause BSD License", "bsd 2"), ("Simplified BSD License", "simplified bsd")),
     ("ISC", ("ISC License", "isc license")),
@@ -62,6 +67,8 @@ LICENSED = (
     ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "cc by nc 4"), ("Creative Commons Attribution-NonCommercial 4.0 International License", "creative attribution noncommercial 4")),
     ("CC-BY-ND-4.0", ("CC BY-ND 4.0", "cc by nd 4"), ("Creative Commons Attribution-NoDerivatives 4.0 International License", "creative attribution noderivatives 4")),
     ("CC-BY-NC-SA-4.0", ("CC BY-NC-SA 4.0", "cc by nc sa 4"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "creative attribution noncommercial sharealike 4")),
+    ("CC-BY-3.0", ("CC BY 3.0", "cc by 3"), ("Creative Commons Attribution 3.0 Unported License", "creative attribution 3")),
+    ("CC-BY-SA-3.0", ("CC BY-SA 3.0", "cc by sa 3"), ("Creative Commons Attribution-ShareAlike 3.0 Unported License", "creative attribution sharealike 3")),
     ("CC0-1.0", ("CC0 1.0 Universal", "cc 0 1"), ("CC0", "cc 0")),
 )
 #: The usual wording around a name. The last is the name alone, on a line of its own.
@@ -96,10 +103,10 @@ TEXTS = (
     ("Unlicense", "free unencumbered public domain anyone", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 #: Words that tell one license from another; none may stand in a block's aligned part that the template lacks.
-TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser library affero general bsd isc mozilla mpl eclipse epl boost artistic zlib unlicense cc creative by sa nc nd attribution sharealike noncommercial noderivatives not no".split())
-ANCHOR = r"(?i)licen[sc]|spdx|public\W+domain|permission\W+(?:is|to)\b|redistribution\W+and\W+use|creative\W+commons|\bcc[ -]?(?:by|0)|free\W+software|unencumbered|source\W+code\W+form|\b[al]?gpl|express\W+or\W+implied"
+TELLING = frozenset("mit apache gnu gpl lgpl agpl eupl european lesser library affero general bsd isc mozilla mpl eclipse epl boost artistic zlib unlicense cc creative by sa nc nd attribution sharealike noncommercial noderivatives not no".split())
+ANCHOR = r"(?i)licen[sc]|spdx|public\W+domain|permission\W+(?:is|to)\b|redistribution\W+and\W+use|creative\W+commons|\bcc[ -]?(?:by|0)|free\W+software|unencumbered|source\W+code\W+form|\b[al]?gpl|express\W+or\W+implied|\beupl"
 #: Words without one of which no template is confirmed, in one spelling.
-_MARKS = frozenset("license licensed unlicense spdx domain permission redistribution commons cc free unencumbered gpl lgpl agpl source express".split())
+_MARKS = frozenset("license licensed unlicense spdx domain permission redistribution commons cc free unencumbered gpl lgpl agpl eupl source express".split())
 MIN_MATCH = 0.6
 RANKED = 12
 
@@ -112,6 +119,9 @@ _L = r"Public\s+License"
 _LATER = r"(?:-or-later\b|\+|,?\s+or\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?later(?:\s+version)?\b)"
 #: Names by which a notice lists licenses, the longer before the shorter.
 NAMED = (
+    ("LGPL-3.0-or-later", rf"(?:(?:GNU\s+)?LGPL|GNU\s+Lesser\s+General\s+{_L}){_V}3(?:\.0)?{_LATER}"),
+    ("LGPL-2.1-or-later", rf"(?:(?:GNU\s+)?LGPL|GNU\s+Lesser\s+General\s+{_L}){_V}2\.1{_LATER}"),
+    ("AGPL-3.0-or-later", rf"(?:(?:GNU\s+)?AGPL|GNU\s+Affero\s+General\s+{_L}){_V}3(?:\.0)?{_LATER}"),
     ("LGPL-3.0", rf"(?:(?:GNU\s+)?LGPL|GNU\s+Lesser\s+General\s+{_L}){_V}3(?:\.0)?(?:-only)?"),
     ("LGPL-2.1", rf"(?:(?:GNU\s+)?LGPL|GNU\s+Lesser\s+General\s+{_L}){_V}2\.1(?:-only)?"),
     ("AGPL-3.0", rf"(?:(?:GNU\s+)?AGPL|GNU\s+Affero\s+General\s+{_L}){_V}3(?:\.0)?(?:-only)?"),
@@ -127,6 +137,9 @@ NAMED = (
     ("MPL-2.0", rf"(?:MPL|Mozilla\s+{_L}){_V}2\.0"),
     ("EPL-2.0", rf"(?:EPL|Eclipse\s+{_L}){_V}2\.0"),
     *((f"CC-{k}-4.0", rf"CC[ -]{k.replace('-', '[ -]')}[ -]4\.0") for k in ("BY-NC-SA", "BY-NC", "BY-ND", "BY-SA", "BY")),
+    *((f"CC-{k}-3.0", rf"CC[ -]{k.replace('-', '[ -]')}[ -]3\.0") for k in ("BY-SA", "BY")),
+    ("EUPL-1.2", rf"EUPL{_V}1\.2"),
+    ("BSD-1-Clause", r"BSD[ -]1[ -]Clause|1[ -]Clause BSD"),
     ("CC0-1.0", r"CC0[ -]1\.0"),
     ("Unlicense", r"Unlicense"),
 )
@@ -137,6 +150,10 @@ _more = re.compile(r"(?i)(?:\s*[,;/|]\s*(?:(?:and/or|and|or)\s+)?|\s+(?:and/or|a
 
 
 
+#: A notice that these words lead to says what the license is not.
+_denied = re.compile(r"(?:\b(?:not|never|nor|cannot|no\s+longer)|n['’]t)\s+(?:\w+\s+){0,2}(?:the\s+)?$", re.I)
+
+
 def wording(text: str, at: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
     """The words of a part of a lower-case text in one spelling, with their bounds."""
     for m in _token.finditer(text, at, len(text) if end is None else end):
@@ -285,6 +302,8 @@ def listed(text: str) -> list[tuple[int, int, int, str, float, int, str]]:
     out = []
     for m in _under.finditer(text):
         at, hits = m.end(), []
+        if _denied.search(text, max(0, m.start() - 60), m.start()):
+            continue
         while name := _name.match(text, at):
             hits.append((name.start(), name.end(), NAMED[name.lastindex - 1][0]))
             more = _more.match(text, name.end())
@@ -306,6 +325,7 @@ def licenses(text: str) -> list[tuple[int, int, str, float, int, str]]:
         lower = "".join(c.lower() if c.isascii() else c for c in text)
     hits = {(-score, *hit) for long in (False, True) for block in blocks(lower, reach(long)) for score, *hit in identify(lower, block, long)}
     hits |= {(-score, *hit) for score, *hit in listed(text)}
+    hits = {h for h in hits if not _denied.search(lower, max(0, h[1] - 60), h[1])}
     out: list[tuple[int, int, str, float, int, str]] = []
     # a block may end within a notice that another block holds whole, so the best go first
     for _, a, b, *hit in sorted(hits):

@@ -416,6 +416,19 @@ def test_short_notices_in_prose(notice, name):
         assert [x[2] for x in license_scan.licenses(text[1500:-1500])] == [name]
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Released under the LGPL version 3 or later.", "LGPL-3.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"), ("Licensed under the AGPL version 3 or later.", "AGPL-3.0-or-later"), ("Licensed under the AGPL version 3 license.", "AGPL-3.0"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under the EUPL 1.2.", "EUPL-1.2"), ("This work is licensed under the terms of the European Union Public Licence, version 1.2.", "EUPL-1.2"), ("Released under the BSD 1-Clause License.", "BSD-1-Clause"),
+        ("This is not licensed under the MIT License.", None), ("The code isn't released under the Apache License, Version 2.0.", None), ("It is no longer distributed under GNU GPL version 3.", None), ("It was never licensed under either of Apache License, Version 2.0 or MIT.", None), ("If not otherwise stated, licensed under the MIT License.", "MIT"),
+    ],
+)
+def test_versions_kin_and_denial(text, name):
+    for around in ("", "word " * 50):
+        assert [x[2] for x in license_scan.licenses(f"{around}{text} {around}")] == ([name] if name else []), around
+
+
 def test_several_licenses_of_a_block():
     """Each license of a line, of a list of names, of a text without line breaks, and short notices over two lines."""
     both = {"MIT", "Apache-2.0"}
