@@ -49,12 +49,13 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFra
     """left joined with right, which has a row at most for each of keys, however many rows of left share one.
 
     counts has a row (keys, n) for each key of left, or for each that may be hot: no more than `most` keys can have more
-    than a most-th of all rows each, so these rows of right are broadcast; the other keys are joined by shuffle. keys have
-    no nulls, and left should be cheap to read twice."""
+    than a most-th of all rows each, so these and their rows of right are broadcast, whether right has them or not; the other
+    keys are joined by shuffle. keys have no nulls, and left should be cheap to read twice."""
     at_least = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / most
-    hot = F.broadcast(right.join(counts.filter(F.col("n") > at_least).select(*keys), keys, "left_semi"))
-    cold = left.join(hot.select(*keys), keys, "left_anti").join(right, keys, how)
-    return left.join(hot, keys).unionByName(cold)
+    hot = F.broadcast(counts.filter(F.col("n") > at_least).select(*keys))
+    some = left if how == "inner" else left.join(hot, keys, "left_semi")
+    cold = left.join(hot, keys, "left_anti").join(right, keys, how)
+    return some.join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how).unionByName(cold)
 
 
 def even(doc_id: Column) -> tuple[Column, Column]:
@@ -120,8 +121,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         # a node may be the smallest of a third of all others
         large = hot_join(sym.filter("b > a"), low.select("a", "m"), ["a"], low.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
+        large = cut(large)
+        # and one may be told as many smallest ones
+        small_low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = hot_join(large, small_low.select("a", "m"), ["a"], small_low.select("a", "n")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
         after = cut(small)
         same = after.count() == edges.count() and after.exceptAll(edges).limit(1).count() == 0
         edges = after

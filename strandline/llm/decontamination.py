@@ -57,7 +57,8 @@ def _sets(n: int):
 class Block:
     """A block of items: their sets, and the signatures of all partitions as one sorted table."""
 
-    def __init__(self, ids: list, widths: list[int], sets: list[np.ndarray], threshold: float) -> None:
+    def __init__(self, ids: list, widths: list[int], sets: list[np.ndarray], threshold: float, times: list[int] | None = None) -> None:
+        self.times = np.array(times or [1] * len(ids), np.int64)
         self.ids, self.widths, self.threshold, self.sets = ids, sorted(set(widths)), threshold, sets
         self.size = np.array([len(s) for s in sets], np.int64)
         misses = lambda n: np.floor((1 - threshold) * n + 1e-9).astype(np.int64)
@@ -126,11 +127,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     spark = docs.sparkSession
     lean(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_sets(n), "item_id long, width int, shingles array<bigint>").filter("width > 0")
+    # rows that repeat are held once, with their number
+    items = items.groupBy("item_id", "width", "shingles").agg(F.count(F.lit(1)).alias("times"))
     total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     blocks = max(1, -(-total // block_shingles))
     if blocks > 1:
         items = cut(items)
-    kinds = "doc_id long, text_key long, item_id long, n_shared long, n_item long, containment double"
+    kinds = "doc_id long, text_key long, item_id long, n_shared long, n_item long, containment double, times long"
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     out = []
     for k in range(blocks):
@@ -138,13 +141,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         if not held.num_rows:
             continue
         sets = [np.sort(np.array(x, np.int64).view(tk.U64)) for x in held.column("shingles").to_pylist()]
-        block = spark.sparkContext.broadcast(Block(held.column("item_id").to_pylist(), held.column("width").to_pylist(), sets, threshold))
+        block = spark.sparkContext.broadcast(Block(held.column("item_id").to_pylist(), held.column("width").to_pylist(), sets, threshold, held.column("times").to_pylist()))
         found = narrow.mapInArrow(_scan(block, n), kinds)
         if blocks > 1:
             found = cut(found)
             block.destroy()
         out.append(found)
-    return reduce(DataFrame.unionByName, out) if out else narrow.mapInArrow(_nothing, kinds)
+    rows = reduce(DataFrame.unionByName, out) if out else narrow.mapInArrow(_nothing, kinds)
+    told = [x.split()[0] for x in kinds.split(", ")][:-1]
+    return rows.select(*told, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*told)
 
 
 def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +164,8 @@ def _scan(block, n: int):
             for a, part in tk.texts_of(batch.column("text"), lower=True).slices():
                 text, item, shared = own.search(part, n)
                 at, size = pa.array(text + a), own.size[item]
-                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), ids.take(pa.array(item)), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "item_id", "n_shared", "n_item", "containment"])
+                columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), ids.take(pa.array(item)), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1)), pa.array(own.times[item])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "item_id", "n_shared", "n_item", "containment", "times"])
 
     return run
 

@@ -278,7 +278,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     banded = classes.select("cid", "size", F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s")).filter("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("s") / block_shingles)).cast("int")
-    members = banded.join(buckets, ["band", "key"]).select("band", "key", "cid", blocks.alias("nb"))
+    # a bucket may hold a third of all classes
+    buckets = cut(buckets.withColumn("nb", blocks).select("band", "key", "nb", F.col("m").alias("n")))
+    members = hot_join(banded.select("band", "key", "cid"), buckets.select("band", "key", "nb"), ["band", "key"], buckets.select("band", "key", "n"))
     members = members.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     members = members.withColumn("o", other).select("band", "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cid")

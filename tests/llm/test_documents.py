@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, jaccard_join, license_scan, packing, quality_rules, secret_scan, sharding
+from strandline.llm import common, decontamination, jaccard_join, license_scan, packing, quality_rules, secret_scan, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -584,3 +585,45 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard_join.near_duplicates(none).count() == quality_rules.judge(none)[0].count() == secret_scan.scan(none).count() == license_scan.scan(none).count() == 0
     assert jaccard_join.keep_one(none).count() == quality_rules.keep_good(none).count() == secret_scan.redact(none).count() == 0
+
+
+def test_benchmark_rows_that_repeat(spark):
+    """A third of the benchmark is one row: it is held once, in one block, and gives as many rows as before."""
+    words = [f"w{k}" for k in range(400)]
+    items = [(1, " ".join(words[:12]))] * 200 + [(k, " ".join(words[k : k + 9])) for k in range(2, 300)] + [(1, " ".join(words[20:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(7, "before " + " ".join(words[:40]) + " after"), (8, "nothing here")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_item) for r in decontamination.contaminated(docs, bench, block_shingles=40).collect())
+    assert got[7, 1, 8] == 200 and got[7, 1, 6] == 1 and got == Counter((r.doc_id, r.item_id, r.n_item) for r in decontamination.contaminated(docs, bench).collect())
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_keeps_hot_keys_apart(spark, how):
+    """Hot keys, among them one that the other side lacks, are joined without a shuffle of their rows."""
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 3 == 1, -2).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = spark.range(0, 3000, 2).select(F.when(F.col("id") == 0, -1).otherwise(F.col("id")).alias("k"), (F.col("id") * 2).alias("y"))
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = common.hot_join(left, right, ["k"], counts, how)
+    key = lambda df: sorted((r.k, r.x, -1 if r.y is None else r.y) for r in df.collect())
+    assert key(got) == key(left.join(right, "k", how))
+    cold = left.join(F.broadcast(counts.filter("n > 500").select("k")), "k", "left_anti")
+    assert cold.count() == 1000
+
+
+def test_components_of_a_hub(spark):
+    """A node with the largest number that hangs together with a third of all others, and chains beside it."""
+    rng = random.Random(9)
+    edges = [(100_000, k) for k in range(700)] + [(1000 + k, 1001 + k) for k in range(300)] + [(rng.randint(2000, 2600), rng.randint(2000, 2600)) for _ in range(500)]
+    found = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    # a node that is its own smallest may be told or not
+    assert all(found.get(n, n) == root(n) for n in parent)
