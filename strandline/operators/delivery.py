@@ -103,8 +103,17 @@ def finite_probe(df: DataFrame, columns: list[str], keys: Keys = KEYS) -> DataFr
     return wide.select(F.explode(F.array(*[F.struct(F.lit(x).alias("column"), F.col("_rows").alias("rows"), F.col(x).alias("finite")) for x in columns])).alias("r")).select("r.*")
 
 
+def score_digest() -> str:
+    """SHA-256 of the code that defines the score."""
+    return sha256(evaluate.__file__)
+
+
 def require_contract(told: dict) -> None:
-    """Raises unless the constants that the score is defined by are those told: weights, days, gates, the top's share."""
+    """Raises unless the constants that the score is defined by are those told: weights, days, gates, the top's share; and,
+    if `digest` is told, unless the code that defines it has that digest."""
+    told = dict(told)
+    if (digest := told.pop("digest", None)) is not None and digest != score_digest():
+        raise ContractError(f"the score's code isn't what was agreed: {score_digest()}, not {digest}")
     own = {"ic_weight": evaluate.IC_WEIGHT, "excess_weight": evaluate.EXCESS_WEIGHT, "turnover_weight": evaluate.TURNOVER_WEIGHT, "days": evaluate.DAYS, "ic_min": evaluate.IC_MIN, "pool_min": evaluate.POOL_MIN, "turnover_min": evaluate.TURNOVER_MIN, "top": evaluate.TOP}
     if bad := {k: (v, own.get(k)) for k, v in told.items() if own.get(k) != v}:
         raise ContractError(f"the score isn't what was agreed: {bad}")

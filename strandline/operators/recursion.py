@@ -81,8 +81,8 @@ def ema_pandas(df: DataFrame, value: str, spans: dict[str, int], keys: Keys = KE
     return df.groupBy(keys.entity).applyInPandas(run, schema)
 
 
-def rank_ema(df: DataFrame, alpha: float | list[float], keys: Keys = KEYS, state: DataFrame | None = None, score: str = "pred", finite_only: bool = False) -> DataFrame:
-    """Adds rank (percentile by date) and smoothed = alpha * rank + (1 - alpha) * the entity's last value. An entity begins
+def rank_ema(df: DataFrame, alpha: float | list[float], keys: Keys = KEYS, state: DataFrame | None = None, score: str = "pred", finite_only: bool = False, groups: list[str] | None = None) -> DataFrame:
+    """Adds rank (percentile by date, within groups such as folds) and smoothed = alpha * rank + (1 - alpha) * the entity's last value. An entity begins
     with its rank, or from state (entity, smoothed) if it is there. Rows of an entity count, not calendar days; a rank that
     is missing leaves the value as it is. finite_only: missing scores are an error. Several alphas: a row for each, with a
     column alpha; ranks are taken once."""
@@ -91,7 +91,7 @@ def rank_ema(df: DataFrame, alpha: float | list[float], keys: Keys = KEYS, state
         raise ValueError("alpha must be in (0, 1]")
     if finite_only and not df.filter(finite(F.col(score).cast("double")).isNull()).isEmpty():
         raise ContractError(f"{score} must be finite")
-    ranked = df.withColumn("rank", rank_pct(F.col(score), keys.date))
+    ranked = df.withColumn("rank", rank_pct(F.col(score), *(groups or []), keys.date))
     rows, told = ranked, [*ranked.columns, "smoothed"]
     if isinstance(alpha, list):
         rows, told = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))), ["alpha", *told]
@@ -100,7 +100,7 @@ def rank_ema(df: DataFrame, alpha: float | list[float], keys: Keys = KEYS, state
     prior = F.lit(None).cast("double")
     if state is not None:
         rows, prior = rows.join(state.select(keys.entity, F.col("smoothed").alias("_prior")), keys.entity, "left"), F.col("_prior")
-    groups = ["alpha"] if isinstance(alpha, list) else []
+    groups = [*(groups or []), *(["alpha"] if isinstance(alpha, list) else [])]
     along = Window.partitionBy(*groups, keys.entity).orderBy(keys.date)
     there = F.col("rank").isNotNull()
     rows = rows.withColumn("_seen", F.count("rank").over(along.rowsBetween(Window.unboundedPreceding, 0)))

@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strandline.functions import rank_pct, safe_div
-from strandline.operators import audits, cross_section, delivery, evaluate, models, panel, recursion, screening, splits, store
+from strandline.operators import audits, cross_section, delivery, evaluate, models, panel, recursion, runs, screening, splits, store
 from strandline.operators import features as fx
 from strandline.operators.panel import aligned_differences, joined_one_to_one, key_hash, with_returns
 from strandline.sources.bars import tail
@@ -722,6 +722,29 @@ def nested_blend(spark, sf_dir):
     return rounded(models.nested_blend(rows, ["p0", "p1", "p2"], (0.65, 0.35), (0.6, 0.4)).select("entity", "dt", "pred"))
 
 
+WINDOWS = {"one": 1, "two": 2, "all": None}
+_WINDOWED = (
+    "lo AS (SELECT fold, min(year(dt)) AS y FROM folds WHERE role = 'validate' GROUP BY fold), "
+    f"wf AS (SELECT w.name, f.fold, f.dt, f.role FROM folds f JOIN lo ON lo.fold = f.fold, (VALUES {', '.join(f"('{k}', {99 if y is None else y})" for k, y in WINDOWS.items())}) w(name, years) WHERE f.role <> 'train' OR f.dt >= make_date(CAST(lo.y - w.years AS INTEGER), 1, 1)), "
+    "wg AS (SELECT name, fold, count(*) AS n, sum(y_ret_1d) AS sy, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) - sum(x1) * sum(x1) / count(*) + 100 AS a, sum(x1 * x2) - sum(x1) * sum(x2) / count(*) AS b, sum(x2 * x2) - sum(x2) * sum(x2) / count(*) + 100 AS c, "
+    "sum(x1 * y_ret_1d) - sum(x1) * sum(y_ret_1d) / count(*) AS u, sum(x2 * y_ret_1d) - sum(x2) * sum(y_ret_1d) / count(*) AS v FROM vw JOIN wf USING (dt) WHERE role = 'train' AND y_ret_1d IS NOT NULL GROUP BY name, fold), "
+    "wt AS (SELECT name, fold, n, sy, s1, s2, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM wg), "
+    "wp AS (SELECT wt.name, wt.fold, vw.entity, vw.dt, vw.y_ret_1d, (sy - s1 * w1 - s2 * w2) / n + w1 * x1 + w2 * x2 AS pred FROM vw JOIN wf USING (dt) JOIN wt ON wt.name = wf.name AND wt.fold = wf.fold WHERE role = 'validate')"
+)
+_WI = f"wi AS (SELECT name, fold, dt, {corr('p', 'y')} AS ic FROM (SELECT name, fold, dt, {tie('pred', 'name, fold, dt')} AS p, {tie('y_ret_1d', 'name, fold, dt')} AS y FROM wp WHERE y_ret_1d IS NOT NULL) GROUP BY name, fold, dt HAVING count(*) >= 30)"
+
+
+@query(f"WITH {_VIEW}, {SQL_FOLDS}, {_WINDOWED}, {_WI}, er AS (SELECT name, fold, sqrt(avg((pred - y_ret_1d) * (pred - y_ret_1d))) AS rmse, count(*) AS n FROM wp WHERE y_ret_1d IS NOT NULL GROUP BY name, fold) SELECT er.name AS training, er.fold, {r('avg(ic)', 5)} AS ic_mean, {r('stddev_samp(ic)', 5)} AS ic_std, count(ic) AS ic_days, {r('any_value(rmse)', 4)} AS rmse, any_value(er.n) AS rows FROM er LEFT JOIN wi ON wi.name = er.name AND wi.fold = er.fold GROUP BY er.name, er.fold")
+def stability_matrix(spark, sf_dir):
+    """Three training windows by three folds: fitted by one aggregate, predicted by one join, scored in one plan."""
+    view = _view(spark, sf_dir)
+    dates = runs.windowed(splits.calendar(view, FOLDS), WINDOWS)
+    out = runs.ridge_out_of_fold(view, dates, X, ["training", "fold"])
+    ic = evaluate.daily_ic(out, groups=["training", "fold"]).groupBy("training", "fold").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("ic_days"))
+    rows = evaluate.errors(out, groups=["training", "fold"]).join(ic, ["training", "fold"], "left")
+    return rows.select("training", "fold", r6("ic_mean", 5).alias("ic_mean"), r6("ic_std", 5).alias("ic_std"), F.coalesce("ic_days", F.lit(0)).alias("ic_days"), r6("rmse", 4).alias("rmse"), "rows")
+
+
 LOCKED = {"slow": {"kind": "ridge", "features": X}, "unused": {"kind": "boosted", "features": X}}
 
 
