@@ -19,7 +19,7 @@ from .boosting import Boosted, Node, bin_edges, boost, grow, tree_table
 from .cross_section import relevance
 from .panel import KEYS, Keys
 
-__all__ = ["Boosted", "Linear", "Node", "bin_edges", "boost", "grades", "gram", "grow", "lambda_gradients", "ndcg", "nested_blend", "pair_gradients", "ranker", "ridge", "ridge_folds", "simple_factor", "tree_table"]
+__all__ = ["Boosted", "Linear", "Node", "bin_edges", "boost", "grades", "gram", "grow", "lambda_gradients", "lambda_gradients_by_blocks", "ndcg", "nested_blend", "pair_gradients", "ranker", "ridge", "ridge_folds", "simple_factor", "tree_table"]
 
 
 def simple_factor(df: DataFrame, feature: str, direction: int = 1, fill: float = 0.5) -> DataFrame:
@@ -146,8 +146,69 @@ def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0,
     return add
 
 
-def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, truncation: int = 500, gains: np.ndarray | None = None, **options) -> Boosted:
-    return boost(df, features, gradients=lambda_gradients(keys, truncation=truncation, gains=gains), base=0.0, **options)
+#: Rows of a date beyond which its list is dealt out in blocks.
+LIST_ROWS = 20_000
+
+
+def lambda_gradients_by_blocks(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0, truncation: int = 500, gains: np.ndarray | None = None, block: int = LIST_ROWS):
+    """The same gradients for lists of any length. Every pair has a row among the first `truncation`: these go to each block
+    of their date's rows as guests, so a group has a block and the guests, and no date meets in one task but to be ordered.
+    What the guests get in each block is added up; the list's scale is applied last."""
+    table = linear_gain(bins) if gains is None else np.asarray(gains, float)
+    gain_of = F.element_at(F.array(*[F.lit(float(x)) for x in table]), F.col("_grade") + 1)
+
+    def run(pdf):
+        i, j = pdf[pdf["_guest"]].sort_values("_pos"), pdf[~pdf["_guest"]].sort_values("_pos")
+        n_i, n_j = len(i), len(j)
+        out = {k: np.zeros(n_i + n_j) for k in ("_g", "_h", "_f")}
+        get = lambda d, c: d[c].to_numpy(float)
+        pi, pj, si, sj, gi, gj = (get(d, c) for c in ("_pos", "_score", "_gain") for d in (i, j))
+        di, dj = 1 / np.log2(pi + 2), 1 / np.log2(pj + 2)
+        ideal, spread = float(pdf["_ideal"].iloc[0] or 0.0), bool(pdf["_spread"].iloc[0])
+        if ideal > 0:
+            for a in range(0, n_i, 64):
+                s = slice(a, min(a + 64, n_i))
+                live = (pj[None, :] > pi[s, None]) & (gi[s, None] != gj[None, :])
+                way = np.sign(gi[s, None] - gj[None, :])
+                apart = way * (si[s, None] - sj[None, :])
+                change = np.abs(gi[s, None] - gj[None, :]) * np.abs(di[s, None] - dj[None, :]) / ideal
+                change = change / (0.01 + np.abs(apart)) if spread else change
+                p = 1 / (1 + np.exp(np.clip(sharpness * apart, -500, 500)))
+                force = np.where(live, sharpness * change * p, 0.0)
+                bend = np.where(live, sharpness**2 * change * p * (1 - p), 0.0)
+                out["_g"][s] -= (way * force).sum(1)
+                out["_h"][s] += bend.sum(1)
+                out["_g"][n_i:] += (way * force).sum(0)
+                out["_h"][n_i:] += bend.sum(0)
+                out["_f"][n_i:] += 2 * force.sum(0)
+        at = np.concatenate([pi, pj]).astype(np.int64)
+        return i.iloc[:0][[keys.date]].reindex(range(len(at))).assign(**{keys.date: pdf[keys.date].iloc[0], "_pos": at, **out})
+
+    def add(df: DataFrame) -> DataFrame:
+        day = Window.partitionBy(keys.date)
+        graded = df.filter("y_ret_1d is not null").withColumn("_grade", relevance(F.col("y_ret_1d"), keys.date, bins))
+        best = F.row_number().over(day.orderBy(F.col("_gain").desc()))
+        rows = graded.withColumn("_gain", gain_of).withColumns({"_pos": F.row_number().over(day.orderBy(F.col("_score").desc(), keys.entity)) - 1, "_best": best})
+        rows = rows.withColumns({"_ideal": F.sum(F.when(F.col("_best") <= truncation, F.col("_gain") / F.log2(F.col("_best") + 1))).over(day), "_spread": F.max("_score").over(day) > F.min("_score").over(day), "_n": F.count(F.lit(1)).over(day)})
+        narrow = rows.select(keys.date, "_pos", "_score", "_gain", "_ideal", "_spread", "_n")
+        guests = narrow.filter(F.col("_pos") < truncation).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("int")))).withColumn("_guest", F.lit(True))
+        own = narrow.withColumns({"_block": F.floor(F.col("_pos") / block).cast("int"), "_guest": F.lit(False)})
+        kind = dict(df.dtypes)[keys.date]
+        parts = own.unionByName(guests).drop("_n").groupBy(keys.date, "_block").applyInPandas(run, f"`{keys.date}` {kind}, _pos long, _g double, _h double, _f double")
+        sums = parts.groupBy(keys.date, "_pos").agg(*[F.sum(c).alias(c) for c in ("_g", "_h", "_f")])
+        total = F.sum("_f").over(day)
+        scale = F.when(total > 0, F.log2(1 + total) / total).otherwise(1.0)
+        sums = sums.withColumn("_scale", scale).select(keys.date, "_pos", (F.col("_g") * F.col("_scale")).alias("_g"), F.greatest(F.col("_h") * F.col("_scale"), F.lit(1e-9)).alias("_h"))
+        return rows.select(*df.columns, "_pos").join(sums, [keys.date, "_pos"]).select(*df.columns, "_g", "_h")
+
+    return add
+
+
+def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, truncation: int = 500, gains: np.ndarray | None = None, list_rows: int = LIST_ROWS, **options) -> Boosted:
+    """Boosted trees on LambdaRank's gradients. Lists of more than list_rows rows are dealt out in blocks."""
+    longest = df.filter("y_ret_1d is not null").groupBy(keys.date).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    way = lambda_gradients(keys, truncation=truncation, gains=gains) if longest <= list_rows else lambda_gradients_by_blocks(keys, truncation=truncation, gains=gains, block=list_rows)
+    return boost(df, features, gradients=way, base=0.0, **options)
 
 
 def ndcg(df: DataFrame, keys: Keys = KEYS, bins: int = 10, at: int | None = None, score: str = "pred") -> DataFrame:

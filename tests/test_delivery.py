@@ -211,6 +211,18 @@ def test_pair_gradients():
         models.lambda_gradients(bins=10, gains=np.arange(9))
 
 
+@pytest.mark.parametrize("truncation, block", [(500, 7), (3, 5), (10, 1000)])
+def test_gradients_of_long_lists(spark, truncation, block):
+    """Lists in blocks, with the first rows as guests in each: the gradients of whole lists, ties and flat lists included."""
+    rng = np.random.default_rng(truncation)
+    rows = [(e, d, None if rng.random() < 0.1 else float(rng.normal()), 0.0 if d == 3 else round(float(rng.normal()), 1)) for d in range(5) for e in range((40, 1, 23, 30, 0)[d])]
+    df = spark.createDataFrame(rows, "entity long, dt int, y_ret_1d double, _score double").repartition(3)
+    whole, parts = (f(df).toPandas().sort_values(["dt", "entity"], ignore_index=True) for f in (models.lambda_gradients(truncation=truncation, bins=5), models.lambda_gradients_by_blocks(truncation=truncation, bins=5, block=block)))
+    assert whole[["dt", "entity"]].equals(parts[["dt", "entity"]]) and whole["_g"].abs().max() > 0
+    np.testing.assert_allclose(parts["_g"], whole["_g"], atol=1e-12)
+    np.testing.assert_allclose(parts["_h"], whole["_h"], atol=1e-12)
+
+
 def test_leaf_wise_growth(view):
     """A full tree is the same by leaves and by depth; fewer leaves keep the splits that gain most; bags are repeatable."""
     rows = view.filter("y_ret_1d is not null").withColumns({"_g": -F.col("y_ret_1d"), "_h": F.lit(1.0)}).cache()
