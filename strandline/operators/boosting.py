@@ -121,8 +121,9 @@ def _leaves(code: np.ndarray, splits: list[_Split]) -> np.ndarray:
     return leaf
 
 
-def histograms(df: DataFrame, k: int, width: int, splits: list[_Split], wanted: list[int]) -> dict[int, np.ndarray]:
-    """For each wanted leaf an array (feature, code, (gradients, hessians, rows)); the last code is for missing values."""
+def histograms(df: DataFrame, k: int, width: int, splits: list[_Split], wanted: list[int], few: bool = False) -> dict[int, np.ndarray]:
+    """For each wanted leaf an array (feature, code, (gradients, hessians, rows)); the last code is for missing values. few:
+    df has no more than SALTS tasks, so that their rows needn't be added up before they reach the driver."""
     place = {leaf: i for i, leaf in enumerate(wanted)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,8 @@ def histograms(df: DataFrame, k: int, width: int, splits: list[_Split], wanted:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([out.ravel()], pa.list_(pa.float64()))], ["salt", "v"])
 
     # each task has a row; SALTS of them reach the driver
-    parts = df.select("_code", "_g", "_h").mapInArrow(run, "salt int, v array<double>").groupBy("salt").applyInArrow(_summed(["salt"]), "salt int, v array<double>")
+    parts = df.select("_code", "_g", "_h").mapInArrow(run, "salt int, v array<double>")
+    parts = parts if few else parts.groupBy("salt").applyInArrow(_summed(["salt"]), "salt int, v array<double>")
     total = np.zeros(k * 3 * len(wanted) * width)
     for r in parts.toArrow().column("v").chunks:
         total += _flat(r).reshape(len(r), -1).sum(0)
@@ -193,6 +195,7 @@ def grow_coded(df: DataFrame, features: list[str], edges: dict[str, list[float]]
     allowed = [features.index(f) for f in usable or features]
     most = leaves or 2 ** (depth or 5)
     seen = [] if seen is None else seen
+    few = df.rdd.getNumPartitions() <= SALTS
 
     def leaf(hist: np.ndarray, level: int) -> _Leaf:
         g, h, _ = hist[0].sum(0)
@@ -200,7 +203,7 @@ def grow_coded(df: DataFrame, features: list[str], edges: dict[str, list[float]]
         out.split = best_split(hist, sizes, allowed, ridge, least) if depth is None or level < depth else None
         return out
 
-    live = {0: leaf(histograms(df, k, width, [], [0])[0], 0)}
+    live = {0: leaf(histograms(df, k, width, [], [0], few)[0], 0)}
     seen.append(1)
     splits: list[_Split] = []
     ready: dict[int, tuple[_Split, _Leaf, _Leaf]] = {}
@@ -220,7 +223,7 @@ def grow_coded(df: DataFrame, features: list[str], edges: dict[str, list[float]]
                     trial.append(s)
                     wanted[i if small_left else s.to] = (i, s, small_left)
             # leaves of unlike trials don't overlap, so one pass finds all of them
-            found = histograms(df, k, width, trial, sorted(wanted))
+            found = histograms(df, k, width, trial, sorted(wanted), few)
             seen.append(len(wanted))
             for name, (i, s, small_left) in wanted.items():
                 small, x = found[name], live[i]

@@ -674,19 +674,27 @@ def boosted_tree(spark, sf_dir):
     return rounded(spark.createDataFrame(out, "path string, feature string, cut double, missing_left boolean, value double"))
 
 
+X6 = [*X, "ret_std_5", "close_ma_ratio_5", "volume_change_1", "position_20"]
+
+
+def _view6(spark, sf_dir):
+    bars = with_returns(bars_w(spark, sf_dir), limit=LIMIT)
+    return fx.compute(bars.drop("ret_1"), X6, keep=["y_ret_1d", "flag_limit_up"])
+
+
 @query()
 def boosted_oof(spark, sf_dir):
-    view = _view(spark, sf_dir)
-    train = view.filter(F.col("dt") < _D(2000, 1, 1))
-    model = models.boost(train, X, rounds=5, depth=2)
+    """Ten trees of fifteen leaves on six features, fitted before 2000, scored after."""
+    view = _view6(spark, sf_dir)
+    model = models.boost(view.filter(F.col("dt") < _D(2000, 1, 1)), X6, rounds=10, depth=None, leaves=15, bins=63, bagging=0.8, feature_fraction=0.8)
     return rounded(view.filter(F.col("dt") >= _D(2000, 1, 1)).select("entity", "dt", model.score().alias("pred")))
 
 
 @query()
 def ranker_ndcg(spark, sf_dir):
-    view = _view(spark, sf_dir)
-    train = view.filter(F.col("dt") < _D(2000, 1, 1))
-    model = models.ranker(train, X, rounds=4, depth=2)
+    """The ranker's daily NDCG after 2000: eight trees of eight leaves on six features."""
+    view = _view6(spark, sf_dir)
+    model = models.ranker(view.filter(F.col("dt") < _D(2000, 1, 1)), X6, rounds=8, depth=None, leaves=8, bins=63)
     return rounded(models.ndcg(view.filter(F.col("dt") >= _D(2000, 1, 1)).withColumn("pred", model.score())))
 
 
@@ -745,18 +753,20 @@ def stability_matrix(spark, sf_dir):
     return rows.select("training", "fold", r6("ic_mean", 5).alias("ic_mean"), r6("ic_std", 5).alias("ic_std"), F.coalesce("ic_days", F.lit(0)).alias("ic_days"), r6("rmse", 4).alias("rmse"), "rows")
 
 
-LOCKED = {"slow": {"kind": "ridge", "features": X}, "unused": {"kind": "boosted", "features": X}}
+LOCKED = {"slow": {"kind": "ridge", "features": X}, "plain": {"kind": "ridge", "features": X[1:]}, "unused": {"kind": "boosted", "features": X}}
+LOCKED_WEIGHTS = {"slow": 0.6, "plain": 0.4, "unused": 0.0}
 
 
 @query(f"WITH {_VIEW}, g AS (SELECT count(*) AS n, sum(y_ret_1d) AS sy, sum(x1) AS s1, sum(x2) AS s2, sum(x1 * x1) - sum(x1) * sum(x1) / count(*) + 100 AS a, sum(x1 * x2) - sum(x1) * sum(x2) / count(*) AS b, sum(x2 * x2) - sum(x2) * sum(x2) / count(*) + 100 AS c, "
-    "sum(x1 * y_ret_1d) - sum(x1) * sum(y_ret_1d) / count(*) AS u, sum(x2 * y_ret_1d) - sum(x2) * sum(y_ret_1d) / count(*) AS v FROM vw WHERE y_ret_1d IS NOT NULL), fit AS (SELECT n, sy, s1, s2, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2 FROM g), "
-    f"sc AS (SELECT entity, dt, flag_limit_up, round((sy - s1 * w1 - s2 * w2) / n + w1 * x1 + w2 * x2, 6) AS s FROM vw, fit) SELECT entity, dt, flag_limit_up, {r(pct('s', 'dt'))} AS pred FROM sc")
+    "sum(x1 * y_ret_1d) - sum(x1) * sum(y_ret_1d) / count(*) AS u, sum(x2 * y_ret_1d) - sum(x2) * sum(y_ret_1d) / count(*) AS v FROM vw WHERE y_ret_1d IS NOT NULL), fit AS (SELECT n, sy, s1, s2, (c * u - b * v) / (a * c - b * b) AS w1, (a * v - b * u) / (a * c - b * b) AS w2, v / c AS w3 FROM g), "
+    f"sc AS (SELECT entity, dt, flag_limit_up, round((sy - s1 * w1 - s2 * w2) / n + w1 * x1 + w2 * x2, 6) AS s, round((sy - s2 * w3) / n + w3 * x2, 6) AS t FROM vw, fit) SELECT entity, dt, flag_limit_up, {r(f'0.6 * {pct("s", "dt")} + 0.4 * {pct("t", "dt")}')} AS pred FROM sc")
 def full_refit(spark, sf_dir):
-    """Components with a weight refitted on the full history, written to a model's plain values, read back and applied."""
+    """Components with a weight refitted on the full history, written to a model's plain values, read back and blended."""
     view = _view(spark, sf_dir)
-    fitted = {k: delivery.model_of(delivery.model_state(m)) for k, m in delivery.refit(view, LOCKED, {"slow": 1.0}).items()}
-    scored_ = view.select("entity", "dt", "flag_limit_up", F.round(fitted["slow"].score(), 6).alias("pred"))
-    return rounded(scored_.select("entity", "dt", "flag_limit_up").join(evaluate.blend([scored_], [1.0]), ["entity", "dt"]))
+    fitted = {k: delivery.model_of(delivery.model_state(m)) for k, m in delivery.refit(view, LOCKED, LOCKED_WEIGHTS).items()}
+    scored_ = [view.select("entity", "dt", F.round(m.score(), 6).alias("pred")) for m in fitted.values()]
+    blended = evaluate.blend(scored_, [LOCKED_WEIGHTS[k] for k in fitted])
+    return rounded(view.select("entity", "dt", "flag_limit_up").join(blended, ["entity", "dt"]))
 
 
 # --- audits and provenance ---
