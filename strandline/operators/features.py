@@ -295,6 +295,16 @@ def dictionary() -> list[dict]:
     return [{"name": f.name, "family": f.family, "formula": f.formula, "lookback": f.lookback} for f in (*base(), *advanced())]
 
 
+def reachable(df: DataFrame, keys: Keys = KEYS) -> DataFrame:
+    """name, family, formula, lookback of every feature, and warm_rows: the panel's rows whose entity has as many rows up to
+    there as the feature looks back, the most that can have a value."""
+    told = df.sparkSession.createDataFrame([(x["name"], x["family"], x["formula"], x["lookback"]) for x in dictionary()], "name string, family string, formula string, lookback int")
+    lengths = df.groupBy(keys.entity).agg(F.count(F.lit(1)).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("_entities"))
+    warm = F.sum(F.col("_entities") * F.greatest(F.col("_n") - F.greatest(F.col("lookback"), F.lit(1)) + 1, F.lit(0)))
+    rows = lengths.crossJoin(F.broadcast(told))  # the dictionary has a row for each feature
+    return rows.groupBy("name", "family", "formula", "lookback").agg(warm.cast("long").alias("warm_rows"))
+
+
 def warm_up(names: list[str] | None = None) -> int:
     """Rows before the first full value of the features asked for."""
     return max(f.lookback for f in (*base(), *advanced()) if names is None or f.name in names)

@@ -152,9 +152,13 @@ ORACLES["feature_coverage"] = f"WITH {SQL_W}, {_LEVELS}, f AS (SELECT {', '.join
 
 
 def feature_dictionary(spark, sf_dir):
-    return spark.createDataFrame([(x["name"], x["family"], x["formula"], x["lookback"]) for x in fx.dictionary()], "name string, family string, formula string, lookback int")
+    """Every feature, and how many rows of the weekly panel reach far enough back for it."""
+    return fx.reachable(bars_w(spark, sf_dir))
 
 
 QUERIES["feature_dictionary"] = feature_dictionary
 _told = lambda x: x.replace("'", "''")
-ORACLES["feature_dictionary"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x['name']}', '{x['family']}', '{_told(x['formula'])}', {x['lookback']})" for x in fx.dictionary()) + ") t(name, family, formula, lookback)"
+ORACLES["feature_dictionary"] = (
+    f"WITH {SQL_W}, el AS (SELECT entity, count(*) AS n FROM bars GROUP BY entity), fd AS (SELECT * FROM (VALUES " + ", ".join(f"('{x['name']}', '{x['family']}', '{_told(x['formula'])}', {x['lookback']})" for x in fx.dictionary()) + ") t(name, family, formula, lookback)) "
+    "SELECT name, family, formula, lookback, CAST(sum(greatest(n - greatest(lookback, 1) + 1, 0)) AS BIGINT) AS warm_rows FROM fd, el GROUP BY name, family, formula, lookback"
+)
