@@ -6,15 +6,17 @@ bins, not by rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import filled, tie_rank
 
-from .blocks import moments
+from .blocks import codes, moments
 from .boosting import Boosted, Node, bin_edges, boost, grow, tree_table
 from .cross_section import relevance
 from .panel import KEYS, Keys
@@ -146,69 +148,196 @@ def lambda_gradients(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0,
     return add
 
 
-#: Rows of a date beyond which its list is dealt out in blocks.
-LIST_ROWS = 20_000
+#: Rows of a list that are taken at a time; distinct scores of a product of matrices.
+LIST_ROWS, SCORES = 20_000, 1024
+
+
+class _Top:
+    """The first rows of a list, against rows that all come behind them. A pair's force is a factor of the two scores and
+    grades times the difference of two discounts, so rows of one score and grade count together: as their number and the
+    sum of their discounts."""
+
+    def __init__(self, score: np.ndarray, grade: np.ndarray, gains: np.ndarray, sharpness: float):
+        self.order = np.argsort(grade, kind="stable")
+        self.s, self.grade, self.d = score[self.order], grade[self.order], log_discount(len(score))[self.order]
+        self.better, self.sharpness = np.maximum(gains[:, None] - gains[None, :], 0.0), sharpness
+        cuts = np.searchsorted(self.grade, np.arange(len(gains) + 1))
+        self.parts = [(a, slice(cuts[a], cuts[a + 1])) for a in range(len(gains)) if cuts[a] < cuts[a + 1]]
+
+    def _factors(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forces of pairs whose upper row has the better grade, or the worse one, and their bend, but for the gains,
+        discounts and ideal."""
+        apart = self.s[:, None] - u[None, :]
+        whole = self.sharpness / (0.01 + apart)
+        e = np.exp(-self.sharpness * apart)
+        up = whole * e / (1 + e)
+        return up, whole - up, self.sharpness * up / (1 + e)
+
+    def pulled(self, score: np.ndarray, grade: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Gradients, hessians and forces (three rows) that the first rows, in their order, get from rows in falling score."""
+        out, bins = np.zeros((3, len(self.s))), len(self.better)
+        run = np.cumsum(np.r_[False, score[1:] != score[:-1]])
+        u, cell = score[np.flatnonzero(np.r_[True, score[1:] != score[:-1]])], run * bins + grade
+        n, d = (np.bincount(cell, w, len(u) * bins).reshape(-1, bins) for w in (None, 1 / np.log2(pos + 2)))
+        for at in range(0, len(u), SCORES):
+            here = slice(at, at + SCORES)
+            up, down, bend = self._factors(u[here])
+            for a, own in self.parts:
+                of = lambda f, m, own=own, here=here: self.d[own] * (f[own] @ (n[here] @ m)) - f[own] @ (d[here] @ m)
+                above, below = of(up, self.better[a]), of(down, self.better[:, a])
+                out[:, own] += below - above, of(bend, self.better[a] + self.better[:, a]), above + below
+        told = np.empty_like(out)
+        told[:, self.order] = out
+        return told
+
+    def pull(self, score: np.ndarray, grade: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and hessians that rows in falling score get from the first ones."""
+        g, h = np.empty(len(score)), np.empty(len(score))
+        start = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        u, ends = score[start], np.r_[start, len(score)]
+        for at in range(0, len(u), SCORES):
+            factors = self._factors(u[at : at + SCORES])
+            sums = np.zeros((3, len(self.better), 2, factors[0].shape[1]))
+            for a, own in self.parts:
+                w = np.stack([self.d[own], np.ones(own.stop - own.start)])
+                for k, f in enumerate(factors):
+                    sums[k, a] = w @ f[own]
+            rows = slice(ends[at], ends[min(at + SCORES, len(u))])
+            run = np.repeat(np.arange(factors[0].shape[1]), np.diff(ends[at : at + SCORES + 1]))
+            both = np.tensordot(self.better.T, sums[0], 1) - np.tensordot(self.better, sums[1], 1), np.tensordot(self.better + self.better.T, sums[2], 1)
+            for out, x in zip((g, h), both, strict=True):
+                out[rows] = x[grade[rows], 0, run] - x[grade[rows], 1, run] / np.log2(pos[rows] + 2)
+        return g, h
+
+    def among(self) -> np.ndarray:
+        """What pulled() gives, for the pairs among the first rows themselves."""
+        score, grade, d = (np.empty_like(x) for x in (self.s, self.grade, self.d))
+        score[self.order], grade[self.order], d[self.order] = self.s, self.grade, self.d
+        out = np.zeros((3, len(d)))
+        for at in range(0, len(d), 64):
+            i = slice(at, at + 64)
+            apart = np.maximum(score[i, None] - score[None, :], 0.0)
+            up, down = self.better[grade[i]][:, grade], self.better[:, grade[i]].T[:, grade]
+            swap = np.maximum(d[i, None] - d[None, :], 0.0) * (up + down) * self.sharpness / (0.01 + apart)  # 0 for rows that come before
+            e = np.exp(-self.sharpness * apart)
+            p = np.where(up > 0, e, 1.0) / (1 + e)
+            force, bend = swap * p, self.sharpness * swap * p * (1 - p)
+            way = np.sign(up - down) * force
+            out[:, i] += -way.sum(1), bend.sum(1), force.sum(1)
+            out[:2] += way.sum(0), bend.sum(0)
+        return out
+
+
+def _lists(batches: Iterator[pa.RecordBatch], date: str, most: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Batches sorted by date, cut into pieces of one date and at most so many rows; whether a piece begins a date."""
+    last: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code, _ = codes(b, [date])
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            name = (b.column(date)[a].as_py(),)
+            for at in range(a, z, most):
+                yield name != last, b.slice(at, min(most, z - at))
+                last = name
 
 
 def lambda_gradients_by_blocks(keys: Keys = KEYS, bins: int = 10, sharpness: float = 1.0, truncation: int = 500, gains: np.ndarray | None = None, block: int = LIST_ROWS):
-    """The same gradients for lists of any length. Every pair has a row among the first `truncation`: these go to each block
-    of their date's rows as guests, so a group has a block and the guests, and no date meets in one task but to be ordered.
-    What the guests get in each block is added up; the list's scale is applied last."""
+    """The same gradients for lists of any length. Every pair has a row among the first `truncation`. A date's rows stream
+    through a task by falling score, as through a window function, and a task holds these first rows and a block: a first
+    pass tells what the first rows get and the list's scale, in one row by date; this row comes before the date's others
+    in a second pass, which tells what they get. No date is held, no row is joined. A column _grade, if there is one,
+    is taken for the grades."""
     table = linear_gain(bins) if gains is None else np.asarray(gains, float)
-    gain_of = F.element_at(F.array(*[F.lit(float(x)) for x in table]), F.col("_grade") + 1)
-
-    def run(pdf):
-        i, j = pdf[pdf["_guest"]].sort_values("_pos"), pdf[~pdf["_guest"]].sort_values("_pos")
-        n_i, n_j = len(i), len(j)
-        out = {k: np.zeros(n_i + n_j) for k in ("_g", "_h", "_f")}
-        get = lambda d, c: d[c].to_numpy(float)
-        pi, pj, si, sj, gi, gj = (get(d, c) for c in ("_pos", "_score", "_gain") for d in (i, j))
-        di, dj = 1 / np.log2(pi + 2), 1 / np.log2(pj + 2)
-        ideal, spread = float(pdf["_ideal"].iloc[0] or 0.0), bool(pdf["_spread"].iloc[0])
-        if ideal > 0:
-            for a in range(0, n_i, 64):
-                s = slice(a, min(a + 64, n_i))
-                live = (pj[None, :] > pi[s, None]) & (gi[s, None] != gj[None, :])
-                way = np.sign(gi[s, None] - gj[None, :])
-                apart = way * (si[s, None] - sj[None, :])
-                change = np.abs(gi[s, None] - gj[None, :]) * np.abs(di[s, None] - dj[None, :]) / ideal
-                change = change / (0.01 + np.abs(apart)) if spread else change
-                p = 1 / (1 + np.exp(np.clip(sharpness * apart, -500, 500)))
-                force = np.where(live, sharpness * change * p, 0.0)
-                bend = np.where(live, sharpness**2 * change * p * (1 - p), 0.0)
-                out["_g"][s] -= (way * force).sum(1)
-                out["_h"][s] += bend.sum(1)
-                out["_g"][n_i:] += (way * force).sum(0)
-                out["_h"][n_i:] += bend.sum(0)
-                out["_f"][n_i:] += 2 * force.sum(0)
-        at = np.concatenate([pi, pj]).astype(np.int64)
-        return i.iloc[:0][[keys.date]].reindex(range(len(at))).assign(**{keys.date: pdf[keys.date].iloc[0], "_pos": at, **out})
+    if len(table) != bins:
+        raise ValueError("a gain is needed for each grade")
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return b.column("_score").to_numpy(zero_copy_only=False).astype(float), b.column("_grade").to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            s, c = np.concatenate(first, 1)
+            g, h, f = sums + (top or _Top(s, c.astype(int), table, sharpness)).among()
+            best = np.repeat(np.sort(table)[::-1], counts[np.argsort(table)[::-1]].clip(max=truncation))[:truncation]
+            ideal = float((best * log_discount(len(best))).sum())
+            unit = (1.0 if high > low else 0.01) / ideal if ideal > 0 else 0.0
+            total = 2 * f.sum() * unit
+            unit = unit * np.log2(1 + total) / total if total > 0 else unit
+            return pa.RecordBatch.from_arrays([day, pa.array([np.concatenate([[unit], s, c, g * unit, h * unit])], pa.list_(pa.float64()))], [keys.date, "_first"])
+
+        day, first, held, top, sums, counts, high, low = None, [], 0, None, 0.0, None, 0.0, 0.0
+        for new, b in _lists(batches, keys.date, block):
+            s, c = read(b)
+            if new:
+                if day is not None:
+                    yield told()
+                day, first, held, top, sums, counts, high = b.column(keys.date).slice(0, 1), [], 0, None, 0.0, np.zeros(bins, np.int64), s[0]
+            low = s[-1]
+            counts += np.bincount(c, minlength=bins)
+            more = max(0, min(truncation - held, len(s)))
+            if more:
+                first.append(np.stack([s[:more], c[:more]]))
+            pos = held + np.arange(len(s))
+            held += len(s)
+            if more < len(s):
+                if top is None:
+                    whole = np.concatenate(first, 1)
+                    top = _Top(whole[0], whole[1].astype(int), table, sharpness)
+                sums = sums + top.pulled(s[more:], c[more:], pos[more:])
+        if day is not None:
+            yield told()
+
+    def graded_by(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, top, at, unit = None, None, 0, 0.0
+            for _, b in _lists(batches, keys.date, block):
+                if b.column("_first").null_count < b.num_rows:  # the first row of a date
+                    told = b.column("_first")[0].values.to_numpy(zero_copy_only=False)
+                    unit, first, top, at = float(told[0]), told[1:].reshape(4, -1), None, 0
+                    b = b.slice(1)
+                    if not b.num_rows:
+                        continue
+                s, c = read(b)
+                g, h = np.zeros(len(s)), np.zeros(len(s))
+                own = max(0, min(first.shape[1] - at, len(s)))
+                g[:own], h[:own] = first[2:, at : at + own]
+                if own < len(s) and unit > 0:
+                    top = top or _Top(first[0], first[1].astype(int), table, sharpness)
+                    more = top.pull(s[own:], c[own:], (at + np.arange(len(s)))[own:])
+                    g[own:], h[own:] = (x * unit for x in more)
+                at += len(s)
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(g), pa.array(np.maximum(h, 1e-9))], [*names, "_g", "_h"])
+
+        return run
 
     def add(df: DataFrame) -> DataFrame:
-        day = Window.partitionBy(keys.date)
-        graded = df.filter("y_ret_1d is not null").withColumn("_grade", relevance(F.col("y_ret_1d"), keys.date, bins))
-        best = F.row_number().over(day.orderBy(F.col("_gain").desc()))
-        rows = graded.withColumn("_gain", gain_of).withColumns({"_pos": F.row_number().over(day.orderBy(F.col("_score").desc(), keys.entity)) - 1, "_best": best})
-        rows = rows.withColumns({"_ideal": F.sum(F.when(F.col("_best") <= truncation, F.col("_gain") / F.log2(F.col("_best") + 1))).over(day), "_spread": F.max("_score").over(day) > F.min("_score").over(day), "_n": F.count(F.lit(1)).over(day)})
-        narrow = rows.select(keys.date, "_pos", "_score", "_gain", "_ideal", "_spread", "_n")
-        guests = narrow.filter(F.col("_pos") < truncation).withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("int")))).withColumn("_guest", F.lit(True))
-        own = narrow.withColumns({"_block": F.floor(F.col("_pos") / block).cast("int"), "_guest": F.lit(False)})
-        kind = dict(df.dtypes)[keys.date]
-        parts = own.unionByName(guests).drop("_n").groupBy(keys.date, "_block").applyInPandas(run, f"`{keys.date}` {kind}, _pos long, _g double, _h double, _f double")
-        sums = parts.groupBy(keys.date, "_pos").agg(*[F.sum(c).alias(c) for c in ("_g", "_h", "_f")])
-        total = F.sum("_f").over(day)
-        scale = F.when(total > 0, F.log2(1 + total) / total).otherwise(1.0)
-        sums = sums.withColumn("_scale", scale).select(keys.date, "_pos", (F.col("_g") * F.col("_scale")).alias("_g"), F.greatest(F.col("_h") * F.col("_scale"), F.lit(1e-9)).alias("_h"))
-        return rows.select(*df.columns, "_pos").join(sums, [keys.date, "_pos"]).select(*df.columns, "_g", "_h")
+        kinds, names = dict(df.dtypes), df.columns
+        rows = df.filter("y_ret_1d is not null")
+        rows = rows if "_grade" in names else rows.withColumn("_grade", relevance(F.col("y_ret_1d"), keys.date, bins))
+        by = [keys.date, F.col("_score").desc(), keys.entity]
+        lists = rows.select(keys.date, keys.entity, "_score", "_grade").repartition(keys.date).sortWithinPartitions(*by)
+        first = lists.mapInArrow(summed, f"`{keys.date}` {kinds[keys.date]}, _first array<double>")
+        both = rows.unionByName(first, allowMissingColumns=True).repartition(keys.date)
+        both = both.sortWithinPartitions(keys.date, F.col("_first").isNull(), *by[1:])
+        return both.mapInArrow(graded_by(names), f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, _g double, _h double")
 
     return add
 
 
 def ranker(df: DataFrame, features: list[str], keys: Keys = KEYS, truncation: int = 500, gains: np.ndarray | None = None, list_rows: int = LIST_ROWS, **options) -> Boosted:
-    """Boosted trees on LambdaRank's gradients. Lists of more than list_rows rows are dealt out in blocks."""
-    longest = df.filter("y_ret_1d is not null").groupBy(keys.date).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    way = lambda_gradients(keys, truncation=truncation, gains=gains) if longest <= list_rows else lambda_gradients_by_blocks(keys, truncation=truncation, gains=gains, block=list_rows)
-    return boost(df, features, gradients=way, base=0.0, **options)
+    """Boosted trees on LambdaRank's gradients, for lists of any length. The rows are computed and graded once; only of a
+    sample of rows are the grades that round's own."""
+    way = lambda_gradients_by_blocks(keys, truncation=truncation, gains=gains, block=list_rows)
+    rows = df.filter("y_ret_1d is not null")
+    if options.get("bagging", 1.0) >= 1:
+        rows = rows.select(*keys.both, "y_ret_1d", *features).withColumn("_grade", relevance(F.col("y_ret_1d"), keys.date))
+    rows = rows.persist()
+    try:
+        return boost(rows, features, gradients=way, base=0.0, **options)
+    finally:
+        rows.unpersist()
 
 
 def ndcg(df: DataFrame, keys: Keys = KEYS, bins: int = 10, at: int | None = None, score: str = "pred") -> DataFrame:

@@ -269,3 +269,33 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == want
     got = {(r.entity, r.dt): r.smoothed for r in run(src / "b", rank.schema, lambda s: recursions.rank_ema(s, 0.5), "means")}
     assert got.keys() == means.keys() and all(math.isclose(got[k], means[k], rel_tol=1e-12) for k in got)
+
+
+# --- the ranker's gradients as streams ---
+
+
+def _list(n, scores, seed=3):
+    rng = np.random.default_rng(seed)
+    score = np.sort(rng.integers(0, scores, n) / 8.0)[::-1]
+    return score, rng.integers(0, 10, n), np.arange(n)
+
+
+@pytest.mark.parametrize("scores", [1, 5, 100_000])
+def test_first_rows_against_the_rest(scores):
+    """Rows of one score count together; what both sides get is what the loop over pairs gives."""
+    score, grade, pos = _list(3000, scores)
+    top = models._Top(score[:200], grade[:200], np.arange(10.0), 1.0)
+    f = top.among() + top.pulled(score[200:], grade[200:], pos[200:])
+    g, h = top.pull(score[200:], grade[200:], pos[200:])
+    unit = (1.0 if score[0] > score[-1] else 0.01) / (np.sort(grade)[::-1][:200] * models.log_discount(200)).sum()
+    unit *= np.log2(1 + 2 * f[2].sum() * unit) / (2 * f[2].sum() * unit)
+    want = models.pair_gradients(score, grade, 200)
+    np.testing.assert_allclose(np.concatenate([f[0], g]) * unit, want[0], rtol=1e-7, atol=1e-14)
+    np.testing.assert_allclose(np.concatenate([f[1], h]) * unit, want[1], rtol=1e-7, atol=1e-14)
+
+
+def test_long_lists_need_no_join(spark):
+    """Lists of any length: rows are exchanged by date, never joined to what they get, nor held as a group."""
+    df = spark.range(1000).selectExpr("id as entity", "cast(id % 2 as int) as dt", "id / 7 as y_ret_1d", "cast(id % 5 as double) as _score", "cast(id % 10 as int) as _grade")
+    plan = models.lambda_gradients_by_blocks()(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 2
