@@ -713,9 +713,9 @@ _PAIR = "CASE WHEN a.spread THEN abs(a.grade - b.grade) * abs(a.disc - b.disc) /
 def ranker_gradients(spark, sf_dir):
     """What a round of the ranker is fitted to: the gradients of all dates at given scores, with linear gains."""
     base = scored(spark, sf_dir).withColumn("_score", rank_pct(F.col("pred"), "dt")).filter("y_ret_1d is not null")
-    base = base.select("entity", "dt", "y_ret_1d", F.round("_score", 6).alias("_score"))
-    graded = models.lambda_gradients()(base).withColumn("grade", cross_section.relevance(F.col("y_ret_1d"), "dt"))
-    return rounded(graded.select("entity", "dt", "grade", F.col("_g").alias("gradient"), F.col("_h").alias("hessian")))
+    base = base.select("entity", "dt", "y_ret_1d", F.round("_score", 6).alias("_score"), cross_section.relevance(F.col("y_ret_1d"), "dt").alias("_grade"))
+    graded = models.lambda_gradients_by_blocks()(base)
+    return rounded(graded.select("entity", "dt", F.col("_grade").alias("grade"), F.col("_g").alias("gradient"), F.col("_h").alias("hessian")))
 
 
 @query(f"WITH {SQL_M}, {SQL_RETURNS} SELECT CAST(least(greatest(ceil(q * 10) - 1, 0), 9) AS INTEGER) AS grade, count(*) AS rows FROM (SELECT {pct('y_ret_1d', 'dt')} AS q FROM panel WHERE y_ret_1d IS NOT NULL) GROUP BY 1")

@@ -36,3 +36,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ranker_gradients_hold_no_date(spark):
+    """A date's list streams through its task; as a group it would be held whole, with 256 rows of pairs for each of its rows."""
+    plan = catalog.QUERIES["ranker_gradients"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 2
