@@ -151,6 +151,102 @@ def correlations(df: DataFrame, x: Column, names: list[str], by: str, least: int
     return parts.groupBy("i", "j").applyInArrow(told, "f1 string, f2 string, rank_corr double, days long")
 
 
+#: Features that are ranked together: a task holds this many columns of a date.
+RANKED = 8
+_MISSING = np.iinfo(np.int64).max
+
+
+def _sortable(column: pa.Array) -> np.ndarray:
+    """Integers in the order of the values, as Spark has it: both zeros are one value, NaN the largest; missing ones last."""
+    x = column.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    bits = x.view(np.int64)
+    out = bits ^ ((bits >> 63) & _MISSING)
+    out[np.isnan(x)] = _MISSING - 1
+    out[~column.is_valid().to_numpy(zero_copy_only=False)] = _MISSING
+    return out
+
+
+def _percentiles(x: np.ndarray, fill: float) -> np.ndarray:
+    order = np.argsort(x)
+    x = x[order]
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    ties = np.diff(np.r_[starts, len(x)])
+    n = int(np.searchsorted(x, _MISSING))
+    rank = np.repeat((starts + 1 + (ties - 1) / 2.0) / max(n, 1), ties)
+    rank[n:] = fill
+    out = np.empty(len(x))
+    out[order] = rank
+    return out
+
+
+def ranks(df: DataFrame, features: list[str], entity: str, date: str, keep: tuple[str, ...] = (), fill: float = 0.5, size: int = RANKED) -> DataFrame:
+    """keep, entity, date, ranks: an array with the percentile rank of each feature (by name) within its date; missing ones
+    get fill. For many features: no row is made for a value.
+
+    A task's rows are cut by date into blocks, whose columns go, as bytes, to the tasks that rank a date's values of a few
+    features; ranks go back to their block. A task that ranks holds 8 bytes for each of its date's rows and features."""
+    names, kinds = sorted(features), dict(df.dtypes)
+    edges = tiles(len(names), size)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        number = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            code, first = codes(b, [date])
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(first) + 1))
+            x = np.stack([_sortable(b.column(n)) for n in names])[:, order]
+            rest = b.select([entity, *keep]).take(pa.array(order))
+            days = b.column(date).take(pa.array(first))
+            for g in range(len(first)):
+                a, z = int(cuts[g]), int(cuts[g + 1])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema) as out:
+                    out.write_batch(rest.slice(a, z - a))
+                values = [sink.getvalue().to_pybytes(), *[x[i:j, a:z].tobytes() for i, j in edges]]
+                yield pa.RecordBatch.from_arrays([days.take(pa.array([g] * len(values))), pa.array(range(-1, len(edges)), pa.int32()), pa.array([task << 32 | number] * len(values), pa.int64()), pa.array(values, pa.binary())], [date, "tile", "block", "v"])
+                number += 1
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(h.nbytes for h in held) > HELD:
+                yield from told()
+                held.clear()
+        if held:
+            yield from told()
+
+    def ranked(t: pa.Table) -> pa.Table:
+        tile = t.column("tile")[0].as_py()
+        if tile < 0:
+            return t
+        wide = edges[tile][1] - edges[tile][0]
+        parts = [np.frombuffer(v.as_buffer(), np.int64).reshape(wide, -1) for v in t.column("v")]
+        ends = np.cumsum([0, *(p.shape[1] for p in parts)])
+        whole = np.stack([_percentiles(np.concatenate([p[i] for p in parts]), fill) for i in range(wide)])
+        return t.set_column(t.schema.get_field_index("v"), "v", pa.array([whole[:, a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary()))
+
+    def rows(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tile")
+        v = t.column("v")
+        rest = pa.ipc.open_stream(v[0].as_buffer()).read_all()
+        x = np.concatenate([np.frombuffer(v[i + 1].as_buffer()).reshape(z - a, -1) for i, (a, z) in enumerate(edges)]).T
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(names), pa.int32()), pa.array(x.ravel()))
+        return rest.append_column(date, t.column(date).take(pa.array([0] * len(x)))).append_column("ranks", lists)
+
+    # in the order of keys, so that a task that runs again cuts the same blocks; rows of window functions have it already
+    source = df.select(entity, date, *keep, *[F.col(f).cast("double").alias(f) for f in names]).sortWithinPartitions(entity, date)
+    kind = f"`{date}` {kinds[date]}, tile int, block long, v binary"
+    found = source.mapInArrow(cut, kind).groupBy(date, "tile").applyInArrow(ranked, kind)
+    return found.groupBy(date, "block").applyInArrow(rows, "".join(f"`{c}` {kinds[c]}, " for c in (entity, *keep, date)) + "ranks array<double>")
+
+
 def moments(df: DataFrame, features: list[Column], label: Column, groups: list[str] | None = None, size: int = TILE) -> DataFrame:
     """groups, n, sx, sy, sxx (upper triangle by rows), sxy: the sums that a linear fit needs, one row by group."""
     own, k = groups or [], len(features)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions import correlation, rank_pct, safe_div
 
-from .blocks import correlations
+from .blocks import correlations, ranks
 from .cross_section import unpivot
+from .models import WIDE
 from .panel import KEYS, Keys
 
 
@@ -60,9 +61,10 @@ def rank_rows(df: DataFrame, features: list[str], keys: Keys = KEYS, fill: float
 def rank_correlations(df: DataFrame, features: list[str], keys: Keys = KEYS, least: int = 30, fill: float = 0.5) -> DataFrame:
     """f1, f2 (f1 before f2 by name, or the same), mean of the daily correlations of their ranks, days.
 
-    Each date's matrix of ranks is multiplied with itself in the tasks that rank it, and the dates' matrices are summed up
+    Many features are ranked in blocks of columns, a few as rows. Each date's matrix of ranks is multiplied with itself in the tasks that rank it, and the dates' matrices are summed up
     (operators/blocks.py): no row for a pair, and a plan that doesn't grow with their number."""
-    return correlations(rank_rows(df, features, keys, fill), F.col("ranks"), sorted(features), keys.date, least)
+    ranked = ranks(df, features, keys.entity, keys.date, fill=fill) if len(features) > WIDE else rank_rows(df, features, keys, fill)
+    return correlations(ranked, F.col("ranks"), sorted(features), keys.date, least)
 
 
 def regimes(daily: DataFrame, market_daily: DataFrame, screen: tuple, periods_: dict[str, tuple], keys: Keys = KEYS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import rank_pct, safe_div
 from strandline.operators import audits, cross_section, delivery, evaluate, models, panel, recursion, runs, screening, splits, store
 from strandline.operators import features as fx
+from strandline.operators.blocks import ranks
 from strandline.operators.panel import aligned_differences, joined_one_to_one, key_hash, with_returns
 from strandline.sources.bars import tail
 
@@ -384,7 +385,7 @@ def rank_corr_wide(spark, sf_dir):
 def gram_wide(spark, sf_dir):
     """The sums of products that a ridge on all features of five families needs."""
     names = _wide_names()
-    view = screening.rank_rows(_wide(spark, sf_dir), names, keep=("y_ret_1d",))
+    view = ranks(_wide(spark, sf_dir), names, "entity", "dt", keep=("y_ret_1d",))
     view = view.select("y_ret_1d", *[F.get("ranks", F.lit(k)).alias(n) for k, n in enumerate(names)])
     pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate((a, b) for i, a in enumerate(names) for b in names[i:])], "k int, f1 string, f2 string")
     sums = models.gram(view, names).select("n", F.posexplode("sxx").alias("k", "products"))

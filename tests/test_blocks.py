@@ -85,3 +85,20 @@ def test_ranks_are_exchanged_once(spark, wide):
     rows = sc.rank_rows(spark_frame(spark, wide), names)
     rows.collect()
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # of the final and of the initial plan
+
+
+def test_ranks_by_columns(spark):
+    """Blocks of columns give the ranks that rows give, with ties, signed zeros, NaN and missing values; no row is made for
+    a value and no window ranks."""
+    rng = np.random.default_rng(9)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), -1.5, 2.5]
+    made = [(e, None if d == 3 else d, float(e), *[values[k] for k in rng.integers(0, 7, 10)]) for d in range(4) for e in range((50, 1, 20, 9)[d])]
+    names = [f"f{k}" for k in range(10)]
+    df = spark.createDataFrame(made, f"entity long, dt int, y double, {', '.join(f'{n} double' for n in names)}").repartition(3)
+    told = lambda rows: sorted((r.entity, str(r.dt), r.y, r.ranks) for r in rows.collect())
+    found = blocks.ranks(df, names, "entity", "dt", keep=("y",), size=4)
+    assert told(found) == told(sc.rank_rows(df, names, keep=("y",)))
+    assert blocks.ranks(df.limit(0), names, "entity", "dt").count() == 0
+    wide = sc.rank_correlations(df.select("entity", "dt", *[F.col(names[k % 10]).alias(f"g{k}") for k in range(30)]), [f"g{k}" for k in range(30)])
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (found, wide)):
+        assert "Generate" not in plan and "Window" not in plan
