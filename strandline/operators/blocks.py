@@ -37,7 +37,7 @@ def codes(batch: pa.RecordBatch, groups: list[str]) -> tuple[np.ndarray, np.ndar
     return code, first
 
 
-def _partial(groups: list[str], k: int, size: int):
+def _partial(groups: list[str], k: int, size: int, centre: float = 0.0):
     edges = tiles(k, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,7 @@ def _partial(groups: list[str], k: int, size: int):
             if not b.num_rows:
                 continue
             fields = b.schema
-            x = _flat(b.column("x")).reshape(-1, k)
+            x = _flat(b.column("x")).reshape(-1, k) - centre
             code, first = codes(b, groups)
             order = np.argsort(code, kind="stable")
             cuts = np.searchsorted(code[order], np.arange(len(first) + 1))
@@ -95,17 +95,17 @@ def _summed(by: list[str]) -> Callable[[pa.Table], pa.Table]:
     return add
 
 
-def products(df: DataFrame, x: Column, k: int, groups: list[str] | None = None, size: int = TILE) -> DataFrame:
+def products(df: DataFrame, x: Column, k: int, groups: list[str] | None = None, size: int = TILE, centre: float = 0.0) -> DataFrame:
     """groups, i, j, v: for each group and pair of tiles i <= j the rows' number, the sums and the sums of squares of the
     columns of i and of j, and the products of each column of i with each of j, added up. x: the k columns as an array of
-    doubles without nulls.
+    doubles without nulls, of which centre is subtracted.
 
     Groups that lie in many tasks, and the whole frame if there are no groups, are summed up in two steps."""
     own = groups or []
     kinds = dict(df.dtypes)
     rows = df.select(*own, x.alias("x"))
     named = "".join(f"`{g}` {kinds[g]}, " for g in own)
-    part = rows.mapInArrow(_partial(own, k, size), f"{named}i int, j int, salt int, v array<double>")
+    part = rows.mapInArrow(_partial(own, k, size, centre), f"{named}i int, j int, salt int, v array<double>")
     some = part.groupBy(*own, "i", "j", "salt").applyInArrow(_summed([*own, "i", "j"]), f"{named}i int, j int, v array<double>")
     return some.groupBy(*own, "i", "j").applyInArrow(_summed([*own, "i", "j"]), f"{named}i int, j int, v array<double>")
 
@@ -147,7 +147,8 @@ def correlations(df: DataFrame, x: Column, names: list[str], by: str, least: int
         at = np.flatnonzero((f1 <= f2) & (days > 0))
         return pa.table({"f1": [names[x] for x in f1[at]], "f2": [names[x] for x in f2[at]], "rank_corr": total[at] / days[at], "days": pa.array(days[at].astype(np.int64))})
 
-    parts = products(df, x, k, [by], size).mapInArrow(daily, "i int, j int, v array<double>")
+    # ranks lie around a half; sums about zero leave a nearly constant column its digits
+    parts = products(df, x, k, [by], size, 0.5).mapInArrow(daily, "i int, j int, v array<double>")
     return parts.groupBy("i", "j").applyInArrow(told, "f1 string, f2 string, rank_corr double, days long")
 
 

@@ -102,3 +102,10 @@ def test_ranks_by_columns(spark):
     wide = sc.rank_correlations(df.select("entity", "dt", *[F.col(names[k % 10]).alias(f"g{k}") for k in range(30)]), [f"g{k}" for k in range(30)])
     for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (found, wide)):
         assert "Generate" not in plan and "Window" not in plan
+
+
+def test_nearly_constant_ranks(spark):
+    """A column in which all values tie and some are missing has two ranks close to a half; it correlates with itself by 1."""
+    df = spark.range(60_000).select(F.col("id").alias("entity"), F.lit(1).alias("dt"), F.when(F.col("id") % 60 > 0, 0.0).alias("a"), F.col("id").cast("double").alias("b"))
+    found = {(r.f1, r.f2): r.rank_corr for r in blocks.correlations(blocks.ranks(df, ["a", "b"], "entity", "dt"), F.col("ranks"), ["a", "b"], "dt", 30).collect()}
+    assert abs(found["a", "a"] - 1) < 1e-9 and abs(found["b", "b"] - 1) < 1e-9
